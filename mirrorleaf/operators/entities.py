@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mirrorleaf.functions.urls import match_path, path_key, url_host, with_slash
@@ -13,12 +13,12 @@ from mirrorleaf.operators.filters import published
 
 def nonempty_terms(terms: DataFrame, post_terms: DataFrame) -> DataFrame:
     """Terms that at least one post carries."""
-    return terms.join(post_terms, "term_id", "left_semi")
+    return terms.join(post_terms.select("term_id").distinct(), "term_id", "left_semi")
 
 
 def active_authors(authors: DataFrame, posts: DataFrame) -> DataFrame:
     """Authors of at least one published post."""
-    return authors.join(published(posts), "author_id", "left_semi")
+    return authors.join(published(posts).select("author_id").distinct(), "author_id", "left_semi")
 
 
 def term_counts(post_terms: DataFrame) -> DataFrame:
@@ -42,15 +42,15 @@ def enrich(
 
     Names are gathered from the narrow bridge before they meet the posts.
     """
+
+    def sorted_names(taxonomy: str) -> Column:
+        of_kind = F.when(F.col("taxonomy") == taxonomy, F.struct("name", "term_id"))
+        return F.transform(F.array_sort(F.collect_list(of_kind)), lambda t: t["name"])
+
     names = (
         post_terms.join(terms.select("term_id", "taxonomy", "name"), "term_id")
         .groupBy("post_id")
-        .agg(
-            *(
-                F.array_sort(F.collect_set(F.when(F.col("taxonomy") == taxonomy, F.col("name")))).alias(out)
-                for taxonomy, out in (("category", "categories"), ("post_tag", "tags"))
-            )
-        )
+        .agg(sorted_names("category").alias("categories"), sorted_names("post_tag").alias("tags"))
     )
     image = media.groupBy("post_id").agg(F.min("image_url").alias("featured_image"))
     return (
