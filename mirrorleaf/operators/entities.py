@@ -40,7 +40,8 @@ def enrich(
 ) -> DataFrame:
     """Adds author name, category and tag names (by name) and the image URL.
 
-    Names are gathered from the narrow bridge before they meet the posts.
+    Everything is gathered per post id on narrow rows first, so a busy author is
+    no hot key for post bodies, and those are shuffled once at most.
     """
 
     def sorted_names(taxonomy: str) -> Column:
@@ -53,11 +54,14 @@ def enrich(
         .agg(sorted_names("category").alias("categories"), sorted_names("post_tag").alias("tags"))
     )
     image = media.groupBy("post_id").agg(F.min("image_url").alias("featured_image"))
-    return (
-        posts.join(authors.select("author_id", F.col("display_name").alias("author")), "author_id", "left")
+    gathered = (
+        posts.select("post_id", "author_id")
+        .join(authors.select("author_id", F.col("display_name").alias("author")), "author_id", "left")
+        .drop("author_id")
         .join(names, "post_id", "left")
         .join(image, "post_id", "left")
     )
+    return posts.join(gathered, "post_id", "left")
 
 
 def _matchable(terms: DataFrame) -> DataFrame:

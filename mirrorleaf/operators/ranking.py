@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mirrorleaf.functions.text import as_col
+from mirrorleaf.session import persist_table
 
 SALTS = 64
+# Rows of (site, path, position) that may be broadcast: some 50 MB.
+BROADCAST_ROWS = 200_000
 
 
 def newest_first() -> list[Column]:
@@ -51,3 +54,23 @@ def latest_per_path(df: DataFrame, position: Sequence[str | Column]) -> DataFram
     last_first = [as_col(p).desc() for p in position]
     window = Window.partitionBy("site", "path").orderBy(*last_first)
     return df.withColumn("_last", F.row_number().over(window)).where(F.col("_last") == 1).drop("_last")
+
+
+def drop_overwritten(stored: DataFrame, position: Sequence[str]) -> DataFrame:
+    """``latest_per_path`` for a stored table, without shuffling its documents.
+
+    Only paths that several rows share matter. They are found on narrow columns
+    and broadcast if there are few of them; many take the window instead.
+    """
+    place = F.struct(*position)
+    shared = (
+        stored.groupBy("site", "path")
+        .agg(F.max(place).alias("_last"), F.count(F.lit(1)).alias("_rows"))
+        .where(F.col("_rows") > 1)
+        .drop("_rows")
+    )
+    shared = persist_table(stored.sparkSession, shared, "shared-paths")
+    if shared.count() > BROADCAST_ROWS:
+        return latest_per_path(stored, position)
+    kept = F.col("_last").isNull() | (F.col("_last") == place)
+    return stored.join(F.broadcast(shared), ["site", "path"], "left").where(kept).drop("_last")

@@ -10,13 +10,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from mirrorleaf.config import MirrorConfig
 from mirrorleaf.functions.encoding import repair_text
-from mirrorleaf.functions.text import as_col, non_empty, plain_text, squeeze_blank_lines, trim_ws
+from mirrorleaf.functions.text import as_col, plain_text, squeeze_blank_lines, trim_ws
 from mirrorleaf.operators.html_fold import fold
 from mirrorleaf.operators.payload import recover_markdown
 
@@ -71,21 +71,24 @@ def choose_html(posts: DataFrame, pages: DataFrame, cfg: MirrorConfig) -> DataFr
     """Adds ``html``: the stored body, the fetched page, or the first with text.
 
     ``filter`` reads the stored body, ``http`` the page, ``both`` the page only
-    where the body has no text.
+    where the body has no text. Pages are found for the posts that need one, on
+    narrow rows, and join the posts by id; the newest page of an address counts.
     """
     if cfg.content_method == "filter":
         return posts.withColumn("html", F.col("body"))
-    fetched = pages.select(
+    body_has_text = F.coalesce(plain_text("body"), F.lit("")) != ""
+    needing = posts if cfg.content_method == "http" else posts.where(~body_has_text)
+    found = pages.select(
+        "page_id",
         F.col("url").alias("permalink"),
         F.when(plain_text("html") != "", F.col("html")).alias("fetched"),
-    )
-    joined = posts.join(fetched, "permalink", "left")
+    ).join(needing.select("post_id", "permalink"), "permalink")
+    newest = Window.partitionBy("permalink", "post_id").orderBy(F.desc("page_id"))
+    fetched = found.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") == 1)
+    joined = posts.join(fetched.select("post_id", "fetched"), "post_id", "left")
     page = F.coalesce("fetched", F.lit(""))
-    if cfg.content_method == "http":
-        chosen = page
-    else:
-        chosen = F.when(F.coalesce(non_empty(plain_text("body")), F.lit("")) != "", F.col("body")).otherwise(page)
-    return joined.withColumn("html", chosen)
+    stored = F.lit(cfg.content_method == "both") & body_has_text
+    return joined.withColumn("html", F.when(stored, F.col("body")).otherwise(page))
 
 
 def render_markdown(pages: DataFrame, home_url: str | Column = "home_url") -> DataFrame:

@@ -7,7 +7,7 @@ rendered twice when they are written once first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorleaf.config import FRONT_MATTER_WORDS, MirrorConfig
@@ -16,12 +16,13 @@ from mirrorleaf.functions.front_matter import front_matter
 from mirrorleaf.functions.text import FRONT_MATTER_FIELD, excerpt, non_empty, title_of
 from mirrorleaf.functions.urls import home_of, is_excluded, path_key, slug_title, url_host
 from mirrorleaf.operators.filters import allowed
-from mirrorleaf.operators.ranking import latest_per_path
+from mirrorleaf.operators.ranking import drop_overwritten, latest_per_path
 from mirrorleaf.operators.render import choose_html, to_markdown
 from mirrorleaf.operators.structured import append_structured
 from mirrorleaf.plans.queue import RANKS
+from mirrorleaf.session import persist_table
 from mirrorleaf.sources.pages import has_text, normalize_pages
-from mirrorleaf.sources.store import COLUMNS
+from mirrorleaf.sources.store import COLUMNS, write_mirror
 
 # ---- fixed values: reasons in the run log ----------------------------------
 NOT_PUBLISHED = "Post not found or not published."
@@ -31,10 +32,6 @@ AUTHOR_EXCLUDED = "Author URL is excluded by rules."
 HOMEPAGE_EXCLUDED = "Homepage is excluded by rules."
 NO_MARKDOWN = "Markdown conversion resulted in empty content for URL: "
 # ----------------------------------------------------------------------------
-OUTCOME = [
-    "site", "path", "url", "kind", "item_kind", "kind_rank", "item_id", "post_id", "title",
-    "front_matter", "markdown", "reason",
-]
 
 
 def index_title() -> Column:
@@ -137,18 +134,35 @@ def archive_outcomes(archives: DataFrame, item_kind: str, cfg: MirrorConfig) ->
     return outcomes(archives.withColumn("reason", reason), item_kind, "item_id")
 
 
-def mirror_rows(done: DataFrame, run_ts) -> DataFrame:
-    """Accepted documents, the last one of each path, as mirror versions."""
-    accepted = done.where(F.col("reason").isNull())
+POSITION = ["kind_rank", "item_id"]
+
+
+def _versions(documents: DataFrame, run_ts) -> DataFrame:
     return (
-        latest_per_path(accepted, ["kind_rank", "item_id"])
-        .withColumn("version_ts", F.lit(run_ts).cast("timestamp_ntz"))
+        documents.withColumn("version_ts", F.lit(run_ts).cast("timestamp_ntz"))
         .withColumn("version_seq", F.lit(0).cast("bigint"))
         .withColumn("is_deleted", F.lit(False))
         .select(*COLUMNS)
     )
 
 
+def mirror_rows(done: DataFrame, run_ts) -> DataFrame:
+    """Accepted documents, the last one of each path, as mirror versions."""
+    return _versions(latest_per_path(done.where(F.col("reason").isNull()), POSITION), run_ts)
+
+
+def run(spark: SparkSession, done: DataFrame, run_id: str, run_ts, mirror_path: str) -> DataFrame:
+    """Render once, write the mirror, return the run log.
+
+    Outcomes are stored as they are rendered, without a shuffle. The mirror and
+    the log read them back; documents move once, on their way to their site.
+    """
+    stored = persist_table(spark, done, "outcomes")
+    accepted = drop_overwritten(stored.where(F.col("reason").isNull()), POSITION)
+    write_mirror(_versions(accepted, run_ts), mirror_path)
+    return run_log(stored, run_id, run_ts)
+
+
 def run_log(done: DataFrame, run_id: str, run_ts) -> DataFrame:
     """One line per item, accepted or rejected."""
     ok = F.col("reason").isNull()

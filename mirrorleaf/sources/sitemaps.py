@@ -8,28 +8,27 @@ from pyspark.sql import functions as F
 from mirrorleaf.config import ROOT_SITEMAPS
 from mirrorleaf.functions.urls import on_same_site
 from mirrorleaf.operators.entities import union_all
+from mirrorleaf.session import persist_table
 
-SCHEMA = "sitemap array<struct<loc:string>>, url array<struct<loc:string>>"
 NAMESPACE = "http://www.sitemaps.org/schemas/sitemap/0.9"
 # Children come before a document's own URLs; this ranks the latter last.
 OWN_URLS = 2**62
 
 
-def _parsed(sitemaps: DataFrame) -> DataFrame:
-    """Sitemaps with their entries; malformed XML has none."""
-    known = sitemaps.where(F.contains("xml", F.lit(NAMESPACE)))
-    return known.select("sitemap_url", F.from_xml("xml", SCHEMA).alias("doc"))
-
-
-def _entries(parsed: DataFrame, kind: str) -> DataFrame:
+def _entries(sitemaps: DataFrame, kind: str, name: str) -> DataFrame:
+    """(sitemap_url, pos, name) of the listed addresses; malformed XML has none."""
+    of_kind = sitemaps.where(
+        F.contains("xml", F.lit(NAMESPACE)) & F.col("xml").rlike(rf"<{kind}[\s>]")
+    )
+    parsed = of_kind.select("sitemap_url", F.from_xml("xml", f"{kind} array<struct<loc:string>>").alias("doc"))
     return parsed.select("sitemap_url", F.posexplode(f"doc.{kind}").alias("pos", "entry")).select(
-        "sitemap_url", F.col("pos").cast("bigint").alias("pos"), F.col("entry.loc").alias("loc")
+        "sitemap_url", F.col("pos").cast("bigint").alias("pos"), F.col("entry.loc").alias(name)
     )
 
 
 def sitemap_urls(sitemaps: DataFrame) -> DataFrame:
     """(sitemap_url, pos, url) of every listed page."""
-    return _entries(_parsed(sitemaps), "url").select("sitemap_url", "pos", F.col("loc").alias("url"))
+    return _entries(sitemaps, "url", "url")
 
 
 def expand_sitemaps(sitemaps: DataFrame, roots: DataFrame, max_depth: int = 5) -> DataFrame:
@@ -40,22 +39,27 @@ def expand_sitemaps(sitemaps: DataFrame, roots: DataFrame, max_depth: int = 5) -
     per document, so shared children do not multiply. ``ord`` is the position in
     reading order (children first); where a document is reached twice the later
     position counts, as the last write of a document does.
+
+    XML is parsed once into a table of links; each level is a table too, so the
+    walk stops as soon as a level is empty and survives lost executors.
     """
-    parsed = _parsed(sitemaps)
-    children = _entries(parsed, "sitemap").select(
-        "sitemap_url", "pos", F.col("loc").alias("child")
-    )
+    spark = sitemaps.sparkSession
+    children = persist_table(spark, _entries(sitemaps, "sitemap", "child"), "sitemap-links")
     level = roots.select(
         "site", "home_url", "sitemap_url", F.array(F.lit(0).cast("bigint")).alias("ord")
     )
-    levels = [level]
+    levels = [persist_table(spark, level, "sitemap-level")]
     for _ in range(max_depth):
+        level = levels[-1]
         level = (
             level.join(children, "sitemap_url")
             .where(on_same_site("child", "home_url"))
             .groupBy("site", "home_url", F.col("child").alias("sitemap_url"))
             .agg(F.max(F.concat("ord", F.array("pos"))).alias("ord"))
         )
+        level = persist_table(spark, level, "sitemap-level")
+        if level.isEmpty():
+            break
         levels.append(level)
     documents = (
         union_all(levels).groupBy("site", "home_url", "sitemap_url").agg(F.max("ord").alias("ord"))

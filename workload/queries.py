@@ -14,7 +14,7 @@ from mirrorleaf.functions.encoding import repair_text
 from mirrorleaf.functions.front_matter import yaml_escape
 from mirrorleaf.operators import entities, filters, ranking, render, stats, structured
 from mirrorleaf.plans import archives, generate, queue, site_docs
-from mirrorleaf.session import limit_python_batches, work_folder
+from mirrorleaf.session import limit_python_batches, persist_table, work_folder
 from mirrorleaf.sources import pages as page_source
 from mirrorleaf.sources import sitemaps as sitemap_source
 from mirrorleaf.sources import store
@@ -49,7 +49,9 @@ def page_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generate.mirror_rows(generate.page_outcomes(page_table(spark, sf_dir), CFG), RUN_TS)
+    """Stored mirror of all pages, which the documents of a site are made from."""
+    rows = generate.mirror_rows(generate.page_outcomes(page_table(spark, sf_dir), CFG), RUN_TS)
+    return persist_table(spark, rows, "mirror")
 
 
 def enriched_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +181,7 @@ def build_queue(spark, sf_dir):
 )
 def mirror_round_trip(spark, sf_dir):
     folder = work_folder(spark, "mirror")
-    store.write_mirror(page_mirror(spark, sf_dir), folder)
+    generate.run(spark, generate.page_outcomes(page_table(spark, sf_dir), CFG), "run-1", RUN_TS, folder)
     return store.scan_mirror(spark, folder).select("site", "path", "url", "title", "front_matter", "markdown")
 
 
@@ -487,7 +489,7 @@ def post_front_matter(spark, sf_dir):
 @query(duckdb_with(["rich_pages"]) + f"SELECT page_id, {S.yaml('html')} AS escaped FROM rich_pages")
 def yaml_escaped(spark, sf_dir):
     return view(spark, sf_dir, "rich_pages").select(
-        "page_id", yaml_escape(F.replace("html", F.lit("\r"), F.lit(""))).alias("escaped")
+        "page_id", yaml_escape("html").alias("escaped")
     )
 
 
@@ -577,7 +579,7 @@ def full_export(spark, sf_dir):
       || {S.NL} || {S.NL} || {S.text_markdown('body')} || {S.NL} || {S.NL} || '---' || {S.NL} || {S.NL} FROM posts WHERE post_status = 'publish'"""
 )
 def export_from_posts(spark, sf_dir):
-    posts = render.spread(table(spark, sf_dir, "documents")) and view(spark, sf_dir, "posts")
+    posts = render.spread(view(spark, sf_dir, "posts"))
     return site_docs.export_from_posts(posts, view(spark, sf_dir, "post_sites"), RUN_TS, CFG)
 
 
@@ -772,7 +774,7 @@ def payload_pages(spark, sf_dir) -> DataFrame:
         text(F.lit("items")), F.lit("a:2:{i:0;a:2:{"), entry("content", F.col("body")), text(F.lit("size")), F.lit("i:12;}i:1;a:1:{"),
         entry("text", F.lit("https://h.example/x")), F.lit("}}}"),
     )
-    body = F.concat(F.lit("<body><div>"), F.base64(F.encode(inner, "UTF-8")), F.lit("</div></body>"))
+    body = F.concat(F.lit("<body><div>"), F.regexp_replace(F.base64(F.encode(inner, "UTF-8")), r"\s", ""), F.lit("</div></body>"))
     return posts.select(F.col("post_id").alias("page_id"), F.col("permalink").alias("url"), body.alias("html"))
 
 

@@ -54,7 +54,7 @@ def plain(html: str) -> str:
 
 
 def yaml(text: str) -> str:
-    return trimmed(f"replace(replace({plain(text)}, {Q}, '\\' || {Q}), {NL}, ' ')")
+    return trimmed(f"replace(replace(replace({plain(text)}, {Q}, '\\' || {Q}), {NL}, ' '), chr(13), '')")
 
 
 def excerpt(own: str, body: str, words: int, tail: str = "") -> str:
