@@ -56,7 +56,9 @@ def page_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enriched_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = lambda name: view(spark, sf_dir, name)
-    return entities.enrich(v("posts"), v("authors"), v("post_topics"), v("topics"), v("media"))
+    return entities.enrich(
+        render.spread(v("posts")), v("authors"), v("post_topics"), v("topics"), v("media")
+    )
 
 
 def no_pages(spark: SparkSession) -> DataFrame:
