@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 # Fixed value: what trimming removes (no-break space is not part of it).
 TRIM = " \t\n\r\x00\x0b"
-SCRIPT_BLOCK = r"(?si)<(script|style)[^>]*?>.*?</\1>"
-TAG = r"(?s)<!--.*?-->|<[^\s>][^>]*>"
+SCRIPT_BLOCK = r"(?s)<(?i:(script|style)[^>]*>.*?</\1>)"
+TAG = r"<(?:!--(?s:.*?)-->|[^\s>][^>]*+>)"
 FRONT_MATTER_FIELD = r'(?s)^---\s*\n.*?%s:\s*"([^"]+)"'
 FIRST_HEADING = r"(?md)^#\s+(.+)$"
 
@@ -34,11 +34,14 @@ def rtrim_ws(text: Column | str) -> Column:
 
 def plain_text(html: Column | str) -> Column:
     """Text without script and style blocks, comments and tags, trimmed."""
-    return trim_ws(F.regexp_replace(F.regexp_replace(as_col(html), SCRIPT_BLOCK, ""), TAG, ""))
+    html = as_col(html)
+    stripped = F.regexp_replace(F.regexp_replace(html, SCRIPT_BLOCK, ""), TAG, "")
+    return trim_ws(F.when(F.contains(html, F.lit("<")), stripped).otherwise(html))
 
 
 def squeeze_blank_lines(text: Column) -> Column:
-    return trim_ws(F.regexp_replace(text, r"\n{3,}", "\n\n"))
+    squeezed = F.regexp_replace(text, r"\n{3,}", "\n\n")
+    return trim_ws(F.when(F.contains(text, F.lit("\n\n\n")), squeezed).otherwise(text))
 
 
 def non_empty(text: Column) -> Column:

@@ -58,6 +58,17 @@ _ANY_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 _LANGUAGE = re.compile(r"language-(\w+)", re.ASCII)
 
 
+# A named reference needs its semicolon, so '?a=1&copy=2' stays an address.
+_REFERENCE = re.compile(r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;)")
+
+
+def decode(text: str) -> str:
+    """Text with its character references resolved."""
+    if "&" not in text:
+        return text
+    return _REFERENCE.sub(lambda found: unescape(found[0]), text)
+
+
 class _Open:
     """An open element and what it has collected so far."""
 
@@ -139,7 +150,7 @@ def _attributes(text: str) -> dict[str, str]:
     for name, value in _ATTRIBUTE.findall(text):
         if value[:1] in ("'", '"'):
             value = value[1:].removesuffix(value[0])
-        found.setdefault(name.lower(), unescape(value))
+        found.setdefault(name.lower(), decode(value))
     return found
 
 
@@ -198,8 +209,7 @@ class _Fold:
                 return
 
     def _text(self, data):
-        if "&" in data:
-            data = unescape(data)
+        data = decode(data)
         top = self.stack[-1]
         if top.raw is not None:
             top.raw.append(data)

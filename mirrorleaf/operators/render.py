@@ -16,11 +16,11 @@ from pyspark.sql.types import StringType
 
 from mirrorleaf.config import MirrorConfig
 from mirrorleaf.functions.encoding import repair_text
-from mirrorleaf.functions.text import as_col, plain_text, squeeze_blank_lines, trim_ws
+from mirrorleaf.functions.text import as_col, bind, plain_text, squeeze_blank_lines, trim_ws
 from mirrorleaf.operators.html_fold import fold
 from mirrorleaf.operators.payload import recover_markdown
 
-SCRIPTS_AND_STYLES = r"(?si)<(script|style|noscript)[^>]*>.*?</\1>"
+SCRIPTS_AND_STYLES = r"(?s)<(?i:(script|style|noscript)[^>]*>.*?</\1>)"
 COMMENTS = r"(?s)<!--.*?-->"
 # A run this long in finished Markdown is an encoded payload, not prose.
 ENCODED_RUN = r"(?<![A-Za-z0-9+/_\-=])[A-Za-z0-9+/_\-]{120,}={0,2}(?![A-Za-z0-9+/_\-=])"
@@ -39,21 +39,27 @@ _fold = _fold.asNondeterministic()
 
 def clean_html(html: Column | str) -> Column:
     """HTML without scripts, styles and comments, with plain line ends."""
+
+    def plain_ends(page: Column) -> Column:
+        return F.when(F.contains(page, F.lit("\r")), F.regexp_replace(page, r"\r\n?", "\n")).otherwise(page)
+
     html = F.regexp_replace(as_col(html), SCRIPTS_AND_STYLES, "")
-    return F.regexp_replace(F.regexp_replace(html, COMMENTS, ""), r"\r\n|\r", "\n")
+    return bind(F.regexp_replace(html, COMMENTS, ""), plain_ends)
 
 
-def to_markdown(html: Column | str, home_url: Column | str) -> Column:
+def to_markdown(html: Column | str, home_url: Column | str, clean: Column | str | None = None) -> Column:
     """Markdown of an HTML column; inside a page only its body counts.
 
+    ``clean`` may pass the result of ``clean_html`` where it is at hand.
+
     The payload job gets NULL for every row that shows no encoded run, so
     ordinary pages cross into Python once.
     """
     html, home = as_col(html), F.coalesce(as_col(home_url), F.lit(""))
-    raw = _fold(clean_html(html), home)
+    raw = _fold(clean_html(html) if clean is None else as_col(clean), home)
     suspect = trim_ws(raw).rlike(ENCODED_RUN)
     recovered = recover_markdown(F.when(suspect, html), home)
-    return repair_text(squeeze_blank_lines(F.coalesce(recovered, raw)))
+    return repair_text(bind(F.coalesce(recovered, raw), squeeze_blank_lines))
 
 
 def spread(pages: DataFrame) -> DataFrame:

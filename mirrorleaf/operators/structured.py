@@ -8,9 +8,7 @@ blocks of a page stay an array in its row, so nothing is shuffled.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
-from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,13 +17,12 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from mirrorleaf.config import MirrorConfig
 from mirrorleaf.functions.text import as_col, bind, rtrim_ws
+from mirrorleaf.operators.html_fold import WS, decode
 
 SCRIPT = (
     r"(?is)<script\b(?=[^>]*\btype\s*=\s*[\"']?\s*application/ld\+json)[^>]*>(.*?)</script>"
 )
 SECTION = "\n\n## JSON Schema\n\n"
-WS = " \t\n\r\x00\x0b"
-_ENTITY = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|\w+);")
 BLOCKS = ArrayType(
     StructType([StructField("json", StringType()), StructField("types", StringType())])
 )
@@ -56,7 +53,7 @@ def _no_constant(name: str):
 
 def normalize_block(raw: str, ignored: frozenset[str]) -> tuple[str, str] | None:
     """(pretty JSON, its types) of one script block; invalid JSON stays as it is."""
-    text = _ENTITY.sub(lambda m: unescape(m[0]), raw).strip(WS)
+    text = decode(raw).strip(WS)
     if not text:
         return None
     try:

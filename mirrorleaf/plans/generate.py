@@ -17,7 +17,7 @@ from mirrorleaf.functions.text import FRONT_MATTER_FIELD, excerpt, non_empty, ti
 from mirrorleaf.functions.urls import home_of, is_excluded, path_key, slug_title, url_host
 from mirrorleaf.operators.filters import allowed
 from mirrorleaf.operators.ranking import drop_overwritten, latest_per_path
-from mirrorleaf.operators.render import choose_html, to_markdown
+from mirrorleaf.operators.render import choose_html, clean_html, to_markdown
 from mirrorleaf.operators.structured import append_structured
 from mirrorleaf.plans.queue import RANKS
 from mirrorleaf.session import persist_table
@@ -67,8 +67,9 @@ def page_outcomes(
     if cfg.exclude_generic:
         reason = F.when(is_excluded("url", cfg), EXCLUDED).otherwise(reason)
     checked = pages.withColumn("reason", reason)
-    usable = F.when(F.col("reason").isNull(), F.col("html"))
-    rendered = checked.withColumn("markdown", to_markdown(usable, home_of("url")))
+    usable = lambda c: F.when(F.col("reason").isNull(), F.col(c))
+    markdown = to_markdown(usable("html"), home_of("url"), usable("clean"))
+    rendered = checked.withColumn("markdown", markdown)
     late = F.when(F.col("markdown") == "", F.concat(F.lit(NO_MARKDOWN), "url"))
     title = slug_title("url", variant, url_host("url"))
     title = F.replace(title, F.lit('"'), F.lit('\\"')) if variant == "A" else title
@@ -96,10 +97,10 @@ def post_outcomes(posts: DataFrame, pages: DataFrame, cfg: MirrorConfig) -> Data
         )
         .when(is_excluded("permalink", cfg), EXCLUDED)
     )
-    chosen = choose_html(posts.withColumn("reason", early), pages, cfg)
+    chosen = choose_html(posts.withColumn("reason", early), pages, cfg).withColumn("clean", clean_html("html"))
     no_text = F.lit(f"Rendered content is empty (tried method: {cfg.content_method}).")
-    checked = chosen.withColumn("reason", F.coalesce("reason", F.when(~has_text("html"), no_text)))
-    usable = F.when(F.col("reason").isNull(), F.col("html"))
+    checked = chosen.withColumn("reason", F.coalesce("reason", F.when(~has_text("html", "clean"), no_text)))
+    usable = lambda c: F.when(F.col("reason").isNull(), F.col(c))
     columns = set(posts.columns)
     head = front_matter(
         "post",
@@ -114,7 +115,8 @@ def post_outcomes(posts: DataFrame, pages: DataFrame, cfg: MirrorConfig) -> Data
         tags="tags",
         featured_image="featured_image",
     )
-    rendered = checked.withColumn("markdown", to_markdown(usable, home_of("permalink")))
+    markdown = to_markdown(usable("html"), home_of("permalink"), usable("clean"))
+    rendered = checked.withColumn("markdown", markdown)
     if cfg.appends_structured_data:
         rendered = rendered.withColumn("markdown", append_structured("markdown", "fetched", cfg))
     return outcomes(

@@ -20,25 +20,30 @@ def body_of(html: Column | str) -> Column:
     return F.when(html.rlike(r"(?i)<body[\s>]"), inner).otherwise(html)
 
 
-def has_text(html: Column | str) -> Column:
+def has_text(html: Column | str, clean: Column | str | None = None) -> Column:
     """True if the body holds text outside tags.
 
-    The first test stops at the first letter it meets; only pages that fail it
-    are stripped of all their tags to be sure.
+    The first tests stop at the first letter they meet; only pages that fail
+    them are stripped of all their tags to be sure.
     """
-    body = body_of(html)
-    seen = clean_html(body).rlike(r"(?:\A|>)[^<]*?[^<\s]")
-    return F.when(seen, True).otherwise(F.coalesce(plain_text(body) != "", F.lit(False)))
+    clean = clean_html(html) if clean is None else as_col(clean)
+    text_in_body = clean.rlike(r"<(?i:body)(?:\s[^>]*)?(?s:.*?)>[^<]*?[^<\s]")
+    text_without_body = ~clean.rlike(r"<(?i:body)[\s>]") & clean.rlike(r"(?:\A|>)[^<]*?[^<\s]")
+    surely = F.coalesce(plain_text(body_of(html)) != "", F.lit(False))
+    return F.when(text_in_body | text_without_body, True).otherwise(surely)
 
 
 def normalize_pages(pages: DataFrame) -> DataFrame:
-    """Repaired bodies, and the reason why a page cannot be used (NULL if it can)."""
-    repaired = pages.withColumn("html", repair_text("html"))
+    """Repaired bodies, and the reason why a page cannot be used (NULL if it can).
+
+    Also ``clean``, the HTML that is rendered.
+    """
+    repaired = pages.withColumn("html", repair_text("html")).withColumn("clean", clean_html("html"))
     empty = F.coalesce(F.col("html"), F.lit("")) == ""
-    reason = F.when(empty, EMPTY_BODY).when(~has_text("html"), EMPTY_TEXT)
+    reason = F.when(empty, EMPTY_BODY).when(~has_text("html", "clean"), EMPTY_TEXT)
     return repaired.withColumn("reason", reason)
 
 
 def scan_pages(spark: SparkSession, path: str) -> DataFrame:
     """Table of pages: page_id, url, html, reason."""
-    return normalize_pages(spark.read.parquet(path).select("page_id", "url", "html"))
+    return normalize_pages(spark.read.parquet(path).select("page_id", "url", "html")).drop("clean")

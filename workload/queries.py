@@ -54,11 +54,15 @@ def page_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
     return persist_table(spark, rows, "mirror")
 
 
+def spread_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view whose texts are worked on; the test files have a single row group."""
+    return render.spread(view(spark, sf_dir, name))
+
+
 def enriched_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = lambda name: view(spark, sf_dir, name)
-    return entities.enrich(
-        render.spread(v("posts")), v("authors"), v("post_topics"), v("topics"), v("media")
-    )
+    posts = spread_view(spark, sf_dir, "posts")
+    return entities.enrich(posts, v("authors"), v("post_topics"), v("topics"), v("media"))
 
 
 def no_pages(spark: SparkSession) -> DataFrame:
@@ -500,7 +504,7 @@ def yaml_escaped(spark, sf_dir):
     + f"SELECT post_id, {S.excerpt('excerpt', 'body', 30)} AS short, {S.excerpt('excerpt', 'body', 20, '...')} AS summary FROM posts"
 )
 def excerpts(spark, sf_dir):
-    return view(spark, sf_dir, "posts").select(
+    return spread_view(spark, sf_dir, "posts").select(
         "post_id",
         T.excerpt(F.col("excerpt"), "body", 30).alias("short"),
         T.excerpt(F.col("excerpt"), "body", 20, "...").alias("summary"),
@@ -540,7 +544,7 @@ def list_dates(spark, sf_dir):
 
 @query(f"SELECT page_id, {S.plain('html')} AS plain FROM pages")
 def plain_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.plain_text("html").alias("plain"))
+    return page_table(spark, sf_dir).select("page_id", T.plain_text("html").alias("plain"))
 
 
 # ---- documents of a site -----------------------------------------------------
@@ -581,7 +585,7 @@ def full_export(spark, sf_dir):
       || {S.NL} || {S.NL} || {S.text_markdown('body')} || {S.NL} || {S.NL} || '---' || {S.NL} || {S.NL} FROM posts WHERE post_status = 'publish'"""
 )
 def export_from_posts(spark, sf_dir):
-    posts = render.spread(view(spark, sf_dir, "posts"))
+    posts = spread_view(spark, sf_dir, "posts")
     return site_docs.export_from_posts(posts, view(spark, sf_dir, "post_sites"), RUN_TS, CFG)
 
 
@@ -629,7 +633,7 @@ def _summary_sql() -> str:
 def site_summary(spark, sf_dir):
     types = spark.createDataFrame([("product", "Products", "shop/")], "post_type string, label string, archive_path string")
     return site_docs.site_summary(
-        view(spark, sf_dir, "posts"), view(spark, sf_dir, "post_sites"), CFG, types, bucket_rows=5
+        spread_view(spark, sf_dir, "posts"), view(spark, sf_dir, "post_sites"), CFG, types, bucket_rows=5
     )
 
 
@@ -711,7 +715,7 @@ def render_pages(spark, sf_dir):
     || ' end' || {S.NL} || {S.NL} || '0' AS markdown FROM documents"""
 )
 def render_rules(spark, sf_dir):
-    pages = view(spark, sf_dir, "rich_pages")
+    pages = spread_view(spark, sf_dir, "rich_pages")
     return render.render_markdown(pages, U.home_of("url")).select("page_id", "markdown")
 
 
@@ -721,7 +725,7 @@ def render_rules(spark, sf_dir):
     FROM stored_posts LEFT JOIN post_pages ON url = permalink"""
 )
 def choose_html(spark, sf_dir):
-    chosen = render.choose_html(view(spark, sf_dir, "stored_posts"), view(spark, sf_dir, "post_pages"), CFG)
+    chosen = render.choose_html(spread_view(spark, sf_dir, "stored_posts"), view(spark, sf_dir, "post_pages"), CFG)
     return chosen.select("post_id", "html")
 
 
@@ -751,7 +755,7 @@ def structured_data(spark, sf_dir):
     {S.NL} || {S.NL} || '## JSON Schema' || {S.NL} || {S.NL} || '```json' || {S.NL} || {_JSON} || {S.NL} || '```' || {S.NL} || {S.NL} END AS markdown FROM pages"""
 )
 def append_structured(spark, sf_dir):
-    pages = view(spark, sf_dir, "linked_pages")
+    pages = spread_view(spark, sf_dir, "linked_pages")
     return generate.page_outcomes(pages, _LD).select(F.col("item_id").alias("page_id"), "markdown")
 
 
@@ -762,13 +766,13 @@ def append_structured(spark, sf_dir):
     FROM misread"""
 )
 def repaired_text(spark, sf_dir):
-    broken = view(spark, sf_dir, "misread")
+    broken = spread_view(spark, sf_dir, "misread")
     return broken.select("doc_id", repair_text("broken").alias("repaired"), repair_text("text").alias("clean"))
 
 
 def payload_pages(spark, sf_dir) -> DataFrame:
     """Documents wrapped as a builder stores them: Base64 of a nested array."""
-    posts = view(spark, sf_dir, "posts")
+    posts = spread_view(spark, sf_dir, "posts")
     text = lambda c: F.concat(F.lit("s:"), F.octet_length(c).cast("string"), F.lit(':"'), c, F.lit('";'))
     entry = lambda key, value: F.concat(text(F.lit(key)), text(value))
     inner = F.concat(
@@ -785,10 +789,17 @@ def _visible(text: str) -> str:
     return f"""(strlen({t}) >= 3 AND NOT regexp_matches({t}, '(?i)^#?[a-f0-9]{{3,8}}$') AND NOT regexp_matches({t}, '(?i)^[0-9.]+%?$'))"""
 
 
+_SERIALIZED = """'a:3:{s:7:"heading";s:' || strlen(title) || ':"' || title || '";s:5:"color";s:7:"#ff0000";s:5:"items";a:2:{i:0;a:2:{s:7:"content";s:'
+  || strlen(body) || ':"' || body || '";s:4:"size";i:12;}i:1;a:1:{s:4:"text";s:19:"https://h.example/x";}}}'"""
+_COPY = " || ".join(
+    f"CASE WHEN {_visible(c)} THEN {S.trimmed(c)} || {S.NL} || {S.NL} ELSE '' END" for c in ("title", "body")
+)
+
+
 @query(
     duckdb_with(["posts"])
-    + f"""SELECT post_id AS page_id, {S.text_markdown(f'''CASE WHEN {S.trimmed('title')} = {S.trimmed('body')} THEN {S.trimmed('title')}
-      WHEN {_visible('title')} THEN {S.trimmed('title')} || {S.NL} || {S.NL} || {S.trimmed('body')} ELSE {S.trimmed('body')} END''')} AS markdown FROM posts"""
+    + f"""SELECT post_id AS page_id, CASE WHEN NOT {_visible('title')} AND NOT {_visible('body')} THEN to_base64(encode({_SERIALIZED}))
+      WHEN {S.trimmed('title')} = {S.trimmed('body')} THEN {S.text_markdown('title')} ELSE {S.text_markdown(_COPY)} END AS markdown FROM posts"""
 )
 def recover_payloads(spark, sf_dir):
     pages = payload_pages(spark, sf_dir)
