@@ -38,15 +38,24 @@ def undo_cp1250(text: Column) -> Column:
     return F.when(mappable, candidate)
 
 
+# A character beyond ASCII between ASCII neighbours: one byte that is no UTF-8.
+ALONE = r"(?<![^\x00-\x7F])[^\x00-\x7F](?![^\x00-\x7F])"
+
+
 def undo_misreading(text: Column | str) -> Column:
-    """Undo a wrong reading if the result is valid and holds fewer markers."""
+    """Undo a wrong reading if the result is valid and holds fewer markers.
+
+    Misread text shows its characters beyond ASCII in groups. Honest text soon
+    shows one alone, which settles the matter without building the candidate.
+    """
     text = as_col(text)
+    suspect = text.rlike(f"[{MARKERS}]") & ~text.rlike(ALONE)
 
     def better_of(candidate: Column) -> Column:
         better = F.is_valid_utf8(candidate) & (marker_count(candidate) < marker_count(text))
         return F.when(better, candidate).otherwise(text)
 
-    return F.when(text.rlike(f"[{MARKERS}]"), bind(undo_cp1250(text), better_of)).otherwise(text)
+    return F.when(suspect, bind(undo_cp1250(text), better_of)).otherwise(text)
 
 
 def repair_text(text: Column | str) -> Column:

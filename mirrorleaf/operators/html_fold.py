@@ -216,7 +216,9 @@ class _Fold:
         if top.item:
             top.parts.append(_ANY_SPACE.sub(" ", data))
         elif top.tag not in LISTS:
-            top.parts.append(_SPACES.sub(" ", data))
+            if "  " in data or "\t" in data:  # most text needs no change
+                data = _SPACES.sub(" ", data)
+            top.parts.append(data)
 
     # ---- stack ----
     def _push(self, tag, attrs):

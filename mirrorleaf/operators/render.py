@@ -23,7 +23,7 @@ from mirrorleaf.operators.payload import recover_markdown
 SCRIPTS_AND_STYLES = r"(?s)<(?i:(script|style|noscript)[^>]*>.*?</\1>)"
 COMMENTS = r"(?s)<!--.*?-->"
 # A run this long in finished Markdown is an encoded payload, not prose.
-ENCODED_RUN = r"(?<![A-Za-z0-9+/_\-=])[A-Za-z0-9+/_\-]{120,}={0,2}(?![A-Za-z0-9+/_\-=])"
+ENCODED_RUN = r"(?<![\w+/\-=])[\w+/\-]{120,}={0,2}(?![\w+/\-=])"
 
 
 @F.pandas_udf(StringType())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorleaf.functions.encoding import repair_text
-from mirrorleaf.functions.text import as_col, plain_text
+from mirrorleaf.functions.text import as_col, plain_text, trim_ws
 from mirrorleaf.operators.render import clean_html
 
 EMPTY_BODY = "HTTP Fetch returned empty body."
@@ -30,7 +30,12 @@ def has_text(html: Column | str, clean: Column | str | None = None) -> Column:
     text_in_body = clean.rlike(r"<(?i:body)(?:\s[^>]*)?(?s:.*?)>[^<]*?[^<\s]")
     text_without_body = ~clean.rlike(r"<(?i:body)[\s>]") & clean.rlike(r"(?:\A|>)[^<]*?[^<\s]")
     surely = F.coalesce(plain_text(body_of(html)) != "", F.lit(False))
-    return F.when(text_in_body | text_without_body, True).otherwise(surely)
+    no_markup = ~F.contains(clean, F.lit("<"))
+    return (
+        F.when(no_markup & (trim_ws(clean) != ""), True)
+        .when(text_in_body | text_without_body, True)
+        .otherwise(surely)
+    )
 
 
 def normalize_pages(pages: DataFrame) -> DataFrame:
