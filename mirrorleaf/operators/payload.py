@@ -1,18 +1,12 @@
 """Recovery of page copy that a page builder stored as Base64 of a nested array.
 
-Runs on the few documents that still show an encoded run after rendering.
+Works on the few pages that still show an encoded run after rendering.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from mirrorleaf.operators.html_fold import WS, fold
 
@@ -109,27 +103,17 @@ def decode_payload(payload: str) -> str:
     return "\n\n".join(dict.fromkeys(text for text in kept if not _is_noise(text)))
 
 
-def recover_page(page: str, home: str) -> str | None:
-    """Markdown of a page with its payloads decoded; None if it holds none."""
-    markdown = None
-    while True:
+def render_page(page: str, home: str) -> str:
+    """Markdown of a cleaned page, with the copy of its payloads in their place.
+
+    Payloads are looked for only if the Markdown shows a long encoded run.
+    Decoding shortens the page, so the repetition for nested payloads ends.
+    """
+    markdown = fold(page, home)
+    while LONG_RUN.search(markdown):
         decoded = decode_payload(page) or RUN.sub(lambda m: decode_payload(m[1]) or m[0], page)
         if decoded == page:
-            return markdown
+            break
         page = _COMMENTS.sub("", _SCRIPTS.sub("", decoded)).replace("\r\n", "\n").replace("\r", "\n")
         markdown = fold(page, home)
-        if not LONG_RUN.search(markdown):
-            return markdown
-
-
-@F.pandas_udf(StringType())
-def _recover(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for pages, homes in batches:
-        yield pd.Series(
-            [None if p is None else recover_page(p, h) for p, h in zip(pages, homes)], dtype=object
-        )
-
-
-def recover_markdown(html: Column, home_url: Column) -> Column:
-    """Markdown of pages that hold payloads; NULL for NULL and for all others."""
-    return _recover(html, home_url)
+    return markdown

@@ -1,8 +1,8 @@
 """HTML to Markdown over a table.
 
-Only the tree fold runs in Python. Script removal, line ends, blank lines,
-trimming, encoding repair and the test for encoded payloads are expressions,
-so they stay inside code generation and prune with the column.
+Only the tree fold runs in Python, and behind it the decoder for the few pages
+that show an encoded payload. Script removal, line ends, blank lines, trimming
+and encoding repair are expressions around it.
 """
 
 from __future__ import annotations
@@ -16,24 +16,21 @@ from pyspark.sql.types import StringType
 
 from mirrorleaf.config import MirrorConfig
 from mirrorleaf.functions.encoding import repair_text
-from mirrorleaf.functions.text import as_col, bind, plain_text, squeeze_blank_lines, trim_ws
-from mirrorleaf.operators.html_fold import fold
-from mirrorleaf.operators.payload import recover_markdown
+from mirrorleaf.functions.text import as_col, bind, plain_text, squeeze_blank_lines
+from mirrorleaf.operators.payload import render_page
 
 SCRIPTS_AND_STYLES = r"(?s)<(?i:(script|style|noscript)[^>]*>.*?</\1>)"
 COMMENTS = r"(?s)<!--.*?-->"
-# A run this long in finished Markdown is an encoded payload, not prose.
-ENCODED_RUN = r"(?<![\w+/\-=])[\w+/\-]{120,}={0,2}(?![\w+/\-=])"
 
 
 @F.pandas_udf(StringType())
 def _fold(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for pages, homes in batches:
-        yield pd.Series([fold(p, h) if p else "" for p, h in zip(pages, homes)], dtype=object)
+        yield pd.Series([render_page(p, h) if p else "" for p, h in zip(pages, homes)], dtype=object)
 
 
 # A filter on the Markdown must not be pushed below the fold: that would fold
-# every page twice.
+# every page twice. For the same reason the column is used once below.
 _fold = _fold.asNondeterministic()
 
 
@@ -51,15 +48,10 @@ def to_markdown(html: Column | str, home_url: Column | str, clean: Column | str
     """Markdown of an HTML column; inside a page only its body counts.
 
     ``clean`` may pass the result of ``clean_html`` where it is at hand.
-
-    The payload job gets NULL for every row that shows no encoded run, so
-    ordinary pages cross into Python once.
     """
-    html, home = as_col(html), F.coalesce(as_col(home_url), F.lit(""))
-    raw = _fold(clean_html(html) if clean is None else as_col(clean), home)
-    suspect = trim_ws(raw).rlike(ENCODED_RUN)
-    recovered = recover_markdown(F.when(suspect, html), home)
-    return repair_text(bind(F.coalesce(recovered, raw), squeeze_blank_lines))
+    page = clean_html(html) if clean is None else as_col(clean)
+    raw = _fold(page, F.coalesce(as_col(home_url), F.lit("")))
+    return repair_text(bind(raw, squeeze_blank_lines))
 
 
 def spread(pages: DataFrame) -> DataFrame:
