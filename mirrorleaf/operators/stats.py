@@ -10,21 +10,16 @@ from mirrorleaf.config import BUILT_IN_TYPES
 
 def run_status(queue: DataFrame, run_log: DataFrame) -> DataFrame:
     """Totals of each run; ``finished`` is set once every queued item is logged."""
-    planned = queue.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"))
-    done = run_log.groupBy("run_id").agg(
-        F.count(F.lit(1)).alias("processed"),
+    ts = run_log.schema["ts"].dataType
+    planned = queue.select("run_id", F.lit(None).cast("boolean").alias("ok"), F.lit(None).cast(ts).alias("ts"))
+    rows = planned.unionByName(run_log.select("run_id", "ok", "ts"))
+    processed, total = F.count("ok"), F.count_if(F.col("ok").isNull())
+    return rows.groupBy("run_id").agg(
+        total.alias("total"),
+        processed.alias("processed"),
         F.count_if(~F.col("ok")).alias("errors"),
         F.min("ts").alias("started"),
-        F.max("ts").alias("_last"),
-    )
-    processed = F.coalesce("processed", F.lit(0))
-    return planned.join(done, "run_id", "left").select(
-        "run_id",
-        "total",
-        processed.alias("processed"),
-        F.coalesce("errors", F.lit(0)).alias("errors"),
-        "started",
-        F.when(processed >= F.col("total"), F.col("_last")).alias("finished"),
+        F.when(processed >= total, F.max("ts")).alias("finished"),
     )
 
 

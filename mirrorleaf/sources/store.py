@@ -84,10 +84,7 @@ def changed_since(mirror: DataFrame, since) -> DataFrame:
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
     """Documents of an existing tree of Markdown files: path, title, url, document."""
     files = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.[mM][dD]")
-        .text(root)
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[mM][dD]")
         .select(F.col("value").alias("document"), F.col("_metadata.file_path").alias("file"))
     )
     # '+' is a plain character in a file address
