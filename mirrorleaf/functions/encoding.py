@@ -20,7 +20,10 @@ LATIN1 = "".join(chr(b) for b in _BYTES)
 
 
 def marker_count(text: Column | str) -> Column:
-    return F.regexp_count(as_col(text), F.lit(f"[{MARKERS}][^\\n]"))
+    """Pairs of a marker and another character; a pair is two characters long."""
+    text = as_col(text)
+    without = F.regexp_replace(text, f"[{MARKERS}][^\\n]", "")
+    return F.floor((F.length(text) - F.length(without)) / 2)
 
 
 def decode_legacy(text: Column | str) -> Column:

@@ -34,9 +34,13 @@ def rtrim_ws(text: Column | str) -> Column:
 
 def plain_text(html: Column | str) -> Column:
     """Text without script and style blocks, comments and tags, trimmed."""
-    html = as_col(html)
-    stripped = F.regexp_replace(F.regexp_replace(html, SCRIPT_BLOCK, ""), TAG, "")
-    return trim_ws(F.when(F.contains(html, F.lit("<")), stripped).otherwise(html))
+
+    def without_tags(page: Column) -> Column:
+        stripped = F.regexp_replace(F.regexp_replace(page, SCRIPT_BLOCK, ""), TAG, "")
+        return trim_ws(F.when(F.contains(page, F.lit("<")), stripped).otherwise(page))
+
+    # a column is cheap to repeat, an expression is not
+    return without_tags(F.col(html)) if isinstance(html, str) else bind(html, without_tags)
 
 
 def squeeze_blank_lines(text: Column) -> Column:

@@ -40,7 +40,9 @@ def index_title() -> Column:
     return F.coalesce(own, title_of(F.concat("front_matter", "markdown")))
 
 
-def outcomes(df: DataFrame, item_kind: str, item_id: str, post_id: str | None = None) -> DataFrame:
+def outcomes(
+    df: DataFrame, item_kind: str, item_id: str, post_id: str | None = None, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Common columns of items that hold url, kind, front_matter, markdown and reason."""
     return df.select(
         url_host("url").alias("site"),
@@ -55,6 +57,7 @@ def outcomes(df: DataFrame, item_kind: str, item_id: str, post_id: str | None =
         "front_matter",
         "markdown",
         "reason",
+        *keep,
     )
 
 
@@ -84,10 +87,13 @@ def page_outcomes(
     )
 
 
-def post_outcomes(posts: DataFrame, pages: DataFrame, cfg: MirrorConfig) -> DataFrame:
+def post_outcomes(
+    posts: DataFrame, pages: DataFrame, cfg: MirrorConfig, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Documents of enriched posts (author, categories, tags, featured_image).
 
-    ``posts`` may also hold ``excerpt`` and ``modified_on``.
+    ``posts`` may also hold ``excerpt`` and ``modified_on``; columns in ``keep``
+    stay in the result.
     """
     early = (
         F.when(F.col("post_status") != "publish", NOT_PUBLISHED)
@@ -126,6 +132,7 @@ def post_outcomes(posts: DataFrame, pages: DataFrame, cfg: MirrorConfig) -> Data
         "post",
         "post_id",
         "post_id",
+        keep,
     )
 
 

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mirrorleaf.config import MirrorConfig
-from mirrorleaf.functions.urls import path_key, url_host
 from mirrorleaf.operators.filters import real_edits
 from mirrorleaf.plans.generate import post_outcomes
-from mirrorleaf.session import limit_python_batches
+from mirrorleaf.session import limit_python_batches, persist_table
 from mirrorleaf.sources.store import COLUMNS, write_mirror
 
+# Up to so many changed posts are looked up by id instead of by a join alone.
+PUSHED_IDS = 1000
+
 
 def newest_changes(changes: DataFrame) -> DataFrame:
     """Last change of each post; partial aggregation absorbs a post edited all day."""
@@ -31,37 +33,39 @@ def newest_changes(changes: DataFrame) -> DataFrame:
 
 
 def version_rows(newest: DataFrame, posts: DataFrame, pages: DataFrame, cfg: MirrorConfig) -> DataFrame:
-    """Mirror versions that the changes ask for.
+    """Mirror versions that the changes ask for, in one pass over the changed posts.
 
     A save of a published post gives a document, any other save and a delete
     give a deletion. A save the rules reject gives nothing, so the old document
-    stays. Only changed posts are rendered.
+    stays. Removed posts are not rendered.
     """
-    touched = posts.join(newest.select("post_id", "op"), "post_id")
     removed = (F.col("op") == "delete") | (F.col("post_status") != "publish")
-    stamps = newest.select("post_id", "version_ts", "version_seq")
-    deleted = touched.where(removed).select(
-        url_host("permalink").alias("site"),
-        path_key("permalink").alias("path"),
-        F.col("permalink").alias("url"),
-        F.col("post_type").alias("kind"),
-        "post_id",
-        *(F.lit("").alias(c) for c in ("title", "front_matter", "markdown")),
-        F.lit(True).alias("is_deleted"),
+    touched = posts.join(newest, "post_id").withColumn("is_deleted", removed)
+    if not (cfg.enabled and cfg.regenerate_on_save):
+        touched = touched.where("is_deleted")
+    skipped = touched.withColumn(
+        "post_status", F.when(F.col("is_deleted"), F.lit("removed")).otherwise(F.col("post_status"))
     )
-    rows = deleted
-    if cfg.enabled and cfg.regenerate_on_save:
-        saved = post_outcomes(touched.where(~removed).drop("op"), pages, cfg)
-        documents = saved.where(F.col("reason").isNull()).withColumn("is_deleted", F.lit(False))
-        rows = documents.select(*deleted.columns).unionByName(deleted)
-    return rows.join(stamps, "post_id").select(*COLUMNS)
+    done = post_outcomes(skipped, pages, cfg, ("version_ts", "version_seq", "is_deleted"))
+    empty = {
+        c: F.when(F.col("is_deleted"), F.lit("")).otherwise(F.col(c)) for c in ("title", "front_matter", "markdown")
+    }
+    wanted = done.where(F.col("is_deleted") | F.col("reason").isNull())
+    return wanted.withColumns(empty).select(*COLUMNS)
+
+
+def only_changed(posts: DataFrame, newest: DataFrame) -> DataFrame:
+    """Posts that may have changed. Few ids become a filter that reaches the scan."""
+    ids = [row.post_id for row in newest.select("post_id").limit(PUSHED_IDS + 1).collect()]
+    return posts if len(ids) > PUSHED_IDS else posts.where(F.col("post_id").isin(ids))
 
 
 def refresh_batch(posts: DataFrame, pages: DataFrame, mirror_path: str, cfg: MirrorConfig) -> Callable:
     """Handler of one micro-batch. Replays append equal versions, which readers absorb."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        write_mirror(version_rows(newest_changes(batch), posts, pages, cfg), mirror_path)
+        newest = persist_table(batch.sparkSession, newest_changes(batch), "changes")
+        write_mirror(version_rows(newest, only_changed(posts, newest), pages, cfg), mirror_path)
 
     return handle
 

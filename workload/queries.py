@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorleaf.config import MirrorConfig
+from mirrorleaf.functions import encoding
 from mirrorleaf.functions import text as T
 from mirrorleaf.functions import urls as U
-from mirrorleaf.functions.encoding import repair_text
 from mirrorleaf.functions.front_matter import yaml_escape
 from mirrorleaf.operators import entities, filters, ranking, render, stats, structured
 from mirrorleaf.plans import archives, generate, queue, site_docs
@@ -20,7 +20,7 @@ from mirrorleaf.sources import sitemaps as sitemap_source
 from mirrorleaf.sources import store
 from mirrorleaf.streaming import backlog, refresh, requests
 from workload import sql as S
-from workload.views import HOST, duckdb_with, table, view
+from workload.views import HOST, SCHEMAS, duckdb_with, table, view
 
 RUN_TS = "2025-01-01 00:00:00"
 CFG = MirrorConfig(include_authors=True)
@@ -257,12 +257,11 @@ UNION ALL SELECT replace(url, 'https://www.', 'http://WWW.') FROM terms"""
 
 
 def target_urls(spark, sf_dir) -> DataFrame:
-    for name in ("posts", "post_sites", "terms"):
-        view(spark, sf_dir, name).createOrReplaceTempView(f"mirrorleaf_{name}")
-    text = TARGET_URLS.format(pages=f"parquet.`{sf_dir}/pages.parquet`", S="string")
-    for name in ("posts", "post_sites", "terms"):
-        text = text.replace(f"FROM {name}", f"FROM mirrorleaf_{name}")
-    return spark.sql(text)
+    text = TARGET_URLS.format(pages="{pages}", S="string")
+    sources = {name: view(spark, sf_dir, name) for name in ("posts", "post_sites", "terms")}
+    for name in sources:
+        text = text.replace(f"FROM {name}", f"FROM {{{name}}}")
+    return spark.sql(text, pages=table(spark, sf_dir, "pages"), **sources)
 
 
 _TARGETS = duckdb_with(
@@ -766,8 +765,12 @@ def append_structured(spark, sf_dir):
     FROM misread"""
 )
 def repaired_text(spark, sf_dir):
-    broken = spread_view(spark, sf_dir, "misread")
-    return broken.select("doc_id", repair_text("broken").alias("repaired"), repair_text("text").alias("clean"))
+    documents = render.spread(table(spark, sf_dir, "documents"))
+    as_latin = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    broken = F.translate(as_latin, encoding.LATIN1, encoding.CP1250)
+    return documents.withColumn("broken", broken).select(
+        "doc_id", encoding.repair_text("broken").alias("repaired"), encoding.repair_text("text").alias("clean")
+    )
 
 
 def payload_pages(spark, sf_dir) -> DataFrame:
@@ -810,11 +813,8 @@ def recover_payloads(spark, sf_dir):
 
 _NEWEST = """newest AS (SELECT post_id, arg_max(op, (ts, change_id)) AS op, max(ts) AS version_ts
   FROM changes WHERE NOT is_revision AND NOT is_autosave GROUP BY post_id)"""
-CHANGES_SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
-
-
 def change_stream(spark, sf_dir) -> DataFrame:
-    events = spark.readStream.schema(CHANGES_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    events = spark.readStream.schema(SCHEMAS["events"]).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return events.select(
         F.col("event_id").alias("change_id"),
         "ts",
@@ -861,12 +861,17 @@ def removals(spark, sf_dir):
 
 @query(_LOG + "SELECT post_id AS item_id, reason IS NULL AS ok, reason, path, CASE WHEN reason IS NULL THEN markdown ELSE '' END AS markdown FROM post_docs")
 def backlog_stream(spark, sf_dir):
-    posts = enriched_posts(spark, sf_dir)
+    v = lambda name: view(spark, sf_dir, name)
+    posts, rest = v("posts"), [v(name) for name in ("authors", "post_topics", "topics", "media")]
     folder = work_folder(spark, "backlog")
     cfg = MirrorConfig(exclude_urls="/es/", batch_size=100)
     items = posts.select("post_id")
     backlog.write_backlog(items, f"{folder}/queue", cfg)
-    process = lambda batch: generate.post_outcomes(posts.join(batch, "post_id", "left_semi"), no_pages(spark), cfg)
+
+    def process(batch):
+        step = render.spread(posts).join(batch, "post_id", "left_semi")
+        return generate.post_outcomes(entities.enrich(step, *rest), no_pages(spark), cfg)
+
     # as many files per step as give few steps on any amount of data
     files = max(1, len(spark.read.schema(items.schema).parquet(f"{folder}/queue").inputFiles()) // 3)
     backlog.backlog_stream(

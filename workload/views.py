@@ -147,13 +147,29 @@ def duckdb_with(names: list[str], *more: str) -> str:
     return "WITH " + ",\n".join([*own, *more]) + "\n"
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    files = {t: f"parquet.`{sf_dir}/{t}.parquet`" for t in TABLES}
-    text = VIEWS[name].format(S="string", **files)
-    for needed in DEPENDS.get(name, []):
-        text = f"WITH {needed} AS ({VIEWS[needed].format(S='string', **files)})" + text
-    return spark.sql(text)
+# Schemas of the source tables; without them each read starts with a footer job.
+SCHEMAS = {
+    "pages": "page_id bigint, url string, html string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    needed = DEPENDS.get(name, [])
+    text = f"{' '.join(VIEWS[v] for v in needed)} {VIEWS[name]}"
+    tables = {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in text}
+    marks = {t: f"{{{t}}}" for t in TABLES}
+    sql = VIEWS[name].format(S="string", **marks)
+    for other in needed:
+        sql = f"WITH {other} AS ({VIEWS[other].format(S='string', **marks)})" + sql
+    # the braces that are left in a view are no marks: double them for the formatter
+    sql = sql.replace("{", "{{").replace("}", "}}")
+    for t in tables:
+        sql = sql.replace("{{" + t + "}}", "{" + t + "}")
+    return spark.sql(sql, **tables)
