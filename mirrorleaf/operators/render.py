@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -65,25 +65,30 @@ def spread(pages: DataFrame) -> DataFrame:
     return pages.repartition(cores)
 
 
+def newest_pages(wanted: DataFrame, pages: DataFrame) -> DataFrame:
+    """Adds ``page_id`` and ``html`` of the newest page of each wanted ``url``, else NULL.
+
+    Addresses are matched on narrow rows and page bodies join by their unique
+    id, so an address that was fetched very often is no hot key.
+    """
+    ids = pages.groupBy("url").agg(F.max("page_id").alias("page_id"))
+    return wanted.join(ids, "url", "left").join(pages.select("page_id", "html"), "page_id", "left")
+
+
 def choose_html(posts: DataFrame, pages: DataFrame, cfg: MirrorConfig) -> DataFrame:
     """Adds ``html``: the stored body, the fetched page, or the first with text.
 
     ``filter`` reads the stored body, ``http`` the page, ``both`` the page only
-    where the body has no text. Pages are found for the posts that need one, on
-    narrow rows, and join the posts by id; the newest page of an address counts.
+    where the body has no text. Only posts that need a page look for one.
     """
     if cfg.content_method == "filter":
         return posts.withColumn("html", F.col("body"))
     body_has_text = F.coalesce(plain_text("body"), F.lit("")) != ""
     needing = posts if cfg.content_method == "http" else posts.where(~body_has_text)
-    found = pages.select(
-        "page_id",
-        F.col("url").alias("permalink"),
-        F.when(plain_text("html") != "", F.col("html")).alias("fetched"),
-    ).join(needing.select("post_id", "permalink"), "permalink")
-    newest = Window.partitionBy("permalink", "post_id").orderBy(F.desc("page_id"))
-    fetched = found.withColumn("_n", F.row_number().over(newest)).where(F.col("_n") == 1)
-    joined = posts.join(fetched.select("post_id", "fetched"), "post_id", "left")
+    found = newest_pages(needing.select("post_id", F.col("permalink").alias("url")), pages)
+    with_text = F.when(plain_text("html") != "", F.col("html"))
+    fetched = found.select("post_id", with_text.alias("fetched"))
+    joined = posts.join(fetched, "post_id", "left")
     page = F.coalesce("fetched", F.lit(""))
     stored = F.lit(cfg.content_method == "both") & body_has_text
     return joined.withColumn("html", F.when(stored, F.col("body")).otherwise(page))

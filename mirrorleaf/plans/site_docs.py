@@ -273,13 +273,13 @@ def write_lines(lines: DataFrame, path: str, order: list[str], text: str = "line
 
 
 def write_export(export: DataFrame, path: str) -> None:
-    """Write a full export, one folder per site and shard.
+    """Write a full export, one folder and one file per site and shard.
 
-    The text sink ends each row with the line break that ends each chunk.
+    A shard is bounded, so it fits a task; a large site has many. The text sink ends each row with the line break that ends each chunk.
     """
     chunk = F.regexp_replace("chunk", r"\n\z", "")
     (
-        export.repartitionByRange("site", "shard", "path")
+        export.repartition("site", "shard")
         .sortWithinPartitions("site", "shard", "path")
         .select("site", "shard", chunk.alias("value"))
         .write.mode("overwrite")

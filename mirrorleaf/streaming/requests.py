@@ -11,6 +11,7 @@ from mirrorleaf.config import MARKDOWN_TYPES, MirrorConfig
 from mirrorleaf.functions.text import as_col
 from mirrorleaf.functions.urls import path_key, url_host, url_path
 from mirrorleaf.operators.entities import missing, resolve_targets
+from mirrorleaf.operators.render import newest_pages
 from mirrorleaf.plans.generate import page_outcomes
 
 
@@ -76,5 +77,4 @@ def fill_missing(
         lookup(requests, mirror).select("url"), posts, terms if cfg.include_taxonomies else None, sites
     )
     generic = targets.where(F.col("kind") == "generic").select("url")
-    bodies = generic.join(pages, "url", "left").select("page_id", "url", "html")
-    return targets, page_outcomes(bodies, cfg, kind="archive")
+    return targets, page_outcomes(newest_pages(generic, pages), cfg, kind="archive")
