@@ -27,6 +27,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 LISTS = frozenset(("ul", "ol"))
 SECTIONS = frozenset(("thead", "tbody", "tfoot"))
 CELLS = frozenset(("td", "th"))
+# Elements that open with more than their own text to collect.
+STRUCTURED = LISTS | SECTIONS | frozenset(("table", "li", "tr", "code"))
 # Starting one of these closes an open paragraph.
 BLOCKS = HEADINGS | CONTAINERS | LISTS | frozenset(
     "p table blockquote pre hr form nav header footer aside".split()
@@ -72,19 +74,18 @@ def decode(text: str) -> str:
 class _Open:
     """An open element and what it has collected so far."""
 
-    __slots__ = ("tag", "attrs", "parts", "items", "depth", "item", "bare", "raw", "code", "secs")
+    items = None  # list items, or table rows in document order
+    depth = 0  # nesting level of a list
+    item = False  # an li that belongs to a list
+    bare = False  # direct child of such an li: only its inside counts
+    raw = None  # untouched text, kept inside pre and code only
+    code = None  # first code element of a pre
+    secs = ()  # table sections that collect rows below here
 
-    def __init__(self, tag, attrs="", raw=None):
+    def __init__(self, tag, attrs=""):
         self.tag = tag
         self.attrs = attrs
         self.parts = []  # Markdown pieces
-        self.items = []  # list items, or table rows in document order
-        self.depth = 0  # nesting level of a list
-        self.item = False  # an li that belongs to a list
-        self.bare = False  # direct child of such an li: only its inside counts
-        self.raw = raw  # untouched text, kept inside pre and code only
-        self.code = None  # first code element of a pre
-        self.secs = ()  # table sections that collect rows below here
 
 
 def _rtrim(parts: list[str]) -> None:
@@ -162,20 +163,20 @@ class _Fold:
 
     # ---- events ----
     def feed(self, page):
-        at = 0
-        for token in _TOKEN.finditer(page):
-            if token.start() > at:
-                self._text(page[at : token.start()])
-            at = token.end()
-            closing, tag, attrs = token.groups()
-            if tag is None:
-                continue
-            if closing:
-                self._end(tag.lower())
-            else:
-                self._start(tag.lower(), attrs)
-        if at < len(page):
-            self._text(page[at:])
+        # text, then slash, name and attributes of the tag behind it, and so on
+        pieces = iter(_TOKEN.split(page))
+        text, start, end = self._text, self._start, self._end
+        for data in pieces:
+            if data:
+                text(data)
+            closing = next(pieces, None)
+            tag = next(pieces, None)
+            attrs = next(pieces, None)
+            if tag is not None:
+                if closing:
+                    end(tag.lower())
+                else:
+                    start(tag.lower(), attrs)
 
     def _start(self, tag, attrs):
         if tag == "body":
@@ -196,6 +197,10 @@ class _Fold:
             self._push(tag, attrs)
 
     def _end(self, tag):
+        stack = self.stack
+        if stack[-1].tag == tag:
+            self._close_down_to(len(stack) - 1)
+            return
         if tag in ("body", "html") or tag in VOID:
             return
         stops = END_STOPS.get(tag, ())
@@ -223,17 +228,26 @@ class _Fold:
     # ---- stack ----
     def _push(self, tag, attrs):
         parent = self.stack[-1]
-        raw = [] if parent.raw is not None or tag in ("pre", "code") else None
-        node = _Open(tag, attrs, raw)
-        node.bare = parent.item
-        node.secs = parent.secs
+        node = _Open(tag, attrs)
+        if parent.raw is not None or tag == "pre" or tag == "code":
+            node.raw = []
+        if parent.item:
+            node.bare = tag not in LISTS
+        if parent.secs:
+            node.secs = parent.secs
+        if tag not in STRUCTURED:
+            self.stack.append(node)
+            return
         if tag in LISTS:
+            node.items = []
             if parent.item:
-                node.bare = False
                 node.depth = self.stack[-2].depth + 1
+        elif tag == "table":
+            node.items = []
         elif tag == "li":
             node.item = parent.tag in LISTS
         elif tag in SECTIONS and parent.tag == "table":
+            node.items = []
             parent.items.append((tag, node.items))
             node.secs = (*parent.secs, node)
         elif tag == "tr":
@@ -243,7 +257,7 @@ class _Fold:
             for section in node.secs:
                 section.items.append(node.items)
         elif tag == "code":
-            owner = next((n for n in reversed(self.stack) if n.tag == "pre"), None) if raw is not None else None
+            owner = next((n for n in reversed(self.stack) if n.tag == "pre"), None)
             if owner is not None and owner.code is None:
                 owner.code = node
         self.stack.append(node)
@@ -267,11 +281,12 @@ class _Fold:
                 return
 
     def _close_down_to(self, at):
-        while len(self.stack) > at:
-            node = self.stack.pop()
-            if node.raw is not None and self.stack[-1].raw is not None:
-                self.stack[-1].raw.append("".join(node.raw))
-            self._emit(node, self.stack[-1])
+        stack = self.stack
+        while len(stack) > at:
+            node, parent = stack.pop(), stack[-1]
+            if node.raw is not None and parent.raw is not None:
+                parent.raw.append("".join(node.raw))
+            self._emit(node, parent)
 
     def finish(self) -> str:
         self._close_down_to(1)

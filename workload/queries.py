@@ -326,12 +326,16 @@ def archive_members(spark, sf_dir):
 
 
 @query(
-    duckdb_with(["terms", "post_terms"])
-    + "SELECT term_id, name FROM terms WHERE term_id IN (SELECT term_id FROM post_terms WHERE post_id % 3 = 0 AND term_id <> 2)"
+    duckdb_with(
+        ["terms", "post_terms"],
+        "known AS (SELECT term_id, name FROM terms UNION ALL SELECT -term_id, 'nobody uses ' || name FROM terms)",
+    )
+    + """SELECT term_id, name FROM known WHERE term_id IN (SELECT term_id FROM post_terms)"""
 )
 def nonempty_terms(spark, sf_dir):
-    carried = view(spark, sf_dir, "post_terms").where("post_id % 3 = 0 AND term_id <> 2")
-    return entities.nonempty_terms(view(spark, sf_dir, "terms"), carried).select("term_id", "name")
+    terms = view(spark, sf_dir, "terms").select("term_id", "name")
+    unused = terms.select((-F.col("term_id")).alias("term_id"), F.concat(F.lit("nobody uses "), "name").alias("name"))
+    return entities.nonempty_terms(terms.unionByName(unused), view(spark, sf_dir, "post_terms"))
 
 
 @query(
@@ -345,14 +349,15 @@ def active_authors(spark, sf_dir):
 
 @query(
     f"""SELECT DISTINCT {HOST} AS site, {S.path_key('url')} AS path FROM pages
-    EXCEPT SELECT {HOST}, {S.path_key('url')} FROM pages WHERE page_id % 3 = 0"""
+    EXCEPT SELECT {HOST}, {S.path_key('url')} FROM pages WHERE url LIKE 'https://%'"""
 )
 def missing_documents(spark, sf_dir):
+    """All keys are asked for; the secure addresses have a document."""
     keyed = table(spark, sf_dir, "pages").select(
-        "page_id", U.url_host("url").alias("site"), U.path_key("url").alias("path")
+        "url", U.url_host("url").alias("site"), U.path_key("url").alias("path")
     )
     wanted = keyed.select("site", "path").distinct()
-    return entities.missing(wanted, keyed.where("page_id % 3 = 0"))
+    return entities.missing(wanted, keyed.where(F.col("url").startswith("https://")))
 
 
 # ---- counts ------------------------------------------------------------------
@@ -895,13 +900,14 @@ def classify_requests(spark, sf_dir):
 @query(
     "WITH " + S.PAGE_DOCS
     + """, wanted AS (SELECT site, path, min(url) AS url FROM page_docs WHERE page_id % 4 IN (0, 2) OR page_id % 8 = 5 GROUP BY ALL),
-    absent AS (SELECT * FROM wanted WHERE (site, path) NOT IN (SELECT (site, path) FROM page_docs WHERE page_id % 3 = 0))
+    absent AS (SELECT * FROM wanted WHERE (site, path) NOT IN (SELECT (site, path) FROM page_docs WHERE url LIKE 'https://%'))
     SELECT site, path, url, title, replace(front_matter, '"sitemap_page"', '"archive"') AS front_matter, markdown
     FROM absent JOIN (SELECT url, title, front_matter, markdown FROM page_docs) USING (url)"""
 )
 def fill_missing(spark, sf_dir):
     pages = page_table(spark, sf_dir)
-    held = pages.where("page_id % 3 = 0").select(U.url_host("url").alias("site"), U.path_key("url").alias("path"))
+    secure = pages.where(F.col("url").startswith("https://"))  # these have a document
+    held = secure.select(U.url_host("url").alias("site"), U.path_key("url").alias("path"))
     v = lambda name: view(spark, sf_dir, name)
     _, made = requests.fill_missing(v("requests"), held, pages, v("posts"), v("terms"), v("sites"), CFG)
     return made.where(F.col("reason").isNull()).select("site", "path", "url", "title", "front_matter", "markdown")
