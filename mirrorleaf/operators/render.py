@@ -58,9 +58,10 @@ def spread(pages: DataFrame) -> DataFrame:
     """Pages over all cores when their files give fewer splits than cores.
 
     Only small inputs are shuffled; a large one is rendered where it is read.
+    For tables as read, before any join.
     """
     cores = pages.sparkSession.sparkContext.defaultParallelism
-    if len(pages.inputFiles()) >= cores or pages.rdd.getNumPartitions() >= cores:
+    if pages.rdd.getNumPartitions() >= cores:
         return pages
     return pages.repartition(cores)
 

@@ -265,23 +265,44 @@ def write_lines(lines: DataFrame, path: str, order: list[str], text: str = "line
     (
         lines.repartitionByRange("site", *order)
         .sortWithinPartitions("site", *order)
-        .select("site", F.col(text).alias("value"))
+        .select("site", _without_break(text).alias("value"))
         .write.mode("overwrite")
         .partitionBy("site")
         .text(path)
     )
 
 
+def write_site_documents(
+    mirror: DataFrame, sites: DataFrame, posts: DataFrame, cfg: MirrorConfig, run_ts, folder: str
+) -> None:
+    """Everything that follows a finished run: index, full export, summary.
+
+    Without the export of the mirror, the full document is made from the posts.
+    """
+    write_lines(site_index(mirror, sites, run_ts), f"{folder}/index", ["seq"])
+    if cfg.generate_export:
+        write_export(full_export(mirror, sites, run_ts), f"{folder}/full")
+    if cfg.generate_summary:
+        write_lines(site_summary(posts, sites, cfg), f"{folder}/summary", ["section_rank", "seq"])
+        if not cfg.generate_export:
+            order = ["menu_order", "title", "post_id"]  # the header has none and comes first
+            write_lines(export_from_posts(posts, sites, run_ts, cfg), f"{folder}/full", order, "chunk")
+
+
+def _without_break(text: str) -> Column:
+    """Text without its last line break, which the text sink writes itself."""
+    return F.regexp_replace(text, r"\n\z", "")
+
+
 def write_export(export: DataFrame, path: str) -> None:
     """Write a full export, one folder and one file per site and shard.
 
-    A shard is bounded, so it fits a task; a large site has many. The text sink ends each row with the line break that ends each chunk.
+    A shard is bounded, so it fits a task; a large site has many.
     """
-    chunk = F.regexp_replace("chunk", r"\n\z", "")
     (
         export.repartition("site", "shard")
         .sortWithinPartitions("site", "shard", "path")
-        .select("site", "shard", chunk.alias("value"))
+        .select("site", "shard", _without_break("chunk").alias("value"))
         .write.mode("overwrite")
         .partitionBy("site", "shard")
         .text(path)

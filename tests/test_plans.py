@@ -133,6 +133,28 @@ def test_index_and_export_files(spark):
     assert "".join(written(folder, f"site={site}/shard={n}") for n in shards) == expected
 
 
+def test_documents_after_a_run(spark):
+    posts = posts_of(spark, post(1, menu_order=2, body="a\n"), post(2, menu_order=1), post(3, post_status="draft"))
+    sites = spark.createDataFrame([SITE], SITE_SCHEMA)
+    mirror = generate.mirror_rows(generate.post_outcomes(posts, pages_of(spark), MirrorConfig()), workload.RUN_TS)
+    folder = work_folder(spark, "site")
+    site_docs.write_site_documents(mirror, sites, posts, MirrorConfig(), workload.RUN_TS, folder)
+    assert written(f"{folder}/index", "site=h.e").endswith(
+        "- [T1](https://h.e/p1/) — `p1/index.md`\n- [T2](https://h.e/p2/) — `p2/index.md`\n"
+    )
+    assert "Total pages: 2" in written(f"{folder}/full/site=h.e", "shard=0")
+    assert written(f"{folder}/summary", "site=h.e").startswith("# Name\n\n> Desc\n")
+
+    folder = work_folder(spark, "site")
+    cfg = MirrorConfig(generate_export=False)
+    site_docs.write_site_documents(mirror, sites, posts, cfg, workload.RUN_TS, folder)
+    assert written(f"{folder}/full", "site=h.e") == (
+        f"# Name — Full Content\n\nGenerated: {workload.RUN_TS}\n\n---\n\n"
+        "## T2\n\nURL: https://h.e/p2/\nType: post\n\nBody 2\n\n---\n\n"
+        "## T1\n\nURL: https://h.e/p1/\nType: post\n\na\n\n---\n\n"
+    )
+
+
 def test_summary_text(spark):
     posts = posts_of(
         spark,

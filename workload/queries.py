@@ -877,11 +877,9 @@ def backlog_stream(spark, sf_dir):
         step = render.spread(posts).join(batch, "post_id", "left_semi")
         return generate.post_outcomes(entities.enrich(step, *rest), no_pages(spark), cfg)
 
-    # as many files per step as give few steps on any amount of data
-    files = max(1, len(spark.read.schema(items.schema).parquet(f"{folder}/queue").inputFiles()) // 3)
     backlog.backlog_stream(
         spark, f"{folder}/queue", items.schema, process, f"{folder}/done", f"{folder}/checkpoint", cfg,
-        drain=True, files_per_step=files,
+        drain=True, files_per_step=40,
     ).awaitTermination()
     done = spark.read.parquet(f"{folder}/done")
     return done.select("item_id", F.col("reason").isNull().alias("ok"), "reason", "path", "markdown")
