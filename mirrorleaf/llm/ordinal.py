@@ -53,8 +53,12 @@ class Ordinal:
         return self.grades[0] + tails @ np.diff(self.grades) if self.grades else np.full(len(tails), np.nan)
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[float], steps: int = 200, penalty: float = 1e-4, min_rows: int = MIN_ROWS) -> Ordinal:
-    """Maximum likelihood with an L2 penalty, by Adam on all rows; equal input gives an equal model."""
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[float], steps: int = 200, penalty: float = 1e-4, min_rows: int = MIN_ROWS, screen: float = 0.0) -> Ordinal:
+    """Maximum likelihood with an L2 penalty, by Adam on all rows; equal input gives an equal model.
+
+    A feature counts if ``min_rows`` rows have it, and if the mean grade of these rows is
+    at least ``screen`` standard errors away from the mean grade of all.
+    """
     kinds = sorted(set(grades))
     empty = np.zeros(0)
     if len(kinds) < 2:
@@ -65,7 +69,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[float], steps: i
     values = np.concatenate([v for _, v in rows])
     row = np.repeat(np.arange(len(rows)), counts)
     names, column, often = np.unique(hashes, return_inverse=True, return_counts=True)
-    kept = often >= min_rows
+    mean, spread = y.mean(), max(y.std(), 1e-9)
+    shift = np.abs(np.bincount(column, y[row], len(names)) / often - mean) * np.sqrt(often) / spread
+    kept = (often >= min_rows) & (shift >= screen)
     keep = kept[column]
     row, values, column = row[keep], values[keep], (np.cumsum(kept) - 1)[column[keep]]
     names = names[kept]

@@ -1,7 +1,8 @@
 """Toxicity of documents: an ordinal regression of severity grades on the words of a text.
 
 A feature is a word, in lower case, that occurs in the text, however often and however
-long the text is. Words that few labelled texts have are no features.
+long the text is. Only words count whose labelled texts have clearly other grades than
+the rest; most words of a text say nothing about its severity.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ def features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
 def toxicity_model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                    label_id_col: str = "doc_id", grade_col: str = "toxic", **options) -> ordinal.Ordinal:
     """Fit the severities of ``labels`` on the texts of ``docs``; see ordinal.train."""
+    options = {"screen": 4.0, "penalty": 1e-6, "steps": 400, **options}
     return ordinal.train(docs, labels, features, id_col, text_col, label_id_col, grade_col, **options)
 
 
-def grade_toxicity(docs: DataFrame, model: ordinal.Ordinal, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+def grade_toxicity(docs: DataFrame, model: ordinal.Ordinal, id_col: str = "doc_id", text_col: str = "text", least: float = 0.3) -> DataFrame:
     """(id, expected_severity, p_toxic, toxic) for each row of ``docs``.
 
     p_toxic is the probability of more than the lowest grade; a row is toxic from
