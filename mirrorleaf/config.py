@@ -46,7 +46,6 @@ class MirrorConfig:
     post_types: tuple[str, ...] = ("post", "page")  # empty: every public type
     include_authors: bool = False
     include_taxonomies: bool = True
-    batch_size: int = 10
     batch_delay: int = 2  # minutes
     generate_export: bool = True
     generate_summary: bool = True
@@ -66,8 +65,8 @@ class MirrorConfig:
             raise ValueError(f"unknown source {self.source!r}")
         if self.content_method not in ("filter", "http", "both"):
             raise ValueError(f"unknown content method {self.content_method!r}")
-        object.__setattr__(self, "batch_size", max(1, min(100, self.batch_size)))
-        object.__setattr__(self, "batch_delay", max(1, min(30, self.batch_delay)))
+        if not 1 <= self.batch_delay <= 30:
+            raise ValueError(f"batch_delay must be 1 to 30 minutes, not {self.batch_delay}")
 
     @property
     def exclusions(self) -> tuple[str, ...]:

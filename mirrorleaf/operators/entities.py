@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mirrorleaf.functions.urls import match_path, path_key, url_host, with_slash
+from mirrorleaf.functions.urls import match_path, path_key, url_host, url_path, with_slash
 from mirrorleaf.operators.filters import published
 
 
@@ -87,18 +87,18 @@ def match_terms(urls: DataFrame, terms: DataFrame) -> DataFrame:
 def resolve_targets(
     urls: DataFrame, posts: DataFrame, terms: DataFrame | None, sites: DataFrame
 ) -> DataFrame:
-    """Adds ``kind`` and ``target_id``: post, else homepage, else term, else generic.
+    """Adds ``site``, ``path``, ``kind`` and ``target_id``: post, else homepage, else term, else generic.
 
     Pass ``terms=None`` for queued URLs, which never resolve to a term. Every
-    lookup table holds one row per key, so no URL is multiplied.
+    lookup table holds one row per key, so no URL is multiplied; home addresses are
+    matched whole, so no key is as hot as a host.
     """
     keyed = urls.withColumn("site", url_host("url")).withColumn("path", path_key("url"))
     by_path = posts.groupBy(
         url_host("permalink").alias("site"), path_key("permalink").alias("path")
     ).agg(F.min("post_id").alias("_post"))
-    homes = sites.select("site", with_slash("home_url").alias("_home"))
-    found = keyed.join(by_path, ["site", "path"], "left").join(homes, "site", "left")
-    at_home = with_slash("url") == F.col("_home")
+    homes = sites.select(with_slash("home_url").alias("_home")).distinct()
+    found = keyed.join(by_path, ["site", "path"], "left").join(homes, with_slash("url") == F.col("_home"), "left")
     if terms is not None:
         found = (
             found.withColumn("_match", match_path("url"))
@@ -110,7 +110,7 @@ def resolve_targets(
         term_id = F.lit(None).cast("bigint")
     kind = (
         F.when(F.col("_post").isNotNull(), "post")
-        .when(at_home, "homepage")
+        .when(F.col("_home").isNotNull(), "homepage")
         .when(term_id.isNotNull(), "term")
         .otherwise("generic")
     )
@@ -118,6 +118,27 @@ def resolve_targets(
     return found.withColumn("kind", kind).withColumn("target_id", target).drop("_post", "_home", "_term")
 
 
+def site_of(rows: DataFrame, sites: DataFrame, url: str = "url") -> DataFrame:
+    """Sets ``site`` to that of the longest home address that the URL lies below, else to its host.
+
+    ``sites`` holds (site, home_url); several may share a host. Addresses are looked up
+    once each, by all their leading paths.
+    """
+    homes = sites.groupBy(url_host("home_url").alias("_host"), with_slash(match_path("home_url")).alias("_below")).agg(
+        F.min("site").alias("_site")
+    )
+    steps = F.split(F.btrim(url_path(url), F.lit("/")), "/+")
+    below = F.transform(
+        F.sequence(F.lit(0), F.size(steps)),
+        lambda n: F.when(n == 0, F.lit("/")).otherwise(F.concat(F.lit("/"), F.array_join(F.slice(steps, 1, n), "/"), F.lit("/"))),
+    )
+    addresses = rows.select(F.col(url).alias("_url"), url_host(url).alias("_host"), below.alias("_paths")).distinct()
+    leading = addresses.select("_url", "_host", F.explode(F.array_distinct("_paths")).alias("_below"))
+    nearest = leading.join(homes, ["_host", "_below"]).groupBy("_url").agg(F.max_by("_site", F.length("_below")).alias("_site"))
+    found = rows.join(nearest, F.col(url) == F.col("_url"), "left")
+    return found.withColumn("site", F.coalesce("_site", url_host(url))).drop("_url", "_site")
+
+
 def missing(requests: DataFrame, mirror: DataFrame) -> DataFrame:
     """Requested keys without a document."""
     return requests.join(mirror.select("site", "path"), ["site", "path"], "left_anti")

@@ -55,6 +55,11 @@ END_STOPS = {
     "tr": frozenset(("table",)), "thead": frozenset(("table",)),
     "tbody": frozenset(("table",)), "tfoot": frozenset(("table",)),
 }
+# Elements nested deeper are not opened; their text goes to the element around them. The
+# lower limit is for elements whose Markdown repeats something for each level.
+MAX_DEPTH = 6000
+MAX_REPEATED = 32
+REPEATED = LISTS | frozenset(("table", "blockquote"))
 _SPACES = re.compile(r"[ \t]+")
 _ANY_SPACE = re.compile(r"[ \t\n\x0b\f\r]+")
 _LANGUAGE = re.compile(r"language-(\w+)", re.ASCII)
@@ -81,6 +86,8 @@ class _Open:
     raw = None  # untouched text, kept inside pre and code only
     code = None  # first code element of a pre
     secs = ()  # table sections that collect rows below here
+    paragraph = 0  # place of the open p that only inline elements part from here
+    barrier = 0  # place of the nearest element that is not inline
 
     def __init__(self, tag, attrs=""):
         self.tag = tag
@@ -97,6 +104,22 @@ def _rtrim(parts: list[str]) -> None:
         parts.pop()
 
 
+def _trimmed(parts: list[str]) -> str:
+    """The pieces as one text without white space around it; a single piece is not copied."""
+    _rtrim(parts)
+    first = 0
+    while first < len(parts) and not parts[first].lstrip(WS):
+        first += 1
+    if first < len(parts):
+        parts[first] = parts[first].lstrip(WS)
+    return "".join(parts[first:]) if first else "".join(parts)
+
+
+def _few(parts: list[str]) -> list[str]:
+    """The same text in few pieces, so that handing it on through many levels stays cheap."""
+    return parts if len(parts) < 64 else ["".join(parts)]
+
+
 def _block(parts: list[str], text: str) -> None:
     """Append a block, with a blank line before it unless it comes first."""
     if any(parts):
@@ -158,8 +181,12 @@ def _attributes(text: str) -> dict[str, str]:
 class _Fold:
     def __init__(self, home: str):
         self.home = home.rstrip("/")
-        self.stack = [_Open("#root")]
         self.in_body = False
+        self._clear()
+
+    def _clear(self):
+        self.stack = [_Open("#root")]
+        self.places = {}  # of the open elements of each tag
 
     # ---- events ----
     def feed(self, page):
@@ -182,7 +209,7 @@ class _Fold:
         if tag == "body":
             if not self.in_body:  # what came before belongs to the head
                 self.in_body = True
-                self.stack = [_Open("#root")]
+                self._clear()
             return
         if tag == "html":
             return
@@ -193,6 +220,9 @@ class _Fold:
             self._close_until(*family)
         if tag in VOID:
             self._void(tag, attrs)
+        elif len(self.stack) > MAX_DEPTH or (tag in REPEATED and len(self.places.get(tag, ())) >= MAX_REPEATED):
+            if tag in BLOCKS:
+                self.stack[-1].parts.append("\n\n")
         else:
             self._push(tag, attrs)
 
@@ -203,15 +233,20 @@ class _Fold:
             return
         if tag in ("body", "html") or tag in VOID:
             return
-        stops = END_STOPS.get(tag, ())
-        crosses_blocks = tag not in INLINE and tag != "p"
-        for at in range(len(self.stack) - 1, 0, -1):
-            found = self.stack[at].tag
-            if found == tag:
-                self._close_down_to(at)
-                return
-            if found in stops or not (crosses_blocks or found in INLINE):
-                return
+        at = self._last(tag)
+        if at == 0 or self._last_of(END_STOPS.get(tag, ())) > at:
+            return
+        if (tag in INLINE or tag == "p") and stack[-1].barrier > at:
+            return
+        self._close_down_to(at)
+
+    def _last(self, tag):
+        """Place of the innermost open element of a tag, else 0."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def _last_of(self, tags):
+        return max(map(self._last, tags), default=0)
 
     def _text(self, data):
         data = decode(data)
@@ -235,6 +270,14 @@ class _Fold:
             node.bare = tag not in LISTS
         if parent.secs:
             node.secs = parent.secs
+        place = len(self.stack)
+        if tag in INLINE:
+            node.paragraph, node.barrier = parent.paragraph, parent.barrier
+        else:
+            node.barrier = place
+            if tag == "p":
+                node.paragraph = place
+        self.places.setdefault(tag, []).append(place)
         if tag not in STRUCTURED:
             self.stack.append(node)
             return
@@ -257,33 +300,25 @@ class _Fold:
             for section in node.secs:
                 section.items.append(node.items)
         elif tag == "code":
-            owner = next((n for n in reversed(self.stack) if n.tag == "pre"), None)
-            if owner is not None and owner.code is None:
-                owner.code = node
+            owner = self._last("pre")
+            if owner and self.stack[owner].code is None:
+                self.stack[owner].code = node
         self.stack.append(node)
 
     def _close_paragraph(self):
-        for at in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[at].tag
-            if tag == "p":
-                self._close_down_to(at)
-                return
-            if tag not in INLINE:
-                return
+        if self.stack[-1].paragraph:
+            self._close_down_to(self.stack[-1].paragraph)
 
     def _close_until(self, family, stops):
-        for at in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[at].tag
-            if tag in family:
-                self._close_down_to(at)
-                return
-            if tag in stops:
-                return
+        at = self._last_of(family)
+        if at > self._last_of(stops):
+            self._close_down_to(at)
 
     def _close_down_to(self, at):
         stack = self.stack
         while len(stack) > at:
             node, parent = stack.pop(), stack[-1]
+            self.places[node.tag].pop()
             if node.raw is not None and parent.raw is not None:
                 parent.raw.append("".join(node.raw))
             self._emit(node, parent)
@@ -339,13 +374,13 @@ class _Fold:
             if text:
                 _block(out, f"{'#' * int(tag[1])} {text}")
         elif tag == "p" or tag in CONTAINERS:
-            text = "".join(node.parts).strip(WS)
+            text = _trimmed(node.parts)
             if text:
                 _block(out, text)
         elif tag in ("strong", "b"):
-            out.append(f"**{''.join(node.parts)}**")
+            out += ["**", *_few(node.parts), "**"]
         elif tag in ("em", "i"):
-            out.append(f"*{''.join(node.parts)}*")
+            out += ["*", *_few(node.parts), "*"]
         elif tag == "a":
             href = _attributes(node.attrs).get("href") or ""
             text = "".join(node.parts).strip(WS)
@@ -368,7 +403,7 @@ class _Fold:
             if text:
                 _after_break(out, text)
         else:
-            out.append("".join(node.parts))
+            out += _few(node.parts)
 
 
 def fold(page: str, home: str = "") -> str:

@@ -8,11 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mirrorleaf.functions.text import as_col
-from mirrorleaf.session import persist_table
 
 SALTS = 64
-# Rows of (site, path, position) that may be broadcast: some 50 MB.
-BROADCAST_ROWS = 200_000
 
 
 def newest_first() -> list[Column]:
@@ -56,21 +53,18 @@ def latest_per_path(df: DataFrame, position: Sequence[str | Column]) -> DataFram
     return df.withColumn("_last", F.row_number().over(window)).where(F.col("_last") == 1).drop("_last")
 
 
-def drop_overwritten(stored: DataFrame, position: Sequence[str]) -> DataFrame:
-    """``latest_per_path`` for a stored table, without shuffling its documents.
+def drop_overwritten(
+    stored: DataFrame, position: Sequence[str], row: str = "row_id", narrow: DataFrame | None = None
+) -> DataFrame:
+    """``latest_per_path`` for a stored table, without sorting its documents.
 
-    Only paths that several rows share matter. They are found on narrow columns
-    and broadcast if there are few of them; many take the window instead.
+    ``row`` tells rows of equal position apart; the greater one counts. Rows that lose
+    are found on narrow columns, or in ``narrow`` if it is given; they are few, so what
+    is left of the table need not be ranked.
     """
-    place = F.struct(*position)
-    shared = (
-        stored.groupBy("site", "path")
-        .agg(F.max(place).alias("_last"), F.count(F.lit(1)).alias("_rows"))
-        .where(F.col("_rows") > 1)
-        .drop("_rows")
-    )
-    shared = persist_table(stored.sparkSession, shared, "shared-paths")
-    if shared.count() > BROADCAST_ROWS:
-        return latest_per_path(stored, position)
-    kept = F.col("_last").isNull() | (F.col("_last") == place)
-    return stored.join(F.broadcast(shared), ["site", "path"], "left").where(kept).drop("_last")
+    place = F.struct(*position, row)
+    narrow = (stored if narrow is None else narrow).select("site", "path", *position, row)
+    last = narrow.groupBy("site", "path").agg(F.max(place).alias("_last"), F.count(F.lit(1)).alias("_rows"))
+    shared = last.where(F.col("_rows") > 1).drop("_rows")
+    losers = narrow.join(shared, ["site", "path"]).where(place < F.col("_last")).select(row)
+    return stored.join(losers, row, "left_anti")

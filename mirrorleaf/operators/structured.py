@@ -19,10 +19,13 @@ from mirrorleaf.config import MirrorConfig
 from mirrorleaf.functions.text import as_col, bind, rtrim_ws
 from mirrorleaf.operators.html_fold import WS, decode
 
-SCRIPT = (
-    r"(?is)<script\b(?=[^>]*\btype\s*=\s*[\"']?\s*application/ld\+json)[^>]*>(.*?)</script>"
-)
-SECTION = "\n\n## JSON Schema\n\n"
+# ---- fixed values: what marks structured data, and the heading it gets -------
+LD_JSON = "application/ld+json"
+SECTION_TITLE = "JSON Schema"
+# ------------------------------------------------------------------------------
+ELEMENT = r"(?is)<script\b([^>]*)>(.*?)</script\s*>"
+TYPE = r"""(?is)(?:^|\s)type\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+SECTION = f"\n\n## {SECTION_TITLE}\n\n"
 BLOCKS = ArrayType(
     StructType([StructField("json", StringType()), StructField("types", StringType())])
 )
@@ -83,17 +86,27 @@ def _normalizer(ignored: frozenset[str]):
     return normalize
 
 
+def _media_type(attributes: Column) -> Column:
+    """Media type that an element's ``type`` attribute names, without parameters."""
+    value = F.concat(*[F.regexp_extract(attributes, TYPE, group) for group in (1, 2, 3)])
+    return F.lower(F.btrim(F.substring_index(value, ";", 1), F.lit(" \t\n\r")))
+
+
 def structured_blocks(html: Column | str, cfg: MirrorConfig) -> Column:
     """Distinct blocks of a page, first occurrence first."""
     html = as_col(html)
-    scripts = F.regexp_extract_all(html, F.lit(SCRIPT), 1)
-    present = F.when(html.rlike(r"(?i)application/ld\+json"), scripts)
+    scripts = F.arrays_zip(
+        F.regexp_extract_all(html, F.lit(ELEMENT), 1).alias("attributes"),
+        F.regexp_extract_all(html, F.lit(ELEMENT), 2).alias("inside"),
+    )
+    own = F.transform(F.filter(scripts, lambda s: _media_type(s["attributes"]) == LD_JSON), lambda s: s["inside"])
+    present = F.when(F.contains(F.lower(html), F.lit(LD_JSON)), own)
     return F.array_distinct(_normalizer(frozenset(cfg.ignored_types))(present))
 
 
 def structured_data(pages: DataFrame, cfg: MirrorConfig) -> DataFrame:
     """One row per block: (page_id, seq, json, types)."""
-    holding = pages.where(F.col("html").rlike(r"(?i)application/ld\+json"))
+    holding = pages.where(F.contains(F.lower("html"), F.lit(LD_JSON)))
     blocks = holding.select("page_id", F.posexplode(structured_blocks("html", cfg)).alias("seq", "block"))
     return blocks.select("page_id", "seq", "block.json", "block.types")
 

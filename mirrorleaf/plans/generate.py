@@ -22,7 +22,7 @@ from mirrorleaf.operators.structured import append_structured
 from mirrorleaf.plans.queue import RANKS
 from mirrorleaf.session import persist_table
 from mirrorleaf.sources.pages import has_text, normalize_pages
-from mirrorleaf.sources.store import COLUMNS, write_mirror
+from mirrorleaf.sources.store import with_bytes, write_mirror
 
 # ---- fixed values: reasons in the run log ----------------------------------
 NOT_PUBLISHED = "Post not found or not published."
@@ -31,6 +31,10 @@ TERM_EXCLUDED = "Term URL is excluded by rules."
 AUTHOR_EXCLUDED = "Author URL is excluded by rules."
 HOMEPAGE_EXCLUDED = "Homepage is excluded by rules."
 NO_MARKDOWN = "Markdown conversion resulted in empty content for URL: "
+TYPE_NOT_ALLOWED = ("Post type '", "' is not allowed in settings.")
+NO_TEXT = "Rendered content is empty (tried method: {})."
+NO_RESULT = "Empty content or processing failure"
+NO_ADDRESS = "ID: "
 # ----------------------------------------------------------------------------
 
 
@@ -99,12 +103,12 @@ def post_outcomes(
         F.when(F.col("post_status") != "publish", NOT_PUBLISHED)
         .when(
             ~allowed(F.col("post_type"), cfg),
-            F.concat(F.lit("Post type '"), "post_type", F.lit("' is not allowed in settings.")),
+            F.concat(F.lit(TYPE_NOT_ALLOWED[0]), "post_type", F.lit(TYPE_NOT_ALLOWED[1])),
         )
         .when(is_excluded("permalink", cfg), EXCLUDED)
     )
     chosen = choose_html(posts.withColumn("reason", early), pages, cfg).withColumn("clean", clean_html("html"))
-    no_text = F.lit(f"Rendered content is empty (tried method: {cfg.content_method}).")
+    no_text = F.lit(NO_TEXT.format(cfg.content_method))
     checked = chosen.withColumn("reason", F.coalesce("reason", F.when(~has_text("html", "clean"), no_text)))
     usable = lambda c: F.when(F.col("reason").isNull(), F.col(c))
     columns = set(posts.columns)
@@ -146,18 +150,18 @@ def archive_outcomes(archives: DataFrame, item_kind: str, cfg: MirrorConfig) ->
 POSITION = ["kind_rank", "item_id"]
 
 
-def _versions(documents: DataFrame, run_ts) -> DataFrame:
-    return (
+def versions(documents: DataFrame, run_ts) -> DataFrame:
+    """Documents as mirror rows of one run."""
+    return with_bytes(
         documents.withColumn("version_ts", F.lit(run_ts).cast("timestamp_ntz"))
         .withColumn("version_seq", F.lit(0).cast("bigint"))
         .withColumn("is_deleted", F.lit(False))
-        .select(*COLUMNS)
     )
 
 
 def mirror_rows(done: DataFrame, run_ts) -> DataFrame:
     """Accepted documents, the last one of each path, as mirror versions."""
-    return _versions(latest_per_path(done.where(F.col("reason").isNull()), POSITION), run_ts)
+    return versions(latest_per_path(done.where(F.col("reason").isNull()), POSITION), run_ts)
 
 
 def run(spark: SparkSession, done: DataFrame, run_id: str, run_ts, mirror_path: str) -> DataFrame:
@@ -166,9 +170,10 @@ def run(spark: SparkSession, done: DataFrame, run_id: str, run_ts, mirror_path:
     Outcomes are stored as they are rendered, without a shuffle. The mirror and
     the log read them back; documents move once, on their way to their site.
     """
-    stored = persist_table(spark, done, "outcomes")
+    # numbered as it is written, so the numbers don't change
+    stored = persist_table(spark, done.withColumn("row_id", F.monotonically_increasing_id()), "outcomes")
     accepted = drop_overwritten(stored.where(F.col("reason").isNull()), POSITION)
-    write_mirror(_versions(accepted, run_ts), mirror_path)
+    write_mirror(versions(accepted, run_ts), mirror_path)
     return run_log(stored, run_id, run_ts)
 
 

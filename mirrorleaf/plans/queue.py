@@ -50,9 +50,9 @@ def content_items(
     return union_all(parts)
 
 
-def sitemap_items(sites: DataFrame, sitemaps: DataFrame, max_depth: int = 5) -> DataFrame:
+def sitemap_items(sites: DataFrame, sitemaps: DataFrame) -> DataFrame:
     """Queue of the sites that publish a sitemap."""
-    urls = expand_sitemaps(sitemaps, root_sitemaps(sites, sitemaps), max_depth)
+    urls = expand_sitemaps(sitemaps, root_sitemaps(sites, sitemaps))
     return urls.select(
         "site",
         F.lit("sitemap_url").alias("kind"),
@@ -64,12 +64,10 @@ def sitemap_items(sites: DataFrame, sitemaps: DataFrame, max_depth: int = 5) ->
     )
 
 
-def build_queue(
-    items: DataFrame, sites: DataFrame, sitemaps: DataFrame, cfg: MirrorConfig, max_depth: int = 5
-) -> DataFrame:
+def build_queue(items: DataFrame, sites: DataFrame, sitemaps: DataFrame, cfg: MirrorConfig) -> DataFrame:
     """Work list per site: its sitemap if it has one and settings ask for it, else all items."""
     if cfg.source == "all":
         return items
     with_sitemap = root_sitemaps(sites, sitemaps).select("site")
     others = items.join(with_sitemap, "site", "left_anti")
-    return sitemap_items(sites, sitemaps, max_depth).unionByName(others)
+    return sitemap_items(sites, sitemaps).unionByName(others)

@@ -15,11 +15,12 @@ from mirrorleaf.functions.text import excerpt, list_date, plain_text
 from mirrorleaf.functions.urls import home_of, markdown_url, url_host, with_slash
 from mirrorleaf.operators.entities import union_all
 from mirrorleaf.operators.filters import published
-from mirrorleaf.operators.ordered import BUCKET_ROWS, running_total
+from mirrorleaf.operators.ordered import running_total
 from mirrorleaf.operators.ranking import main_sections, newest_first, top_per_group
 from mirrorleaf.operators.render import to_markdown
 from mirrorleaf.operators.stats import type_counts
-from mirrorleaf.sources.store import document
+from mirrorleaf.session import remove_folder, store_table
+from mirrorleaf.sources.store import document, site_bucket
 
 # ---- fixed values -----------------------------------------------------------
 # Shortcodes that excerpts of a summary leave out.
@@ -31,6 +32,15 @@ ACCESS = (
     "1. Adding `?format=markdown` to any URL",
     "2. Sending `Accept: text/markdown` in the HTTP request headers",
 )
+INDEX_TITLE, EXPORT_TITLE, POSTS_TITLE = "# Sitemap — ", "# Complete Content — ", " — Full Content"
+ABOUT_HEAD, SECTIONS_HEAD, RECENT_HEAD, TYPES_HEAD = "About", "Main Sections", "Recent Posts", "Content Types"
+RESOURCES_HEAD = "Resources"
+# Links of a summary: title, address below the home address, description.
+RESOURCE_LINKS = (
+    ("Full Markdown Content", "llms-full.txt", "Complete site content in markdown"),
+    ("Sitemap", "?format=markdown", "Homepage / sitemap in markdown format"),
+    ("XML Sitemap", "wp-sitemap.xml", "Standard XML sitemap"),
+)
 ABOUT, SECTIONS, RECENT, TYPES, RESOURCES, ACCESS_RANK = range(1, 7)
 # -----------------------------------------------------------------------------
 SHARD_BYTES = 64 * 1024 * 1024
@@ -51,7 +61,7 @@ def _fixed_lines(sites: DataFrame, lines: list, rank: int | None = None) -> Data
     return sites.select(*keys, rows).withColumn("seq", F.col("seq").cast("bigint"))
 
 
-def site_index(mirror: DataFrame, sites: DataFrame, run_ts, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def site_index(mirror: DataFrame, sites: DataFrame, run_ts, parts: int | None = None) -> DataFrame:
     """(site, seq, path, line): header, then one line per document in path order.
 
     Reads four narrow columns of the mirror, no document text.
@@ -59,14 +69,14 @@ def site_index(mirror: DataFrame, sites: DataFrame, run_ts, bucket_rows: int = B
     header = _fixed_lines(
         sites,
         [
-            F.concat(F.lit("# Sitemap — "), "name"),
+            F.concat(F.lit(INDEX_TITLE), "name"),
             "",
             F.concat(F.lit("Generated: "), _stamp(run_ts)),
             "",
         ],
     ).withColumn("path", F.lit(""))
     narrow = mirror.select("site", "path", "title", "url")
-    numbered = running_total(narrow, "site", "path", F.lit(1), "n", bucket_rows)
+    numbered = running_total(narrow, "site", "path", F.lit(1), "n", parts)
     line = F.concat(
         F.lit("- ["), "title", F.lit("]("), "url", F.lit(") — `"), "path", F.lit("`")
     )
@@ -79,7 +89,7 @@ def full_export(
     sites: DataFrame,
     run_ts,
     shard_bytes: int = SHARD_BYTES,
-    bucket_rows: int = BUCKET_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """(site, shard, path, chunk): header, then every document in path order.
 
@@ -92,14 +102,14 @@ def full_export(
         F.lit(0).cast("bigint").alias("shard"),
         F.lit("").alias("path"),
         F.concat(
-            F.lit("# Complete Content — "), "name",
+            F.lit(EXPORT_TITLE), "name",
             F.lit("\n\nGenerated: "), _stamp(run_ts),
             F.lit("\nTotal pages: "), F.coalesce("pages", F.lit(0)).cast("string"),
             F.lit("\n\n---\n\n"),
         ).alias("chunk"),
     )
-    sizes = mirror.select("site", "path", F.octet_length(document()).cast("bigint").alias("bytes"))
-    placed = running_total(sizes, "site", "path", F.col("bytes"), "upto", bucket_rows).select(
+    sizes = mirror.select("site", "path", "bytes")
+    placed = running_total(sizes, "site", "path", F.col("bytes"), "upto", parts).select(
         "site", "path", F.floor(F.col("upto") / F.lit(shard_bytes)).cast("bigint").alias("shard")
     )
     chunk = F.concat(F.lit("<!-- Source: "), "path", F.lit(" -->\n\n"), document(), F.lit("\n\n---\n\n"))
@@ -118,7 +128,7 @@ def export_from_posts(posts: DataFrame, sites: DataFrame, run_ts, cfg: MirrorCon
         F.lit(None).cast("string").alias("title"),
         F.lit(None).cast("bigint").alias("post_id"),
         F.concat(
-            F.lit("# "), "name", F.lit(" — Full Content\n\nGenerated: "), _stamp(run_ts), F.lit("\n\n---\n\n")
+            F.lit("# "), "name", F.lit(f"{POSTS_TITLE}\n\nGenerated: "), _stamp(run_ts), F.lit("\n\n---\n\n")
         ).alias("chunk"),
     )
     public = published(posts).where(F.col("post_type").isin(*cfg.public_types))
@@ -138,9 +148,12 @@ def _strip_shortcodes(text: Column) -> Column:
     return F.regexp_replace(text, rf"(?s)\[({names})\b[^\]]*\](?:(?:(?!\[\1\b).)*?\[/\1\])?", "")
 
 
-def _section(rank: int, title: str, lines: DataFrame) -> DataFrame:
-    """Heading, numbered lines (site, n, line) and a blank line, where there are lines."""
-    size = lines.groupBy("site").agg(F.count(F.lit(1)).alias("size"))
+def _section(rank: int, title: str, lines: DataFrame, counted: DataFrame | None = None) -> DataFrame:
+    """Heading, numbered lines (site, n, line) and a blank line, where there are lines.
+
+    ``counted`` may pass as many rows of each site that are cheaper to count.
+    """
+    size = (lines if counted is None else counted).groupBy("site").agg(F.count(F.lit(1)).alias("size"))
     frame = size.select(
         "site",
         F.explode(
@@ -162,7 +175,7 @@ def site_summary(
     sites: DataFrame,
     cfg: MirrorConfig,
     types: DataFrame | None = None,
-    bucket_rows: int = BUCKET_ROWS,
+    parts: int | None = None,
 ) -> DataFrame:
     """(site, section_rank, seq, line) of each site's summary document.
 
@@ -176,7 +189,7 @@ def site_summary(
     about = _fixed_lines(
         sites,
         [
-            "## About", "",
+            f"## {ABOUT_HEAD}", "",
             F.concat(F.lit("Website: "), home), F.concat(F.lit("Language: "), "language"), "",
         ],
         ABOUT,
@@ -185,10 +198,12 @@ def site_summary(
 
     own = F.col("excerpt") if "excerpt" in posts.columns else None
     words = excerpt(own, _strip_shortcodes(F.col("body")), SUMMARY_WORDS, "...")
-    tops = main_sections(here).select(
-        *shown, F.struct("menu_order", "title", "post_id").alias("place"), plain_text(words).alias("words")
-    )
-    sections = running_total(tops, "site", "place", F.lit(1), "n", bucket_rows).select(
+    tops = main_sections(here)
+    place = F.struct("menu_order", "title", "post_id").alias("place")
+    numbered = running_total(tops.select("site", "post_id", place), "site", "place", F.lit(1), "n", parts)
+    # texts are cut once, where they are read, and meet their numbers by the unique post
+    texts = tops.select("post_id", "permalink", "title", plain_text(words).alias("words"))
+    sections = numbered.select("site", "post_id", "n").join(texts, "post_id").select(
         "site",
         "n",
         F.concat(
@@ -207,30 +222,20 @@ def site_summary(
             list_date("published_on"), F.lit(")"),
         ).alias("line"),
     )
-    parts = [
+    sections_ = [
         intro, about,
-        _section(SECTIONS, "Main Sections", sections),
-        _section(RECENT, "Recent Posts", recent),
+        _section(SECTIONS, SECTIONS_HEAD, sections, numbered),
+        _section(RECENT, RECENT_HEAD, recent),
     ]
     custom = [t for t in cfg.public_types if t not in BUILT_IN_TYPES]
     if custom:
-        parts.append(_content_types(here, sites, custom, types))
-    base = lambda rest: F.concat(home, F.lit(rest))
-    parts.append(
-        _fixed_lines(
-            sites,
-            [
-                "## Resources", "",
-                F.concat(F.lit("- [Full Markdown Content]("), base("llms-full.txt"), F.lit("): Complete site content in markdown")),
-                F.concat(F.lit("- [Sitemap]("), base("?format=markdown"), F.lit("): Homepage / sitemap in markdown format")),
-                F.concat(F.lit("- [XML Sitemap]("), base("wp-sitemap.xml"), F.lit("): Standard XML sitemap")),
-                "",
-            ],
-            RESOURCES,
-        )
-    )
-    parts.append(_fixed_lines(sites, list(ACCESS), ACCESS_RANK))
-    return union_all(parts).withColumn("line", repair_text("line"))
+        sections_.append(_content_types(here, sites, custom, types))
+    resources = [
+        F.concat(F.lit(f"- [{title}]("), home, F.lit(f"{rest}): {text}")) for title, rest, text in RESOURCE_LINKS
+    ]
+    sections_.append(_fixed_lines(sites, [f"## {RESOURCES_HEAD}", "", *resources, ""], RESOURCES))
+    sections_.append(_fixed_lines(sites, list(ACCESS), ACCESS_RANK))
+    return union_all(sections_).withColumn("line", repair_text("line"))
 
 
 def _content_types(
@@ -249,7 +254,7 @@ def _content_types(
         )
     by_name = Window.partitionBy("site").orderBy("post_type")  # at most one row per type
     lines = named.select("site", F.row_number().over(by_name).alias("n"), line.alias("line"))
-    frame = _fixed_lines(sites, ["## Content Types", ""], TYPES)
+    frame = _fixed_lines(sites, [f"## {TYPES_HEAD}", ""], TYPES)
     body = lines.select("site", F.lit(TYPES).alias("section_rank"), (F.col("n") + 1).cast("bigint").alias("seq"), "line")
     last = sites.join(lines.groupBy("site").agg(F.max("n").alias("size")), "site", "left").select(
         "site",
@@ -261,15 +266,22 @@ def _content_types(
 
 
 def write_lines(lines: DataFrame, path: str, order: list[str], text: str = "line") -> None:
-    """Write ordered text, one folder per site; part files of a site follow the order."""
+    """Write ordered text; part files of a site follow the order.
+
+    A folder holds the sites of one bucket, a folder in it one site. Lines are stored
+    before they are dealt into ranges, whose sampling would make every line twice.
+    """
+    spark = lines.sparkSession
+    stored, folder = store_table(spark, lines, "lines")
     (
-        lines.repartitionByRange("site", *order)
-        .sortWithinPartitions("site", *order)
-        .select("site", _without_break(text).alias("value"))
+        stored.repartitionByRange(site_bucket(), "site", *order)
+        .sortWithinPartitions(site_bucket(), "site", *order)
+        .select(site_bucket().alias("bucket"), "site", _without_break(text).alias("value"))
         .write.mode("overwrite")
-        .partitionBy("site")
+        .partitionBy("bucket", "site")
         .text(path)
     )
+    remove_folder(spark, folder)
 
 
 def write_site_documents(
@@ -295,15 +307,15 @@ def _without_break(text: str) -> Column:
 
 
 def write_export(export: DataFrame, path: str) -> None:
-    """Write a full export, one folder and one file per site and shard.
+    """Write a full export, one folder and one file per site and shard, sites in buckets.
 
     A shard is bounded, so it fits a task; a large site has many.
     """
     (
         export.repartition("site", "shard")
-        .sortWithinPartitions("site", "shard", "path")
-        .select("site", "shard", _without_break("chunk").alias("value"))
+        .sortWithinPartitions(site_bucket(), "site", "shard", "path")
+        .select(site_bucket().alias("bucket"), "site", "shard", _without_break("chunk").alias("value"))
         .write.mode("overwrite")
-        .partitionBy("site", "shard")
+        .partitionBy("bucket", "site", "shard")
         .text(path)
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # HTML rows are large, so few of them go into one Arrow batch; AQE splits
 # partitions that a hot site makes too big.
@@ -27,18 +27,11 @@ def build_session(app: str = "mirrorleaf", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
-def limit_python_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Keep Arrow batches of whole HTML pages small, in any session."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    The cluster names that folder in ``spark.checkpoint.dir``. Only a local
-    session without the setting gets a folder of its own.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only a session with a
+    local master, where one machine is all there is, may do without the setting.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base is None:
@@ -50,8 +43,24 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def persist_table(spark: SparkSession, df, name: str):
-    """Write ``df`` to the shared folder and read it back: lineage ends there."""
+def store_table(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder and read it back: lineage ends there. Also gives the folder."""
     folder = work_folder(spark, name)
     df.write.parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
+
+
+def persist_table(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``store_table`` for a table that results are read from later, so it stays."""
+    return store_table(spark, df, name)[0]
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def folder_exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)

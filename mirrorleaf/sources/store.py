@@ -9,10 +9,13 @@ from mirrorleaf.functions.text import title_of, url_of
 
 SCHEMA = (
     "site string, path string, url string, kind string, post_id bigint, title string, "
-    "front_matter string, markdown string, version_ts timestamp_ntz, version_seq bigint, "
+    "front_matter string, markdown string, bytes bigint, version_ts timestamp_ntz, version_seq bigint, "
     "is_deleted boolean"
 )
 COLUMNS = [field.split()[0] for field in SCHEMA.split(", ")]
+BUCKETS = 256  # folders of a mirror; part of its layout
+# Where a stored row lies: its file, and its place in it.
+ROW = ("_file", "_row")
 
 
 def document() -> Column:
@@ -20,26 +23,43 @@ def document() -> Column:
     return F.concat("front_matter", "markdown")
 
 
+def site_bucket(site: Column | str = "site") -> Column:
+    """The folder of a site: as many as any number of sites need."""
+    return F.pmod(F.xxhash64(site), F.lit(BUCKETS)).cast("int")
+
+
+def with_bytes(rows: DataFrame) -> DataFrame:
+    """Mirror rows with the size of their documents, in the order of the stored columns."""
+    return rows.withColumn("bytes", F.octet_length(document()).cast("bigint")).select(*COLUMNS)
+
+
 def write_mirror(rows: DataFrame, path: str) -> None:
-    """Append document versions, one folder per site.
+    """Append document versions, sorted by site and path in a fixed number of folders.
 
-    Rebalancing by site gives a small site one file, packs many small sites into
-    a task and splits a site of any size over many tasks. It needs no sampling
-    pass, which would render every document twice.
+    Rebalancing by bucket packs small sites into a file and splits a site of any size
+    over many tasks; that is work of adaptive execution, which must be on. It needs no
+    sampling pass, which would render every document twice.
     """
+    if rows.sparkSession.conf.get("spark.sql.adaptive.enabled") != "true":
+        raise RuntimeError("set spark.sql.adaptive.enabled: the mirror is dealt out by it")
     (
-        rows.select(*COLUMNS)
-        .hint("rebalance", "site")
-        .sortWithinPartitions("site", "path")
+        with_bytes(rows)
+        .withColumn("bucket", site_bucket())
+        .hint("rebalance", "bucket")
+        .sortWithinPartitions("bucket", "site", "path")
         .write.mode("append")
-        .partitionBy("site")
+        .partitionBy("bucket")
         .parquet(path)
     )
 
 
-def read_versions(spark: SparkSession, path: str) -> DataFrame:
-    """All versions; a filter on ``site`` prunes folders."""
-    return spark.read.schema(SCHEMA).parquet(path).select(*COLUMNS)
+def read_versions(spark: SparkSession, path: str, site: str | None = None) -> DataFrame:
+    """All versions, or those of one site: its folder, and the row groups that hold it."""
+    rows = spark.read.schema(f"{SCHEMA}, bucket int").parquet(path)
+    if site is not None:
+        own = spark.range(1).select(site_bucket(F.lit(site)).alias("b")).first().b
+        rows = rows.where((F.col("bucket") == own) & (F.col("site") == site))
+    return rows.select(*COLUMNS)
 
 
 def current(versions: DataFrame) -> DataFrame:
@@ -49,7 +69,7 @@ def current(versions: DataFrame) -> DataFrame:
     leaves nothing behind. Then the newest version of each path counts, and
     deleted ones are hidden. Both steps drop older rows before they shuffle.
     """
-    newest = [F.desc("version_ts"), F.desc("version_seq"), F.asc("path")]
+    newest = [F.desc("version_ts"), F.desc("version_seq"), F.asc("path"), *(F.asc(c) for c in ROW if c in versions.columns)]
     item = F.coalesce(F.concat(F.lit("post "), "post_id"), F.concat(F.lit("path "), "path"))
     by_item = Window.partitionBy("site", "_item").orderBy(*newest)
     by_path = Window.partitionBy("site", "path").orderBy(*newest)
@@ -65,26 +85,50 @@ def current(versions: DataFrame) -> DataFrame:
     )
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """All versions with the place of each row."""
+    rows = spark.read.schema(f"{SCHEMA}, bucket int").parquet(path)
+    return rows.select(*COLUMNS, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
 def scan_mirror(spark: SparkSession, path: str) -> DataFrame:
-    """Current documents; names that start with '_' are summaries, not documents."""
-    documents = current(read_versions(spark, path))
-    return documents.where(~F.regexp_extract("path", r"([^/]*)\z", 1).startswith("_"))
+    """Current documents; names that start with '_' are summaries, not documents.
+
+    Versions are ranked on narrow columns. The rows that don't count are the side of an
+    anti join, so texts are neither sorted nor ranked; as long as few rows are outdated,
+    texts are not shuffled either.
+    """
+    rows = _stored(spark, path)
+    summary = F.regexp_extract("path", r"([^/]*)\z", 1).startswith("_")
+    narrow = rows.select("site", "path", "post_id", "version_ts", "version_seq", "is_deleted", *ROW)
+    counting = current(narrow).where(~summary).select(*ROW)
+    outdated = narrow.select(*ROW).join(counting, list(ROW), "left_anti")
+    return rows.join(outdated, list(ROW), "left_anti").select(*COLUMNS)
 
 
 def compact_mirror(spark: SparkSession, path: str, target: str) -> None:
     """Write the current documents to a new table; readers switch folders."""
-    write_mirror(current(read_versions(spark, path)), target)
+    write_mirror(scan_mirror(spark, path), target)
+
+
+def newer_than(versions: DataFrame, since) -> DataFrame:
+    """Documents newer than the copy a client already holds.
+
+    Older versions are dropped first, a filter that reaches the scan: what replaces a
+    newer version is newer still.
+    """
+    return current(versions.where(F.col("version_ts") > F.lit(since).cast("timestamp_ntz")))
 
 
-def changed_since(mirror: DataFrame, since) -> DataFrame:
-    """Documents newer than the copy a client already holds."""
-    return mirror.where(F.col("version_ts") > F.lit(since).cast("timestamp_ntz"))
+def changed_since(spark: SparkSession, path: str, since) -> DataFrame:
+    """``newer_than`` over a stored mirror."""
+    return newer_than(_stored(spark, path), since).select(*COLUMNS)
 
 
-def scan_tree(spark: SparkSession, root: str) -> DataFrame:
+def scan_tree(spark: SparkSession, root: str, names: str = "*.[mM][dD]") -> DataFrame:
     """Documents of an existing tree of Markdown files: path, title, url, document."""
     files = (
-        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.[mM][dD]")
+        spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=names)
         .select(F.col("value").alias("document"), F.col("_metadata.file_path").alias("file"))
     )
     # '+' is a plain character in a file address

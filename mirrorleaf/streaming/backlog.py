@@ -9,15 +9,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mirrorleaf.config import MirrorConfig
-from mirrorleaf.session import limit_python_batches
+from mirrorleaf.operators.ranking import latest_per_path
+from mirrorleaf.plans.generate import POSITION
+from mirrorleaf.plans.site_docs import write_site_documents
+from mirrorleaf.sources.store import scan_mirror, write_mirror
 
+FILE_ROWS = 100_000
 
-def write_backlog(queue: DataFrame, path: str, cfg: MirrorConfig) -> None:
-    """Store queued items, at most ``cfg.batch_size`` per file."""
-    queue.write.mode("append").option("maxRecordsPerFile", cfg.batch_size).parquet(path)
+
+def write_backlog(queue: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
+    """Store queued items, at most ``file_rows`` per file: the smallest step there can be."""
+    queue.write.mode("append").option("maxRecordsPerFile", file_rows).parquet(path)
 
 
 def backlog_stream(
@@ -30,18 +36,31 @@ def backlog_stream(
     cfg: MirrorConfig,
     drain: bool = False,
     files_per_step: int = 1,
+    mirror_path: str | None = None,
+    run_ts: str | None = None,
 ) -> StreamingQuery:
-    """Process the backlog step by step and append the outcomes.
+    """Process the backlog step by step; store outcomes and, with ``mirror_path``, documents.
 
     With ``drain`` all steps run without a pause, else a step starts every
     ``cfg.batch_delay`` minutes. Each step writes its own folder, so a step that
-    is replayed after a failure replaces what it wrote before.
+    is replayed after a failure replaces what it wrote before; documents of a replay
+    equal those there are. A later step's document of a path replaces an earlier one's.
     """
-    limit_python_batches(spark)
     items = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_step).parquet(path)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        process(batch).write.mode("overwrite").parquet(f"{outcome_path}/step={batch_id}")
+        folder = f"{outcome_path}/step={batch_id}"
+        done = process(batch)
+        done.write.mode("overwrite").parquet(folder)
+        if mirror_path is not None:
+            stored = batch.sparkSession.read.schema(done.schema).parquet(folder)
+            documents = latest_per_path(stored.where(F.col("reason").isNull()), POSITION)
+            versions = {
+                "version_ts": F.lit(run_ts).cast("timestamp_ntz"),
+                "version_seq": F.lit(batch_id).cast("bigint"),
+                "is_deleted": F.lit(False),
+            }
+            write_mirror(documents.withColumns(versions), mirror_path)
 
     trigger = {"availableNow": True} if drain else {"processingTime": f"{cfg.batch_delay} minutes"}
     return (
@@ -50,3 +69,10 @@ def backlog_stream(
         .trigger(**trigger)
         .start()
     )
+
+
+def finish(
+    spark: SparkSession, mirror_path: str, sites: DataFrame, posts: DataFrame, cfg: MirrorConfig, run_ts: str, folder: str
+) -> None:
+    """What follows an empty backlog: index, export and summary of every site."""
+    write_site_documents(scan_mirror(spark, mirror_path), sites, posts, cfg, run_ts, folder)

@@ -11,11 +11,15 @@ from pyspark.sql.streaming import StreamingQuery
 from mirrorleaf.config import MirrorConfig
 from mirrorleaf.operators.filters import real_edits
 from mirrorleaf.plans.generate import post_outcomes
-from mirrorleaf.session import limit_python_batches, persist_table
-from mirrorleaf.sources.store import COLUMNS, write_mirror
+from mirrorleaf.session import folder_exists, remove_folder, store_table
+from mirrorleaf.sources.store import COLUMNS, scan_mirror, with_bytes, write_mirror
 
-# Up to so many changed posts are looked up by id instead of by a join alone.
-PUSHED_IDS = 1000
+# A table, or a function that reads it anew: a stream that runs for long needs the latter.
+Source = DataFrame | Callable[[], DataFrame]
+
+
+def _read(source: Source) -> DataFrame:
+    return source() if callable(source) else source
 
 
 def newest_changes(changes: DataFrame) -> DataFrame:
@@ -51,36 +55,48 @@ def version_rows(newest: DataFrame, posts: DataFrame, pages: DataFrame, cfg: Mir
         c: F.when(F.col("is_deleted"), F.lit("")).otherwise(F.col(c)) for c in ("title", "front_matter", "markdown")
     }
     wanted = done.where(F.col("is_deleted") | F.col("reason").isNull())
-    return wanted.withColumns(empty).select(*COLUMNS)
+    return with_bytes(wanted.withColumns(empty))
 
 
-def only_changed(posts: DataFrame, newest: DataFrame) -> DataFrame:
-    """Posts that may have changed. Few ids become a filter that reaches the scan."""
-    ids = [row.post_id for row in newest.select("post_id").limit(PUSHED_IDS + 1).collect()]
-    return posts if len(ids) > PUSHED_IDS else posts.where(F.col("post_id").isin(ids))
+def tombstones(newest: DataFrame, posts: DataFrame, documents: DataFrame) -> DataFrame:
+    """Deletions of posts that are no longer in ``posts``, at the places of their ``documents``."""
+    gone = newest.where(F.col("op") == "delete").join(posts.select("post_id"), "post_id", "left_anti")
+    placed = documents.select("site", "path", "url", "kind", "post_id").join(gone.drop("op"), "post_id")
+    empty = {c: F.lit("") for c in ("title", "front_matter", "markdown")}
+    return with_bytes(placed.withColumns(empty).withColumn("is_deleted", F.lit(True)))
 
 
-def refresh_batch(posts: DataFrame, pages: DataFrame, mirror_path: str, cfg: MirrorConfig) -> Callable:
+def refresh_batch(posts: Source, pages: Source, mirror_path: str, cfg: MirrorConfig) -> Callable:
     """Handler of one micro-batch. Replays append equal versions, which readers absorb."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        newest = persist_table(batch.sparkSession, newest_changes(batch), "changes")
-        write_mirror(version_rows(newest, only_changed(posts, newest), pages, cfg), mirror_path)
+        spark = batch.sparkSession
+        newest, folder = store_table(spark, newest_changes(batch), "changes")
+        known = _read(posts)
+        changed = known.join(newest.select("post_id"), "post_id", "left_semi")
+        rows = version_rows(newest, changed, _read(pages), cfg)
+        if folder_exists(spark, mirror_path):
+            rows = rows.unionByName(tombstones(newest, known, scan_mirror(spark, mirror_path)))
+        write_mirror(rows.select(*COLUMNS), mirror_path)
+        remove_folder(spark, folder)
 
     return handle
 
 
 def refresh_stream(
     changes: DataFrame,
-    posts: DataFrame,
-    pages: DataFrame,
+    posts: Source,
+    pages: Source,
     mirror_path: str,
     checkpoint: str,
     cfg: MirrorConfig,
     **trigger,
 ) -> StreamingQuery:
-    """Start the refresh; ``trigger`` is passed on, ``availableNow=True`` drains."""
-    limit_python_batches(changes.sparkSession)
+    """Start the refresh; ``trigger`` is passed on, ``availableNow=True`` drains.
+
+    Pass functions for ``posts`` and ``pages`` if these tables change while the stream
+    runs; each micro-batch calls them.
+    """
     return (
         changes.writeStream.foreachBatch(refresh_batch(posts, pages, mirror_path, cfg))
         .option("checkpointLocation", checkpoint)

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorleaf.config import MARKDOWN_TYPES, MirrorConfig
 from mirrorleaf.functions.text import as_col
 from mirrorleaf.functions.urls import path_key, url_host, url_path
 from mirrorleaf.operators.entities import missing, resolve_targets
-from mirrorleaf.operators.render import newest_pages
-from mirrorleaf.plans.generate import page_outcomes
+from mirrorleaf.plans.regenerate import Tables, log_of, store_outcomes, target, target_outcomes
+from mirrorleaf.session import folder_exists, persist_table
+from mirrorleaf.sources.store import SCHEMA, scan_mirror
 
 
 def wants_markdown(uri: Column | str, accept: Column | str) -> Column:
@@ -59,22 +60,43 @@ def lookup(requests: DataFrame, mirror: DataFrame) -> DataFrame:
     return missing(beside, mirror).withColumn("path", F.col("_key")).drop("_key")
 
 
+def fill_targets(requests: DataFrame, mirror: DataFrame, tables: Tables, cfg: MirrorConfig) -> DataFrame:
+    """What each missing key resolves to: a post, a homepage, a term or a page.
+
+    Ready for ``target_outcomes``; the order of the keys decides between documents that
+    fall on one path.
+    """
+    wanted = lookup(requests, mirror).select("url")
+    found = resolve_targets(wanted, tables.posts, tables.terms if cfg.include_taxonomies else None, tables.sites)
+    return found.drop("path").select(
+        F.lit("request").alias("item_kind"),
+        F.lit(0).cast("bigint").alias("item_id"),
+        F.col("url").alias("label"),
+        F.lit(0).alias("kind_rank"),
+        F.array("url").alias("ord"),
+        "kind",
+        "target_id",
+        "site",
+        "url",
+        target(F.col("kind"), F.col("target_id"), F.col("site"), F.col("url")).alias("target"),
+    )
+
+
 def fill_missing(
+    spark: SparkSession,
     requests: DataFrame,
-    mirror: DataFrame,
-    pages: DataFrame,
-    posts: DataFrame,
-    terms: DataFrame | None,
-    sites: DataFrame,
+    mirror_path: str,
+    tables: Tables,
     cfg: MirrorConfig,
-) -> tuple[DataFrame, DataFrame]:
-    """(targets, outcomes): what each missing key resolves to, and the generic pages made for them.
+    run_id: str,
+    run_ts,
+) -> DataFrame:
+    """Make what is asked for and missing, add it to the mirror, and log every key.
 
-    Posts, homepages and terms among the targets go through their own jobs.
-    Outcomes without a page body are misses and carry the reason.
+    Keys without a document are misses: their log line carries the reason.
     """
-    targets = resolve_targets(
-        lookup(requests, mirror).select("url"), posts, terms if cfg.include_taxonomies else None, sites
-    )
-    generic = targets.where(F.col("kind") == "generic").select("url")
-    return targets, page_outcomes(newest_pages(generic, pages), cfg, kind="archive")
+    held = scan_mirror(spark, mirror_path) if folder_exists(spark, mirror_path) else spark.createDataFrame([], SCHEMA)
+    targets = persist_table(spark, fill_targets(requests, held, tables, cfg), "targets")
+    outcomes = target_outcomes(targets, tables, cfg, page_kind="archive", variant="B")
+    stored = store_outcomes(spark, targets, outcomes, run_ts, mirror_path)
+    return log_of(targets, stored, run_id, run_ts)

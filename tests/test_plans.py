@@ -106,7 +106,8 @@ def test_archives_without_posts(spark):
 
 
 def written(folder, pattern):
-    return "".join(open(f, encoding="utf-8", newline="").read() for f in sorted(glob.glob(f"{folder}/{pattern}/part-*")))
+    files = sorted(glob.glob(f"{folder}/bucket=*/{pattern}/part-*"))
+    return "".join(open(f, encoding="utf-8", newline="").read() for f in files)
 
 
 def test_index_and_export_files(spark):
@@ -118,17 +119,17 @@ def test_index_and_export_files(spark):
         for r in mirror.where(F.col("site") == site).select("path", "title", "url", document().alias("doc")).collect()
     )
     folder = work_folder(spark, "index")
-    site_docs.write_lines(site_docs.site_index(mirror, sites, workload.RUN_TS, bucket_rows=3), folder, ["seq"])
+    site_docs.write_lines(site_docs.site_index(mirror, sites, workload.RUN_TS, parts=7), folder, ["seq"])
     expected = f"# Sitemap — Site {site}\n\nGenerated: {workload.RUN_TS}\n\n"
     expected += "".join(f"- [{t}]({u}) — `{p}`\n" for p, t, u, _ in documents)
     assert written(folder, f"site={site}") == expected
 
     folder = work_folder(spark, "export")
-    export = site_docs.full_export(mirror, sites, workload.RUN_TS, shard_bytes=3000, bucket_rows=3)
+    export = site_docs.full_export(mirror, sites, workload.RUN_TS, shard_bytes=3000, parts=7)
     site_docs.write_export(export, folder)
     expected = f"# Complete Content — Site {site}\n\nGenerated: {workload.RUN_TS}\nTotal pages: {len(documents)}\n\n---\n\n"
     expected += "".join(f"<!-- Source: {p} -->\n\n{d}\n\n---\n\n" for p, _, _, d in documents)
-    shards = sorted(int(f.rsplit("=", 1)[1]) for f in glob.glob(f"{folder}/site={site}/shard=*"))
+    shards = sorted(int(f.rsplit("=", 1)[1]) for f in glob.glob(f"{folder}/bucket=*/site={site}/shard=*"))
     assert len(shards) > 2
     assert "".join(written(folder, f"site={site}/shard={n}") for n in shards) == expected
 
@@ -142,7 +143,7 @@ def test_documents_after_a_run(spark):
     assert written(f"{folder}/index", "site=h.e").endswith(
         "- [T1](https://h.e/p1/) — `p1/index.md`\n- [T2](https://h.e/p2/) — `p2/index.md`\n"
     )
-    assert "Total pages: 2" in written(f"{folder}/full/site=h.e", "shard=0")
+    assert "Total pages: 2" in written(f"{folder}/full", "site=h.e/shard=0")
     assert written(f"{folder}/summary", "site=h.e").startswith("# Name\n\n> Desc\n")
 
     folder = work_folder(spark, "site")
@@ -163,7 +164,7 @@ def test_summary_text(spark):
         post(6, post_status="draft"),
     )
     sites = spark.createDataFrame([SITE], SITE_SCHEMA)
-    lines = site_docs.site_summary(posts, sites, MirrorConfig(), bucket_rows=1)
+    lines = site_docs.site_summary(posts, sites, MirrorConfig(), parts=3)
     text = "\n".join(r.line for r in lines.orderBy("site", "section_rank", "seq").collect())
     assert text == f"""# Name
 

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from workload.queries import ORACLES, QUERIES
 from workload.views import TABLES, VIEWS, duckdb_with, view
 
 SF = "/root/testdata/sf0.001"
@@ -29,16 +30,17 @@ def test_view_is_equal_on_both_engines(spark, duck, name):
     assert rows_of(ours.collect(), ours.columns) == rows_of(theirs.fetchall(), theirs.columns)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    ours = queries()[name](spark, SF)
-    theirs = duck.sql(oracle_sql()[name])
+    ours = QUERIES[name](spark, SF)
+    theirs = duck.sql(ORACLES[name])
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert rows_of(ours.collect(), ours.columns) == rows_of(theirs.fetchall(), theirs.columns)
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):

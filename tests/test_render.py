@@ -1,5 +1,7 @@
 """One small page per rendering rule."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -171,3 +173,22 @@ def test_choose_html(spark):
 def test_clean_html_keeps_other_text(spark):
     df = spark.createDataFrame([("a<style>x</style><b>c</b>\r<scriptlike>z",)], "h string")
     assert df.select(clean_html("h").alias("c")).first().c == "a<b>c</b>\n<scriptlike>z"
+
+
+@pytest.mark.parametrize("page", [
+    "<font>" * 60_000 + "<p>x" * 160_000,
+    "<ul><li>x" * 110_000,
+    "<table><tr><td>" * 65_000,
+    "<p><li>" + "<b>" * 500 + "<div>x</div>" * 80_000,
+    "<div>" * 100_000 + "text " * 100_000,
+    "<i><div>" + "<b>" * 400 + "</i>" * 250_000,
+])
+def test_a_page_of_a_megabyte_takes_seconds(page):
+    start = time.process_time()
+    fold(page)
+    assert time.process_time() - start < 5
+
+
+def test_text_below_the_greatest_depth_stays():
+    deep = "<div>" * 2000 + "a<p>b</p>c" + "</div>" * 2000 + "<p>after"
+    assert [x for x in fold(deep).split() if x] == ["a", "b", "c", "after"]

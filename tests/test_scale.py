@@ -1,6 +1,7 @@
 """Skewed groups and the shape of plans."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import Window
@@ -12,6 +13,7 @@ from mirrorleaf.operators.ordered import running_total
 from mirrorleaf.operators.render import spread
 from mirrorleaf.plans import generate, site_docs
 from mirrorleaf.session import work_folder
+from mirrorleaf.sources import store
 from workload import queries as workload
 from workload.views import view
 
@@ -33,21 +35,40 @@ def skewed(spark, n=3000):
     )
 
 
-@pytest.mark.parametrize("bucket_rows", [3, 50, 1_000_000])
-def test_running_total(spark, bucket_rows):
+@pytest.mark.parametrize("parts", [1, 5, 40, None])
+def test_running_total(spark, parts):
     df = skewed(spark)
     window = Window.partitionBy("site").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
     expected = df.select("post_id", F.sum("bytes").over(window).alias("t"))
-    got = running_total(df, "site", "path", F.col("bytes"), "t", bucket_rows)
+    got = running_total(df, "site", "path", F.col("bytes"), "t", parts)
     assert got.count() == df.count()
     assert sorted(got.select("post_id", "t").collect()) == sorted(expected.collect())
 
 
 def test_running_total_splits_a_hot_group(spark):
-    got = running_total(skewed(spark), "site", "path", F.col("bytes"), "t", 50)
-    # the only windows over documents are bounded by a bucket
-    for line in re.findall(r"Window \[.*", plan_of(got)):
-        assert "_bucket" in line
+    got = running_total(skewed(spark), "site", "path", F.col("bytes"), "t", 20)
+    plan = plan_of(got)
+    # the only windows over documents are bounded by a range, and no row carries a list of marks
+    for line in re.findall(r"Window \[.*", plan):
+        assert "_part" in line
+    assert "collect_set" not in plan and "filter(" not in plan
+
+
+def test_running_total_of_one_large_site_is_linear(spark):
+    df = spark.range(1_000_000).select(
+        F.lit("s").alias("site"), F.xxhash64("id").cast("string").alias("path"), F.lit(1).alias("one")
+    ).distinct()
+
+    def seconds(frame):
+        start = time.perf_counter()
+        frame.write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    window = Window.partitionBy("site").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
+    plain = min(seconds(df.withColumn("n", F.sum("one").over(window))) for _ in range(2))
+    start = time.perf_counter()
+    running_total(df, "site", "path", F.col("one"), "n").write.format("noop").mode("overwrite").save()
+    assert time.perf_counter() - start < 2 * plain + 5  # some seconds for the table it writes
 
 
 def test_top_per_group(spark):
@@ -59,27 +80,37 @@ def test_top_per_group(spark):
     assert "WindowGroupLimit" in plan_of(got)
 
 
-def test_latest_per_path_both_ways(spark, monkeypatch):
+def test_latest_per_path_both_ways(spark):
     stored = spark.range(900).select(
         F.lit("s").alias("site"),
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 400)).alias("path"),
         F.lit(1).alias("kind_rank"),
         F.col("id").alias("item_id"),
+        F.col("id").alias("row_id"),
     )
     order = ["kind_rank", "item_id"]
     expected = sorted(ranking.latest_per_path(stored, order).select("path", "item_id").collect())
-    small = ranking.drop_overwritten(stored, order)
-    assert "BroadcastHashJoin" in plan_of(small) and "Window" not in plan_of(small)
-    assert sorted(small.select("path", "item_id").collect()) == expected
-    monkeypatch.setattr(ranking, "BROADCAST_ROWS", 10)
-    large = ranking.drop_overwritten(stored, order)
-    assert "Broadcast" not in plan_of(large)
-    assert sorted(large.select("path", "item_id").collect()) == expected
+    got = ranking.drop_overwritten(stored, order)
+    assert sorted(got.select("path", "item_id").collect()) == expected
     assert dict(expected)["hot"] == 897
 
 
+@pytest.mark.parametrize("n", [2, 5000])
+def test_rows_of_equal_position_leave_one(spark, n):
+    """A page that was ingested twice, at any size."""
+    stored = spark.range(n * 2).select(
+        F.lit("s").alias("site"), F.concat(F.lit("p"), F.col("id") % n).alias("path"), F.lit(1).alias("kind_rank"),
+        (F.col("id") % n).alias("item_id"), F.col("id").alias("row_id"),
+    )
+    got = ranking.drop_overwritten(stored, ["kind_rank", "item_id"])
+    assert got.count() == n and got.agg(F.min("row_id")).first()[0] == n
+
+
 def test_no_query_joins_without_keys(spark):
-    heavy = {"expand_sitemaps", "build_queue", "refresh_stream", "removals", "backlog_stream"}
+    heavy = {
+        "expand_sitemaps", "build_queue", "refresh_stream", "removals", "backlog_stream", "backlog_index", "fill_missing",
+        "regenerate_mirror", "regenerate_log", "regenerate_status",
+    }
     for name, run in workload.QUERIES.items():
         if name not in heavy:
             plan = plan_of(run(spark, SF))
@@ -117,3 +148,16 @@ def test_run_renders_once_and_logs_everything(spark):
     assert log.count() == 50 and log.where("ok").count() == 40
     assert "ArrowEvalPython" not in plan_of(log)
     assert spark.read.parquet(folder).select("site", "path").distinct().count() == spark.read.parquet(folder).count()
+
+
+def test_mirror_is_ranked_without_its_texts(spark):
+    folder = work_folder(spark, "mirror")
+    store.write_mirror(workload.page_mirror(spark, SF), folder)
+    plan = plan_of(store.scan_mirror(spark, folder))
+    for line in re.findall(r"Exchange .*|Window.*", plan):
+        assert "markdown" not in line
+    # what a client asks for is dropped where it is read
+    plan = plan_of(store.changed_since(spark, folder, "2024-01-02 00:00:00"))
+    assert re.search(r"PushedFilters: \[[^]]*GreaterThan\(version_ts", plan)
+    plan = plan_of(store.read_versions(spark, folder, "h.e").select("path"))
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(site,h.e)" in plan

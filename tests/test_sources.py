@@ -1,5 +1,6 @@
 """Sitemaps, queue, mirror table, trees of files."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from mirrorleaf.config import ALWAYS_EXCLUDED, MirrorConfig
@@ -56,9 +57,24 @@ def test_expand_follows_own_site_and_ends_cycles(spark):
     assert sorted(map(tuple, got.collect())) == [
         ("h.e", "https://h.e/1"), ("h.e", "https://h.e/2?a=1&b=2"), ("h.e", "https://h.e/5"), ("i.e", "https://i.e/8"),
     ]
-    shallow = expand_sitemaps(sitemaps, roots, max_depth=1).where("site = 'h.e'")
-    # the last position of a URL counts: reading order of one level
-    assert [r.url for r in shallow.orderBy("ord").collect()] == ["https://h.e/1", "https://h.e/2?a=1&b=2"]
+    # a.xml is listed again behind d.xml: the later position counts
+    ordered = expand_sitemaps(sitemaps, roots).where("site = 'h.e'").orderBy("ord").collect()
+    assert [r.url for r in ordered] == ["https://h.e/5", "https://h.e/1", "https://h.e/2?a=1&b=2"]
+
+
+def test_expand_goes_to_any_depth(spark):
+    """A chain of twelve indexes that lists itself, a shared child and a prefixed document."""
+    name = lambda k: f"https://h.e/i{k}.xml"
+    rows = [("https://h.e/wp-sitemap.xml", index(name(0), "https://h.e/shared.xml"))]
+    rows += [(name(k), index(name(k + 1), name(max(0, k - 3)), f"https://h.e/u{k}.xml", "https://h.e/shared.xml")) for k in range(12)]
+    rows += [(f"https://h.e/u{k}.xml", urlset(f"https://h.e/{k}")) for k in range(12)]
+    rows += [("https://h.e/shared.xml", urlset("https://h.e/s"))]
+    prefixed = f"<x.y:urlset xmlns:x.y='{NAMESPACE}'><x.y:url><x.y:loc>https://h.e/p</x.y:loc></x.y:url></x.y:urlset>"
+    rows += [(name(12), prefixed)]
+    sitemaps = spark.createDataFrame(rows, "sitemap_url string, xml string")
+    sites = spark.createDataFrame(SITES[:1], "site string, home_url string")
+    got = expand_sitemaps(sitemaps, root_sitemaps(sites, sitemaps)).orderBy("ord").collect()
+    assert [r.url for r in got] == ["https://h.e/p", *(f"https://h.e/{k}" for k in reversed(range(12))), "https://h.e/s"]
 
 
 def test_queue_falls_back_per_site(spark):
@@ -75,7 +91,7 @@ def test_queue_falls_back_per_site(spark):
 
 def versions(spark, rows):
     full = [
-        (site, path, "u", "post", post, "t", "f", text, ts, seq, gone) for site, path, post, text, ts, seq, gone in rows
+        (site, path, "u", "post", post, "t", "f", text, 1, ts, seq, gone) for site, path, post, text, ts, seq, gone in rows
     ]
     return spark.createDataFrame(full, store.SCHEMA.replace("version_ts timestamp_ntz", "version_ts string")).withColumn(
         "version_ts", F.col("version_ts").cast("timestamp_ntz")
@@ -114,11 +130,13 @@ def test_mirror_write_read_compact(spark):
     store.write_mirror(rows, folder)
     documents = store.scan_mirror(spark, folder)
     assert documents.count() == 19
-    assert store.changed_since(documents, "2024-01-02 00:00:00").count() == 6
+    assert store.changed_since(spark, folder, "2024-01-02 00:00:00").count() == 6
+    assert {r.bytes for r in documents.collect()} == {2}
+    store.write_mirror(versions(spark, [("s", "p1/index.md", 1, "x", "2024-01-02 00:00:00", 1, False)]), folder)  # a replay
+    assert store.scan_mirror(spark, folder).count() == 19
     store.compact_mirror(spark, folder, folder + "-compact")
-    assert store.read_versions(spark, folder + "-compact").count() == 20
-    plan = store.read_versions(spark, folder).where("site = 's'").select("path")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(site" in plan and "ReadSchema: struct<path:string>" in plan
+    assert store.read_versions(spark, folder + "-compact").count() == 19
+    assert store.read_versions(spark, folder, "t").count() == 1
 
 
 def test_scan_tree(spark, tmp_path):
@@ -134,7 +152,9 @@ def test_scan_tree(spark, tmp_path):
 
 
 def test_config_bounds():
-    cfg = MirrorConfig(batch_size=1000, batch_delay=0, exclude_urls=" a \n\n b")
-    assert (cfg.batch_size, cfg.batch_delay) == (100, 1)
+    for delay in (0, 31):
+        with pytest.raises(ValueError):
+            MirrorConfig(batch_delay=delay)
+    cfg = MirrorConfig(exclude_urls=" a \n\n b")
     assert cfg.exclusions == ("a", "b", *ALWAYS_EXCLUDED)
     assert not MirrorConfig(append_json_schema=True).appends_structured_data

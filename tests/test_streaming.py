@@ -8,7 +8,8 @@ from mirrorleaf.session import work_folder
 from mirrorleaf.sources import store
 from mirrorleaf.streaming import backlog, refresh, requests
 from tests.conftest import column
-from tests.test_plans import pages_of, post, posts_of
+from mirrorleaf.plans.regenerate import Tables
+from tests.test_plans import SITE_SCHEMA, pages_of, post, posts_of
 
 CHANGES = "change_id bigint, ts timestamp_ntz, post_id bigint, op string"
 
@@ -67,6 +68,34 @@ def test_rename_and_rejected_save(spark):
     assert shown(spark, mirror) == {}
 
 
+def test_a_running_stream_sees_new_and_rewritten_tables(spark, tmp_path):
+    table, mirror, changes = (str(tmp_path / n) for n in ("posts", "mirror", "changes"))
+    put = lambda mode, *rows: posts_of(spark, *rows).write.mode(mode).parquet(table)
+    schema = posts_of(spark, post(1)).schema
+    put("overwrite", post(1))
+    changes_of(spark, [(0, "2024-01-01 00:00:00", 99, "save")]).write.parquet(changes)
+    stream = spark.readStream.schema(CHANGES).parquet(changes)
+    query = refresh.refresh_stream(
+        stream, lambda: spark.read.schema(schema).parquet(table), lambda: pages_of(spark), mirror,
+        work_folder(spark, "checkpoint"), MirrorConfig(), processingTime="0 seconds",
+    )
+
+    def tell(k, *rows):
+        changes_of(spark, [(k, f"2024-01-01 00:00:{k:02d}", i, op) for i, op in rows]).coalesce(1).write.mode("append").parquet(changes)
+        query.processAllAvailable()
+
+    try:
+        tell(1, (1, "save"))
+        put("append", post(2))
+        tell(2, (2, "save"))
+        assert shown(spark, mirror) == {"p1/index.md": "Body 1", "p2/index.md": "Body 2"}
+        put("overwrite", post(2, body="edited"))  # post 1 is gone for good
+        tell(3, (2, "save"), (1, "delete"))
+        assert shown(spark, mirror) == {"p2/index.md": "edited"}
+    finally:
+        query.stop()
+
+
 def test_refresh_switched_off(spark):
     posts = posts_of(spark, post(1), post(2))
     mirror = drain(spark, [FILES[0]], posts)
@@ -76,9 +105,9 @@ def test_refresh_switched_off(spark):
 
 def test_backlog_steps(spark):
     folder = work_folder(spark, "backlog")
-    cfg = MirrorConfig(batch_size=4)
+    cfg = MirrorConfig()
     queue = spark.range(10).withColumnRenamed("id", "item_id").coalesce(1)
-    backlog.write_backlog(queue, f"{folder}/queue", cfg)
+    backlog.write_backlog(queue, f"{folder}/queue", file_rows=4)
     process = lambda batch: batch.withColumn("reason", F.when(F.col("item_id") == 3, "no"))
     backlog.backlog_stream(
         spark, f"{folder}/queue", queue.schema, process, f"{folder}/done", f"{folder}/checkpoint", cfg, drain=True
@@ -111,11 +140,28 @@ def test_requests(spark):
     assert sorted(map(tuple, missing.select("path", "url").collect())) == [
         ("b/index.md", "https://h.e/b"), ("e/index.md", "https://h.e/e#f"), ("index.md", "https://h.e/"), ("p1/index.md", "https://h.e/p1"),
     ]
-    sites = spark.createDataFrame([("h.e", "https://h.e")], "site string, home_url string")
-    terms = spark.createDataFrame([(7, "category", "https://H.e/b/?q")], "term_id int, taxonomy string, url string")
+    sites = spark.createDataFrame([("h.e", "https://h.e", "Name", "About", "cs")], SITE_SCHEMA)
+    terms = spark.createDataFrame(
+        [(7, "category", "Cat", "", "https://H.e/b/?q")], "term_id int, taxonomy string, name string, description string, url string"
+    )
+    authors = spark.createDataFrame([], "author_id int, display_name string, bio string, url string")
+    bridge = spark.createDataFrame([(1, 7)], "post_id bigint, term_id int")
     pages = pages_of(spark, (1, "https://h.e/e#f", "<p>made"))
-    targets, made = requests.fill_missing(asked, mirror, pages, posts_of(spark, post(1)), terms, sites, MirrorConfig())
-    assert {r.url: (r.kind, r.target_id) for r in targets.collect()} == {
+    tables = Tables(posts_of(spark, post(1)), pages, bridge, terms, authors, sites)
+    targets = requests.fill_targets(asked, mirror, tables, MirrorConfig()).collect()
+    assert {r.url: (r.kind, r.target_id) for r in targets} == {
         "https://h.e/b": ("term", 7), "https://h.e/e#f": ("generic", None), "https://h.e/": ("homepage", None), "https://h.e/p1": ("post", 1),
     }
-    assert [(r.kind, r.markdown, r.reason) for r in made.collect()] == [("archive", "made", None)]
+    asked = asked.unionByName(spark.createDataFrame([(13, "https://h.e/lost", "text/markdown")], asked.schema))
+    folder = work_folder(spark, "fill")
+    log = requests.fill_missing(spark, asked, folder, tables, MirrorConfig(), "r", "2024-01-01 00:00:00")
+    documents = {r.path: (r.kind, r.markdown) for r in store.scan_mirror(spark, folder).collect()}
+    assert {p: k for p, (k, _) in documents.items()} == {
+        "b/index.md": "taxonomy_archive", "e/index.md": "archive", "index.md": "homepage", "p1/index.md": "post",
+    }
+    assert documents["e/index.md"][1] == "made" and documents["p1/index.md"][1] == "Body 1"
+    misses = {r.label: r.reason for r in log.where("not ok").collect()}
+    assert set(misses) == {"https://h.e/lost", "https://h.e/a?x=1&y=2", "https://h.e/g", "https://h.e/c", "https://h.e/d"} & set(misses)
+    assert misses["https://h.e/lost"] == "HTTP Fetch returned empty body."
+    # what is there now is not made again
+    assert requests.lookup(asked, store.scan_mirror(spark, folder)).where("path = 'p1/index.md'").count() == 0

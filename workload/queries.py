@@ -13,8 +13,8 @@ from mirrorleaf.functions import text as T
 from mirrorleaf.functions import urls as U
 from mirrorleaf.functions.front_matter import yaml_escape
 from mirrorleaf.operators import entities, filters, ranking, render, stats, structured
-from mirrorleaf.plans import archives, generate, queue, site_docs
-from mirrorleaf.session import limit_python_batches, persist_table, work_folder
+from mirrorleaf.plans import archives, generate, queue, regenerate, site_docs
+from mirrorleaf.session import persist_table, work_folder
 from mirrorleaf.sources import pages as page_source
 from mirrorleaf.sources import sitemaps as sitemap_source
 from mirrorleaf.sources import store
@@ -25,6 +25,7 @@ from workload.views import HOST, SCHEMAS, duckdb_with, table, view
 RUN_TS = "2025-01-01 00:00:00"
 CFG = MirrorConfig(include_authors=True)
 NO_SPANISH = MirrorConfig(exclude_urls="\n /es/ \n")
+NO_SPANISH_POSTS = MirrorConfig(exclude_urls="example.com/es/", exclude_generic=False)
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
@@ -32,14 +33,10 @@ ORACLES: dict[str, str] = {}
 
 def query(oracle: str | None = None):
     def add(function: Query) -> Query:
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            limit_python_batches(spark)
-            return function(spark, sf_dir)
-
-        QUERIES[function.__name__] = run
+        QUERIES[function.__name__] = function
         if oracle is not None:
             ORACLES[function.__name__] = oracle
-        return run
+        return function
 
     return add
 
@@ -65,10 +62,6 @@ def enriched_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.enrich(posts, v("authors"), v("post_topics"), v("topics"), v("media"))
 
 
-def no_pages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "page_id bigint, url string, html string")
-
-
 # ---- sources and sinks -------------------------------------------------------
 
 
@@ -250,7 +243,7 @@ def real_edits(spark, sf_dir):
 
 TARGET_URLS = """
 SELECT url FROM {pages}
-UNION ALL SELECT concat(permalink, '?ref=', cast(post_id AS {S})) FROM posts WHERE post_id % 2 = 0
+UNION ALL SELECT concat(permalink, '?ref=', cast(post_id AS {S})) FROM posts
 UNION ALL SELECT home_url FROM post_sites
 UNION ALL SELECT concat(url, '?x=1') FROM terms
 UNION ALL SELECT replace(url, 'https://www.', 'http://WWW.') FROM terms"""
@@ -366,7 +359,7 @@ _LOG = duckdb_with(S.POST_VIEWS, S.NAMES, S.ENRICHED, S.POST_DOCS)
 
 
 def post_log(spark, sf_dir, cfg=NO_SPANISH) -> DataFrame:
-    done = generate.post_outcomes(enriched_posts(spark, sf_dir), no_pages(spark), cfg)
+    done = generate.post_outcomes(enriched_posts(spark, sf_dir), view(spark, sf_dir, "post_pages"), cfg)
     return generate.run_log(done, "run-1", RUN_TS)
 
 
@@ -492,7 +485,7 @@ def slug_titles(spark, sf_dir):
     + f"SELECT post_id, {S.POST_FRONT_MATTER} AS front_matter FROM enriched WHERE post_status = 'publish' AND post_type IN ('post', 'page')"
 )
 def post_front_matter(spark, sf_dir):
-    done = generate.post_outcomes(enriched_posts(spark, sf_dir), no_pages(spark), CFG)
+    done = generate.post_outcomes(enriched_posts(spark, sf_dir), view(spark, sf_dir, "post_pages"), CFG)
     return done.where(F.col("reason").isNull()).select("post_id", "front_matter")
 
 
@@ -562,8 +555,7 @@ def plain_text(spark, sf_dir):
       '- [' || title || '](' || url || ') — `' || path || '`' FROM mirror"""
 )
 def site_index(spark, sf_dir):
-    # small buckets, so that the test data crosses them as a large site would
-    return site_docs.site_index(page_mirror(spark, sf_dir), view(spark, sf_dir, "sites"), RUN_TS, bucket_rows=20)
+    return site_docs.site_index(page_mirror(spark, sf_dir), view(spark, sf_dir, "sites"), RUN_TS)
 
 
 @query(
@@ -571,14 +563,11 @@ def site_index(spark, sf_dir):
     + f"""SELECT site, 0::BIGINT AS shard, '' AS path,
       '# Complete Content — ' || name || {S.NL} || {S.NL} || 'Generated: {RUN_TS}' || {S.NL} || 'Total pages: ' || pages::VARCHAR || {S.NL} || {S.NL} || '---' || {S.NL} || {S.NL} AS chunk
       FROM sites JOIN (SELECT site, count(*) AS pages FROM mirror GROUP BY site) USING (site)
-    UNION ALL SELECT site, (sum(strlen(front_matter || markdown)) OVER (PARTITION BY site ORDER BY encode(path)) // 20000)::BIGINT, path,
+    UNION ALL SELECT site, (sum(strlen(front_matter || markdown)) OVER (PARTITION BY site ORDER BY encode(path)) // {site_docs.SHARD_BYTES})::BIGINT, path,
       '<!-- Source: ' || path || ' -->' || {S.NL} || {S.NL} || front_matter || markdown || {S.NL} || {S.NL} || '---' || {S.NL} || {S.NL} FROM mirror"""
 )
 def full_export(spark, sf_dir):
-    mirror = page_mirror(spark, sf_dir)
-    return site_docs.full_export(
-        mirror, view(spark, sf_dir, "sites"), RUN_TS, shard_bytes=20_000, bucket_rows=20
-    )
+    return site_docs.full_export(page_mirror(spark, sf_dir), view(spark, sf_dir, "sites"), RUN_TS)
 
 
 @query(
@@ -637,7 +626,7 @@ def _summary_sql() -> str:
 def site_summary(spark, sf_dir):
     types = spark.createDataFrame([("product", "Products", "shop/")], "post_type string, label string, archive_path string")
     return site_docs.site_summary(
-        spread_view(spark, sf_dir, "posts"), view(spark, sf_dir, "post_sites"), CFG, types, bucket_rows=5
+        spread_view(spark, sf_dir, "posts"), view(spark, sf_dir, "post_sites"), CFG, types
     )
 
 
@@ -838,7 +827,7 @@ def change_stream(spark, sf_dir) -> DataFrame:
 def refresh_stream(spark, sf_dir):
     folder = work_folder(spark, "refresh")
     started = refresh.refresh_stream(
-        change_stream(spark, sf_dir), enriched_posts(spark, sf_dir), no_pages(spark),
+        change_stream(spark, sf_dir), lambda: enriched_posts(spark, sf_dir), lambda: view(spark, sf_dir, "post_pages"),
         f"{folder}/mirror", f"{folder}/checkpoint", NO_SPANISH,
     )
     started.awaitTermination()
@@ -849,42 +838,62 @@ def refresh_stream(spark, sf_dir):
 
 @query(
     duckdb_with(["changes", *S.POST_VIEWS], _NEWEST, S.NAMES, S.ENRICHED, S.POST_DOCS)
-    + """SELECT site, path, post_id, version_ts IS NOT NULL AS touched FROM post_docs LEFT JOIN newest USING (post_id)
+    + """SELECT site, path, post_id, version_ts IS NOT NULL AND post_id % 5 <> 2 AS touched FROM post_docs LEFT JOIN newest USING (post_id)
     WHERE reason IS NULL AND coalesce(op, 'save') = 'save'"""
 )
 def removals(spark, sf_dir):
-    """A full mirror of the posts, then all changes on top of it."""
-    posts = enriched_posts(spark, sf_dir)
+    """A full mirror of the posts, then all changes on top of it; a fifth of the posts is gone by then."""
+    posts, pages = enriched_posts(spark, sf_dir), view(spark, sf_dir, "post_pages")
     folder = work_folder(spark, "removals")
-    base = generate.mirror_rows(generate.post_outcomes(posts, no_pages(spark), NO_SPANISH), "2023-01-01 00:00:00")
+    base = generate.mirror_rows(generate.post_outcomes(posts, pages, NO_SPANISH), "2023-01-01 00:00:00")
     store.write_mirror(base, folder)
-    newest = refresh.newest_changes(view(spark, sf_dir, "changes"))
-    store.write_mirror(refresh.version_rows(newest, posts, no_pages(spark), NO_SPANISH), folder)
+    handle = refresh.refresh_batch(posts.where("post_id % 5 <> 2"), pages, folder, NO_SPANISH)
+    handle(view(spark, sf_dir, "changes"), 0)
     touched = (F.col("version_ts") > F.lit("2023-01-01").cast("timestamp_ntz")).alias("touched")
     return store.scan_mirror(spark, folder).select("site", "path", "post_id", touched)
 
 
-@query(_LOG + "SELECT post_id AS item_id, reason IS NULL AS ok, reason, path, CASE WHEN reason IS NULL THEN markdown ELSE '' END AS markdown FROM post_docs")
-def backlog_stream(spark, sf_dir):
+def drained_backlog(spark, sf_dir) -> str:
+    """All posts worked off in steps; the folder of queue, outcomes and mirror."""
     v = lambda name: view(spark, sf_dir, name)
     posts, rest = v("posts"), [v(name) for name in ("authors", "post_topics", "topics", "media")]
     folder = work_folder(spark, "backlog")
-    cfg = MirrorConfig(exclude_urls="/es/", batch_size=100)
+    cfg = MirrorConfig(exclude_urls="/es/")
     items = posts.select("post_id")
-    backlog.write_backlog(items, f"{folder}/queue", cfg)
+    backlog.write_backlog(items, f"{folder}/queue")
 
     def process(batch):
         step = render.spread(posts).join(batch, "post_id", "left_semi")
-        return generate.post_outcomes(entities.enrich(step, *rest), no_pages(spark), cfg)
+        return generate.post_outcomes(entities.enrich(step, *rest), v("post_pages"), cfg)
 
     backlog.backlog_stream(
         spark, f"{folder}/queue", items.schema, process, f"{folder}/done", f"{folder}/checkpoint", cfg,
-        drain=True, files_per_step=40,
+        drain=True, mirror_path=f"{folder}/mirror", run_ts=RUN_TS,
     ).awaitTermination()
-    done = spark.read.parquet(f"{folder}/done")
+    return folder
+
+
+@query(_LOG + "SELECT post_id AS item_id, reason IS NULL AS ok, reason, path, CASE WHEN reason IS NULL THEN markdown ELSE '' END AS markdown FROM post_docs")
+def backlog_stream(spark, sf_dir):
+    done = spark.read.parquet(f"{drained_backlog(spark, sf_dir)}/done")
     return done.select("item_id", F.col("reason").isNull().alias("ok"), "reason", "path", "markdown")
 
 
+@query(
+    duckdb_with([*S.POST_VIEWS, "post_sites"], S.NAMES, S.ENRICHED, S.POST_DOCS)
+    + f"""SELECT site, unnest(['# Sitemap — ' || name, '', 'Generated: {RUN_TS}', '']) AS line FROM post_sites
+    UNION ALL SELECT site, '- [' || coalesce(nullif(regexp_extract(front_matter, 'title: "([^"{S.NL_CLASS}]*)', 1), ''), 'Untitled') || '](' || url || ') — `' || path || '`'
+    FROM post_docs WHERE reason IS NULL"""
+)
+def backlog_index(spark, sf_dir):
+    """The written index of every site after the backlog is empty."""
+    folder = drained_backlog(spark, sf_dir)
+    sites = view(spark, sf_dir, "post_sites")
+    cfg = MirrorConfig(generate_export=False, generate_summary=False)
+    backlog.finish(spark, f"{folder}/mirror", sites, view(spark, sf_dir, "posts"), cfg, RUN_TS, f"{folder}/site")
+    return spark.read.text(f"{folder}/site/index").select("site", F.col("value").alias("line"))
+
+
 @query(
     duckdb_with(["requests"])
     + f"""SELECT request_id, page_id % 4 IN (0, 2) OR page_id % 8 = 5 AS wants_markdown, {HOST} AS site, {S.path_key('url')} AS path, url
@@ -895,20 +904,48 @@ def classify_requests(spark, sf_dir):
     return asked.select("request_id", "wants_markdown", "site", "path", "url")
 
 
+ASKED = """
+SELECT uri, accept FROM requests
+UNION ALL SELECT concat(permalink, '?ref=', cast(post_id AS {S})), 'text/markdown' FROM posts
+UNION ALL SELECT home_url, 'text/markdown' FROM post_sites
+UNION ALL SELECT url, 'text/markdown' FROM terms"""
+
+
+def job_tables(spark, sf_dir) -> regenerate.Tables:
+    v = lambda name: view(spark, sf_dir, name)
+    # page ids are unique over both tables
+    post_pages = v("post_pages").withColumn("page_id", -1 - F.col("page_id"))
+    pages = table(spark, sf_dir, "pages").unionByName(post_pages)
+    sites = v("sites").unionByName(v("post_sites"))
+    return regenerate.Tables(enriched_posts(spark, sf_dir), pages, v("post_terms"), v("terms"), v("authors"), sites)
+
+
 @query(
-    "WITH " + S.PAGE_DOCS
-    + """, wanted AS (SELECT site, path, min(url) AS url FROM page_docs WHERE page_id % 4 IN (0, 2) OR page_id % 8 = 5 GROUP BY ALL),
-    absent AS (SELECT * FROM wanted WHERE (site, path) NOT IN (SELECT (site, path) FROM page_docs WHERE url LIKE 'https://%'))
-    SELECT site, path, url, title, replace(front_matter, '"sitemap_page"', '"archive"') AS front_matter, markdown
-    FROM absent JOIN (SELECT url, title, front_matter, markdown FROM page_docs) USING (url)"""
+    duckdb_with(
+        [*S.POST_VIEWS, "requests"], S.PAGE_DOCS, S.NAMES, S.ENRICHED, S.POST_DOCS,
+        """wanted AS (SELECT site, path, min(url) AS url FROM page_docs WHERE page_id % 4 IN (0, 2) OR page_id % 8 = 5 GROUP BY ALL)""",
+        f"homes AS ({ORACLES['homepages']})", f"archives AS ({ORACLES['term_archives']})",
+    )
+    + f"""SELECT site, path, 'archive' AS kind, replace(front_matter, '"sitemap_page"', '"archive"') AS front_matter, markdown
+    FROM wanted JOIN (SELECT url, front_matter, markdown FROM page_docs) USING (url)
+    WHERE (site, path) NOT IN (SELECT (site, path) FROM page_docs WHERE url LIKE 'https://%')
+    UNION ALL SELECT site, path, post_type, front_matter, markdown FROM post_docs WHERE reason IS NULL
+    UNION ALL SELECT {S.host('url')}, path, 'homepage', front_matter, markdown FROM homes
+    UNION ALL SELECT {S.host('url')}, path, 'taxonomy_archive', front_matter, markdown FROM archives"""
 )
 def fill_missing(spark, sf_dir):
-    pages = page_table(spark, sf_dir)
-    secure = pages.where(F.col("url").startswith("https://"))  # these have a document
-    held = secure.select(U.url_host("url").alias("site"), U.path_key("url").alias("path"))
-    v = lambda name: view(spark, sf_dir, name)
-    _, made = requests.fill_missing(v("requests"), held, pages, v("posts"), v("terms"), v("sites"), CFG)
-    return made.where(F.col("reason").isNull()).select("site", "path", "url", "title", "front_matter", "markdown")
+    """Requests for pages, posts, homepages and terms over a mirror of the secure pages."""
+    text = ASKED.format(S="string")
+    names = ("requests", "posts", "post_sites", "terms")
+    for name in names:
+        text = text.replace(f"FROM {name}", f"FROM {{{name}}}")
+    asked = spark.sql(text, **{name: view(spark, sf_dir, name) for name in names})
+    folder = work_folder(spark, "fill")
+    secure = page_table(spark, sf_dir).where(F.col("url").startswith("https://"))
+    store.write_mirror(generate.mirror_rows(generate.page_outcomes(secure, CFG), "2023-01-01 00:00:00"), folder)
+    requests.fill_missing(spark, asked, folder, job_tables(spark, sf_dir), NO_SPANISH_POSTS, "run-1", RUN_TS)
+    made = store.changed_since(spark, folder, "2024-01-01 00:00:00")
+    return made.select("site", "path", "kind", "front_matter", "markdown")
 
 
 @query(
@@ -917,7 +954,119 @@ def fill_missing(spark, sf_dir):
     WHERE op = 'save' AND reason IS NULL AND version_ts > TIMESTAMP '2024-01-20 00:00:00'"""
 )
 def changed_since(spark, sf_dir):
+    folder = work_folder(spark, "changed")
     newest = refresh.newest_changes(view(spark, sf_dir, "changes"))
-    rows = refresh.version_rows(newest, enriched_posts(spark, sf_dir), no_pages(spark), NO_SPANISH)
-    documents = store.current(rows)
-    return store.changed_since(documents, "2024-01-20 00:00:00").select("post_id", "path")
+    pages = view(spark, sf_dir, "post_pages")
+    store.write_mirror(refresh.version_rows(newest, enriched_posts(spark, sf_dir), pages, NO_SPANISH), folder)
+    return store.changed_since(spark, folder, "2024-01-20 00:00:00").select("post_id", "path")
+
+
+@query(
+    f"""SELECT page_id, title, url FROM ({ORACLES['titles_read_back']})"""
+)
+def scan_tree(spark, sf_dir):
+    """One file for each page, written and read back."""
+    folder = work_folder(spark, "tree")
+    documents = table(spark, sf_dir, "pages").select("page_id", F.expr(_DOCS.format(S="string")).alias("value"))
+    documents.repartition("page_id").write.partitionBy("page_id").text(folder)
+    read = store.scan_tree(spark, folder, "*.txt")
+    page = F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("bigint").alias("page_id")
+    return read.select(page, "title", "url")
+
+
+# ---- the whole regeneration ------------------------------------------------------
+
+# Two sites of one host: posts of four languages lie in folders of their own.
+LANGUAGE_SITES = """
+SELECT DISTINCT concat(source, '.example.com/', lang) AS site, concat('https://', source, '.example.com/', lang) AS home_url
+FROM {documents} WHERE lang <> 'en' UNION ALL SELECT DISTINCT source, concat('HTTPS://', source, '.Example.com/') FROM {documents}"""
+
+
+@query(
+    duckdb_with(["posts"])
+    + f"""SELECT post_id, CASE WHEN lang = 'en' THEN replace({S.host('permalink')}, '.example.com', '')
+      ELSE {S.host('permalink')} || '/' || lang END AS site FROM posts"""
+)
+def sites_of_posts(spark, sf_dir):
+    """Each post belongs to the site with the longest home address it lies below."""
+    sites = spark.sql(LANGUAGE_SITES, documents=table(spark, sf_dir, "documents"))
+    return entities.site_of(view(spark, sf_dir, "posts"), sites, "permalink").select("post_id", "site")
+
+
+def regeneration(spark, sf_dir) -> tuple[DataFrame, DataFrame, str]:
+    """Pages come from sitemaps, and so do the posts of some sites; all else comes from the content tables."""
+    tables = job_tables(spark, sf_dir)
+    page_sites, sitemaps = sitemap_tables(spark, sf_dir)
+    posts = view(spark, sf_dir, "posts").withColumn("site", U.url_host("permalink")).where("length(site) % 2 = 1")
+    loc = F.concat(F.lit("<s:url><s:loc>"), "permalink", F.lit("?from=map</s:loc></s:url>"))
+    listed = F.array_join(F.array_sort(F.collect_list(loc)), "")
+    wrapped = F.concat(F.lit(f'<s:urlset xmlns:s="{sitemap_source.NAMESPACE}">'), listed, F.lit("</s:urlset>"))
+    more = posts.groupBy(F.concat(F.lit("https://"), "site", F.lit("/wp-sitemap.xml")).alias("sitemap_url")).agg(wrapped.alias("xml"))
+    sites = page_sites.unionByName(view(spark, sf_dir, "post_sites"))
+    items = queue.content_items(tables.posts, tables.post_terms, tables.terms, tables.authors, sites, CFG)
+    listed = persist_table(spark, queue.build_queue(items, sites, sitemaps.unionByName(more), CFG), "queue")
+    folder = work_folder(spark, "regenerated")
+    log, status = regenerate.regenerate(spark, listed, tables, CFG, "run-1", RUN_TS, folder)
+    return log, status, folder
+
+
+_MAP = lambda column: f"replace({column}, '&', '&amp;') || '<'"
+_REGENERATED = duckdb_with(
+    [*S.POST_VIEWS, "sites", "post_sites", "terms", "post_terms"], S.PAGE_DOCS, S.NAMES, S.ENRICHED, S.POST_DOCS_ALL,
+    f"homes AS ({ORACLES['homepages']})", f"archives AS ({ORACLES['term_archives']})", f"writers AS ({ORACLES['author_archives']})",
+    # pages of sites with a sitemap: position of part, leaf and URL; the last of a path counts
+    f"""listed AS (SELECT site, path, url, markdown, ({_MAP("'part-' || (page_id // 500)::VARCHAR || '.xml'")}, {_MAP("'leaf-' || (page_id // 25)::VARCHAR || '.xml'")}, {_MAP('url')}) AS ord
+      FROM page_docs WHERE length(site) % 3 > 0)""",
+    """urls AS (SELECT site, path, url, max(ord) AS ord FROM listed GROUP BY ALL)""",
+    """newest AS (SELECT url, arg_max(markdown, page_id) AS markdown FROM page_docs GROUP BY url)""",
+    f"""page_rows AS (SELECT site, path, 'sitemap_page' AS kind, {S.generic_front_matter(f"replace({S.slug_a('url')}, {S.Q}, chr(92) || {S.Q})", 'url', 'sitemap_page')} AS front_matter, markdown
+      FROM (SELECT * FROM urls QUALIFY row_number() OVER (PARTITION BY site, path ORDER BY ord DESC) = 1) JOIN newest USING (url))""",
+    # sites without a sitemap show their content items; of two documents of a path the later kind counts
+    f"""items AS (
+      SELECT 0 AS rank, site, path, 'homepage' AS kind, url, front_matter, markdown, NULL AS reason, 0::BIGINT AS id FROM (SELECT *, {S.host('url')} AS site FROM homes)
+      UNION ALL SELECT 0, site, 'index.md', 'homepage', home_url, {S.lines("'---'", S.field('title', 'name'), S.field('url', 'home_url'), S.field('type', "'homepage'"), S.field('description', 'description'), "'---'", "''")},
+        '# ' || name || {S.NL} || {S.NL} || description || {S.NL} || {S.NL}, NULL, 0 FROM sites
+      UNION ALL SELECT 1, site, path, post_type, url, front_matter, markdown, reason, post_id FROM post_docs WHERE post_status = 'publish' AND post_type IN ('post', 'page')
+      UNION ALL SELECT 2, {S.host('archives.url')}, path, 'taxonomy_archive', archives.url, front_matter, markdown, NULL, term_id FROM archives JOIN terms ON terms.url = archives.url
+      UNION ALL SELECT 3, {S.host('writers.url')}, path, 'author_archive', writers.url, front_matter, markdown, NULL, author_id FROM writers JOIN authors ON authors.url = writers.url)""",
+    f"""mapped AS (SELECT site FROM sites WHERE length(site) % 3 > 0 UNION SELECT site FROM post_sites WHERE length(site) % 2 = 1)""",
+)
+
+
+@query(
+    _REGENERATED
+    + """SELECT site, path, kind, front_matter, markdown FROM page_rows
+    UNION ALL SELECT site, path, kind, front_matter, markdown FROM items WHERE site NOT IN (FROM mapped) AND reason IS NULL
+    UNION ALL SELECT site, path, post_type, front_matter, markdown FROM post_docs WHERE site IN (FROM mapped) AND reason IS NULL"""
+)
+def regenerate_mirror(spark, sf_dir):
+    *_, folder = regeneration(spark, sf_dir)
+    return store.scan_mirror(spark, f"{folder}/mirror").select("site", "path", "kind", "front_matter", "markdown")
+
+
+_QUEUED = """queued AS (
+      SELECT 'sitemap_url' AS item_kind, 0::BIGINT AS item_id, url AS label, NULL AS reason FROM urls
+      UNION ALL SELECT 'sitemap_url', 0, url || '?from=map', reason FROM post_docs WHERE site IN (FROM mapped)
+      UNION ALL SELECT ['homepage', 'post', 'term', 'author'][rank + 1], id, url, reason FROM items WHERE site NOT IN (FROM mapped))"""
+
+
+@query(
+    _REGENERATED.rstrip() + ", " + _QUEUED
+    + f""" SELECT item_kind AS kind, item_id, label, reason IS NULL AS ok, reason,
+    '[{RUN_TS}] ' || CASE WHEN reason IS NULL THEN 'OK: [' || item_kind || '] ' || label ELSE 'FAILED: [' || item_kind || '] ' || label || ' - Reason: ' || reason END AS line
+    FROM queued"""
+)
+def regenerate_log(spark, sf_dir):
+    log, *_ = regeneration(spark, sf_dir)
+    return log.select("kind", "item_id", "label", "ok", "reason", "line")
+
+
+@query(
+    _REGENERATED.rstrip() + ", " + _QUEUED
+    + f""" SELECT 'run-1' AS run_id, count(*) AS total, count(*) AS processed, count(reason) AS errors,
+    '{RUN_TS}' AS started, '{RUN_TS}' AS finished FROM queued"""
+)
+def regenerate_status(spark, sf_dir):
+    _, status, _ = regeneration(spark, sf_dir)
+    as_text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return status.select("run_id", "total", "processed", "errors", as_text("started"), as_text("finished"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 NL = "chr(10)"
 Q = "chr(34)"
+NL_CLASS = "\\n"
 TRIM_SET = "' ' || chr(9) || chr(10) || chr(11) || chr(13)"
 TRUE_HOST = r"'^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)'"
 TRUE_PATH = r"'^(?:(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*)?([^?#]*)'"
@@ -141,4 +142,7 @@ POST_DOCS = f"""post_docs AS (
               WHEN post_type NOT IN ('post', 'page') THEN 'Post type ' || chr(39) || post_type || chr(39) || ' is not allowed in settings.'
               WHEN contains(permalink, '/es/') THEN 'URL is excluded by rules.' END AS reason
   FROM enriched)"""
+# The same without an exclusion rule.
+POST_DOCS_ALL = POST_DOCS.replace("""
+              WHEN contains(permalink, '/es/') THEN 'URL is excluded by rules.'""", "").replace("permalink AS url, post_type,", "permalink AS url, post_type, post_status,")
 POST_VIEWS = ["posts", "authors", "topics", "post_topics", "media"]
