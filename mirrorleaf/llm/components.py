@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorleaf.session import persist_table
+from mirrorleaf.session import remove_folder, store_table
 
 
 def _smaller_first(edges: DataFrame) -> DataFrame:
@@ -27,21 +27,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return _smaller_first(moved.unionByName(least.select("a", F.col("m").alias("b"))))
 
 
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    """Every node with an edge down has one, to a node that has none."""
+    down = edges.groupBy("a").agg(F.count("*").alias("n"))
+    return down.where("n > 1").isEmpty() and edges.join(down.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b): the least node it is linked to.
 
-    Large-star and small-star steps alternate until nothing changes; each round is a
-    written table. Loops are ignored; a node without an edge to another has no row.
+    Large-star and small-star steps alternate until each component is a star around its
+    least node; each round is a written table, and the one before it is deleted. Loops
+    are ignored; a node without an edge to another has no row.
     """
     spark = edges.sparkSession
-    edges = persist_table(spark, _smaller_first(edges), "edges")
-    before = None
-    while True:
-        # a and b are hashed together: equal sums mean equal edges
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-                edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
-        before = state
-        edges = persist_table(spark, _small_star(_large_star(edges)), "edges")
+    edges, folder = store_table(spark, _smaller_first(edges), "edges")
+    while not _is_forest_of_stars(edges):
+        edges, next_folder = store_table(spark, _small_star(_large_star(edges)), "edges")
+        remove_folder(spark, folder)
+        folder = next_folder
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    )

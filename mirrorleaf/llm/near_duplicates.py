@@ -33,8 +33,8 @@ THRESHOLD = 0.8
 TREES = 20
 LEVELS = 8
 RECALL = 0.9995
-BLOCK_SHINGLES = 400_000  # of the rows of one block, on average
-BLOCK_ROWS = 1_500
+BLOCK_SHINGLES = 250_000  # of the rows of one block, on average
+BLOCK_ROWS = 500
 _COLUMNS = 2_048  # shingles in one matrix
 
 
@@ -254,7 +254,8 @@ def near_duplicates(
     block = F.pmod(F.xxhash64("set_key"), F.col("blocks")).cast("int").alias("block")
     placed = members.join(sizes, "component").select("id", "set_key", *(c for c in PLACE if c != "block"), block)
     types = "component bigint, blocks int, block int, node bigint, copies bigint, shingles array<bigint>"
-    sets = rows.join(placed, "id").mapInArrow(_sets, types)
+    # as a merge join at every size: how many rows are candidates is not known beforehand
+    sets = rows.join(placed.hint("merge"), "id").mapInArrow(_sets, types)
     # each block of a component meets each other block, and itself, in one task
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     squares = sets.select("component", "block", "node", "copies", "shingles", other)
