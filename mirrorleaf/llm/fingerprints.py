@@ -141,11 +141,16 @@ def in_buckets(docs: DataFrame, buckets: int) -> DataFrame:
     ids = docs.select("id")
     share = [k / buckets for k in range(1, buckets)]
     borders = sorted(set(ids.approxQuantile("id", share, 0.2 / buckets))) if buckets > 1 else []
-    splits = [-float("inf"), *borders, float("inf")]
-    cut = Bucketizer(splits=splits, inputCol="number", outputCol="place", handleInvalid="keep")
-    placed = lambda df: cut.transform(df.withColumn("number", F.col("id").cast("double"))).withColumn(
-        "bucket", F.when(F.col("id").isNull(), 0).otherwise(F.col("place").cast("int") + 1)
-    ).drop("number", "place")
+
+    def placed(df: DataFrame) -> DataFrame:
+        if not borders:
+            return df.withColumn("bucket", F.lit(0))
+        splits = [-float("inf"), *borders, float("inf")]
+        cut = Bucketizer(splits=splits, inputCol="number", outputCol="place", handleInvalid="keep")
+        df = cut.transform(df.withColumn("number", F.col("id").cast("double")))
+        bucket = F.when(F.col("id").isNull(), 0).otherwise(F.col("place").cast("int") + 1)
+        return df.withColumn("bucket", bucket).drop("number", "place")
+
     firsts = placed(ids).groupBy("bucket").agg(F.min(F.struct("id")).alias("first")).orderBy("bucket").collect()
     tails = [(f.first.id, firsts[k - 1].bucket) for k, f in enumerate(firsts)]
     tails = spark.createDataFrame(tails, "first bigint, before int")  # a row for each bucket
