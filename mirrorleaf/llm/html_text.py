@@ -112,13 +112,13 @@ class _Blocks:
         elif tag not in INLINE:
             self.flush()
             self.tag = tag
-            if tag not in VOID and tag != "p":
+            if self.open and self.open[-1][0] == "p":  # ends where another block begins
+                self.open.pop()
+                self.count["p"] -= 1
+            if tag not in VOID and (tag != "p" or attributes.strip()):
                 flags = self.open[-1][1] if self.open else 0
                 self.open.append((tag, _own_flags(tag, attributes, flags)))
                 self.count[tag] = self.count.get(tag, 0) + 1
-            elif tag == "p" and attributes and "=" in attributes:
-                self.open.append((tag, _own_flags(tag, attributes, self.open[-1][1] if self.open else 0)))
-                self.count[tag] = self.count.get(tag, 0) + 1
 
     def end(self, tag: str) -> None:
         if tag == "a":
