@@ -7,9 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: what trimming removes (no-break space is not part of it).
+# ---- fixed values -----------------------------------------------------------
+# What trimming removes (no-break space is not part of it).
 TRIM = " \t\n\r\x00\x0b"
+# What plain text, and what rendering leave out; Spark and Python read both alike.
 SCRIPT_BLOCK = r"(?s)<(?i:(script|style)[^>]*>.*?</\1>)"
+RENDER_SCRIPTS = r"(?s)<(?i:(script|style|noscript)[^>]*>.*?</\1>)"
+COMMENTS = r"(?s)<!--.*?-->"
+# -----------------------------------------------------------------------------
 TAG = r"<(?:!--(?s:.*?)-->|[^\s>][^>]*+>)"
 FRONT_MATTER_FIELD = r'(?s)^---\s*\n.*?%s:\s*"([^"]+)"'
 FIRST_HEADING = r"(?md)^#\s+(.+)$"

@@ -8,6 +8,7 @@ from __future__ import annotations
 import base64
 import re
 
+from mirrorleaf.functions.text import COMMENTS, RENDER_SCRIPTS
 from mirrorleaf.operators.html_fold import WS, fold
 
 # ---- fixed values ---------------------------------------------------------
@@ -27,8 +28,8 @@ SETTING = re.compile(
     r"(?:rgba?\(|https?://|/wp-content/|data:image/|[0-9.]+%?\Z)", re.IGNORECASE
 )
 # ---------------------------------------------------------------------------
-_SCRIPTS = re.compile(r"<(script|style|noscript)[^>]*>.*?</\1>", re.DOTALL | re.IGNORECASE)
-_COMMENTS = re.compile(r"<!--.*?-->", re.DOTALL)
+_SCRIPTS = re.compile(RENDER_SCRIPTS)
+_COMMENTS = re.compile(COMMENTS)
 _SCALAR = re.compile(rb"(?:i:[+-]?\d+|d:[^;]*|b:[01]|N|[rR]:\d+);")
 _STRING = re.compile(rb's:(\d+):"')
 _ARRAY = re.compile(rb"a:(\d+):\{")

@@ -16,12 +16,9 @@ from pyspark.sql.types import StringType
 
 from mirrorleaf.config import MirrorConfig
 from mirrorleaf.functions.encoding import repair_text
-from mirrorleaf.functions.text import as_col, bind, plain_text, squeeze_blank_lines
+from mirrorleaf.functions.text import COMMENTS, RENDER_SCRIPTS, as_col, bind, plain_text, squeeze_blank_lines
 from mirrorleaf.operators.payload import render_page
 
-SCRIPTS_AND_STYLES = r"(?s)<(?i:(script|style|noscript)[^>]*>.*?</\1>)"
-COMMENTS = r"(?s)<!--.*?-->"
-
 
 @F.pandas_udf(StringType())
 def _fold(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -40,7 +37,7 @@ def clean_html(html: Column | str) -> Column:
     def plain_ends(page: Column) -> Column:
         return F.when(F.contains(page, F.lit("\r")), F.regexp_replace(page, r"\r\n?", "\n")).otherwise(page)
 
-    html = F.regexp_replace(as_col(html), SCRIPTS_AND_STYLES, "")
+    html = F.regexp_replace(as_col(html), RENDER_SCRIPTS, "")
     return bind(F.regexp_replace(html, COMMENTS, ""), plain_ends)
 
 

@@ -9,8 +9,10 @@ from mirrorleaf.functions.encoding import repair_text
 from mirrorleaf.functions.text import as_col, plain_text, trim_ws
 from mirrorleaf.operators.render import clean_html
 
+# ---- fixed values: reasons in the run log ------------------------------------
 EMPTY_BODY = "HTTP Fetch returned empty body."
 EMPTY_TEXT = "HTTP Fetch succeeded, but content extraction (<body>) resulted in empty text."
+# ------------------------------------------------------------------------------
 
 
 def body_of(html: Column | str) -> Column:
