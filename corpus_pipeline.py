@@ -40,8 +40,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, and whether they decode to the very text."""
-    path = public_tokenizers.path(PIECES)
-    both = sentencepiece_viterbi.decode_ids(sentencepiece_viterbi.encode_texts(docs, path), path)
+    both = sentencepiece_viterbi.encode_texts(docs, public_tokenizers.path(PIECES), decoded=True)
     exact = F.col("decoded") == F.coalesce("text", F.lit(""))
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", exact.alias("exact"))
 

@@ -136,9 +136,8 @@ def op5_quality(spark, sf_dir):
 
 @query()
 def op6_sentencepiece(spark, sf_dir):
-    path = public_tokenizers.path(PIECES)
     docs = table(spark, sf_dir, "documents")
-    both = sentencepiece_viterbi.decode_ids(sentencepiece_viterbi.encode_texts(docs, path), path)
+    both = sentencepiece_viterbi.encode_texts(docs, public_tokenizers.path(PIECES), decoded=True)
     return both.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"),
         F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("exact"),

@@ -8,7 +8,7 @@ import numpy as np
 
 from mirrorleaf.llm.arrow import span_hashes
 
-PARTS = 2_000_000  # parts that a worker remembers, some 40 bytes each
+PARTS = 1_000_000  # parts that a worker remembers, some 40 bytes each
 
 
 class Remembered:

@@ -32,6 +32,7 @@ _BASE = 0x9E3779B97F4A7C15
 NORMAL, UNKNOWN, BYTE = 1, 2, 6  # piece types
 UNIGRAM, BPE = 1, 2  # model types
 CELLS = 1 << 21  # words times length in one search
+PAIRS = 300_000  # pairs of pieces that a worker remembers
 UNKNOWN_PENALTY = 10.0
 
 
@@ -111,6 +112,8 @@ class Model:
         known = np.flatnonzero((left >= 0) & (right >= 0))
         n = len(self.pieces)
         pairs, which = np.unique(left[known] * n + right[known], return_inverse=True)
+        if len(self.apart) > PAIRS:
+            self.apart.clear()
         answers = np.zeros(len(pairs), bool)
         for k, pair in enumerate(pairs.tolist()):
             answer = self.apart.get(pair)
@@ -246,27 +249,33 @@ def model(path: str) -> Model:
     return Model(path)
 
 
-def _encoded(path: str, id_col: str, text_col: str):
+def _encoded(path: str, id_col: str, text_col: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text_col):
                 ids, counts = model(path).encode(batch.column(text_col))
                 borders = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
-                arrays = pa.ListArray.from_arrays(borders, pa.array(ids.astype(np.int32)))
-                yield pa.record_batch([batch.column(id_col), batch.column(text_col), arrays], [id_col, text_col, "ids"])
+                columns = {id_col: batch.column(id_col), text_col: batch.column(text_col)}
+                columns["ids"] = pa.ListArray.from_arrays(borders, pa.array(ids.astype(np.int32)))
+                if decoded:
+                    columns["decoded"] = pa.array(model(path).decode(ids, counts), pa.string())
+                yield pa.record_batch(list(columns.values()), list(columns))
 
     return run
 
 
-def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_texts(
+    docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False
+) -> DataFrame:
     """(id, text, ids) for each row of ``docs``: the ids that the model gives to the whole text.
 
+    With ``decoded`` also that, the text which the ids stand for, made in the same pass.
     Null and empty texts have no ids. Repeated rows get a row each; an empty table gives
     none; other columns are not read.
     """
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
-    schema = T.StructType([*rows.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return rows.mapInArrow(_encoded(model_path, id_col, text_col), schema)
+    more = [T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decoded]
+    return rows.mapInArrow(_encoded(model_path, id_col, text_col, decoded), T.StructType([*rows.schema.fields, *more]))
 
 
 def _decoded(path: str, ids_col: str):

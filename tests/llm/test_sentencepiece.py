@@ -79,6 +79,7 @@ def test_odd_rows(odd, none, library):
     assert len(rows) == len(ROWS)
     for r in rows:
         assert r.ids == library.encode(r.text or "") and r.decoded == (r.text or "")
+    assert sorted(sv.encode_texts(odd, PATH, decoded=True).collect(), key=repr) == sorted(rows, key=repr)
     assert sv.decode_ids(sv.encode_texts(none, PATH), PATH).count() == 0
 
 
