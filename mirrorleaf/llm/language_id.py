@@ -36,45 +36,76 @@ def _letters() -> np.ndarray:
     return table
 
 
-def _codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(text number, n-gram) of every n-gram. An n-gram holds a code point in each 21 bits; 1 is the mark."""
+def _symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, symbol) of the letters of all texts, in lower case, with a mark (0) around each word."""
     joined = "\n".join(t or "" for t in texts)
-    points = _letters()[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    lengths = np.array([len(t or "") + 1 for t in texts])
+    points = _letters()[np.frombuffer(joined.encode("utf-32-le"), np.uint32)]
     inside = points != 0
     # a run of other characters becomes one mark
     keep = inside.copy()
     keep[1:] |= inside[:-1]
-    doc = np.repeat(np.arange(len(texts)), lengths)[:-1][keep] if len(texts) else np.zeros(0, np.int64)
-    symbols = np.where(points[keep] == 0, 1, points[keep]).astype(np.uint64)
-    # a mark in front of the first word of each text
-    first = np.flatnonzero(np.diff(doc, prepend=-1) != 0)
-    symbols, doc = np.insert(symbols, first, 1), np.insert(doc, first, doc[first])
-    if len(symbols) and symbols[-1] != 1:
-        symbols, doc = np.append(symbols, np.uint64(1)), np.append(doc, doc[-1])
-    letter = symbols != 1
-    docs, grams = [doc[letter]], [symbols[letter]]
-    gram, whole = symbols, np.ones(len(symbols), bool)
-    for n in range(2, NGRAM + 1):
-        gram = (gram[:-1] << np.uint64(POINT_BITS)) | symbols[n - 1 :]
-        # no mark inside, and all of one text
-        whole = whole[:-1] & letter[n - 2 : len(letter) - 1] if n > 2 else np.ones(len(gram), bool)
-        ok = whole & (doc[: len(gram)] == doc[n - 1 :])
-        docs.append(doc[: len(gram)][ok])
-        grams.append(gram[ok])
-    return np.concatenate(docs), np.concatenate(grams)
-
-
-def _counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, n-gram, count), by text and then n-gram."""
-    doc, gram = _codes(texts)
+    doc = np.repeat(np.arange(len(texts)), [len(t or "") + 1 for t in texts])[:-1][keep]
+    symbols = points[keep]
+    # a mark in front of the first word of each text, and behind the last word of all
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    symbols, doc = np.insert(symbols, first, 0), np.insert(doc, first, doc[first])
+    if len(symbols) and symbols[-1]:
+        symbols, doc = np.append(symbols, np.uint32(0)), np.append(doc, doc[-1])
+    return doc, symbols
+
+
+def _counts(texts: list[str | None], groups: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, n-gram, count), by group and then n-gram; each text is a group if none are given.
+
+    An n-gram holds a code point in each 21 bits, 1 is the mark. Inside, letters are
+    numbered, so that group and n-gram are one small number, which is sorted.
+    """
+    doc, symbols = _symbols(texts) if texts else (np.zeros(0, np.int64), np.zeros(0, np.uint32))
     if not len(doc):
-        return doc, gram, doc
-    kinds, gram = np.unique(gram, return_inverse=True)
-    key = doc * len(kinds) + gram
+        return doc, symbols.astype(np.uint64), doc
+    letters = np.flatnonzero(np.bincount(symbols))
+    base = len(letters) + 1
+    size = base + base**2 + base**3
+    if size * len(texts) >= 1 << 63:  # very many letters: in two parts
+        half = len(texts) // 2
+        parts = [_counts(t, np.arange(len(t)) + k if groups is None else groups[k : k + len(t)]) for k, t in ((0, texts[:half]), (half, texts[half:]))]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+    if letters[0] != 0:
+        letters = np.append(0, letters)
+    group = doc if groups is None else groups[doc]
+    kind = np.uint32 if size * (int(group.max()) + 1) < 1 << 32 else np.uint64
+    number = np.zeros(int(letters[-1]) + 1, kind)
+    number[letters] = np.arange(len(letters))
+    own = number[symbols]
+    start = group.astype(kind) * kind(size)
+    letter = own != 0
+    keys = [(start + own)[letter]]
+    gram, low = own, 0
+    for n in range(2, NGRAM + 1):
+        gram = gram[:-1] * kind(base) + own[n - 1 :]
+        low += base ** (n - 1)
+        ok = doc[: len(gram)] == doc[n - 1 :]
+        if n > 2:  # no mark inside
+            ok &= letter[1 : len(gram) + 1]
+        keys.append((start[: len(gram)] + gram + kind(low))[ok])
+    key = np.concatenate(keys)
     key.sort()
-    new = np.flatnonzero(np.diff(key, prepend=-1))
-    return key[new] // len(kinds), kinds[key[new] % len(kinds)], np.diff(np.append(new, len(key)))
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    count = np.diff(np.append(new, len(key)))
+    group, gram = np.divmod(key[new].astype(np.uint64), np.uint64(size))
+    # back to code points; n-grams of each length have numbers of their own
+    names = np.maximum(letters, 1).astype(np.uint64)
+    code = np.zeros(len(gram), np.uint64)
+    low = 0
+    for n in range(1, NGRAM + 1):
+        high = low + base**n
+        at = np.flatnonzero((gram >= low) & (gram < high))
+        rest = gram[at] - np.uint64(low)
+        for k in range(n):
+            rest, symbol = np.divmod(rest, np.uint64(base))
+            code[at] |= names[symbol] << np.uint64(k * POINT_BITS)
+        low = high
+    return group.astype(np.int64), code, count
 
 
 def _language_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,16 +113,10 @@ def _language_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         for batch in slices(whole, "text"):
             langs = batch.column("lang").to_pylist()
             names = sorted(set(langs))
-            doc, gram, count = _counts(batch.column("text").to_pylist())
-            of = np.array([names.index(x) for x in langs], np.int64)[doc]
-            order = np.lexsort((gram, of))
-            of, gram, count = of[order], gram[order], count[order]
-            new = np.flatnonzero((np.diff(of, prepend=-1) != 0) | (np.diff(gram, prepend=gram[:1]) != 0))
-            if not len(gram):
-                continue
-            total = np.add.reduceat(count, new)
+            of = np.array([names.index(x) for x in langs], np.int64)
+            lang, gram, count = _counts(batch.column("text").to_pylist(), of)
             yield pa.record_batch(
-                [pa.array([names[k] for k in of[new].tolist()]), pa.array(gram[new].astype(np.int64)), pa.array(total)],
+                [pa.array([names[k] for k in lang.tolist()], pa.string()), pa.array(gram.astype(np.int64)), pa.array(count, pa.int64())],
                 ["lang", "gram", "n"],
             )
 
@@ -121,7 +146,8 @@ class Ranks:
         names, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not len(doc) or not self.names:
             return names, score
-        order = np.lexsort((gram, -count, doc))
+        # n-grams of a text are in order: of equal counts the first comes first
+        order = np.argsort((doc << 32) - count, kind="stable")
         doc, gram = doc[order], gram[order]
         starts = np.flatnonzero(np.diff(doc, prepend=-1))
         rank = np.arange(len(doc)) - np.repeat(starts, np.diff(np.append(starts, len(doc))))
