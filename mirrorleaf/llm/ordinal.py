@@ -67,13 +67,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[float], steps: i
     counts = np.array([len(h) for h, _ in rows])
     hashes = np.concatenate([h for h, _ in rows])
     values = np.concatenate([v for _, v in rows])
-    row = np.repeat(np.arange(len(rows)), counts)
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), counts)
     names, column, often = np.unique(hashes, return_inverse=True, return_counts=True)
+    del hashes
+    column = column.astype(np.int32)
     mean, spread = y.mean(), max(y.std(), 1e-9)
     shift = np.abs(np.bincount(column, y[row], len(names)) / often - mean) * np.sqrt(often) / spread
     kept = (often >= min_rows) & (shift >= screen)
     keep = kept[column]
-    row, values, column = row[keep], values[keep], (np.cumsum(kept) - 1)[column[keep]]
+    row, values, column = row[keep], values[keep].astype(np.float64), (np.cumsum(kept) - 1)[column[keep]]
     names = names[kept]
     # thresholds start at the shares of the grades; gaps are kept as logarithms
     share = np.clip([(y <= k).mean() for k in range(len(kinds) - 1)], 1e-4, 1 - 1e-4)
@@ -146,11 +148,9 @@ def train(docs: DataFrame, labels: DataFrame, features: Features, id_col: str, t
     sample = labelled(rows, grades, sample_rows)
     parts = sample.mapInArrow(_featured(features), "id bigint, grade double, hashes binary, values binary").collect()
     parts.sort(key=lambda r: r["id"])
-    return fit(
-        [(np.frombuffer(r["hashes"], "<u8").astype(np.uint64), np.frombuffer(r["values"], "<f4").astype(np.float64)) for r in parts],
-        [r.grade for r in parts],
-        **options,
-    )
+    # views of what was collected, no copies: the driver holds the sample once
+    rows = [(np.frombuffer(r["hashes"], "<u8"), np.frombuffer(r["values"], "<f4")) for r in parts]
+    return fit(rows, [r.grade for r in parts], **options)
 
 
 def _applied(shared, features: Features, names: list[str], text_col: str):
