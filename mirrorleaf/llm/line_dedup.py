@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from mirrorleaf.llm.arrow import slices
 from mirrorleaf.session import persist_table
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -82,7 +83,7 @@ def filter_bits(text_bytes: int, most: int) -> int:
 def _task_filters(bits: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, again = Bits(bits), Bits(bits)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             seen: dict[bytes, int] = {}
             for text in _texts(batch.column("text")):
                 for key in _keys(text, min_chars):
@@ -138,7 +139,7 @@ def repeated_filter(docs: DataFrame, min_chars: int = 1, most_bytes: int = 64 <<
 def _suspects(bits: int, shared, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Bits(bits, shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             keys, ids, numbers = [], [], []
             for doc, text in zip(batch.column("id").to_pylist(), _texts(batch.column("text")), strict=True):
                 found = _keys(text, min_chars)
@@ -186,7 +187,7 @@ def _rewrite(names: list[str], id_col: str, text_col: str, first: bool, drops):
     """drops: gives for a batch, row by row, the keys to drop and the ids that keep them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text_col)):
             ids = batch.column(id_col).to_pylist()
             texts = _texts(batch.column(text_col))
             rows = [_kept(t, i, d, first) for t, i, d in zip(texts, ids, drops(batch), strict=True)]
