@@ -7,7 +7,11 @@ taken away by adding or subtracting its vector. The vector has two parts:
 
 * WIDE lanes of 64 bits, uniform hashes of the paragraph, modulo 2^64;
 * SIGNS lanes of 16 bits, modulo 2^16, sums of +1 and -1 hashed from the paragraph's
-  sentences. Products of such lanes estimate how many sentences two documents share.
+  parts. Products of such lanes estimate how many parts two documents share.
+
+The parts are overlapping runs of RUN pieces, some 24 bytes. Pieces end where the four
+bytes before say so, GRAIN bytes apart on average and LONGEST at most; so any text has
+them, whatever its script and punctuation, and an edit changes the parts around it only.
 """
 
 from __future__ import annotations
@@ -22,10 +26,14 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorleaf.llm.arrow import slices
+from mirrorleaf.llm.arrow import mix, slices, span_hashes
 
 WIDE, SIGNS = 8, 256
 BYTES = WIDE * 8 + SIGNS * 2
+GRAIN, LONGEST, RUN = 8, 32, 3
+READ = 1 << 20  # a longer paragraph is cut into pieces in stretches of as many bytes
+BLOCK = 1 << 11  # parts whose lanes are held at a time
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _sums(parts: list[list[bytes]], digest: int, person: bytes) -> Iterator[tuple[slice, np.ndarray]]:
@@ -43,6 +51,70 @@ def _sums(parts: list[list[bytes]], digest: int, person: bytes) -> Iterator[tupl
         at = end
 
 
+def _pieces(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the pieces of stretches of bytes that end at ``borders``."""
+    last = np.zeros(len(data), bool)
+    if len(data) > 3:
+        four = data[3:].astype(np.uint32)
+        for k in (1, 2, 3):
+            four |= data[3 - k : -k].astype(np.uint32) << np.uint32(8 * k)
+        last[3:] = (four * np.uint32(0x9E3779B1)) >> np.uint32(16) & np.uint32(GRAIN - 1) == 0
+    begins = np.concatenate([[0], borders[:-1]])
+    for k in range(3):  # the four bytes are of one stretch
+        last[np.minimum(begins + k, borders - 1)] = False
+    last[borders - 1] = True
+    ends = np.flatnonzero(last) + 1
+    starts = np.concatenate([[0], ends[:-1]])
+    n = -(-(ends - starts) // LONGEST)
+    nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    starts = np.repeat(starts, n) + LONGEST * nth
+    return starts, np.minimum(starts + LONGEST, np.repeat(ends, n))
+
+
+def _parts(lines: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of the text, 64-bit hash) of each part; lines of white space have none."""
+
+    def hashed(owners: list[int], stretches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        data = np.frombuffer(b"".join(stretches), np.uint8)
+        borders = np.cumsum([len(x) for x in stretches])
+        starts, ends = _pieces(data, borders)
+        hashes = span_hashes(data, starts, ends)
+        after = np.searchsorted(starts, borders)  # of each stretch: the first piece behind it
+        own = np.repeat(np.arange(len(after)), np.diff(after, prepend=0))
+        first, final = np.concatenate([[0], after[:-1]])[own], after[own] - 1
+        here = np.arange(len(hashes))
+        total = np.zeros(len(hashes), np.uint64)
+        for k in range(RUN):
+            at = np.minimum(here + k, final)
+            total = np.where(here + k <= final, (total ^ hashes[at]) * _ODD, total)
+        kept = (here + RUN - 1 <= final) | (here == first)
+        return np.array(owners)[own[kept]], mix(total[kept])
+
+    owners, stretches, size = [], [], 0
+    for k, text in enumerate(lines):
+        for line in text:
+            line = line.strip()
+            for at in range(0, len(line), READ):
+                if size + min(READ, len(line) - at) > READ:
+                    yield hashed(owners, stretches)
+                    owners, stretches, size = [], [], 0
+                owners.append(k)
+                stretches.append(line[at : at + READ])
+                size += len(stretches[-1])
+    if stretches:
+        yield hashed(owners, stretches)
+
+
+def _random(parts: np.ndarray, n: int) -> np.ndarray:
+    """``n`` random 64-bit words for each part."""
+    return mix(parts[:, None] + np.arange(1, n + 1, dtype=np.uint64) * _ODD)
+
+
+def _lanes(parts: np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(_random(parts, SIGNS // 64).astype("<u8").view(np.uint8), axis=1)
+    return (2 * bits.astype(np.int16) - 1).astype(np.uint16)
+
+
 def vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(wide lanes, sign lanes) of each text; null counts as empty."""
     lines = [(t or "").encode("utf-8", "surrogatepass").split(b"\n") for t in texts]
@@ -51,11 +123,10 @@ def vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     for rows, digests in _sums(lines, WIDE * 8, b"paragraph"):
         starts = np.cumsum([0, *(len(x) for x in lines[rows])])[:-1]
         wide[rows] = np.add.reduceat(digests.view("<u8").astype(np.uint64), starts, axis=0)
-    sentences = [[s for line in x for s in line.split(b". ")] for x in lines]
-    for rows, digests in _sums(sentences, SIGNS // 8, b"sentence"):
-        counts = np.array([len(x) for x in sentences[rows]])
-        ones = np.add.reduceat(np.unpackbits(digests, axis=1), np.cumsum(counts) - counts, axis=0, dtype=np.int64)
-        signs[rows] = (2 * ones - counts[:, None]).astype(np.uint16)
+    for owners, parts in _parts(lines):
+        for at in range(0, len(parts), BLOCK):
+            rows, starts = np.unique(owners[at : at + BLOCK], return_index=True)
+            signs[rows] += np.add.reduceat(_lanes(parts[at : at + BLOCK]), starts, axis=0)
     return wide, signs
 
 
@@ -86,7 +157,7 @@ def change(fingerprint_: str, added: list[str] = (), removed: list[str] = ()) ->
 
 
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Estimated share of common sentences, from 0 to 1, row by row; 1 for equal fingerprints only."""
+    """Estimated share of common parts, from 0 to 1, row by row; 1 for equal fingerprints only."""
     equal = (a[0] == b[0]).all(axis=1) & (a[1] == b[1]).all(axis=1)
     x, y = a[1].view(np.int16).astype(np.float64), b[1].view(np.int16).astype(np.float64)
     norm = (x * x + y * y).sum(axis=1)

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from mirrorleaf.llm import fingerprints as fp
 from tests.llm.conftest import ROWS
 
@@ -50,3 +52,22 @@ def test_one_document_is_its_own_next_and_none_gives_none(spark, none):
     row = fp.fingerprints_of_edits(one).first()
     assert row.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest() and row.near_next == 1
     assert fp.fingerprints_of_edits(none).count() == 0
+
+
+@pytest.mark.parametrize("mark, words", [(" ", "word"), ("! ", "word"), ("。", "字"), ("", "字"), ("", "x")])
+def test_half_of_a_text_gives_half_whatever_its_punctuation(mark, words):
+    rnd = random.Random(2)
+    of = lambda n: mark.join("".join(words + chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(8)) for _ in range(n))
+    text, other = of(40), of(40)
+    half = len(text) // 2
+    like = lambda x: fp.likeness(fp.unpack([fp.fingerprint(text)]), fp.unpack([fp.fingerprint(x)]))[0]
+    assert 0.3 < like(text[:-half] + other[:half]) < 0.7
+    assert like(other) < 0.25
+
+
+def test_one_long_line_is_cut_into_stretches():
+    rnd = random.Random(3)
+    of = lambda: rnd.randbytes(800_000).hex()
+    text, other = of(), of()
+    a, b, c = (fp.vectors([t]) for t in (text, text[:800_000] + other[:800_000], other))
+    assert 0.35 < fp.likeness(a, b)[0] < 0.65 and fp.likeness(a, c)[0] < 0.25
