@@ -6,8 +6,10 @@ paragraphs have equal fingerprints whatever their order, and a paragraph is adde
 taken away by adding or subtracting its vector. The vector has two parts:
 
 * WIDE lanes of 64 bits, uniform hashes of the paragraph, modulo 2^64;
-* SIGNS lanes of 16 bits, modulo 2^16, sums of +1 and -1 hashed from the paragraph's
-  parts. Products of such lanes estimate how many parts two documents share.
+* SIGNS lanes of 32 bits, modulo 2^32, sums of signed numbers hashed from the paragraph's
+  parts. The numbers have the tails of a Cauchy distribution, so the median size of a
+  lane grows with the number of parts, repeats counted, and that of the difference of
+  two fingerprints with the number of parts that only one of them has.
 
 The parts are overlapping runs of RUN pieces, some 24 bytes. Pieces end where the four
 bytes before say so, GRAIN bytes apart on average and LONGEST at most; so any text has
@@ -29,10 +31,11 @@ from pyspark.sql import functions as F
 from mirrorleaf.llm.arrow import mix, slices, span_hashes
 
 WIDE, SIGNS = 8, 256
-BYTES = WIDE * 8 + SIGNS * 2
+BYTES = WIDE * 8 + SIGNS * 4
 GRAIN, LONGEST, RUN = 8, 32, 3
 READ = 1 << 20  # a longer paragraph is cut into pieces in stretches of as many bytes
 BLOCK = 1 << 11  # parts whose lanes are held at a time
+UNIT = 8  # the least size of a part's lane
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,15 +114,16 @@ def _random(parts: np.ndarray, n: int) -> np.ndarray:
 
 
 def _lanes(parts: np.ndarray) -> np.ndarray:
-    bits = np.unpackbits(_random(parts, SIGNS // 64).astype("<u8").view(np.uint8), axis=1)
-    return (2 * bits.astype(np.int16) - 1).astype(np.uint16)
+    """UNIT / u rounded, for u evenly spread from -1 to 1: a sum of n of them is about n times as large."""
+    random = _random(parts, SIGNS // 2).astype("<u8").view("<i4")
+    return np.rint(np.float32(UNIT << 24) / (random >> 7 | 1).astype(np.float32)).astype(np.int32).view(np.uint32)
 
 
 def vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(wide lanes, sign lanes) of each text; null counts as empty."""
     lines = [(t or "").encode("utf-8", "surrogatepass").split(b"\n") for t in texts]
     wide = np.zeros((len(texts), WIDE), np.uint64)
-    signs = np.zeros((len(texts), SIGNS), np.uint16)
+    signs = np.zeros((len(texts), SIGNS), np.uint32)
     for rows, digests in _sums(lines, WIDE * 8, b"paragraph"):
         starts = np.cumsum([0, *(len(x) for x in lines[rows])])[:-1]
         wide[rows] = np.add.reduceat(digests.view("<u8").astype(np.uint64), starts, axis=0)
@@ -131,14 +135,14 @@ def vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pack(wide: np.ndarray, signs: np.ndarray) -> list[str]:
-    rows = np.concatenate([wide.astype("<u8").view(np.uint8), signs.astype("<u2").view(np.uint8)], axis=1)
+    rows = np.concatenate([wide.astype("<u8").view(np.uint8), signs.astype("<u4").view(np.uint8)], axis=1)
     return [r.tobytes().hex() for r in rows]
 
 
 def unpack(fingerprints: list[str]) -> tuple[np.ndarray, np.ndarray]:
     rows = np.frombuffer(bytes.fromhex("".join(fingerprints)), np.uint8).reshape(-1, BYTES)
     cut = WIDE * 8
-    return np.ascontiguousarray(rows[:, :cut]).view("<u8").astype(np.uint64), np.ascontiguousarray(rows[:, cut:]).view("<u2").astype(np.uint16)
+    return np.ascontiguousarray(rows[:, :cut]).view("<u8").astype(np.uint64), np.ascontiguousarray(rows[:, cut:]).view("<u4").astype(np.uint32)
 
 
 def fingerprint(text: str | None) -> str:
@@ -152,16 +156,22 @@ def change(fingerprint_: str, added: list[str] = (), removed: list[str] = ()) ->
         if paragraphs:
             w, s = vectors(list(paragraphs))
             wide = wide + w.sum(axis=0, dtype=np.uint64) if sign > 0 else wide - w.sum(axis=0, dtype=np.uint64)
-            signs = signs + s.sum(axis=0, dtype=np.uint16) if sign > 0 else signs - s.sum(axis=0, dtype=np.uint16)
+            signs = signs + s.sum(axis=0, dtype=np.uint32) if sign > 0 else signs - s.sum(axis=0, dtype=np.uint32)
     return pack(wide, signs)[0]
 
 
+def _size(signs: np.ndarray) -> np.ndarray:
+    return np.median(np.abs(signs.view(np.int32).astype(np.float64)), axis=1)
+
+
 def likeness(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Estimated share of common parts, from 0 to 1, row by row; 1 for equal fingerprints only."""
+    """Estimated share of common parts, from 0 to 1, row by row; 1 for equal fingerprints only.
+
+    Repeats count: n and m times one part have min(n, m) in common, of (n + m) / 2.
+    """
     equal = (a[0] == b[0]).all(axis=1) & (a[1] == b[1]).all(axis=1)
-    x, y = a[1].view(np.int16).astype(np.float64), b[1].view(np.int16).astype(np.float64)
-    norm = (x * x + y * y).sum(axis=1)
-    value = np.clip(2 * (x * y).sum(axis=1) / np.where(norm > 0, norm, 1), 0, 0.999999)
+    both = _size(a[1]) + _size(b[1])
+    value = np.clip(1 - _size(a[1] - b[1]) / np.where(both > 0, both, 1), 0, 0.999999)
     return np.where(equal, 1.0, value)
 
 

@@ -71,3 +71,22 @@ def test_one_long_line_is_cut_into_stretches():
     text, other = of(), of()
     a, b, c = (fp.vectors([t]) for t in (text, text[:800_000] + other[:800_000], other))
     assert 0.35 < fp.likeness(a, b)[0] < 0.65 and fp.likeness(a, c)[0] < 0.25
+
+
+def test_repeats_count_once_each_and_blank_lines_not():
+    rnd = random.Random(4)
+    line = lambda: " ".join(f"{rnd.getrandbits(24):x}" for _ in range(8))
+    like = lambda a, b: fp.likeness(fp.unpack([fp.fingerprint(a)]), fp.unpack([fp.fingerprint(b)]))[0]
+    unrelated = ["\n \n\n".join(f"{line()}. {line()}. {line()}" for _ in range(20)) for _ in range(2)]
+    assert like(*unrelated) < 0.25
+    hot = "one line again and again\n"
+    assert 0.8 < like(hot * 40_000, hot * 30_000) < 0.9  # 30,000 of 35,000
+    assert like(hot * 40_000, hot * 40_000 + "\n") > 0.99
+    apart = ["\n".join(line() for _ in range(100)) for _ in range(2)]
+    assert like(*(hot * 100 + x for x in apart)) < 0.4
+
+
+def test_repeated_paragraphs_are_added_and_removed():
+    many = fp.fingerprint("\n".join(["the same line again"] * 5))
+    assert fp.change(fp.fingerprint("the same line again"), added=["the same line again"] * 4) == many
+    assert fp.change(many, removed=["the same line again"] * 3) == fp.fingerprint("the same line again\nthe same line again")
