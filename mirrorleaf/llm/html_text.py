@@ -27,11 +27,12 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Element names and class words, grouped by what they say.
-RAW = frozenset("script style template noscript title textarea iframe svg object canvas select option button math".split())
+RAW = frozenset("script style template noscript title textarea iframe svg object canvas select option button annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong "
-    "sub sup time tt u var wbr img".split()
+    "sub sup time tt u var wbr img math semantics mrow mi mn mo ms mtext mspace mstyle merror mpadded mphantom menclose mfenced "
+    "mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd maction".split()
 )
 BESIDE = frozenset("nav footer aside form dialog menu fieldset".split())
 WITHIN = frozenset("article main".split())
@@ -41,16 +42,33 @@ BESIDE_WORDS = frozenset(
     "signup login comment comments reply replies respond discussion share sharing social related recommended widget toolbar "
     "pagination pager search copyright contentinfo complementary".split()
 )
+# Names that an article's own parts have as well; the tree weighs them against the text.
+UNSURE_WORDS = frozenset(
+    "menu header promotion notice notices alert reply replies discussion share sharing social related search".split()
+)
+COMMENT_WORDS = frozenset("comment comments reply replies respond".split())
 WITHIN_WORDS = frozenset("article content main post entry story".split())
 NEGATIONS = frozenset("no has with without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-IN_BESIDE, IN_WITHIN, IN_HEADER = 1, 2, 4
+IN_BESIDE, IN_WITHIN, IN_UNSURE = 1, 2, 4
 FEATURES = 11
+_FIRST_HEADING = re.compile(r"\s*+(?:<(?:div|header|a|span)\b[^<>]*+>\s*+)*+<h[1-6]\b[^<>]*+>(.*?)</h[1-6]", re.I | re.S)
+_LETTERS = re.compile(r"[^\W\d_]+")
+LOOK = 400  # characters after a tag in which the heading that it is named after ends
+
+
+def _named_after(name: str, html: str, at: int) -> bool:
+    """Whether what follows begins with a heading that has all words of the name."""
+    heading = _FIRST_HEADING.match(html, at, at + LOOK)
+    if heading is None:
+        return False
+    words = _LETTERS.findall(name.lower())
+    return set(words) <= set(_LETTERS.findall(unescape(re.sub(r"<[^>]*>", "", heading[1])).lower())) - COMMENT_WORDS
 
 
-def _own_flags(tag: str, attributes: str, flags: int) -> int:
-    """Flags of an element inside elements with ``flags``."""
+def _own_flags(tag: str, attributes: str, flags: int, html: str = "", at: int = 0) -> int:
+    """Flags of an element inside elements with ``flags``; it is followed by what ``html`` has from ``at`` on."""
     if tag in BESIDE:
         flags |= IN_BESIDE
     elif tag in WITHIN:
@@ -59,12 +77,15 @@ def _own_flags(tag: str, attributes: str, flags: int) -> int:
         flags |= IN_BESIDE
     if attributes and tag not in ("html", "body"):
         words: list[str] = []
-        for _, value in _CLASS.findall(attributes):
-            words += ["", *(w.lower() for w in _NAME.findall(value))]
+        for kind, value in _CLASS.findall(attributes):
+            name = ["", *(w.lower() for w in _NAME.findall(value))]
+            if kind.lower() == "id" and not BESIDE_WORDS.isdisjoint(name) and (tag in HEADINGS or _named_after(value, html, at)):
+                continue
+            words += name
         within = any(w in WITHIN_WORDS for w in words)
         for before, word in zip(["", *words], words):
             if word in BESIDE_WORDS and before not in NEGATIONS and not (word == "header" and (within or flags & IN_WITHIN)):
-                flags |= IN_BESIDE
+                flags |= IN_UNSURE if word in UNSURE_WORDS else IN_BESIDE
         if within:
             flags |= IN_WITHIN
         if _HIDDEN.search(attributes):
@@ -99,12 +120,12 @@ class _Blocks:
             flags = self.open[-1][1] if self.open else 0
             self.texts.append(text)
             self.rows.append((
-                len(words), min(1.0, self.linked / len(words)), bool(flags & IN_BESIDE), bool(flags & IN_WITHIN),
+                len(words), min(1.0, self.linked / len(words)), 2 * bool(flags & IN_BESIDE) or bool(flags & IN_UNSURE), bool(flags & IN_WITHIN),
                 self.tag in HEADINGS, self.tag == "li", text[-1] in ".!?…\"'»”",
             ))
         self.parts, self.linked = [], 0
 
-    def start(self, tag: str, attributes: str) -> None:
+    def start(self, tag: str, attributes: str, html: str = "", at: int = 0) -> None:
         if tag == "a":
             self.in_link = True
         elif tag == "br":
@@ -117,7 +138,7 @@ class _Blocks:
                 self.count["p"] -= 1
             if tag not in VOID and (tag != "p" or attributes.strip()):
                 flags = self.open[-1][1] if self.open else 0
-                self.open.append((tag, _own_flags(tag, attributes, flags)))
+                self.open.append((tag, _own_flags(tag, attributes, flags, html, at)))
                 self.count[tag] = self.count.get(tag, 0) + 1
 
     def end(self, tag: str) -> None:
@@ -183,7 +204,7 @@ def blocks(html: str | None) -> tuple[list[str], np.ndarray]:
             if name not in INLINE:
                 page.parts.append(" ")
         else:
-            page.start(name, attributes)
+            page.start(name, attributes, html, at)
     page.flush()
     return page.texts, np.array(page.rows, np.float64).reshape(-1, 7)
 

@@ -37,6 +37,12 @@ nav|L1|0 main>div|W1|1
 p|W3|0
 div|W1|0 div|L1|0
 ul>li|L1|0 ul>li|L1|0 ul>li|L2|0 p|W9.|1 p|W30.|1 p|W18.|1 ul>li|L2|0 ul>li|L1|0
+article>p|W30.|1 article>p.share-price|W12.|1 article>p.share-price|W6.|1 article>div.notice>p|W20.|1 article>div.share|W2|0 article>div.share>a|L2|0 article>p|W28.|1
+article>p.search-index|W9|1 article>p.search-index|W15.|1 article>div.alert|W30.|1 article>div.social|W3|0 article>div.social>a|L1|0 article>div.related>ul>li|L6|0
+main>section.discussion>p|W25.|1 main>section.discussion>p|W5.|1 main>section.discussion>p|W3.|1 main>div.related>p|L5|0 main>div.related>p|L9|0
+article>aside|W1|0 article>p|W2.|1 article>aside>h2|W2|0 article>aside>p|W1.|0 article>aside>p|W60.|0 article>p|W2|1 article>footer|W1|0
+main>h1|W1|1 main>div.sidebar|W1|0 main>div.sidebar>ul>li|W4|0 main>p|W9.|1 main>div.sidebar>p|W5.|0 main>div.sidebar>h2|W3|0
+div.search|W2|0 div.cookie|W20.|0 article>div.cookie-consent>p|W3.|0 div.alert|W9.|0 div.social|L3|0 div.notice|W40.|0
 """
 
 

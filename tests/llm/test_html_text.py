@@ -73,3 +73,16 @@ def test_generated_pages(spark):
         article = re.search(r"<article>(.*?)(</article>|$)", html[row.page_id], re.S)[1]
         parts = [" ".join(unescape(re.sub(r"<[^>]*>?", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", article)]
         assert row.text == "\n\n".join(p for p in parts if p) and row.n_chars == len(row.text)
+
+
+@pytest.mark.parametrize("html, expected", [
+    ("<article><section id='discussion'><h2>Discussion</h2><p>Two words.</p><p>It says more here.</p></section></article>", "Discussion\n\nTwo words.\n\nIt says more here."),
+    ("<article><h2 id='related-work'>Related work</h2><p id='x'>Others did so.</p></article>", "Related work\n\nOthers did so."),
+    ("<main><div id='related-work-1'><h2>2. <b>Related</b> Work</h2><p>Yes.</p></div></main>", "2. Related Work\n\nYes."),
+    ("<article><p>One.</p><p class='share-price'>The share price rose by ten percent today.</p></article>", "One.\n\nThe share price rose by ten percent today."),
+    ("<article><p>As <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds.</p></article>", "As x=2 holds."),
+    ("<article><p>a</p><div class='share'><a>Share</a></div><section id='comments'><h2>Comments</h2><p>Nice text, thank you all.</p></section></article>", "a"),
+    ("<p>One two three four five six.</p><div class='alert'>You have to log in to read all this.</div>", "One two three four five six."),
+])
+def test_names_that_article_parts_have_as_well(html, expected):
+    assert text(html) == expected
