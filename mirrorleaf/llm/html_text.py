@@ -219,7 +219,7 @@ def with_neighbours(rows: np.ndarray) -> np.ndarray:
 class Tree:
     """A binary decision tree by Gini impurity; ties go to the first feature and the least cut."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 7):
+    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = 14):
         self.feature, self.cut, self.left, self.right, self.value = [], [], [], [], []
         self._grow(x, y, depth)
         for name in ("feature", "cut", "left", "right", "value"):

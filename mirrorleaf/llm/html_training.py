@@ -8,6 +8,7 @@ W stands for words, L for linked words.
 from __future__ import annotations
 
 import re
+from itertools import product
 
 _PAGES = """
 nav>ul>li|L1|0 nav>ul>li|L1|0 nav>ul>li|L2|0 div.ad|W9.|0 article>h1|W6|1 article>p|W40.|1 article>p|W1.|1 article>p|W25.|1 footer|W12|0
@@ -43,9 +44,38 @@ main>section.discussion>p|W25.|1 main>section.discussion>p|W5.|1 main>section.di
 article>aside|W1|0 article>p|W2.|1 article>aside>h2|W2|0 article>aside>p|W1.|0 article>aside>p|W60.|0 article>p|W2|1 article>footer|W1|0
 main>h1|W1|1 main>div.sidebar|W1|0 main>div.sidebar>ul>li|W4|0 main>p|W9.|1 main>div.sidebar>p|W5.|0 main>div.sidebar>h2|W3|0
 div.search|W2|0 div.cookie|W20.|0 article>div.cookie-consent>p|W3.|0 div.alert|W9.|0 div.social|L3|0 div.notice|W40.|0
+div|L2|0 div|L1|0 div|W40.|1 div|L6|1 div|W52.|1 div|W35.|1 div|L2|0 div|W8|0
+p|W45.|1 p|L8|1 p|W38.|1 p|W3.|1 p|W47.|1 div|L3|0 div|W7.|0 div|L1|0
+table>tr>td|L1|0 table>tr>td|W6.|0 table>tr>td|L2|0 p|W34.|1 p|L12|1 p|W60.|1 table>tr>td|L4|0 table>tr>td|W11|0
+div|L1|0 div|L3|0 div|W5|0 div|L2|0 div|W55.|1 div|W6.|1 div|W48.|1 div|L1|0 div|W14.|0 div|L1|0
+div|L2|0 div|W12.|0 div|L1|0 h1|W6|1 div|W30.|1 div|L4|1 div|W28.|1 div|L9|0 div|L2|0 div|W16|0
+table>tr>td|L2|0 table>tr>td|L3|0 table>tr>td|W50.|1 table>tr>td|W2.|1 table>tr>td|W44.|1 table>tr>td|L3.|1 table>tr>td|W70.|1 table>tr>td|L5|0 table>tr>td|W9.|0
+article>p|L2|1 article>p|W6.|1 article>p|L3|1 article>p|W12|1 article>p|L1|1
 """
 
 
+def _layouts() -> list[str]:
+    """Pages of one element, where only the neighbours tell short and linked blocks apart, and the same in an article."""
+    out = []
+    for n, (long, short) in enumerate(product((17, 22, 28, 36, 50, 75), (2, 4, 6, 9, 12))):
+        tag = ("div", "p", "table>tr>td")[n % 3]
+        plain = (
+            f"L1|0 W{short}.|0 L{long}|0 L2|0 W{long}.|1 L{short}|1 W{long + 5}.|1 W{short}.|1 W{long + 9}.|1 "
+            f"L{1 + n % 4}|0 W{short + 1}|0 L1|0 W{short}|0"
+        )
+        out.append(" ".join(f"{tag}|{block}" for block in plain.split()))
+        out.append(" ".join(f"main>{tag}|{block[:-1]}1" for block in plain.split()))
+        for around in product(("L1", "L2", "W1.", "W2"), ("L1", "L2", "W1.", "W2")):
+            out.append(" ".join(f"article>p|{block}|1" for block in (around[0], f"W{short}.", around[1])))
+        for within in ("", "article>"):  # named boilerplate beside the same neighbours
+            beside = [f"{name}|{kind}{n_words}|0" for name, kind, n_words in product(("div.ad", "aside", "div.sidebar>p"), "WL", (short, f"{long}."))]
+            out.append(" ".join(f"{within}{block} {within}p|W{long + 3}.|1" for block in beside))
+        out.append(" ".join(f"{block} {tag}|W{long + 3}.|1" for block in (f"nav|W{short}.|0", f"div.alert|W{short}.|0", f"footer|W{long}|0")))
+        inside = f"W{short}|1 W{long}.|1 L{short}|1 W{short}.|1 L2|1 W1.|1 L1|1 W{short}.|1 L3|1"
+        out.append(" ".join(["nav|L2|0", *(f"article>p|{block}" for block in inside.split()), f"footer|W{short}|0"]))
+    return out
+
+
 def _markup(path: str, text: str) -> str:
     match = re.fullmatch(r"([WL])(\d+)(\.?)", text)
     words = " ".join(["word"] * int(match[2])) + match[3]
@@ -62,7 +92,7 @@ def _markup(path: str, text: str) -> str:
 def pages() -> list[tuple[str, list[int]]]:
     """(html, label of each block) of each page."""
     out = []
-    for line in _PAGES.strip().splitlines():
+    for line in [*_PAGES.strip().splitlines(), *_layouts()]:
         parts = [part.split("|") for part in line.split()]
         html = "".join(_markup(path, text) for path, text, _ in parts)
         out.append((f"<html><body>{html}</body></html>", [int(label) for *_, label in parts]))

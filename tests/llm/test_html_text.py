@@ -86,3 +86,23 @@ def test_generated_pages(spark):
 ])
 def test_names_that_article_parts_have_as_well(html, expected):
     assert text(html) == expected
+
+
+LONG = ["The river rose in the night and by the morning the lower road could not be used by any of the carts, so people walked.",
+        "Later in the week the water fell again, and the council met to speak about the bridge that had been promised years ago.",
+        "Nobody was hurt, but the mill lost its wheel and two barns that stood near the bank were taken away by the stream."]
+
+
+@pytest.mark.parametrize("tag", ["<div>{}</div>", "<table><tr><td>{}</td></tr></table>"])
+def test_neighbours_decide_on_pages_without_article_markup(tag):
+    link = lambda x: f"<a href='/x'>{x}</a>"
+    linked, short = "Read the report of the mill here", "It was May."
+    blocks = [
+        link("Home"), "We use cookies on this site.", link("News today"), LONG[0], link(linked), LONG[1], short, LONG[2],
+        link("About us"), "Copyright 2024 The Valley Paper and its writers", link("Imprint"), "All rights reserved by the owner",
+    ]
+    assert text("".join(tag.format(b) for b in blocks)).split("\n\n") == [LONG[0], linked, LONG[1], short, LONG[2]]
+
+
+def test_the_tree_splits_on_neighbours():
+    assert {7, 9} <= set(ht.trained_tree().feature.tolist())
