@@ -158,3 +158,17 @@ def test_config_bounds():
     cfg = MirrorConfig(exclude_urls=" a \n\n b")
     assert cfg.exclusions == ("a", "b", *ALWAYS_EXCLUDED)
     assert not MirrorConfig(append_json_schema=True).appends_structured_data
+
+
+def test_post_sitemaps_are_bounded_and_list_all(spark):
+    """A hot site is a tree of small documents."""
+    from workload.queries import post_sitemaps
+
+    rows = [("hot.e" if k % 10 else "b.e", k, f"https://{'hot.e' if k % 10 else 'b.e'}/{k}/") for k in [*range(-30, 300), 5_000]]
+    posts = spark.createDataFrame(rows, "site string, post_id bigint, permalink string")
+    maps = post_sitemaps(posts, fan_out=5)
+    assert max(r.xml.count("<s:loc>") for r in maps.collect()) <= 5
+    roots = spark.createDataFrame([(s, f"https://{s}/", f"https://{s}/wp-sitemap.xml") for s in ("hot.e", "b.e")], "site string, home_url string, sitemap_url string")
+    found = sorted((r.site, r.url) for r in expand_sitemaps(maps, roots).collect())
+    assert found == sorted((s, f"{p}?from=map") for s, _, p in rows)
+    assert post_sitemaps(posts.limit(0)).count() == 0

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorleaf.config import MirrorConfig
@@ -993,15 +993,46 @@ def sites_of_posts(spark, sf_dir):
     return entities.site_of(view(spark, sf_dir, "posts"), sites, "permalink").select("post_id", "site")
 
 
+def post_sitemaps(posts: DataFrame, fan_out: int = 1_000) -> DataFrame:
+    """(sitemap_url, xml): a tree of sitemaps for each site, documents of ``fan_out`` consecutive ids at most.
+
+    A level lists the next by number, so no document grows with the site.
+    """
+    base = F.concat(F.lit("https://"), F.col("site"), F.lit("/"))
+    opened = lambda tag: F.lit(f'<s:{tag} xmlns:s="{sitemap_source.NAMESPACE}">')
+    listed = lambda: F.array_join(F.array_sort(F.collect_list("loc")), "")
+
+    def documents(rows: DataFrame, tag: str, name: Column) -> DataFrame:
+        xml = F.concat(opened(tag), listed(), F.lit(f"</s:{tag}>"))
+        return rows.groupBy("site", "number").agg(xml.alias("xml")).select(F.concat(base, name).alias("sitemap_url"), "xml")
+
+    name = lambda level: F.concat(F.lit(f"posts-{level}-"), F.col("number").cast("string"), F.lit(".xml"))
+    number = F.floor(F.col("post_id") / fan_out)
+    loc = F.concat(F.lit("<s:url><s:loc>"), "permalink", F.lit("?from=map</s:loc></s:url>"))
+    out = [documents(posts.select("site", number.alias("number"), loc.alias("loc")), "urlset", name(0))]
+    bounds = posts.agg(F.min(number), F.max(number)).first()
+    low, high = bounds if bounds[0] is not None else (0, 0)
+    child = F.concat(F.lit("<s:sitemap><s:loc>"), base, name(0), F.lit("</s:loc></s:sitemap>"))
+    rows = posts.select("site", number.alias("number")).distinct().withColumn("loc", child)
+    level = 0
+    while high - low >= fan_out:  # more than one document could list
+        level, low, high = level + 1, low // fan_out, high // fan_out
+        above = F.floor(F.col("number") / fan_out)
+        rows = rows.withColumn("number", above)
+        out.append(documents(rows, "sitemapindex", name(level)))
+        child = F.concat(F.lit("<s:sitemap><s:loc>"), base, name(level), F.lit("</s:loc></s:sitemap>"))
+        rows = rows.select("site", "number").distinct().withColumn("loc", child)
+    root = rows.withColumn("number", F.lit(0))
+    out.append(documents(root, "sitemapindex", F.lit("wp-sitemap.xml")))
+    return entities.union_all(out)
+
+
 def regeneration(spark, sf_dir) -> tuple[DataFrame, DataFrame, str]:
     """Pages come from sitemaps, and so do the posts of some sites; all else comes from the content tables."""
     tables = job_tables(spark, sf_dir)
     page_sites, sitemaps = sitemap_tables(spark, sf_dir)
     posts = view(spark, sf_dir, "posts").withColumn("site", U.url_host("permalink")).where("length(site) % 2 = 1")
-    loc = F.concat(F.lit("<s:url><s:loc>"), "permalink", F.lit("?from=map</s:loc></s:url>"))
-    listed = F.array_join(F.array_sort(F.collect_list(loc)), "")
-    wrapped = F.concat(F.lit(f'<s:urlset xmlns:s="{sitemap_source.NAMESPACE}">'), listed, F.lit("</s:urlset>"))
-    more = posts.groupBy(F.concat(F.lit("https://"), "site", F.lit("/wp-sitemap.xml")).alias("sitemap_url")).agg(wrapped.alias("xml"))
+    more = post_sitemaps(posts)
     sites = page_sites.unionByName(view(spark, sf_dir, "post_sites"))
     items = queue.content_items(tables.posts, tables.post_terms, tables.terms, tables.authors, sites, CFG)
     listed = persist_table(spark, queue.build_queue(items, sites, sitemaps.unionByName(more), CFG), "queue")
