@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from mirrorleaf.llm import (
     decontaminate,
+    fill_in_middle,
     fingerprints,
     html_text,
     language_id,
     line_dedup,
     near_duplicates,
     quality,
+    secrets,
     sentencepiece_viterbi,
     token_files,
     toxicity,
@@ -92,6 +94,50 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(repeated.key)::BIGINT AS n_dro
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (repeated.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN repeated USING (key) GROUP BY r, doc_id"""
 
+# Kinds of secrets in their order: pattern, and what a match m must be. g is what follows the prefix or key.
+_CRC = """(4294967295 - list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, 31), lambda i: ascii(substr(g, i, 1))::BIGINT)),
+    lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+_CHECKSUM = f"""array_to_string(list_transform([916132832, 14776336, 238328, 3844, 62, 1],
+    lambda d: substr('{secrets.DIGITS}', ({_CRC} // d % 62 + 1)::BIGINT, 1)), '')"""
+_CHECKED = f"CASE WHEN length(g) = 36 THEN substr(g, 31) = {_CHECKSUM} ELSE false END"
+_KINDS = {
+    "assign": (r"""(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "length(g) >= 6"),
+    "access": ("AKIA([A-Z0-9]+)", "length(m) >= 20"),
+    "hex": ("([0-9a-f]{24,})", "true"),
+    "github": ("gh[pousr]_([A-Za-z0-9]+)", _CHECKED),
+    "npm": ("npm_([A-Za-z0-9]+)", _CHECKED),
+}
+_FOUND = " UNION ALL ".join(
+    f"""SELECT r, '{kind}' AS kind, {k} AS k, a AS start, a + length(m) AS stop FROM (
+        SELECT r, unnest(ms) AS m, unnest(gs) AS g, unnest(list_transform(range(1, len(ms) + 1),
+            lambda i: coalesce(list_sum(list_transform(gaps[:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[:i - 1], lambda x: length(x))), 0)))::BIGINT AS a
+        FROM (SELECT r, regexp_extract_all(text, '{pattern}') AS ms, regexp_extract_all(text, '{pattern}', 1) AS gs,
+                     regexp_split_to_array(text, '{pattern}') AS gaps FROM d)) WHERE {test}"""
+    for k, (kind, (pattern, test)) in enumerate(_KINDS.items())
+)
+_SPANS = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, k) {}, '')"
+SECRETS = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), found AS ({_FOUND})
+SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+       count(*) FILTER (kind = 'hex') AS n_hex, sha256({_SPANS.format("FILTER (k < 3)")}) AS base_sha256,
+       {_SPANS.format("FILTER (kind IS NOT NULL)")} AS spans
+FROM d LEFT JOIN found USING (r) GROUP BY r, doc_id"""
+
+FILL_IN_MIDDLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+             list_transform(range(0, 4), lambda i: ('0x' || substr(h, 8 * i + 1, 8))::BIGINT) AS hs FROM d),
+c AS (SELECT *, len(units) AS n, least(hs[1] % (len(units) + 1), hs[2] % (len(units) + 1)) AS a,
+             greatest(hs[1] % (len(units) + 1), hs[2] % (len(units) + 1)) AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR hs[3] % 100 >= 50
+                  THEN 'plain' WHEN hs[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+x AS (SELECT *, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m, array_to_string(units[b + 1:], '') AS s FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM x"""
+
 
 # ---- queries -----------------------------------------------------------------
 
@@ -172,3 +218,24 @@ def op10_toxicity(spark, sf_dir):
     model = toxicity.toxicity_model(docs, table(spark, sf_dir, "labels").where(~held_out()))
     found = toxicity.grade_toxicity(docs, model)
     return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "expected_severity", "p_toxic", "toxic")
+
+
+@query(SECRETS)
+def op12_secrets(spark, sf_dir):
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    of = lambda kind: F.size(F.filter("secrets", lambda s: s.kind == kind)).cast("bigint")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    base = F.filter("secrets", lambda s: s.kind.isin(*secrets.KINDS[: secrets.BASE]))
+    return found.select(
+        "doc_id", *[of(kind).alias(f"n_{kind}") for kind in secrets.KINDS[: secrets.BASE]],
+        F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"),
+    )
+
+
+@query(FILL_IN_MIDDLE)
+def op13_fill_in_middle(spark, sf_dir):
+    found = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2(fill_in_middle.restored(), 256).alias("restored_sha256"),
+    )
