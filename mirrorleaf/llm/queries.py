@@ -12,6 +12,7 @@ from mirrorleaf.llm import (
     decontaminate,
     fill_in_middle,
     fingerprints,
+    hard_negatives,
     html_text,
     language_id,
     line_dedup,
@@ -94,6 +95,18 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, count(repeated.key)::BIGINT AS n_dro
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (repeated.key IS NULL), '')) AS kept_sha256
 FROM k LEFT JOIN repeated USING (key) GROUP BY r, doc_id"""
 
+HARD_NEGATIVES = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS anchor, a.vec_id AS anchor_id, v.r, v.vec_id, a.label = v.label AS same, list_inner_product(a.q, v.q)::BIGINT AS score
+      FROM v a JOIN v ON a.r <> v.r WHERE a.vec_id % 100 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS FIRST, r) AS place FROM s WHERE same QUALIFY place <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+       row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY s.score DESC, s.vec_id NULLS FIRST, s.r)::INT AS rank
+FROM p JOIN s ON p.anchor = s.anchor AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score QUALIFY rank <= 5"""
+
 # Kinds of secrets in their order: pattern, and what a match m must be. g is what follows the prefix or key.
 _CRC = """(4294967295 - list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, 31), lambda i: ascii(substr(g, i, 1))::BIGINT)),
     lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
@@ -220,6 +233,13 @@ def op10_toxicity(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "expected_severity", "p_toxic", "toxic")
 
 
+@query(HARD_NEGATIVES)
+def op11_hard_negatives(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 @query(SECRETS)
 def op12_secrets(spark, sf_dir):
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
