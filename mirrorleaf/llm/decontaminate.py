@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorleaf.llm.arrow import slices, text_bytes, words
+from mirrorleaf.llm.arrow import slices, small_batches, text_bytes, words
 from mirrorleaf.llm.suffix_array import SuffixArray
 
 BLOCK_BYTES = 16 << 20  # text of test items in one broadcast
@@ -144,6 +144,7 @@ def benchmark_spans(
     without words; repeated rows get a row each; an item without an id has spans whose
     item_id is null. Without documents or items there are no rows or no spans.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     # the shard's rows need one id type and one text type only
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -198,6 +199,7 @@ def drop_contaminated(
     item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """The rows of ``docs``, with all columns, whose text has no span (see benchmark_spans)."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
         shared = spark.sparkContext.broadcast(Queries(block, window))

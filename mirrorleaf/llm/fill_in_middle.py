@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mirrorleaf.llm.arrow import slices, text_bytes
+from mirrorleaf.llm.arrow import slices, small_batches, text_bytes
 
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 PLAIN, PSM, SPM = "plain", "psm", "spm"
@@ -143,6 +143,7 @@ def fill_in_middle(
     lengths are null. Lengths are code points. Repeated rows get equal rows each; an
     empty table gives none; ids are integers, other columns are not read.
     """
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     id_ = F.col(id_col).cast("bigint")
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit(""))), 256)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mirrorleaf.llm.arrow import slices
+from mirrorleaf.llm.arrow import slices, small_batches
 from mirrorleaf.session import persist_table
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -221,6 +221,7 @@ def drop_repeated_lines(
     """
     if keep not in ("none", "first"):
         raise ValueError(keep)
+    small_batches(docs.sparkSession)
     spark, first = docs.sparkSession, keep == "first"
     docs = docs.drop(N_LINES, N_DROPPED)
     narrow = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorleaf.llm.arrow import mix, shingles, slices, words
+from mirrorleaf.llm.arrow import mix, shingles, slices, small_batches, words
 from mirrorleaf.llm.components import components
 from mirrorleaf.session import persist_table
 
@@ -230,6 +230,7 @@ def near_duplicates(
     counts as empty. Repeated rows count each. A null id counts as NULL_ID. An empty
     table gives no rows. Ids are integers; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     id_ = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NULL_ID))
     rows = docs.select(id_.alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorleaf.llm.arrow import slices
+from mirrorleaf.llm.arrow import slices, small_batches
 
 SAMPLE_ROWS = 12_000  # labelled rows that a model is fitted on, at most
 MIN_ROWS = 4  # rows of the sample that must have a feature
@@ -174,6 +174,7 @@ def graded(docs: DataFrame, model: Ordinal, features: Features) -> DataFrame:
     Without a labelled row expected_grade is null, with one grade it is that grade;
     tail is empty then.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = f"id {dict(docs.dtypes)['id']}, expected_grade double, tail array<double>"
     return docs.mapInArrow(_applied(shared, features, ["id"], "text"), schema)
@@ -181,6 +182,7 @@ def graded(docs: DataFrame, model: Ordinal, features: Features) -> DataFrame:
 
 def rows_where(docs: DataFrame, model: Ordinal, features: Features, text_col: str, test: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """The rows of ``docs``, with all columns, whose tail probabilities pass ``test``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 

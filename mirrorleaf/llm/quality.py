@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -16,10 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirrorleaf.llm import ordinal
+from mirrorleaf.llm.arrow import Memory
 
 _RUNS = ((re.compile(r"[^\W\d_]+"), lambda m: "X" if m[0].isupper() else "Xx" if m[0][0].isupper() else "x"), (re.compile(r"\d+"), lambda m: "9"))
 _SAME = re.compile(r"([^\w\s])\1+")
-SHAPES = 100_000  # shapes a worker remembers
+SHAPES = 30_000  # shapes a worker remembers, of tokens of 30 letters or fewer
 STEPS = 10  # a share is told in as many levels
 
 
@@ -30,14 +32,28 @@ class Shapes(dict):
         shape = token
         for pattern, put in _RUNS:
             shape = pattern.sub(put, shape)
-        found = xxhash.xxh3_64_intdigest("shape " + _SAME.sub(r"\1+", shape)[:24])
-        if len(self) >= SHAPES:
-            self.clear()
-        self[token] = found
+        found = xxhash.xxh3_64_intdigest("shape " + _SAME.sub(r"\1+", shape))
+        if len(token) <= 30:
+            if len(self) >= SHAPES:
+                self.clear()
+            self[token] = found
         return found
 
 
-_shapes = Shapes()
+class ShapeMemory(Memory):
+    def __init__(self):
+        super().__init__()
+        self.shapes = Shapes()
+
+    def forget(self) -> None:
+        self.shapes.clear()
+
+
+@lru_cache(1)
+def memory() -> ShapeMemory:
+    return ShapeMemory()
+
+
 _LEVELS = {
     name: [xxhash.xxh3_64_intdigest(f"{name} {k}") for k in range(STEPS + 1)]
     for name in ("again", "repeated", "lines", "mean length")
@@ -46,6 +62,8 @@ _LEVELS = {
 
 def features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     out = []
+    known = memory()
+    known.touch()
     for text in texts:
         tokens = (text or "").split()
         if not tokens:
@@ -55,7 +73,7 @@ def features(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         shapes: Counter = Counter()
         counts = Counter(tokens)
         for token, often in counts.items():
-            shapes[_shapes[token]] += often
+            shapes[known.shapes[token]] += often
         again = sum(map(str.__eq__, tokens, tokens[1:])) / n
         lines = [x for x in text.split("\n") if x]
         shares = {

@@ -1,4 +1,4 @@
-"""Ids of parts of text, remembered by the parts' hashes."""
+"""Ids of parts of text, remembered by the parts' hashes and told apart by their bytes."""
 
 from __future__ import annotations
 
@@ -6,29 +6,63 @@ from collections.abc import Callable
 
 import numpy as np
 
-from mirrorleaf.llm.arrow import span_hashes
+from mirrorleaf.llm.arrow import Memory, span_hashes
 
-PARTS = 1_000_000  # parts that a worker remembers, some 40 bytes each
+BYTES = 32 << 20  # that the memory of a worker may hold
+_COMPARED = 1 << 18  # bytes compared at once
 
 
-class Remembered:
-    """Ids of parts, in one pool; parts are told apart by 64-bit hashes."""
+def places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for ``size`` steps, of all pairs, one after the other."""
+    stop = np.cumsum(size, dtype=np.int64)
+    return np.repeat(first - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
+
+
+class Remembered(Memory):
+    """Ids and bytes of parts, each in one pool, found by 64-bit hashes.
+
+    A hash leads to one part. Another part of the same hash is seen by its bytes, and
+    encoded each time anew.
+    """
 
     def __init__(self):
+        super().__init__()
         self.forget()
 
     def forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)  # sorted
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.pool = np.zeros(0, np.uint32)
+        self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int32)  # of the ids
+        self.at, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int32)  # of the bytes
+        self.pool, self.text = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
 
-    def _learn(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.hashes, self.first, self.size, self.at, self.length, self.pool, self.text))
+
+    def _learn(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, text: np.ndarray, lengths: np.ndarray) -> None:
         first = np.cumsum(sizes) - sizes + len(self.pool)
+        at = np.cumsum(lengths) - lengths + len(self.text)
         self.pool = np.concatenate([self.pool, ids.astype(np.uint32)])
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes = np.insert(self.hashes, at, hashes)
-        self.first = np.insert(self.first, at, first)
-        self.size = np.insert(self.size, at, sizes)
+        self.text = np.concatenate([self.text, text])
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes = np.insert(self.hashes, place, hashes)
+        self.first, self.size = np.insert(self.first, place, first), np.insert(self.size, place, sizes)
+        self.at, self.length = np.insert(self.at, place, at), np.insert(self.length, place, lengths)
+
+    def _same(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Whether each part has the very bytes of the part that its hash leads to."""
+        length = ends - starts
+        same = self.length[slot] == length
+        some = np.flatnonzero(same & (length > 0))
+        stop = np.cumsum(length[some])
+        k = 0
+        while k < len(some):
+            end = max(k + 1, int(np.searchsorted(stop, stop[k] - length[some[k]] + _COMPARED, "right")))
+            own = some[k:end]
+            size = length[own]
+            equal = data[places(starts[own], size)] == self.text[places(self.at[slot[own]].astype(np.int64), size)]
+            same[own] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
+            k = end
+        return same
 
     def ids(
         self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray,
@@ -39,21 +73,26 @@ class Remembered:
         ``encode`` gets the texts of the parts that are new, and which parts they are,
         and gives their ids, one after the other, and the number of ids of each.
         """
+        self.touch()
         hashes, example, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.hashes) > PARTS:
+        if self.nbytes() > BYTES:
             self.forget()
         known = np.zeros(len(hashes), bool)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
             known = self.hashes[at] == hashes
+        raw = data.tobytes()
+        texts = lambda where: [raw[s:e].decode() for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
         new = np.flatnonzero(~known)
         if len(new):
-            raw, where = data.tobytes(), example[new]
-            texts = [raw[s:e].decode() for s, e in zip(starts[where].tolist(), ends[where].tolist(), strict=True)]
-            self._learn(hashes[new], *encode(texts, where))
-        at = np.searchsorted(self.hashes, hashes)
-        size, first = self.size[at][which], self.first[at][which]
-        stop = np.cumsum(size, dtype=np.int64)
-        total = int(stop[-1]) if len(stop) else 0
-        ids = self.pool[np.repeat(first - (stop - size), size) + np.arange(total)]
-        return ids, np.append(0, stop)
+            where = example[new]
+            length = ends[where] - starts[where]
+            self._learn(hashes[new], *encode(texts(where), where), data[places(starts[where], length)], length)
+        slot = np.searchsorted(self.hashes, hashes)[which]
+        size, first, pool = self.size[slot].astype(np.int64), self.first[slot].astype(np.int64), self.pool
+        other = np.flatnonzero(~self._same(data, starts, ends, slot))
+        if len(other):
+            more, sizes = encode(texts(other), other)
+            first[other], size[other] = len(pool) + np.cumsum(sizes) - sizes, sizes
+            pool = np.concatenate([pool, more.astype(np.uint32)])
+        return pool[places(first, size)], np.append(0, np.cumsum(size))

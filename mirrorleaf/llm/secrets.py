@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorleaf.llm.arrow import FOLD, slices, text_bytes
+from mirrorleaf.llm.arrow import FOLD, slices, small_batches, text_bytes
 
 KINDS = ("assign", "access", "hex", "github", "npm")
 BASE = 3  # the first kinds have no checksum
@@ -163,5 +163,6 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows get equal rows each; an empty table gives none; ids are integers, other columns
     are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(_scanned, SCHEMA)

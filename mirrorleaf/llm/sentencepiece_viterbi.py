@@ -24,18 +24,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mirrorleaf.llm.arrow import mix, slices, text_bytes
+from mirrorleaf.llm.arrow import Memory, mix, slices, small_batches, text_bytes
 from mirrorleaf.llm.remembered import Remembered
 
 SPACE = "▁"
 _BASE = 0x9E3779B97F4A7C15
 NORMAL, UNKNOWN, BYTE = 1, 2, 6  # piece types
 UNIGRAM, BPE = 1, 2  # model types
+SLICE = 1 << 20  # bytes of text encoded at once
 CELLS = 1 << 21  # words times length in one search
-PAIRS = 300_000  # pairs of pieces that a worker remembers
+PAIRS = 500_000  # pairs of pieces that a worker remembers, nine bytes each
 UNKNOWN_PENALTY = 10.0
 
 
+class Pairs(Memory):
+    """Answers for pairs of pieces: sorted keys, and a yes or no for each."""
+
+    def __init__(self):
+        super().__init__()
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.answers = np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def look_up(self, pairs: np.ndarray, answer) -> np.ndarray:
+        """The answers for distinct pairs; ``answer`` gives those not known yet."""
+        self.touch()
+        if len(self.keys) > PAIRS:
+            self.forget()
+        known = np.zeros(len(pairs), bool)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
+            known = self.keys[at] == pairs
+        new = pairs[~known]
+        if len(new):
+            at = np.searchsorted(self.keys, new)
+            found = np.array([answer(pair) for pair in new.tolist()], bool)
+            self.keys, self.answers = np.insert(self.keys, at, new), np.insert(self.answers, at, found)
+        return self.answers[np.searchsorted(self.keys, pairs)]
+
+
 class Model:
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2
@@ -63,6 +91,10 @@ class Model:
         self.keys, self.key_ids = keys[order], np.array(normal)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
+        # the pieces themselves, as a key alone does not prove that a substring is one
+        self.points = np.zeros((len(normal), self.longest), np.uint32)
+        for line, k in zip(self.points, self.key_ids.tolist(), strict=True):
+            line[: len(self.pieces[k])] = [ord(c) for c in self.pieces[k]]
         self.scores = np.zeros(len(self.pieces)) if self.bpe else scores
         self.unknown_score = 0.0 if self.bpe else float(scores[normal].min()) - UNKNOWN_PENALTY
         self.neighbours = np.array(
@@ -74,7 +106,7 @@ class Model:
         self.cuts = not space_inside and not line_inside
         bytes_ = {int(p[3:5], 16): k for k, p in enumerate(self.pieces) if self.types[k] == BYTE}
         self.byte_ids = np.array([bytes_[b] for b in range(256)]) if len(bytes_) == 256 else None
-        self.apart: dict[int, bool] = {}
+        self.apart = Pairs()
         self.known = Remembered()
         raw = [p.replace(SPACE, " ").encode() if self.types[k] == NORMAL else b"" for k, p in enumerate(self.pieces)]
         raw[self.unknown] = " ⁇ ".encode()
@@ -112,15 +144,8 @@ class Model:
         known = np.flatnonzero((left >= 0) & (right >= 0))
         n = len(self.pieces)
         pairs, which = np.unique(left[known] * n + right[known], return_inverse=True)
-        if len(self.apart) > PAIRS:
-            self.apart.clear()
-        answers = np.zeros(len(pairs), bool)
-        for k, pair in enumerate(pairs.tolist()):
-            answer = self.apart.get(pair)
-            if answer is None:
-                a, b = self.pieces[pair // n], self.pieces[pair % n]
-                answer = self.apart[pair] = self._merged(a + b) == [a, b]
-            answers[k] = answer
+        apart = lambda pair: self._merged(self.pieces[pair // n] + self.pieces[pair % n]) == [self.pieces[pair // n], self.pieces[pair % n]]
+        answers = self.apart.look_up(pairs, apart)
         ok[known] = answers[which]
         return ok
 
@@ -142,7 +167,10 @@ class Model:
                 begin = end - size
                 key = mix(sums[end] - sums[begin] * self.powers[size] + np.uint64(size))
                 at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                piece = np.where(self.keys[at] == key, self.key_ids[at], -1)
+                hit = np.flatnonzero(self.keys[at] == key)
+                hit = hit[(self.points[at[hit], :size] == words[hit, begin:end]).all(axis=1)]
+                piece = np.full(n, -1, np.int64)
+                piece[hit] = self.key_ids[at[hit]]
                 can = np.flatnonzero((piece >= 0) & (best[begin] > -np.inf) if size > 1 else best[begin] > -np.inf)
                 if begin and len(can):
                     can = can[self._allowed(last[begin][can], piece[can])]
@@ -252,7 +280,7 @@ def model(path: str) -> Model:
 def _encoded(path: str, id_col: str, text_col: str, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text_col):
+            for batch in slices(whole, text_col, SLICE):
                 ids, counts = model(path).encode(batch.column(text_col))
                 borders = pa.array(np.append(0, np.cumsum(counts)), pa.int32())
                 columns = {id_col: batch.column(id_col), text_col: batch.column(text_col)}
@@ -273,6 +301,7 @@ def encode_texts(
     Null and empty texts have no ids. Repeated rows get a row each; an empty table gives
     none; other columns are not read.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias(text_col))
     more = [T.StructField("ids", T.ArrayType(T.IntegerType())), *[T.StructField("decoded", T.StringType())] * decoded]
     return rows.mapInArrow(_encoded(model_path, id_col, text_col, decoded), T.StructType([*rows.schema.fields, *more]))

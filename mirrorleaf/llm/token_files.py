@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirrorleaf.llm.arrow import runs, slices, text_bytes
+from mirrorleaf.llm.arrow import runs, slices, small_batches, text_bytes
 from mirrorleaf.llm.remembered import Remembered
 from mirrorleaf.session import work_folder
 
@@ -285,6 +285,7 @@ def write_token_files(
     repeated ids are ordered by text; an empty table gives an empty folder of files.
     Ids are integers; other columns of ``docs`` are not read.
     """
+    small_batches(docs.sparkSession)
     folder = folder or work_folder(docs.sparkSession, "token-files")
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")

@@ -37,3 +37,11 @@ def none(odd):
 
 def texts_of(rows=ROWS):
     return [r[1] for r in rows]
+
+
+def colliding(first="a", second="q", doublings=11):
+    """Two texts of 2,048 letters with one hash under every polynomial modulo 2^64 (Thue-Morse)."""
+    x, y = first, second
+    for _ in range(doublings):
+        x, y = x + y, y + x
+    return x, y

@@ -7,7 +7,7 @@ import pytest
 
 from mirrorleaf.llm import near_duplicates as nd
 from mirrorleaf.llm.components import components
-from tests.llm.conftest import ROWS
+from tests.llm.conftest import ROWS, colliding
 from tests.llm.test_decontaminate import words
 
 
@@ -120,3 +120,10 @@ def test_components(spark, seed):
     rows = components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert {r.node: r.component for r in rows} == {n: c for n, c in label.items() if n not in alone}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_texts_of_one_hash_are_two(spark):
+    x, y = colliding()
+    rows = [(1, x), (2, y), (3, x), (4, f"{x} and more words follow here"), (5, f"{y} and more words follow here")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r.id, r.class_id, r.n_links) for r in nd.near_duplicates(docs).collect()) == brute(rows)

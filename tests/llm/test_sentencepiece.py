@@ -7,7 +7,7 @@ import pytest
 import sentencepiece
 
 from mirrorleaf.llm import sentencepiece_viterbi as sv
-from tests.llm.conftest import ROWS, texts_of
+from tests.llm.conftest import ROWS, colliding, texts_of
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -86,3 +86,22 @@ def test_odd_rows(odd, none, library):
 def test_null_ids_decode_to_nothing(spark):
     rows = spark.createDataFrame([(1, None, "x"), (2, [], "y")], "doc_id int, ids array<int>, decoded string")
     assert [r.decoded for r in sv.decode_ids(rows, PATH).collect()] == ["", ""]
+
+
+def test_texts_of_one_hash_keep_their_own_ids(library):
+    model = sv.Model(PATH)
+    for texts in (list(colliding()), [colliding()[1], "x " + colliding()[0]], list(colliding("日", "本"))):
+        assert encoded(model, texts) == library.encode(texts)
+        assert model.decode(*model.encode(pa.array(texts))) == texts
+
+
+def test_a_key_does_not_prove_a_piece(library, monkeypatch):
+    """Substrings are compared with the piece that their hash leads to."""
+    model = sv.Model(PATH)
+    monkeypatch.setattr(sv, "mix", lambda x: x & np.uint64(0xFFFFF))  # many substrings share a key
+    order = np.argsort(keys := np.array([sum(ord(c) * pow(sv._BASE, len(p) - 1 - k, 1 << 64) for k, c in enumerate(p)) + len(p) & 0xFFFFF for p in model.pieces], np.uint64)[model.key_ids])
+    first = np.unique(keys[order], return_index=True)[1]
+    model.keys, model.key_ids, model.points = keys[order][first], model.key_ids[order][first], model.points[order][first]
+    texts = ["the quick brown fox jumps over the lazy dog", "zqxj vkw", "日本語"]
+    for text, ids in zip(texts, encoded(model, texts)):
+        assert model.decode(np.array(ids), np.array([len(ids)])) == [text]

@@ -7,8 +7,9 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from mirrorleaf.llm import arrow, remembered
 from mirrorleaf.llm import token_files as tf
-from tests.llm.conftest import ROWS, texts_of
+from tests.llm.conftest import ROWS, colliding, texts_of
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -62,3 +63,35 @@ def test_files_against_the_library(spark, odd, none):
         assert row.ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
         before += len(ids)
     assert tf.read_token_files(spark, tf.write_token_files(none, PATH)).count() == 0
+
+
+def test_texts_of_one_hash_keep_their_own_ids():
+    """Both in one batch, and one after the other; long ones collide under polynomials."""
+    library, own = Tokenizer.from_file(PATH), tf.Tokenizer(PATH)
+    x, y = colliding()
+    for texts in ([x, y, f"word {y} {x}"], [y], [x]):
+        ids, counts = own.encode(pa.array(texts))
+        assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+
+
+def test_memory_tells_equal_hashes_apart(monkeypatch):
+    """Even if every part had the same hash."""
+    monkeypatch.setattr(remembered, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    library, own = Tokenizer.from_file(PATH), tf.Tokenizer(PATH)
+    texts = ["some words of a text", "a text of some words", "words", "Other words, é!", "x" * 300, ""]
+    for _ in range(2):
+        ids, counts = own.encode(pa.array(texts))
+        assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+
+
+def test_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(remembered, "BYTES", 2_000)
+    library, own = Tokenizer.from_file(PATH), tf.Tokenizer(PATH)
+    for k in range(30):
+        text = " ".join(f"w{k}x{j}" for j in range(40))
+        assert own.encode(pa.array([text]))[0].tolist() == library.encode(text, add_special_tokens=False).ids
+        assert own.known.nbytes() < 10_000
+    arrow.worker().text_bytes += 2 * arrow.RELEASE_BYTES  # others work here
+    arrow.worker().release()
+    assert len(own.known.hashes) == 0
+    assert own.encode(pa.array(["once more"]))[0].tolist() == library.encode("once more", add_special_tokens=False).ids
