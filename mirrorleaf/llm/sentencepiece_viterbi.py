@@ -31,7 +31,7 @@ SPACE = "▁"
 _BASE = 0x9E3779B97F4A7C15
 NORMAL, UNKNOWN, BYTE = 1, 2, 6  # piece types
 UNIGRAM, BPE = 1, 2  # model types
-SLICE = 1 << 20  # bytes of text encoded at once
+SLICE = 2 << 20  # bytes of text encoded at once; a search costs much the same for few words as for many
 CELLS = 1 << 21  # words times length in one search
 PAIRS = 500_000  # pairs of pieces that a worker remembers, nine bytes each
 UNKNOWN_PENALTY = 10.0
