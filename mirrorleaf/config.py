@@ -46,6 +46,7 @@ class MirrorConfig:
     post_types: tuple[str, ...] = ("post", "page")  # empty: every public type
     include_authors: bool = False
     include_taxonomies: bool = True
+    batch_size: int = 10  # items in one step of a numbered backlog
     batch_delay: int = 2  # minutes
     generate_export: bool = True
     generate_summary: bool = True
@@ -65,6 +66,8 @@ class MirrorConfig:
             raise ValueError(f"unknown source {self.source!r}")
         if self.content_method not in ("filter", "http", "both"):
             raise ValueError(f"unknown content method {self.content_method!r}")
+        if not 1 <= self.batch_size <= 100:
+            raise ValueError(f"batch_size must be 1 to 100 items, not {self.batch_size}")
         if not 1 <= self.batch_delay <= 30:
             raise ValueError(f"batch_delay must be 1 to 30 minutes, not {self.batch_delay}")
 

@@ -1,21 +1,25 @@
 """Work through a queue in bounded steps.
 
-The queue is a folder of files with a bounded number of items each; a file
-stream takes some files per step, and its checkpoint remembers what is done.
+Either the queue is a folder of files with a bounded number of items each, of which a
+file stream takes some per step. Or its items are numbered, and a stream of positions
+hands out exactly so many of them per step. A checkpoint remembers what is done.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mirrorleaf.config import MirrorConfig
-from mirrorleaf.operators.ranking import latest_per_path
+from mirrorleaf.operators.ordered import running_total
+from mirrorleaf.operators.ranking import drop_overwritten
 from mirrorleaf.plans.generate import POSITION
 from mirrorleaf.plans.site_docs import write_site_documents
+from mirrorleaf.session import folder_exists
+from mirrorleaf.sources.steps import step_positions
 from mirrorleaf.sources.store import scan_mirror, write_mirror
 
 FILE_ROWS = 100_000
@@ -26,6 +30,89 @@ def write_backlog(queue: DataFrame, path: str, file_rows: int = FILE_ROWS) -> No
     queue.write.mode("append").option("maxRecordsPerFile", file_rows).parquet(path)
 
 
+def write_queue(queue: DataFrame, path: str, order: Sequence[str]) -> None:
+    """Append items to a queue with their ``position``, counted from 0 in ``order``, which is unique.
+
+    Rows are numbered by sums over ranges, and stored in order, so that a step reads the
+    row groups of its positions only. Positions go on behind the items already there.
+    """
+    spark = queue.sparkSession
+    before = queue_length(spark, path)
+    keyed = queue.withColumns({"_all": F.lit(0), "_order": F.struct(*order)})
+    counted = running_total(keyed, "_all", "_order", F.lit(1), "position").drop("_all", "_order")
+    numbered = counted.withColumn("position", F.col("position") - 1 + before)
+    numbered.repartitionByRange("position").sortWithinPartitions("position").write.mode("append").parquet(path)
+
+
+def queue_length(spark: SparkSession, path: str) -> int:
+    if not folder_exists(spark, path):
+        return 0
+    last = spark.read.schema("position bigint").parquet(path).agg(F.max("position")).first()[0]
+    return 0 if last is None else last + 1
+
+
+def _step(process: Callable[[DataFrame], DataFrame], outcome_path: str, mirror_path: str | None, run_ts: str | None) -> Callable:
+    def step(batch: DataFrame, batch_id: int) -> None:
+        folder = f"{outcome_path}/step={batch_id}"
+        done = process(batch).withColumn("row_id", F.monotonically_increasing_id())
+        done.write.mode("overwrite").parquet(folder)
+        if mirror_path is not None:
+            stored = batch.sparkSession.read.schema(done.schema).parquet(folder)
+            documents = drop_overwritten(stored.where(F.col("reason").isNull()), POSITION)
+            versions = {
+                "version_ts": F.lit(run_ts).cast("timestamp_ntz"),
+                "version_seq": F.lit(batch_id).cast("bigint"),
+                "is_deleted": F.lit(False),
+            }
+            write_mirror(documents.withColumns(versions), mirror_path)
+
+    return step
+
+
+def step_stream(
+    spark: SparkSession,
+    path: str,
+    process: Callable[[DataFrame], DataFrame],
+    outcome_path: str,
+    checkpoint: str,
+    cfg: MirrorConfig,
+    drain: bool = False,
+    items_per_step: int | None = None,
+    mirror_path: str | None = None,
+    run_ts: str | None = None,
+) -> StreamingQuery:
+    """``backlog_stream`` over a numbered queue: each step has exactly ``cfg.batch_size`` items, the last what is left.
+
+    ``items_per_step`` replaces that setting, whose limit of 100 suits a web server. With
+    ``drain`` the call returns when the queue is empty. A start over the same checkpoint
+    goes on with the next step, or repeats the one that failed; items appended meanwhile
+    are taken by the next start.
+    """
+    work = _step(process, outcome_path, mirror_path, run_ts)
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        first, last = batch.agg(F.min("position"), F.max("position")).first()
+        if first is not None:
+            # the bounds reach the scan; the stream carries positions alone
+            items = batch.sparkSession.read.parquet(path).where(F.col("position").between(first, last))
+            work(items, batch_id)
+
+    positions = step_positions(spark, queue_length(spark, path), items_per_step or cfg.batch_size)
+    pause = "0 seconds" if drain else f"{cfg.batch_delay} minutes"
+    started = (
+        positions.writeStream.foreachBatch(step)
+        .option("checkpointLocation", checkpoint)
+        .trigger(processingTime=pause)
+        .start()
+    )
+    if drain:
+        try:
+            started.processAllAvailable()
+        finally:
+            started.stop()
+    return started
+
+
 def backlog_stream(
     spark: SparkSession,
     path: str,
@@ -48,23 +135,9 @@ def backlog_stream(
     """
     items = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_step).parquet(path)
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        folder = f"{outcome_path}/step={batch_id}"
-        done = process(batch)
-        done.write.mode("overwrite").parquet(folder)
-        if mirror_path is not None:
-            stored = batch.sparkSession.read.schema(done.schema).parquet(folder)
-            documents = latest_per_path(stored.where(F.col("reason").isNull()), POSITION)
-            versions = {
-                "version_ts": F.lit(run_ts).cast("timestamp_ntz"),
-                "version_seq": F.lit(batch_id).cast("bigint"),
-                "is_deleted": F.lit(False),
-            }
-            write_mirror(documents.withColumns(versions), mirror_path)
-
     trigger = {"availableNow": True} if drain else {"processingTime": f"{cfg.batch_delay} minutes"}
     return (
-        items.writeStream.foreachBatch(step)
+        items.writeStream.foreachBatch(_step(process, outcome_path, mirror_path, run_ts))
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .start()

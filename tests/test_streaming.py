@@ -1,12 +1,13 @@
 """Streams against their batch answer."""
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from mirrorleaf.config import MirrorConfig
 from mirrorleaf.session import work_folder
 from mirrorleaf.sources import store
-from mirrorleaf.streaming import backlog, refresh, requests
+from mirrorleaf.streaming import backlog, placements, refresh, requests
 from tests.conftest import column
 from mirrorleaf.plans.regenerate import Tables
 from tests.test_plans import SITE_SCHEMA, pages_of, post, posts_of
@@ -165,3 +166,109 @@ def test_requests(spark):
     assert misses["https://h.e/lost"] == "HTTP Fetch returned empty body."
     # what is there now is not made again
     assert requests.lookup(asked, store.scan_mirror(spark, folder)).where("path = 'p1/index.md'").count() == 0
+
+
+@pytest.fixture
+def state_store(spark):
+    placements.use_state_store(spark)
+    yield
+    spark.conf.unset(placements.STORE)
+
+
+class Feed:
+    """Changes in files of their own, refreshed by state over one mirror and one checkpoint."""
+
+    def __init__(self, spark):
+        self.spark, self.folder = spark, work_folder(spark, "changes")
+        self.mirror, self.checkpoint = work_folder(spark, "mirror"), work_folder(spark, "checkpoint")
+
+    def run(self, posts, *files, cfg=MirrorConfig()):
+        for rows in files:
+            changes_of(self.spark, rows).coalesce(1).write.mode("append").parquet(self.folder)
+        stream = self.spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).parquet(self.folder)
+        started = placements.refresh_state(stream, posts, pages_of(self.spark), self.mirror, self.checkpoint, cfg)
+        started.removals.awaitTermination()
+        return shown(self.spark, self.mirror)
+
+    def tombstones(self):
+        rows = store.read_versions(self.spark, self.mirror).where("is_deleted").collect()
+        return sorted((r.path, r.post_id, str(r.version_ts)) for r in rows)
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0)])
+def test_refresh_by_state_equals_batch(spark, state_store, order):
+    posts = posts_of(spark, post(1), post(2), post(3), post(4, post_status="draft"), post(5, post_type="product"))
+    feed, expected = Feed(spark), {"p1/index.md": "Body 1", "p3/index.md": "Body 3"}
+    feed.run(posts, FILES[order[0]])
+    assert feed.run(posts, *(FILES[i] for i in order[1:])) == expected  # after a restart
+    assert feed.run(posts, *FILES) == expected  # all of it once more
+
+
+def test_state_knows_the_places_of_posts_that_are_gone_or_moved(spark, state_store):
+    save = lambda k, post_id, op="save": (k, f"2024-01-01 00:00:{k:02d}", post_id, op)
+    feed = Feed(spark)
+    assert feed.run(posts_of(spark, post(1), post(2)), [save(1, 1), save(2, 2)]) == {"p1/index.md": "Body 1", "p2/index.md": "Body 2"}
+    moved = posts_of(spark, post(1, permalink="https://h.e/new/"))
+    # post 2 is no row any more; its deletion comes with an older save, and a save of a post without a row
+    assert feed.run(moved, [save(5, 2, "delete"), save(3, 2), save(4, 1)]) == {"new/index.md": "Body 1"}
+    assert feed.tombstones() == [("p1/index.md", None, "2024-01-01 00:00:04"), ("p2/index.md", 2, "2024-01-01 00:00:05")]
+    assert feed.run(moved, [save(3, 1, "delete"), save(4, 1), save(2, 2, "delete")]) == {"new/index.md": "Body 1"}  # late
+    assert len(feed.tombstones()) == 2
+    rejected = posts_of(spark, post(1, permalink="https://h.e/third/", body=""))
+    assert feed.run(rejected, [save(6, 1)]) == {"new/index.md": "Body 1"}
+    back = posts_of(spark, post(1))
+    assert feed.run(back, [save(7, 1)]) == {"p1/index.md": "Body 1"}
+    assert feed.run(posts_of(spark, post(2)), [save(8, 1, "delete")]) == {}
+
+
+def test_state_begins_with_an_older_mirror_and_then_leaves_it_unread(spark, state_store, monkeypatch):
+    posts = posts_of(spark, post(1), post(2))
+    mirror = drain(spark, FILES[:1], posts)
+    feed = Feed(spark)
+    feed.mirror = mirror
+    assert feed.run(posts_of(spark, post(1)), [(30, "2024-02-01 00:00:00", 2, "delete")]) == {"p1/index.md": "Body 1"}
+
+    def fail(*_):
+        raise AssertionError("the mirror was read")
+
+    monkeypatch.setattr(placements, "scan_mirror", fail)
+    assert feed.run(posts_of(spark, post(2)), [(31, "2024-02-01 00:00:01", 1, "delete"), (32, "2024-02-01 00:00:01", None, "save")]) == {}
+
+
+def test_steps_have_the_exact_size(spark):
+    folder = work_folder(spark, "steps")
+    queue = lambda a, b: spark.range(a, b).select((F.lit(1000) - F.col("id")).alias("item_id"), F.lit("x").alias("note")).repartition(3)
+    backlog.write_queue(queue(0, 17), f"{folder}/queue", ["item_id"])
+    fail = [2]
+
+    def process(batch):
+        ids = sorted(column(batch, "item_id"))
+        if fail and ids[0] == 989 and fail.pop():
+            raise InterruptedError
+        return batch.withColumn("reason", F.lit(None).cast("string"))
+
+    def run(cfg=MirrorConfig(batch_size=5), **more):
+        backlog.step_stream(spark, f"{folder}/queue", process, f"{folder}/done", f"{folder}/checkpoint", cfg, drain=True, **more)
+        rows = spark.read.parquet(f"{folder}/done").collect()
+        return {k: sorted(r.item_id for r in rows if r.step == k) for k in {r.step for r in rows}}
+
+    with pytest.raises(StreamingQueryException):
+        run()
+    found = run()  # the failed step is repeated, no other
+    ids = sorted(1000 - k for k in range(17))
+    assert found == {0: ids[:5], 1: ids[5:10], 2: ids[10:15], 3: ids[15:]}
+    assert run() == found  # nothing is left
+    backlog.write_queue(queue(20, 29), f"{folder}/queue", ["item_id"])
+    later = sorted(1000 - k for k in range(20, 29))
+    assert run(items_per_step=8) == {**found, 4: later[:8], 5: later[8:]}
+
+
+def test_an_empty_queue_has_no_steps(spark):
+    folder = work_folder(spark, "steps")
+    assert backlog.queue_length(spark, f"{folder}/queue") == 0
+    backlog.write_queue(spark.range(0), f"{folder}/queue", ["id"])
+    never = lambda batch: 1 / 0
+    backlog.step_stream(spark, f"{folder}/queue", never, f"{folder}/done", f"{folder}/checkpoint", MirrorConfig(), drain=True)
+    for size in (0, 101):
+        with pytest.raises(ValueError):
+            MirrorConfig(batch_size=size)

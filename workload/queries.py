@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from mirrorleaf.session import persist_table, work_folder
 from mirrorleaf.sources import pages as page_source
 from mirrorleaf.sources import sitemaps as sitemap_source
 from mirrorleaf.sources import store
-from mirrorleaf.streaming import backlog, refresh, requests
+from mirrorleaf.streaming import backlog, placements, refresh, requests
 from workload import sql as S
 from workload.views import HOST, SCHEMAS, duckdb_with, table, view
 
@@ -853,6 +854,37 @@ def removals(spark, sf_dir):
     return store.scan_mirror(spark, folder).select("site", "path", "post_id", touched)
 
 
+@query(
+    duckdb_with(["changes", *S.POST_VIEWS], _NEWEST, S.NAMES, S.ENRICHED, S.POST_DOCS)
+    + """SELECT site, path, post_id, version_ts IS NOT NULL AS touched FROM post_docs LEFT JOIN newest USING (post_id)
+    WHERE reason IS NULL AND coalesce(op, 'save') = 'save'"""
+)
+def refresh_state(spark, sf_dir):
+    """All changes on top of a full mirror, by state: they come shuffled, late and again, and the stream restarts in between.
+
+    A fifth of the deleted posts is gone from the table: their places are known to the state alone.
+    """
+    posts, pages = enriched_posts(spark, sf_dir), view(spark, sf_dir, "post_pages")
+    folder = work_folder(spark, "state")
+    base = generate.mirror_rows(generate.post_outcomes(posts, pages, NO_SPANISH), "2023-01-01 00:00:00")
+    store.write_mirror(base, f"{folder}/mirror")
+    changes = view(spark, sf_dir, "changes")
+    gone = refresh.newest_changes(changes).where("op = 'delete' AND post_id % 5 = 2")
+    known, before = posts.join(gone, "post_id", "left_anti"), spark.conf.get(placements.STORE, None)
+    placements.use_state_store(spark)
+    try:
+        # a third of the ids before the others, and some of them once more
+        for part in ("change_id % 3 = 0", "change_id % 3 <> 0 OR change_id % 9 = 0"):
+            changes.where(part).repartition(2, F.xxhash64("change_id")).write.mode("append").parquet(f"{folder}/changes")
+            stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/changes")
+            started = placements.refresh_state(stream, known, pages, f"{folder}/mirror", f"{folder}/checkpoint", NO_SPANISH)
+            started.removals.awaitTermination()
+    finally:
+        spark.conf.unset(placements.STORE) if before is None else spark.conf.set(placements.STORE, before)
+    touched = (F.col("version_ts") > F.lit("2023-01-01").cast("timestamp_ntz")).alias("touched")
+    return store.scan_mirror(spark, f"{folder}/mirror").select("site", "path", "post_id", touched)
+
+
 def drained_backlog(spark, sf_dir) -> str:
     """All posts worked off in steps; the folder of queue, outcomes and mirror."""
     v = lambda name: view(spark, sf_dir, name)
@@ -879,6 +911,34 @@ def backlog_stream(spark, sf_dir):
     return done.select("item_id", F.col("reason").isNull().alias("ok"), "reason", "path", "markdown")
 
 
+@query(
+    _LOG + """SELECT post_id AS item_id, reason IS NULL AS ok, reason, path, ((row_number() OVER (ORDER BY post_id) - 1) // 100)::INT AS step FROM post_docs"""
+)
+def backlog_steps(spark, sf_dir):
+    """The same in steps of exactly 100 items, broken off in the middle of the queue and taken up again."""
+    v = lambda name: view(spark, sf_dir, name)
+    posts, rest = v("posts"), [v(name) for name in ("authors", "post_topics", "topics", "media")]
+    folder, cfg = work_folder(spark, "steps"), MirrorConfig(exclude_urls="/es/", batch_size=100)
+    backlog.write_queue(posts.select("post_id"), f"{folder}/queue", ["post_id"])
+    half = backlog.queue_length(spark, f"{folder}/queue") // 2
+    breaks = [half]
+
+    def process(batch):
+        if breaks and batch.where(F.col("position") >= breaks[0]).limit(1).count():
+            breaks.pop()
+            raise InterruptedError
+        step = render.spread(posts).join(batch.select("post_id"), "post_id", "left_semi")
+        return generate.post_outcomes(entities.enrich(step, *rest), v("post_pages"), cfg)
+
+    for _ in range(2):
+        try:
+            backlog.step_stream(spark, f"{folder}/queue", process, f"{folder}/done", f"{folder}/checkpoint", cfg, drain=True)
+        except StreamingQueryException:
+            pass
+    done = spark.read.parquet(f"{folder}/done")
+    return done.select("item_id", F.col("reason").isNull().alias("ok"), "reason", "path", F.col("step").cast("int").alias("step"))
+
+
 @query(
     duckdb_with([*S.POST_VIEWS, "post_sites"], S.NAMES, S.ENRICHED, S.POST_DOCS)
     + f"""SELECT site, unnest(['# Sitemap — ' || name, '', 'Generated: {RUN_TS}', '']) AS line FROM post_sites
