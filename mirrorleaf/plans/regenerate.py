@@ -31,7 +31,11 @@ from mirrorleaf.sources.store import scan_mirror, write_mirror
 
 @dataclass(frozen=True)
 class Tables:
-    """What documents are made from; ``posts`` are enriched."""
+    """What documents are made from; ``posts`` are enriched.
+
+    ``bare_posts`` are the same without what ``enrich`` adds. Lists and addresses of posts
+    come from them, so these jobs needn't gather names that they don't show.
+    """
 
     posts: DataFrame
     pages: DataFrame
@@ -39,6 +43,11 @@ class Tables:
     terms: DataFrame
     authors: DataFrame
     sites: DataFrame
+    bare_posts: DataFrame | None = None
+
+    @property
+    def listed(self) -> DataFrame:
+        return self.posts if self.bare_posts is None else self.bare_posts
 
 
 def target(kind: Column, target_id: Column, site: Column, url: Column) -> Column:
@@ -69,31 +78,40 @@ def target_outcomes(
 ) -> DataFrame:
     """Outcomes of the distinct targets, each made once, with ``target``.
 
-    ``targets`` holds kind, target_id, site, url. ``page_kind`` and ``variant`` are the
-    type and the title rule of pages known by URL only.
+    ``targets`` is a stored table and holds kind, target_id, site, url. ``page_kind`` and
+    ``variant`` are the type and the title rule of pages known by URL only. Kinds that
+    no target has are not planned.
     """
     ids = lambda kind, name: (
         targets.where(F.col("kind") == kind).select(F.col("target_id").alias(name)).distinct()
     )
-    wanted = targets.where(F.col("kind") == "homepage").select("site").distinct()
-    homes = tables.sites.withColumn("_host", url_host("home_url")).join(
-        wanted.withColumnRenamed("site", "_host"), "_host", "left_semi"
-    )
-    homes = homes.drop("_host")
-    urls = targets.where(F.col("kind") == "generic").select("url").distinct()
-    posts = tables.posts.join(ids("post", "post_id"), "post_id", "left_semi")
-    terms = tables.terms.join(ids("term", "term_id"), "term_id", "left_semi")
-    authors = tables.authors.join(ids("author", "author_id"), "author_id", "left_semi")
-    parts = {
-        "post": post_outcomes(posts, tables.pages, cfg),
-        "homepage": archive_outcomes(homepages(homes, tables.posts, cfg), "homepage", cfg),
-        "term": archive_outcomes(term_archives(terms, tables.posts, tables.post_terms, cfg), "term", cfg),
-        "author": archive_outcomes(author_archives(authors, tables.posts, cfg), "author", cfg),
-        "generic": page_outcomes(newest_pages(urls, tables.pages), cfg, page_kind, variant),
-    }
+
+    def posts() -> DataFrame:
+        return post_outcomes(tables.posts.join(ids("post", "post_id"), "post_id", "left_semi"), tables.pages, cfg)
+
+    def homes() -> DataFrame:
+        wanted = targets.where(F.col("kind") == "homepage").select(F.col("site").alias("_host")).distinct()
+        own = tables.sites.withColumn("_host", url_host("home_url")).join(wanted, "_host", "left_semi").drop("_host")
+        return archive_outcomes(homepages(own, tables.listed, cfg), "homepage", cfg)
+
+    def terms() -> DataFrame:
+        own = tables.terms.join(ids("term", "term_id"), "term_id", "left_semi")
+        return archive_outcomes(term_archives(own, tables.listed, tables.post_terms, cfg), "term", cfg)
+
+    def authors() -> DataFrame:
+        own = tables.authors.join(ids("author", "author_id"), "author_id", "left_semi")
+        return archive_outcomes(author_archives(own, tables.listed, cfg), "author", cfg)
+
+    def pages() -> DataFrame:
+        urls = targets.where(F.col("kind") == "generic").select("url").distinct()
+        return page_outcomes(newest_pages(urls, tables.pages), cfg, page_kind, variant)
+
+    plans = {"post": posts, "homepage": homes, "term": terms, "author": authors, "generic": pages}
+    present = {row.kind for row in targets.select("kind").distinct().collect()}  # five at most
     return union_all([
-        part.withColumn("target", target(F.lit(kind), F.col("item_id"), F.col("site"), F.col("url")))
-        for kind, part in parts.items()
+        plan().withColumn("target", target(F.lit(kind), F.col("item_id"), F.col("site"), F.col("url")))
+        for kind, plan in plans.items()
+        if kind in present or not present and kind == "generic"
     ])
 
 
@@ -129,7 +147,7 @@ def regenerate(
     The mirror is written below ``folder``/mirror, index, export and summary below
     ``folder``/site. Queue and outcomes are stored once; all else is read from them.
     """
-    targets = persist_table(spark, resolve_queue(queue, tables.posts, tables.sites), "targets")
+    targets = persist_table(spark, resolve_queue(queue, tables.listed, tables.sites), "targets")
     mirror = f"{folder}/mirror"
     stored = store_outcomes(spark, targets, target_outcomes(targets, tables, cfg), run_ts, mirror)
     log = persist_table(spark, log_of(targets, stored, run_id, run_ts), "log")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mirrorleaf.config import MARKDOWN_TYPES, MirrorConfig
 from mirrorleaf.functions.text import as_col
 from mirrorleaf.functions.urls import path_key, url_host, url_path
-from mirrorleaf.operators.entities import missing, resolve_targets
+from mirrorleaf.operators.entities import resolve_targets
 from mirrorleaf.plans.regenerate import Tables, log_of, store_outcomes, target, target_outcomes
 from mirrorleaf.session import folder_exists, persist_table
 from mirrorleaf.sources.store import SCHEMA, scan_mirror
@@ -53,11 +53,10 @@ def lookup(requests: DataFrame, mirror: DataFrame) -> DataFrame:
     """
     wanted = classify_requests(requests).where("wants_markdown").where(~served_by_site("uri"))
     keys = wanted.groupBy("site", "path").agg(F.min("url").alias("url"))
-    absent = missing(keys, mirror)
-    beside = absent.withColumn("_key", F.col("path")).withColumn(
-        "path", F.concat(F.regexp_replace("path", r"/?index\.md\z", ""), F.lit(".md"))
-    )
-    return missing(beside, mirror).withColumn("path", F.col("_key")).drop("_key")
+    beside = F.concat(F.regexp_replace("path", r"/?index\.md\z", ""), F.lit(".md"))
+    forms = keys.select("site", F.col("path").alias("_key"), F.explode(F.array("path", beside)).alias("path"))
+    held = forms.join(mirror.select("site", "path"), ["site", "path"], "left_semi").select("site", F.col("_key").alias("path"))
+    return keys.join(held, ["site", "path"], "left_anti")
 
 
 def fill_targets(requests: DataFrame, mirror: DataFrame, tables: Tables, cfg: MirrorConfig) -> DataFrame:
@@ -67,7 +66,7 @@ def fill_targets(requests: DataFrame, mirror: DataFrame, tables: Tables, cfg: Mi
     fall on one path.
     """
     wanted = lookup(requests, mirror).select("url")
-    found = resolve_targets(wanted, tables.posts, tables.terms if cfg.include_taxonomies else None, tables.sites)
+    found = resolve_targets(wanted, tables.listed, tables.terms if cfg.include_taxonomies else None, tables.sites)
     return found.drop("path").select(
         F.lit("request").alias("item_kind"),
         F.lit(0).cast("bigint").alias("item_id"),

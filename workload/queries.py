@@ -16,6 +16,7 @@ from mirrorleaf.functions.front_matter import yaml_escape
 from mirrorleaf.operators import entities, filters, ranking, render, stats, structured
 from mirrorleaf.plans import archives, generate, queue, regenerate, site_docs
 from mirrorleaf.session import persist_table, work_folder
+from mirrorleaf.sources import keyed
 from mirrorleaf.sources import pages as page_source
 from mirrorleaf.sources import sitemaps as sitemap_source
 from mirrorleaf.sources import store
@@ -977,7 +978,7 @@ def job_tables(spark, sf_dir) -> regenerate.Tables:
     post_pages = v("post_pages").withColumn("page_id", -1 - F.col("page_id"))
     pages = table(spark, sf_dir, "pages").unionByName(post_pages)
     sites = v("sites").unionByName(v("post_sites"))
-    return regenerate.Tables(enriched_posts(spark, sf_dir), pages, v("post_terms"), v("terms"), v("authors"), sites)
+    return regenerate.Tables(enriched_posts(spark, sf_dir), pages, v("post_terms"), v("terms"), v("authors"), sites, v("posts"))
 
 
 @query(
@@ -1021,6 +1022,43 @@ def changed_since(spark, sf_dir):
     return store.changed_since(spark, folder, "2024-01-20 00:00:00").select("post_id", "path")
 
 
+def keyed_name(folder: str) -> str:
+    return "keyed_" + folder.rsplit("-", 1)[1]
+
+
+@query(
+    duckdb_with([], S.PAGE_DOCS)
+    + f"""SELECT DISTINCT {HOST} AS site, {S.path_key('url')} AS path FROM pages
+    EXCEPT SELECT site, path FROM (SELECT * FROM page_docs WHERE url LIKE 'https://%'
+           QUALIFY row_number() OVER (PARTITION BY site, path ORDER BY page_id DESC) = 1) WHERE page_id % 3 <> 1"""
+)
+def missing_by_key(spark, sf_dir):
+    """All keys are asked for over a bucketed mirror of the secure pages, a third of which was deleted later."""
+    folder = work_folder(spark, "keyed")
+    name = keyed_name(folder)
+    secure = page_table(spark, sf_dir).where(F.col("url").startswith("https://"))
+    rows = persist_table(spark, generate.mirror_rows(generate.page_outcomes(secure, CFG), "2023-01-01 00:00:00"), "versions")
+    keyed.append_versions(rows, name, folder)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", U.url_host("url").alias("site"), U.path_key("url").alias("path"))
+    gone = rows.join(pages.where("page_id % 3 = 1").select("url"), "url", "left_semi")
+    later = {"version_ts": F.lit("2023-02-01 00:00:00").cast("timestamp_ntz"), "markdown": F.lit(""), "is_deleted": F.lit(True)}
+    keyed.append_versions(gone.withColumns(later), name, folder)
+    return keyed.missing(pages.select("site", "path").distinct(), name)
+
+
+@query(ORACLES["changed_since"])
+def changed_by_key(spark, sf_dir):
+    """``changed_since`` over a bucketed mirror of all posts with the changes on top."""
+    folder = work_folder(spark, "keyed")
+    name = keyed_name(folder)
+    posts, pages = enriched_posts(spark, sf_dir), view(spark, sf_dir, "post_pages")
+    base = generate.post_outcomes(posts, pages, NO_SPANISH)
+    keyed.append_versions(generate.mirror_rows(base, "2023-01-01 00:00:00"), name, folder)
+    newest = refresh.newest_changes(view(spark, sf_dir, "changes"))
+    keyed.append_versions(refresh.version_rows(newest, posts, pages, NO_SPANISH), name, folder)
+    return keyed.documents(spark, name, "2024-01-20 00:00:00").select("post_id", "path")
+
+
 @query(
     f"""SELECT page_id, title, url FROM ({ORACLES['titles_read_back']})"""
 )
