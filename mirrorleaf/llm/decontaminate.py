@@ -10,6 +10,7 @@ bounded size, each block is searched in a pass of its own.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,40 +18,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorleaf.llm.arrow import slices, small_batches, text_bytes, words
+from mirrorleaf.llm.arrow import FOLD, slices, small_batches, text_bytes, words
+from mirrorleaf.llm.remembered import places
 from mirrorleaf.llm.suffix_array import SuffixArray
 
-BLOCK_BYTES = 16 << 20  # text of test items in one broadcast
+BLOCK_BYTES = 8 << 20  # text of test items in one broadcast; what is made of it takes some eight times as much
+SUFFIXES = 1 << 16  # looked up at once
+COMPARED = 1 << 18  # bytes compared at once
+WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 SPAN = pa.struct([("item_id", pa.string()), ("doc_word", pa.int64()), ("item_word", pa.int64()), ("n_words", pa.int64())])
 SPANS = "array<struct<item_id:string,doc_word:bigint,item_word:bigint,n_words:bigint>>"
 
 
 class Queries:
-    """The suffixes of test items that hold a window, as rows of word hashes."""
+    """The suffixes of test items that hold a window, as rows of word hashes.
+
+    Items of the same words are searched once; ``names`` has a list for each such group.
+    """
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
-        hashes, starts, ends, offsets = words(pa.array([t for _, t in items], pa.large_string()))
+        groups: dict[bytes, tuple[str, list]] = {}
+        for name, text in items:
+            key = hashlib.blake2b(b" ".join(WORD.findall((text or "").encode().lower())), digest_size=16).digest()
+            groups.setdefault(key, (text or "", []))[1].append(name)
+        self.names = [names for _, names in groups.values()]
+        texts = pa.array([t for t, _ in groups.values()], pa.large_string())
+        hashes, starts, ends, offsets = words(texts)
         counts = np.diff(offsets)
-        self.names = [name for name, _ in items]
-        self.bytes = [(t or "").encode() for _, t in items]
+        # the bytes of each distinct word
+        self.known, example, which = np.unique(hashes, return_index=True, return_inverse=True)
+        data = FOLD[text_bytes(texts)[0]]
+        self.known_size = (ends - starts)[example]
+        self.known_at = np.cumsum(self.known_size) - self.known_size
+        self.known_bytes = data[places(starts[example], self.known_size)]
+        if not self.equal(data, starts, ends, which).all():
+            raise ValueError("two words of the test items have one hash")
         lengths = np.minimum(counts, window)
         n = np.where(counts > 0, counts - lengths + 1, 0)  # suffixes of each item
-        self.item = np.repeat(np.arange(len(items)), n)
+        self.item = np.repeat(np.arange(len(self.names), dtype=np.int32), n)
         begin = np.cumsum(n) - n
-        self.word = np.arange(n.sum()) - begin[self.item]
-        self.lengths = lengths[self.item]
+        self.word = (np.arange(n.sum()) - begin[self.item]).astype(np.int32)
+        self.lengths = lengths[self.item].astype(np.int32)
         self.depth = int(self.lengths.max(initial=1))
-        at = offsets[:-1][self.item] + self.word
-        take = at[:, None] + np.arange(self.depth)
-        self.hashes = hashes[np.minimum(take, max(len(hashes) - 1, 0))] if len(at) else np.zeros((0, self.depth), np.uint64)
-        base = np.zeros(len(items) + 1, np.int64)
-        np.cumsum([len(b) for b in self.bytes], out=base[1:])
-        self.starts, self.ends, self.offsets, self.base = starts, ends, offsets, base
-
-    def text(self, item: int, word: int, n: int) -> list[bytes]:
-        at = self.offsets[item] + word
-        own = self.bytes[item].lower()
-        return [own[s - self.base[item] : e - self.base[item]] for s, e in zip(self.starts[at : at + n], self.ends[at : at + n], strict=True)]
+        self.at = (offsets[:-1][self.item] + self.word).astype(np.int32)
+        self.hashes = hashes
+
+    def slices(self) -> Iterator[tuple[slice, np.ndarray]]:
+        """The suffixes, some at a time, as rows of word hashes."""
+        for k in range(0, len(self.at), SUFFIXES):
+            part = slice(k, k + SUFFIXES)
+            take = self.at[part, None] + np.arange(self.depth)
+            yield part, self.hashes[np.minimum(take, len(self.hashes) - 1)]
+
+    def equal(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Whether words have the very bytes of the known words that their hashes lead to."""
+        size = ends - starts
+        same = self.known_size[which] == size
+        some = np.flatnonzero(same)
+        stop = np.cumsum(size[some])
+        k = 0
+        while k < len(some):
+            end = max(k + 1, int(np.searchsorted(stop, stop[k] - size[some[k]] + COMPARED, "right")))
+            own = some[k:end]
+            match = data[places(starts[own], size[own])] == self.known_bytes[places(self.known_at[which[own]], size[own])]
+            same[own] = np.logical_and.reduceat(match, np.cumsum(size[own]) - size[own])
+            k = end
+        return same
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
@@ -75,7 +108,8 @@ def _matches(batch: pa.RecordBatch, queries: Queries) -> tuple[np.ndarray, list[
     if not len(hashes) or not len(queries.item):
         return offsets, empty
     shard = SuffixArray(hashes, offsets, queries.depth)
-    low, high = shard.find(shard.ranks(queries.hashes.ravel()).reshape(queries.hashes.shape), queries.lengths)
+    found = [shard.find(shard.ranks(rows.ravel()).reshape(rows.shape), queries.lengths[part]) for part, rows in queries.slices()]
+    low, high = (np.concatenate(side) for side in zip(*found, strict=True))
     hit = np.flatnonzero(low < high)
     n = (high - low)[hit]
     if not len(hit):
@@ -84,16 +118,17 @@ def _matches(batch: pa.RecordBatch, queries: Queries) -> tuple[np.ndarray, list[
     place = np.repeat(low[hit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     where = shard.order[place]
     row = np.searchsorted(offsets, where, "right") - 1
-    # 64-bit hashes led here; the words themselves decide
-    data = text_bytes(texts)[0]
-    good = np.ones(len(query), bool)
-    cache: dict[int, list[bytes]] = {}
-    for k, (q, w) in enumerate(zip(query.tolist(), where.tolist(), strict=True)):
-        length = int(queries.lengths[q])
-        if q not in cache:
-            cache[q] = queries.text(int(queries.item[q]), int(queries.word[q]), length)
-        own = [data[s:e].tobytes().lower() for s, e in zip(starts[w : w + length], ends[w : w + length], strict=True)]
-        good[k] = own == cache[q]
+    # 64-bit hashes led here; the words themselves decide, each once
+    length = queries.lengths[query]
+    edge = np.zeros(len(hashes) + 1, np.int64)
+    np.add.at(edge, where, 1)
+    np.add.at(edge, where + length, -1)
+    inside = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+    which = np.searchsorted(queries.known, hashes[inside])
+    other = np.zeros(len(hashes) + 1, np.int64)
+    other[inside + 1] = ~queries.equal(FOLD[text_bytes(texts)[0]], starts[inside], ends[inside], which)
+    other = np.cumsum(other)
+    good = other[where + length] == other[where]
     query, where, row = query[good], where[good], row[good]
     return offsets, [row, where - offsets[row], queries.item[query], queries.word[query], queries.lengths[query]]
 
@@ -116,12 +151,16 @@ def _search(shared, block: int):
             for batch in slices(whole, "text"):
                 offsets, hits = _matches(batch, queries)
                 spans: list[list] = [[] for _ in range(batch.num_rows)]
+                items: list[dict] = [{} for _ in range(batch.num_rows)]
                 for r, i, w, iw, n in zip(*(x.tolist() for x in _spans(*hits)), strict=True):
-                    spans[r].append({"item_id": queries.names[i], "doc_word": w, "item_word": iw, "n_words": n})
+                    spans[r].append({"item_id": queries.names[i][0], "doc_word": w, "item_word": iw, "n_words": n})
+                    items[r][i] = True
+                names = [[name for i in found for name in queries.names[i]] for found in items]
                 yield pa.record_batch(
-                    [batch.column("id"), pa.array(np.diff(offsets), pa.int64()), pa.array(spans, pa.list_(SPAN)), _tag(batch, block)],
-                    ["id", "n_words", "spans", "tag"],
-                )
+                    [batch.column("id"), pa.array(np.diff(offsets), pa.int64()), pa.array(spans, pa.list_(SPAN)),
+                     pa.array(names, pa.list_(pa.string())), _tag(batch, block)],
+                    ["id", "n_words", "spans", "items", "tag"],
+                )
 
     def _tag(batch, block):
         if block < 0:
@@ -136,11 +175,12 @@ def benchmark_spans(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """One row (id, n_words, spans) for each row of ``docs``.
+    """One row (id, n_words, spans, items) for each row of ``docs``.
 
     ``spans`` lists the longest verbatim matches with test items, as (item_id, doc_word,
     item_word, n_words): runs of at least ``window`` words, or of the whole item where
-    it has fewer. Null and empty texts have no words and no spans, and so do items
+    it has fewer. Of items with the same words one stands in the spans; ``items`` lists
+    the ids of all items with a span. Null and empty texts have no words and no spans, and so do items
     without words; repeated rows get a row each; an item without an id has spans whose
     item_id is null. Without documents or items there are no rows or no spans.
     """
@@ -148,7 +188,7 @@ def benchmark_spans(
     spark = docs.sparkSession
     # the shard's rows need one id type and one text type only
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = f"id {dict(rows.dtypes)['id']}, n_words bigint, spans {SPANS}, tag binary"
+    schema = f"id {dict(rows.dtypes)['id']}, n_words bigint, spans {SPANS}, items array<string>, tag binary"
     blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
     first, second = next(blocks, []), next(blocks, None)
     found = [rows.mapInArrow(_search(spark.sparkContext.broadcast(Queries(first, window)), -1 if second is None else 0), schema)]
@@ -162,7 +202,8 @@ def benchmark_spans(
         every = every.unionByName(more)
     # equal rows meet: each block gave as many of them, and equal spans
     merged = every.groupBy("id", "tag", "n_words").agg(
-        F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"), F.count("*").alias("copies")
+        F.array_distinct(F.flatten(F.collect_set("spans"))).alias("spans"),
+        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"), F.count("*").alias("copies"),
     )
     copies = F.sequence(F.lit(1), (F.col("copies") / len(found)).cast("int"))
     return merged.withColumn("copies", F.explode(copies)).drop("copies", "tag")

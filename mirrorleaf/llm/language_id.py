@@ -126,7 +126,9 @@ def profiles(labelled: DataFrame, top: int = TOP) -> DataFrame:
     parts = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("text", "lang")
     counts = parts.mapInArrow(_language_counts, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counts.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < top).drop("n")
+    # a limit on the number itself is applied before the shuffle too
+    first = counts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    return first.withColumn("rank", F.col("rank") - 1).drop("n")
 
 
 class Ranks:

@@ -170,7 +170,7 @@ def op2_language_id(spark, sf_dir):
 @query(DECONTAMINATION)
 def op3_decontamination(spark, sf_dir):
     found = decontaminate.benchmark_spans(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    items = F.array_sort(F.array_distinct(F.array_compact("spans.item_id")))
+    items = F.array_sort(F.array_distinct(F.array_compact("items")))
     n_hit = decontaminate.hit_words("spans")
     return found.select(
         F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),

@@ -2,11 +2,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mirrorleaf.llm import decontaminate as dc
 from mirrorleaf.llm.suffix_array import SuffixArray
-from tests.llm.conftest import PASSAGE, ROWS
+from tests.llm.conftest import PASSAGE, ROWS, colliding
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -59,7 +60,8 @@ def test_spans_against_brute_force(spark):
         for k, text in docs:
             n, hit, names = brute(text, items)
             assert (found[k].n_words, found[k].n_hit) == (n, hit)
-            assert {s.item_id for s in found[k].spans} == {str(x) for x in names}
+            assert set(found[k]["items"]) == {str(x) for x in names}
+            assert {s.item_id for s in found[k].spans} <= set(found[k]["items"])
 
 
 def test_spans_are_longest_matches(spark):
@@ -83,3 +85,37 @@ def test_odd_rows(spark, odd, none):
     assert dc.benchmark_spans(odd, b, block_bytes=1).count() == len(ROWS)
 
 
+
+
+def test_equal_items_are_searched_once(spark):
+    items = [(f"i{k}", "The answer") for k in range(500)] + [("j", "the, answer!"), ("k", "the answer is"), (None, "the answer")]
+    queries = dc.Queries(items, 10)
+    assert sorted(map(len, queries.names)) == [1, 502] and len(queries.at) == 2
+    d = spark.createDataFrame([(1, "the answer is " * 300), (2, "no answer")], "doc_id int, text string")
+    found = {r.id: r for r in dc.benchmark_spans(d, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert len(found[1].spans) == 600 and len(found[1]["items"]) == 503 and not found[2].spans and not found[2]["items"]
+    assert brute("the answer is " * 3, [("k", "the answer is")])[1] == 9
+
+
+def test_long_items_in_linear_time():
+    """Each word is compared once, though each of an item's windows holds it."""
+    text = " ".join(f"w{k * 7919 % 100_003}" for k in range(60_000))
+    queries = dc.Queries([("a", text)], 10)
+    compared = []
+    equal = queries.equal
+    queries.equal = lambda data, starts, ends, which: compared.append(len(starts)) or equal(data, starts, ends, which)
+    offsets, hits = dc._matches(pa.record_batch([pa.array([text.upper(), "x"])], ["text"]), queries)
+    assert [x.tolist() for x in dc._spans(*hits)] == [[0], [0], [0], [0], [60_000]] and compared == [60_000]
+
+
+def test_words_of_one_hash_are_two(spark, monkeypatch):
+    x, y = colliding()
+    d = spark.createDataFrame([(1, f"a {x} b"), (2, f"a {y} b"), (3, x.upper())], "doc_id int, text string")
+    b = spark.createDataFrame([("i", f"a {x} b"), ("j", x)], "item_id string, text string")
+    assert {r.id: sorted(r["items"]) for r in dc.benchmark_spans(d, b).collect()} == {1: ["i", "j"], 2: [], 3: ["j"]}
+    # even if the hashes were equal
+    real = dc.words
+    monkeypatch.setattr(dc, "words", lambda texts: (np.minimum(real(texts)[0], np.uint64(1)), *real(texts)[1:]))
+    queries = dc.Queries([("i", "one one")], 10)
+    _, hits = dc._matches(pa.record_batch([pa.array(["one one two", "two two", "one two one one"])], ["text"]), queries)
+    assert sorted(zip(hits[0].tolist(), hits[1].tolist())) == [(0, 0), (2, 2)]

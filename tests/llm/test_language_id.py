@@ -76,3 +76,9 @@ def test_held_out_accuracy(spark):
     found = op2_language_id(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
     test = found.where("held_out").collect()
     assert len(test) > 200 and sum(r.lang == r.lang_pred for r in test) / len(test) > 0.97
+
+
+def test_the_limit_of_a_profile_is_pushed_down(spark):
+    """No task ranks all n-grams of a language."""
+    rows = spark.createDataFrame([("some text", "en")], "text string, lang string")
+    assert li.profiles(rows)._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
