@@ -66,6 +66,12 @@ def site_index(mirror: DataFrame, sites: DataFrame, run_ts, parts: int | None =
 
     Reads four narrow columns of the mirror, no document text.
     """
+    narrow = mirror.select("site", "path", "title", "url")
+    return index_lines(running_total(narrow, "site", "path", F.lit(1), "n", parts), sites, run_ts)
+
+
+def index_lines(numbered: DataFrame, sites: DataFrame, run_ts) -> DataFrame:
+    """The lines of ``site_index`` from documents (site, path, title, url) with their number ``n`` from 1."""
     header = _fixed_lines(
         sites,
         [
@@ -75,8 +81,6 @@ def site_index(mirror: DataFrame, sites: DataFrame, run_ts, parts: int | None =
             "",
         ],
     ).withColumn("path", F.lit(""))
-    narrow = mirror.select("site", "path", "title", "url")
-    numbered = running_total(narrow, "site", "path", F.lit(1), "n", parts)
     line = F.concat(
         F.lit("- ["), "title", F.lit("]("), "url", F.lit(") — `"), "path", F.lit("`")
     )
@@ -84,6 +88,11 @@ def site_index(mirror: DataFrame, sites: DataFrame, run_ts, parts: int | None =
     return header.unionByName(entries).select("site", "seq", "path", "line")
 
 
+def shards(summed: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(site, path, shard) of documents with ``upto``, the bytes of their site up to and with them."""
+    return summed.select("site", "path", F.floor(F.col("upto") / F.lit(shard_bytes)).cast("bigint").alias("shard"))
+
+
 def full_export(
     mirror: DataFrame,
     sites: DataFrame,
@@ -109,9 +118,7 @@ def full_export(
         ).alias("chunk"),
     )
     sizes = mirror.select("site", "path", "bytes")
-    placed = running_total(sizes, "site", "path", F.col("bytes"), "upto", parts).select(
-        "site", "path", F.floor(F.col("upto") / F.lit(shard_bytes)).cast("bigint").alias("shard")
-    )
+    placed = shards(running_total(sizes, "site", "path", F.col("bytes"), "upto", parts), shard_bytes)
     chunk = F.concat(F.lit("<!-- Source: "), "path", F.lit(" -->\n\n"), document(), F.lit("\n\n---\n\n"))
     chunks = mirror.select("site", "path", chunk.alias("chunk")).join(placed, ["site", "path"])
     return header.unionByName(chunks).select("site", "shard", "path", "chunk")

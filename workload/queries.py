@@ -14,7 +14,7 @@ from mirrorleaf.functions import text as T
 from mirrorleaf.functions import urls as U
 from mirrorleaf.functions.front_matter import yaml_escape
 from mirrorleaf.operators import entities, filters, ranking, render, stats, structured
-from mirrorleaf.plans import archives, generate, queue, regenerate, site_docs
+from mirrorleaf.plans import archives, generate, kept_index, queue, regenerate, site_docs
 from mirrorleaf.session import persist_table, work_folder
 from mirrorleaf.sources import keyed
 from mirrorleaf.sources import pages as page_source
@@ -955,6 +955,26 @@ def backlog_index(spark, sf_dir):
     return spark.read.text(f"{folder}/site/index").select("site", F.col("value").alias("line"))
 
 
+@query(
+    duckdb_with(["changes", *S.POST_VIEWS, "post_sites"], _NEWEST, S.NAMES, S.ENRICHED, S.POST_DOCS)
+    + f"""SELECT site, unnest([0, 1, 2, 3])::BIGINT AS seq, unnest(['# Sitemap — ' || name, '', 'Generated: {RUN_TS}', '']) AS line FROM post_sites
+    UNION ALL SELECT site, 3 + row_number() OVER (PARTITION BY site ORDER BY path), '- [' || coalesce(nullif(regexp_extract(front_matter, 'title: "([^"{S.NL_CLASS}]*)', 1), ''), 'Untitled') || '](' || url || ') — `' || path || '`'
+    FROM post_docs LEFT JOIN newest USING (post_id) WHERE reason IS NULL AND coalesce(op, 'save') = 'save'"""
+)
+def index_after_refresh(spark, sf_dir):
+    """The index of a full mirror in ranges, then all changes: only the ranges that they touch are written again."""
+    posts, pages = enriched_posts(spark, sf_dir), view(spark, sf_dir, "post_pages")
+    folder = work_folder(spark, "kept")
+    base = generate.mirror_rows(generate.post_outcomes(posts, pages, NO_SPANISH), "2023-01-01 00:00:00")
+    store.write_mirror(base, f"{folder}/mirror")
+    kept_index.build_index(store.scan_mirror(spark, f"{folder}/mirror"), f"{folder}/index", range_rows=50)
+    refresh.refresh_batch(posts, pages, f"{folder}/mirror", NO_SPANISH)(view(spark, sf_dir, "changes"), 0)
+    touched = kept_index.places_changed_since(spark, f"{folder}/mirror", "2023-01-01 00:00:00")
+    kept_index.update_index(spark, f"{folder}/index", touched, range_rows=50)
+    lines = site_docs.index_lines(kept_index.numbered(spark, f"{folder}/index"), view(spark, sf_dir, "post_sites"), RUN_TS)
+    return lines.select("site", "seq", "line")
+
+
 @query(
     duckdb_with(["requests"])
     + f"""SELECT request_id, page_id % 4 IN (0, 2) OR page_id % 8 = 5 AS wants_markdown, {HOST} AS site, {S.path_key('url')} AS path, url
