@@ -24,6 +24,13 @@ from mirrorleaf.llm.arrow import slices
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/><]*+)((?:"[^"]*+"|'[^']*+'|[^'"<>])*+)>""")
 _CLASS = re.compile(r"""\b(class|id|role)\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+# What short blocks say that are about the site, not of the article.
+_NOTICE = re.compile(
+    r"©|\bcopyright\b|\ball rights reserved\b|\b(?:uses?|accept|our) cookies\b|\b(?:cookie|privacy) policy\b|\bterms of (?:use|service)\b", re.I
+)
+NOTICE_WORDS = 30  # in a block, at most
+_TAG_NAME = re.compile(r"</?([a-zA-Z][^\s/><]*+)")
+_UNSEEN = re.compile(r"""type\s*=\s*["']?hidden""", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Element names and class words, grouped by what they say.
@@ -34,7 +41,10 @@ INLINE = frozenset(
     "sub sup time tt u var wbr img math semantics mrow mi mn mo ms mtext mspace mstyle merror mpadded mphantom menclose mfenced "
     "mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd maction".split()
 )
-BESIDE = frozenset("nav footer aside form dialog menu fieldset".split())
+BESIDE = frozenset("nav footer aside dialog menu".split())
+FORM = frozenset("form fieldset".split())
+CONTROLS = frozenset("input select textarea button label".split())
+FORM_WORDS = 30  # for each control of a form, and once more: a form that holds more words is wrapped around a page
 WITHIN = frozenset("article main".split())
 BESIDE_WORDS = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside ad ads advert adverts advertisement "
@@ -46,25 +56,34 @@ BESIDE_WORDS = frozenset(
 UNSURE_WORDS = frozenset(
     "menu header promotion notice notices alert reply replies discussion share sharing social related search".split()
 )
+# Words that name no subject: what stands beside them in a name says what the element is about.
+GENERIC_WORDS = frozenset(
+    "box bar wrapper wrap container block section area form link links list button inner outer top bottom left right main page site "
+    "global widget item items row col column panel slot unit text title body head holder module component js is the".split()
+)
+# Words that are never about the subject of an article.
+ALWAYS_BESIDE = frozenset("nav navbar navigation ad ads advert adverts advertisement sponsor sponsored sidebar masthead breadcrumb breadcrumbs".split())
 COMMENT_WORDS = frozenset("comment comments reply replies respond".split())
 WITHIN_WORDS = frozenset("article content main post entry story".split())
 NEGATIONS = frozenset("no has with without".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
+TAGS = {tag: k for k, tag in enumerate("p li div td dd dt blockquote".split(), 1)}  # whose blocks come in rows
 IN_BESIDE, IN_WITHIN, IN_UNSURE = 1, 2, 4
-FEATURES = 11
-_FIRST_HEADING = re.compile(r"\s*+(?:<(?:div|header|a|span)\b[^<>]*+>\s*+)*+<h[1-6]\b[^<>]*+>(.*?)</h[1-6]", re.I | re.S)
+FEATURES = 12
 _LETTERS = re.compile(r"[^\W\d_]+")
-LOOK = 400  # characters after a tag in which the heading that it is named after ends
+_HEADING_OPENS = re.compile(r"\s*+(?:<(?:div|header|a|span)\b[^<>]*+>\s*+)*+<h[1-6]\b[^<>]*+>", re.I)
 
 
 def _named_after(name: str, html: str, at: int) -> bool:
     """Whether what follows begins with a heading that has all words of the name."""
-    heading = _FIRST_HEADING.match(html, at, at + LOOK)
-    if heading is None:
+    opens = _HEADING_OPENS.match(html, at)
+    if opens is None:
         return False
+    ends = html.find("</h", opens.end())
+    heading = html[opens.end() : ends] if ends >= 0 else ""
     words = _LETTERS.findall(name.lower())
-    return set(words) <= set(_LETTERS.findall(unescape(re.sub(r"<[^>]*>", "", heading[1])).lower())) - COMMENT_WORDS
+    return set(words) <= set(_LETTERS.findall(unescape(re.sub(r"<[^>]*>", "", heading)).lower())) - COMMENT_WORDS
 
 
 def _own_flags(tag: str, attributes: str, flags: int, html: str = "", at: int = 0) -> int:
@@ -76,16 +95,20 @@ def _own_flags(tag: str, attributes: str, flags: int, html: str = "", at: int =
     elif tag == "header" and not flags & IN_WITHIN:
         flags |= IN_BESIDE
     if attributes and tag not in ("html", "body"):
-        words: list[str] = []
+        names: list[list[str]] = []
         for kind, value in _CLASS.findall(attributes):
             name = ["", *(w.lower() for w in _NAME.findall(value))]
             if kind.lower() == "id" and not BESIDE_WORDS.isdisjoint(name) and (tag in HEADINGS or _named_after(value, html, at)):
                 continue
-            words += name
-        within = any(w in WITHIN_WORDS for w in words)
-        for before, word in zip(["", *words], words):
-            if word in BESIDE_WORDS and before not in NEGATIONS and not (word == "header" and (within or flags & IN_WITHIN)):
-                flags |= IN_UNSURE if word in UNSURE_WORDS else IN_BESIDE
+            names += [["", *(w.lower() for w in _NAME.findall(part))] for part in value.split()]
+        within = any(w in WITHIN_WORDS for name in names for w in name)
+        for name in names:
+            # in an article, a name with a subject of its own ("cookie-recipe") is weighed against the text
+            subject = flags & IN_WITHIN and any(w and w not in BESIDE_WORDS and w not in GENERIC_WORDS and not w.isdigit() for w in name)
+            for before, word in zip(name, name[1:]):
+                if word in BESIDE_WORDS and before not in NEGATIONS and not (word == "header" and (within or flags & IN_WITHIN)):
+                    unsure = word in UNSURE_WORDS or subject and word not in ALWAYS_BESIDE and word not in COMMENT_WORDS
+                    flags |= IN_UNSURE if unsure else IN_BESIDE
         if within:
             flags |= IN_WITHIN
         if _HIDDEN.search(attributes):
@@ -105,6 +128,9 @@ class _Blocks:
         self.open: list[tuple[str, int]] = []  # block-level elements and their flags
         self.count: dict[str, int] = {}
         self.in_link = False
+        self.forms: list[list[int]] = []  # controls and words of each form so far
+        self.form_of: list[list[int]] = []  # the forms that each block is in
+        self.open_forms: list[int] = []
 
     def text(self, raw: str) -> None:
         if raw:
@@ -118,14 +144,34 @@ class _Blocks:
         if words:
             text = " ".join(words)
             flags = self.open[-1][1] if self.open else 0
+            if len(words) <= NOTICE_WORDS and _NOTICE.search(text):
+                flags |= IN_UNSURE
             self.texts.append(text)
             self.rows.append((
                 len(words), min(1.0, self.linked / len(words)), 2 * bool(flags & IN_BESIDE) or bool(flags & IN_UNSURE), bool(flags & IN_WITHIN),
-                self.tag in HEADINGS, self.tag == "li", text[-1] in ".!?…\"'»”",
+                self.tag in HEADINGS, self.tag == "li", text[-1] in ".!?…\"'»”", TAGS.get(self.tag, 0),
             ))
+            self.form_of.append(list(self.open_forms[-1:]))
+            for form in self.open_forms[-1:]:
+                self.forms[form][1] += len(words)
         self.parts, self.linked = [], 0
 
+    def control(self, tag: str, attributes: str) -> None:
+        if tag in CONTROLS and self.open_forms and not _UNSEEN.search(attributes):
+            self.forms[self.open_forms[-1]][0] += 1
+
+    def finished(self) -> np.ndarray:
+        """The rows. Blocks of a form, but not of one around the page's text, stand beside the article."""
+        self.flush()
+        rows = np.array(self.rows, np.float64).reshape(-1, 8)
+        real = [words < FORM_WORDS * (1 + controls) for controls, words in self.forms]
+        for k, forms in enumerate(self.form_of):
+            if any(real[form] for form in forms):
+                rows[k, 2] = 2
+        return rows
+
     def start(self, tag: str, attributes: str, html: str = "", at: int = 0) -> None:
+        self.control(tag, attributes)
         if tag == "a":
             self.in_link = True
         elif tag == "br":
@@ -140,6 +186,9 @@ class _Blocks:
                 flags = self.open[-1][1] if self.open else 0
                 self.open.append((tag, _own_flags(tag, attributes, flags, html, at)))
                 self.count[tag] = self.count.get(tag, 0) + 1
+                if tag in FORM:
+                    self.open_forms.append(len(self.forms))
+                    self.forms.append([0, 0])
 
     def end(self, tag: str) -> None:
         if tag == "a":
@@ -151,6 +200,8 @@ class _Blocks:
                 while True:
                     name, _ = self.open.pop()
                     self.count[name] -= 1
+                    if name in FORM:
+                        self.open_forms.pop()
                     if name == tag:
                         break
 
@@ -185,13 +236,14 @@ def blocks(html: str | None) -> tuple[list[str], np.ndarray]:
             end = html.find(">", tag)
             if end < 0:
                 break
-            name = re.match(r"</?([a-zA-Z][^\s/><]*)", html[tag : tag + 64])[1].lower()
+            name = _TAG_NAME.match(html, tag)[1].lower()
             closing, attributes, at = following == "/", "", end + 1
         else:
             closing, name, attributes, at = match[1] == "/", match[2].lower(), match[3], match.end()
         if closing:
             page.end(name)
         elif name in RAW and not attributes.endswith("/"):
+            page.control(name, attributes)
             if name not in ends:
                 close = re.compile(f"</{name}(?=[\\s/>])[^>]*+>", re.I).search(html, at)
                 if close is None:
@@ -205,15 +257,21 @@ def blocks(html: str | None) -> tuple[list[str], np.ndarray]:
                 page.parts.append(" ")
         else:
             page.start(name, attributes, html, at)
-    page.flush()
-    return page.texts, np.array(page.rows, np.float64).reshape(-1, 7)
+    rows = page.finished()
+    return page.texts, rows
 
 
 def with_neighbours(rows: np.ndarray) -> np.ndarray:
-    """Add word count and link density of the block before and after each; a page is one array."""
+    """Add word count and link density of the block before and after each, and how many blocks
+    of its tag without links stand around it in a row; a page is one array."""
     none = np.zeros((1, 2))
-    near = rows[:, :2]
-    return np.concatenate([rows, np.concatenate([none, near])[:-1][: len(rows)], np.concatenate([near, none])[1:]], axis=1)
+    near, tag = rows[:, :2], np.where(rows[:, 1] > 0, -1, rows[:, 7])
+    change = np.flatnonzero(np.diff(tag, prepend=np.nan) != 0)
+    run = np.repeat(np.diff(np.append(change, len(tag))), np.diff(np.append(change, len(tag)))).astype(np.float64)
+    run[tag < 0] = 0
+    return np.concatenate(
+        [rows[:, :7], np.concatenate([none, near])[:-1][: len(rows)], np.concatenate([near, none])[1:], np.minimum(run, 4)[:, None]], axis=1
+    )
 
 
 class Tree:

@@ -76,6 +76,21 @@ def _layouts() -> list[str]:
     return out
 
 
+def _rows_of_blocks() -> list[str]:
+    """Short blocks of one tag in a row: paragraphs of dialogue, lists of things. Two in a row say nothing."""
+    out = []
+    for short, n in product((1, 2, 3, 4, 6, 9), (3, 4, 6)):
+        for stop in ("", "."):
+            for tag in ("p", "ul>li", "div"):
+                row = " ".join([f"{tag}|W{short}{stop}|1"] * n)
+                out.append(f"h1|W3|1 {row}")
+                out.append(row)
+                out.append(f"nav|L2|0 div>p|W{30 + n}.|1 {row} div>p|W{28 + n}.|1 div.footer|W{short}|0 div|L2|0")
+                out.append(f"div|L1|0 div|L2|0 {row} p|L1|0 div|L1|0")
+        out.append(f"div|L1|0 p|W{short}|0 p|W{short}|0 div|L{n}|0")
+    return out
+
+
 def _markup(path: str, text: str) -> str:
     match = re.fullmatch(r"([WL])(\d+)(\.?)", text)
     words = " ".join(["word"] * int(match[2])) + match[3]
@@ -92,7 +107,7 @@ def _markup(path: str, text: str) -> str:
 def pages() -> list[tuple[str, list[int]]]:
     """(html, label of each block) of each page."""
     out = []
-    for line in [*_PAGES.strip().splitlines(), *_layouts()]:
+    for line in [*_PAGES.strip().splitlines(), *_layouts(), *_rows_of_blocks()]:
         parts = [part.split("|") for part in line.split()]
         html = "".join(_markup(path, text) for path, text, _ in parts)
         out.append((f"<html><body>{html}</body></html>", [int(label) for *_, label in parts]))

@@ -106,3 +106,80 @@ def test_neighbours_decide_on_pages_without_article_markup(tag):
 
 def test_the_tree_splits_on_neighbours():
     assert {7, 9} <= set(ht.trained_tree().feature.tolist())
+
+
+def test_a_form_around_the_page_is_no_form():
+    page = "".join(f"<p>{x} {x}</p>" for x in LONG)
+    kept = "\n\n".join(f"{x} {x}" for x in LONG)
+    assert text(f'<form id="aspnetForm"><input type="hidden" name="v"><div class="content">{page}</div></form>') == kept
+    inner = "<form><label>Name</label><input><textarea>x</textarea><p>Write to us, and say what you think of it all.</p><button>Send</button></form>"
+    assert text(f"<form><input type='hidden'>{page}</form>{inner}") == kept
+    assert text(f"<article>{page}{inner}</article>") == kept and text(f"{page}{inner}") == kept
+    assert text(inner) == ""
+
+
+@pytest.mark.parametrize("blocks", [
+    ["<h1>A tale</h1>", "<p>He came in.</p>", "<p>She sat.</p>", "<p>They left.</p>"],
+    ["<div>", "<p>He came in.</p>", "<p>She sat.</p>", "<p>They left.</p>", "<p>It was late.</p>", "</div>"],
+    [f"<p>{LONG[0]}</p>", "<ul><li>a</li>", "<li>b b</li>", "<li>c</li>", "<li>d</li></ul>", f"<p>{LONG[1]}</p>"],
+    ["<ul>", *["<li>two eggs</li>"] * 4, "</ul>"],
+])
+def test_rows_of_short_blocks_stay(blocks):
+    import re
+
+    words = [re.sub("<[^>]*>", "", b) for b in blocks]
+    assert text("".join(blocks)) == "\n\n".join(w for w in words if w)
+
+
+def test_links_and_single_lines_are_no_rows():
+    links = "".join(f"<li><a href=x>Page {k}</a></li>" for k in range(5))
+    assert text(f"<ul>{links}</ul><p>{LONG[0]}</p><div>Tel. 12</div><div><a>Imprint</a></div>") == LONG[0]
+
+
+@pytest.mark.parametrize("html, kept", [
+    (f'<main><div class="cookie-recipe"><p>{LONG[0]}</p></div></main>', True),
+    (f'<main><section id="newsletter-history"><p>{LONG[0]}</p></section></main>', True),
+    (f'<article><div class="banner-image"><p>{LONG[0]}</p></div></article>', True),
+    ('<article><p>Text.</p><div class="newsletter-box"><p>Write your address here.</p></div></article>', False),
+    ('<article><p>Text.</p><div class="cookie-consent"><p>Yes, please.</p></div></article>', False),
+    (f'<article><p>Text.</p><div class="ad-story"><p>{LONG[0]}</p></div></article>', False),
+])
+def test_names_with_a_subject_of_their_own(html, kept):
+    assert (LONG[0] in text(html)) is kept and ("Text." in text(html)) is not kept
+
+
+def test_notices_in_plain_blocks():
+    page = "".join(f"<div>{x}</div>" for x in LONG)
+    cookies = "<div>We use cookies to make this site work and to see who reads it.</div>"
+    rights = "<div>Copyright 2024 by the writers of the valley paper</div>"
+    assert text(cookies + page + rights) == "\n\n".join(LONG)
+    assert text(f"<article><p>{LONG[0]}</p><p>My grandmother baked, and our cookies were gone by noon each day.</p></article>").endswith("each day.")
+
+
+def test_a_heading_is_read_to_its_end():
+    data = "x" * 5_000
+    html = f'<article><section id="related-work"><h2><span data-x="{data}">Related work</span></h2><p>Others did so.</p></section></article>'
+    assert text(html) == "Related work\n\nOthers did so."
+    name = "t" * 300
+    assert text(f"<{name} '><p>x y</p></{name}><p>{LONG[0]}</p>").endswith(LONG[0])
+
+
+@pytest.mark.parametrize("layout", range(6))
+def test_generated_layouts(layout):
+    """Pages of several layouts, put together from parts of known role."""
+    import random
+
+    rnd = random.Random(layout)
+    words = lambda n: " ".join(rnd.choice("river mill stone winter bread letter garden harbour paper cloud".split()) for _ in range(n))
+    good = total = 0
+    for _ in range(40):
+        parts = [(f"<p>{(w := words(rnd.randrange(20, 60)))}.</p>", w + ".", True) for _ in range(rnd.randrange(2, 7))]
+        parts.insert(0, (f"<h1>{(w := words(4))}</h1>", w, True))
+        menu = "".join(f"<li><a href='/x'>{words(rnd.randrange(1, 3))}</a></li>" for _ in range(rnd.randrange(3, 9)))
+        foot = f"<div class='footer'><p>{words(8)}</p></div>"
+        body = "".join(html for html, *_ in parts)
+        around = ["<div>{}</div>", "<article>{}</article>", "<main>{}</main>", "<div id='content'>{}</div>", "<form><input type=hidden>{}</form>", "<section class='post'>{}</section>"][layout]
+        page = f"<html><body><nav><ul>{menu}</ul></nav>{around.format(body)}<div class='sidebar'><ul>{menu}</ul></div>{foot}</body></html>"
+        total += 1
+        good += text(page) == "\n\n".join(t for _, t, main in parts if main)
+    assert good >= 0.95 * total
