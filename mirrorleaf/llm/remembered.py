@@ -8,8 +8,8 @@ import numpy as np
 
 from mirrorleaf.llm.arrow import Memory, span_hashes
 
-BYTES = 32 << 20  # that the memory of a worker may hold
-_COMPARED = 1 << 18  # bytes compared at once
+BYTES = 48 << 20  # that the memory of a worker may hold
+_LONG = 256  # bytes of a part that is compared on its own
 
 
 def places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -18,6 +18,11 @@ def places(first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(first - (stop - size), size) + np.arange(int(stop[-1]) if len(stop) else 0)
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; eight more bytes must follow the last place."""
+    return np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+
+
 class Remembered(Memory):
     """Ids and bytes of parts, each in one pool, found by 64-bit hashes.
 
@@ -33,16 +38,16 @@ class Remembered(Memory):
         self.hashes = np.zeros(0, np.uint64)  # sorted
         self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int32)  # of the ids
         self.at, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int32)  # of the bytes
-        self.pool, self.text = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self.pool, self.text = np.zeros(0, np.uint32), np.zeros(8, np.uint8)  # eight bytes stand behind the text
 
     def nbytes(self) -> int:
         return sum(x.nbytes for x in (self.hashes, self.first, self.size, self.at, self.length, self.pool, self.text))
 
     def _learn(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, text: np.ndarray, lengths: np.ndarray) -> None:
         first = np.cumsum(sizes) - sizes + len(self.pool)
-        at = np.cumsum(lengths) - lengths + len(self.text)
+        at = np.cumsum(lengths) - lengths + len(self.text) - 8
         self.pool = np.concatenate([self.pool, ids.astype(np.uint32)])
-        self.text = np.concatenate([self.text, text])
+        self.text = np.concatenate([self.text[:-8], text, self.text[-8:]])
         place = np.searchsorted(self.hashes, hashes)
         self.hashes = np.insert(self.hashes, place, hashes)
         self.first, self.size = np.insert(self.first, place, first), np.insert(self.size, place, sizes)
@@ -52,16 +57,17 @@ class Remembered(Memory):
         """Whether each part has the very bytes of the part that its hash leads to."""
         length = ends - starts
         same = self.length[slot] == length
-        some = np.flatnonzero(same & (length > 0))
-        stop = np.cumsum(length[some])
-        k = 0
-        while k < len(some):
-            end = max(k + 1, int(np.searchsorted(stop, stop[k] - length[some[k]] + _COMPARED, "right")))
-            own = some[k:end]
-            size = length[own]
-            equal = data[places(starts[own], size)] == self.text[places(self.at[slot[own]].astype(np.int64), size)]
-            same[own] = np.logical_and.reduceat(equal, np.cumsum(size) - size)
-            k = end
+        at = self.at[slot].astype(np.int64)
+        for k in np.flatnonzero(same & (length > _LONG)).tolist():
+            same[k] = np.array_equal(data[starts[k] : ends[k]], self.text[at[k] : at[k] + length[k]])
+        own, known = eights(np.append(data, np.zeros(8, np.uint8))), eights(self.text)
+        live, step = np.flatnonzero(same & (length <= _LONG) & (length > 0)), 0
+        while len(live):
+            left = length[live] - step
+            differ = own[starts[live] + step] ^ known[at[live] + step]
+            differ <<= (8 * np.maximum(8 - left, 0)).astype(np.uint64)  # bytes behind the part don't count
+            same[live[differ != 0]] = False
+            live, step = live[(differ == 0) & (left > 8)], step + 8
         return same
 
     def ids(

@@ -33,6 +33,7 @@ NORMAL, UNKNOWN, BYTE = 1, 2, 6  # piece types
 UNIGRAM, BPE = 1, 2  # model types
 SLICE = 2 << 20  # bytes of text encoded at once; a search costs much the same for few words as for many
 CELLS = 1 << 21  # words times length in one search
+SINGLES = 20_000  # of them that are remembered in a dictionary as well
 PAIRS = 500_000  # pairs of pieces that a worker remembers, nine bytes each
 UNKNOWN_PENALTY = 10.0
 
@@ -46,6 +47,16 @@ class Pairs(Memory):
 
     def forget(self) -> None:
         self.keys, self.answers = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.single: dict[int, bool] = {}
+
+    def one(self, pair: int, answer) -> bool:
+        """The answer for one pair, as it is asked for along a long word."""
+        found = self.single.get(pair)
+        if found is None:
+            if len(self.single) >= SINGLES:
+                self.single.clear()
+            found = self.single[pair] = bool(self.look_up(np.array([pair]), answer)[0])
+        return found
 
     def look_up(self, pairs: np.ndarray, answer) -> np.ndarray:
         """The answers for distinct pairs; ``answer`` gives those not known yet."""
@@ -141,10 +152,16 @@ class Model:
         ok = np.ones(len(left), bool)
         if not self.bpe:
             return ok
-        known = np.flatnonzero((left >= 0) & (right >= 0))
         n = len(self.pieces)
-        pairs, which = np.unique(left[known] * n + right[known], return_inverse=True)
         apart = lambda pair: self._merged(self.pieces[pair // n] + self.pieces[pair % n]) == [self.pieces[pair // n], self.pieces[pair % n]]
+        if len(left) <= 2:
+            self.apart.touch()
+            for k, (a, b) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+                if a >= 0 and b >= 0:
+                    ok[k] = self.apart.one(a * n + b, apart)
+            return ok
+        known = np.flatnonzero((left >= 0) & (right >= 0))
+        pairs, which = np.unique(left[known] * n + right[known], return_inverse=True)
         answers = self.apart.look_up(pairs, apart)
         ok[known] = answers[which]
         return ok
@@ -167,10 +184,13 @@ class Model:
                 begin = end - size
                 key = mix(sums[end] - sums[begin] * self.powers[size] + np.uint64(size))
                 at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = np.flatnonzero(self.keys[at] == key)
-                hit = hit[(self.points[at[hit], :size] == words[hit, begin:end]).all(axis=1)]
                 piece = np.full(n, -1, np.int64)
-                piece[hit] = self.key_ids[at[hit]]
+                hit = (self.keys[at] == key).nonzero()[0]
+                if len(hit):
+                    hit = hit[(self.points[at[hit], :size] == words[hit, begin:end]).all(axis=1)]
+                    piece[hit] = self.key_ids[at[hit]]
+                elif size > 1:
+                    continue
                 can = np.flatnonzero((piece >= 0) & (best[begin] > -np.inf) if size > 1 else best[begin] > -np.inf)
                 if begin and len(can):
                     can = can[self._allowed(last[begin][can], piece[can])]
