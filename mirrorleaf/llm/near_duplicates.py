@@ -1,11 +1,12 @@
-"""Documents whose word shingles are alike: a MinHash LSH forest, then exact verification.
+"""Documents whose word shingles are alike: MinHash bands of an LSH forest, then exact verification.
 
 1. Each text gets its shingle set, the key of that set, and a MinHash signature: one
    path of ``levels`` values for each tree of the forest. Texts with equal sets are one
    class; classes are counted before anything else, so copies cost one row.
-2. A tree is a prefix trie of sorted paths. Two classes are candidates if they share a
-   prefix in some tree. Prefixes start at full length and are shortened until the share
-   of pairs at the threshold that meet in some tree reaches the target recall.
+2. Two classes are candidates if they share a prefix in some tree. The length of the
+   prefixes is fixed before data is read: the longest with which pairs at the threshold
+   meet in some tree with the target recall. So levels behind it are not made, and a tree
+   is a band of hashes; no trie is sorted and no prefix is shortened on the data.
 3. Rows with one prefix are linked to the least of them only, so no group is expanded
    into pairs. Components of these links are the sets that are verified.
 4. In each component, shingle sets are compared exactly: blocks of bounded size against
