@@ -76,6 +76,41 @@ def test_odd_rows(spark, odd, none, module, make, grade):
     assert {r[1] for r in grade(odd, single).collect()} == {1.0}
 
 
+def test_only_words_tell_these_apart():
+    """Texts of equal shapes, lengths and repetition, graded by which words they hold."""
+    rng = np.random.default_rng(5)
+    shared = [f"ab{a}{b}" for a in "cdefghij" for b in "klmnop"]
+    kinds = [["pills", "rates", "offer"], ["novel", "essay", "music"], ["proof", "lemma", "axiom"]]
+
+    def text(grade):
+        own = rng.choice(shared, 17, replace=False).tolist() + rng.choice(kinds[grade], 2, replace=False).tolist()
+        return " ".join(w.ljust(5, "x") for w in rng.permutation(own))
+
+    grades = [k % 3 for k in range(600)]
+    rows = quality.features([text(g) for g in grades])
+    shapes = {tuple(h[h >= 1 << quality.WORD_BITS].tolist()) for h, _ in rows}
+    assert len(shapes) == 1
+    model = ordinal.fit(rows[:400], [float(g) for g in grades[:400]])
+    tails = model.tails(model.scores(rows[400:]))
+    assert (np.rint(model.expected(tails)) == grades[400:]).mean() > 0.95
+
+
+def test_order_of_words_counts():
+    """Pairs of neighbours tell texts of the same words apart."""
+    good, bad = "alpha beta gamma delta", "delta gamma beta alpha"
+    rows = quality.features([good, bad] * 10)
+    model = ordinal.fit(rows, [1.0, 0.0] * 10)
+    assert (model.tails(model.scores(rows))[:, 0] > 0.5).tolist() == [True, False] * 10
+
+
+def test_word_features_by_hand():
+    a, b, both, none, mark = quality.word_features(["Word", "two", "word two", None, "!?"])
+    assert len(a) == len(b) == 1 and len(both) == 3 and set(a) | set(b) < set(both)
+    assert len(none) == len(mark) == 0
+    # a pair never reaches over the end of a text
+    assert [len(x) for x in quality.word_features(["word", "two"])] == [1, 1]
+
+
 def test_filter_keeps_columns(spark, odd, none):
     labels = spark.createDataFrame(LABELS, "doc_id bigint, grade int")
     model = quality.quality_model(odd, labels, grade_col="grade", min_rows=1)
