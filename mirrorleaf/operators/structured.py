@@ -92,16 +92,20 @@ def _media_type(attributes: Column) -> Column:
     return F.lower(F.btrim(F.substring_index(value, ";", 1), F.lit(" \t\n\r")))
 
 
-def structured_blocks(html: Column | str, cfg: MirrorConfig) -> Column:
-    """Distinct blocks of a page, first occurrence first."""
+def raw_blocks(html: Column | str) -> Column:
+    """What stands in a page's structured-data elements, in page order; null if there is none."""
     html = as_col(html)
     scripts = F.arrays_zip(
         F.regexp_extract_all(html, F.lit(ELEMENT), 1).alias("attributes"),
         F.regexp_extract_all(html, F.lit(ELEMENT), 2).alias("inside"),
     )
     own = F.transform(F.filter(scripts, lambda s: _media_type(s["attributes"]) == LD_JSON), lambda s: s["inside"])
-    present = F.when(F.contains(F.lower(html), F.lit(LD_JSON)), own)
-    return F.array_distinct(_normalizer(frozenset(cfg.ignored_types))(present))
+    return F.when(F.contains(F.lower(html), F.lit(LD_JSON)), own)
+
+
+def structured_blocks(html: Column | str, cfg: MirrorConfig) -> Column:
+    """Distinct blocks of a page, first occurrence first."""
+    return F.array_distinct(_normalizer(frozenset(cfg.ignored_types))(raw_blocks(html)))
 
 
 def structured_data(pages: DataFrame, cfg: MirrorConfig) -> DataFrame:

@@ -13,14 +13,14 @@ from mirrorleaf.functions import encoding
 from mirrorleaf.functions import text as T
 from mirrorleaf.functions import urls as U
 from mirrorleaf.functions.front_matter import yaml_escape
-from mirrorleaf.operators import entities, filters, ranking, render, stats, structured
+from mirrorleaf.operators import entities, filters, ranking, render, stats, structured, typed_data
 from mirrorleaf.plans import archives, generate, kept_index, queue, regenerate, site_docs
 from mirrorleaf.session import persist_table, work_folder
 from mirrorleaf.sources import keyed
 from mirrorleaf.sources import pages as page_source
 from mirrorleaf.sources import sitemaps as sitemap_source
 from mirrorleaf.sources import store
-from mirrorleaf.streaming import backlog, placements, refresh, requests
+from mirrorleaf.streaming import backlog, placements, progress, refresh, requests
 from workload import sql as S
 from workload.views import HOST, SCHEMAS, duckdb_with, table, view
 
@@ -377,6 +377,27 @@ def run_status(spark, sf_dir):
     return status.select("run_id", "total", "processed", "errors", as_text("started"), as_text("finished"))
 
 
+@query(ORACLES["run_status"])
+def run_progress(spark, sf_dir):
+    """The log comes in six steps, of which two are repeated; the stream is stopped half-way and started anew."""
+    folder = work_folder(spark, "progress")
+    log = persist_table(spark, post_log(spark, sf_dir), "log")
+    part = lambda k: log.where(F.pmod("item_id", F.lit(6)) == k).write.mode("append").parquet(f"{folder}/log")
+    follow = lambda: progress.progress_stream(
+        spark, f"{folder}/log", f"{folder}/counts", f"{folder}/checkpoint", files_per_step=4, drain=True
+    ).awaitTermination()
+    for k in (0, 1, 2, 1):
+        part(k)
+    follow()
+    for k in (3, 2, 4, 5):
+        part(k)
+    follow()
+    items = view(spark, sf_dir, "posts").select(F.lit("run-1").alias("run_id"))
+    status = progress.run_progress(spark, items, f"{folder}/counts")
+    as_text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return status.select("run_id", "total", "processed", "errors", as_text("started"), as_text("finished"))
+
+
 @query(
     _LOG
     + f"""SELECT 'post' AS kind, post_id AS item_id, url AS label, reason IS NULL AS ok, reason,
@@ -745,6 +766,26 @@ def structured_data(spark, sf_dir):
     return structured.structured_data(view(spark, sf_dir, "linked_pages"), _LD)
 
 
+@query(
+    """SELECT page_id, unnest(CASE page_id % 4 WHEN 0 THEN ['WebPage', 'Article'] WHEN 2 THEN ['Article'] ELSE [] END) AS type FROM pages"""
+)
+def structured_types(spark, sf_dir):
+    return typed_data.structured_types(view(spark, sf_dir, "linked_pages"), _LD)
+
+
+_PAGE_SHAPE = "OBJECT<`@type`: ARRAY<STRING>, n: BIGINT, url: STRING>"
+_ARTICLE_SHAPE = "OBJECT<`@type`: VARIANT, n: BIGINT, tags: ARRAY<VOID>, url: STRING>"
+
+
+@query(
+    f"""SELECT type, CASE type WHEN 'WebPage' THEN count_if(page_id % 4 = 0) ELSE count_if(page_id % 4 = 0) + 2 * count_if(page_id % 4 = 2) END AS items,
+    CASE type WHEN 'WebPage' THEN '{_PAGE_SHAPE}' ELSE '{_ARTICLE_SHAPE}' END AS schema
+    FROM pages, (SELECT unnest(['WebPage', 'Article']) AS type) GROUP BY type"""
+)
+def structured_schemas(spark, sf_dir):
+    return typed_data.structured_schemas(view(spark, sf_dir, "linked_pages"), _LD)
+
+
 @query(
     f"""SELECT page_id, {S.page_markdown('html')} || CASE WHEN page_id % 4 = 1 THEN '' ELSE
     {S.NL} || {S.NL} || '## JSON Schema' || {S.NL} || {S.NL} || '```json' || {S.NL} || {_JSON} || {S.NL} || '```' || {S.NL} || {S.NL} END AS markdown FROM pages"""
