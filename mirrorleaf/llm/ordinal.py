@@ -8,6 +8,7 @@ features that few of these rows have are left out, so its size is bounded too.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from mirrorleaf.llm.arrow import slices, small_batches
 
 SAMPLE_ROWS = 12_000  # labelled rows that a model is fitted on, at most
+PART = 1 << 19
 MIN_ROWS = 4  # rows of the sample that must have a feature
 # For each text: (hashes of its features, values). A feature occurs once in a text.
 Features = Callable[[list[str | None]], list[tuple[np.ndarray, np.ndarray]]]
@@ -53,6 +55,42 @@ class Ordinal:
         return self.grades[0] + tails @ np.diff(self.grades) if self.grades else np.full(len(tails), np.nan)
 
 
+def _parts(n: int) -> list[slice]:
+    """Sums go over so many values at a time, as their 64-bit copies are what memory goes to."""
+    return [slice(k, min(k + PART, n)) for k in range(0, n, PART)]
+
+
+def _screened(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, min_rows: int, screen: float) -> tuple[np.ndarray, ...]:
+    """(row, column, value) of each feature that counts, and the hashes that the columns stand for."""
+    counts = np.array([len(h) for h, _ in rows])
+    hashes = np.concatenate([h for h, _ in rows])
+    ordered = np.sort(hashes)
+    first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[: len(ordered)])
+    names, often = ordered[first], np.diff(first, append=len(ordered))
+    del ordered, first
+    kept = often >= min_rows
+    names, often = names[kept], often[kept]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), counts)
+    column = np.full(len(hashes), -1, np.int32)
+    for part in _parts(len(hashes) if len(names) else 0):
+        at = np.minimum(np.searchsorted(names, hashes[part]), len(names) - 1)
+        column[part] = np.where(names[at] == hashes[part], at, -1)
+    del hashes
+    values = np.concatenate([v for _, v in rows])
+    keep = column >= 0
+    row, column, values = row[keep], column[keep], values[keep]
+    if screen > 0:
+        mean, spread = y.mean(), max(y.std(), 1e-9)
+        total = np.zeros(len(names))
+        for part in _parts(len(row)):
+            total += np.bincount(column[part], y[row[part]], len(names))
+        clear = np.abs(total / often - mean) * np.sqrt(often) / spread >= screen
+        keep = clear[column]
+        row, column, values = row[keep], (np.cumsum(clear) - 1)[column[keep]].astype(np.int32), values[keep]
+        names = names[clear]
+    return row, column, values, names
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[float], steps: int = 200, penalty: float = 1e-4, min_rows: int = MIN_ROWS, screen: float = 0.0) -> Ordinal:
     """Maximum likelihood with an L2 penalty, by Adam on all rows; equal input gives an equal model.
 
@@ -64,19 +102,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[float], steps: i
     if len(kinds) < 2:
         return Ordinal(kinds, np.zeros(0, np.uint64), empty, empty)
     y = np.searchsorted(kinds, grades)
-    counts = np.array([len(h) for h, _ in rows])
-    hashes = np.concatenate([h for h, _ in rows])
-    values = np.concatenate([v for _, v in rows])
-    row = np.repeat(np.arange(len(rows), dtype=np.int32), counts)
-    names, column, often = np.unique(hashes, return_inverse=True, return_counts=True)
-    del hashes
-    column = column.astype(np.int32)
-    mean, spread = y.mean(), max(y.std(), 1e-9)
-    shift = np.abs(np.bincount(column, y[row], len(names)) / often - mean) * np.sqrt(often) / spread
-    kept = (often >= min_rows) & (shift >= screen)
-    keep = kept[column]
-    row, values, column = row[keep], values[keep].astype(np.float64), (np.cumsum(kept) - 1)[column[keep]]
-    names = names[kept]
+    row, column, values, names = _screened(rows, y, min_rows, screen)
     # thresholds start at the shares of the grades; gaps are kept as logarithms
     share = np.clip([(y <= k).mean() for k in range(len(kinds) - 1)], 1e-4, 1 - 1e-4)
     start = np.log(share / (1 - share))
@@ -88,9 +114,12 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[float], steps: i
     def thresholds(s):
         return s[n] + np.append(0, np.cumsum(np.exp(s[n + 1 :])))
 
+    parts = _parts(len(row))
     for step in range(1, steps + 1):
         t = thresholds(state)
-        score = np.bincount(row, state[column] * values, len(rows))
+        score = np.zeros(len(rows))
+        for part in parts:
+            score += np.bincount(row[part], state[column[part]] * values[part], len(rows))
         upper = np.where(y < len(t), _sigmoid(t[np.minimum(y, len(t) - 1)] - score), 1.0)
         lower = np.where(y > 0, _sigmoid(t[np.maximum(y - 1, 0)] - score), 0.0)
         p = np.maximum(upper - lower, 1e-12)
@@ -99,8 +128,11 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[float], steps: i
         by_t = np.bincount(np.minimum(y, len(t) - 1), np.where(y < len(t), by_upper, 0), len(t))
         by_t += np.bincount(np.maximum(y - 1, 0), np.where(y > 0, by_lower, 0), len(t))
         after = np.cumsum(by_t[::-1])[::-1]
+        by_weight = np.zeros(n)
+        for part in parts:
+            by_weight += np.bincount(column[part], values[part] * by_score[row[part]], n)
         gradient = np.concatenate(
-            [np.bincount(column, values * by_score[row], n) / len(rows) + penalty * state[:n], after[:1] / len(rows), after[1:] * np.exp(state[n + 1 :]) / len(rows)]
+            [by_weight / len(rows) + penalty * state[:n], after[:1] / len(rows), after[1:] * np.exp(state[n + 1 :]) / len(rows)]
         )
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient * gradient
@@ -119,8 +151,9 @@ def _featured(features: Features):
                     [
                         batch.column("id"),
                         batch.column("grade"),
-                        pa.array([h.astype("<u8").tobytes() for h, _ in rows], pa.binary()),
-                        pa.array([v.astype("<f4").tobytes() for _, v in rows], pa.binary()),
+                        # equal values and hashes of few bits take little room
+                        pa.array([zlib.compress(h.astype("<u8").tobytes(), 1) for h, _ in rows], pa.binary()),
+                        pa.array([zlib.compress(v.astype("<f4").tobytes(), 1) for _, v in rows], pa.binary()),
                     ],
                     ["id", "grade", "hashes", "values"],
                 )
@@ -148,9 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, features: Features, id_col: str, t
     sample = labelled(rows, grades, sample_rows)
     parts = sample.mapInArrow(_featured(features), "id bigint, grade double, hashes binary, values binary").collect()
     parts.sort(key=lambda r: r["id"])
-    # views of what was collected, no copies: the driver holds the sample once
-    rows = [(np.frombuffer(r["hashes"], "<u8"), np.frombuffer(r["values"], "<f4")) for r in parts]
-    return fit(rows, [r.grade for r in parts], **options)
+    rows = [(np.frombuffer(zlib.decompress(r["hashes"]), "<u8"), np.frombuffer(zlib.decompress(r["values"]), "<f4")) for r in parts]
+    grades = [r.grade for r in parts]
+    del parts
+    return fit(rows, grades, **options)
 
 
 def _applied(shared, features: Features, names: list[str], text_col: str):
