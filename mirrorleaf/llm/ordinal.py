@@ -103,6 +103,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[float], steps: i
         return Ordinal(kinds, np.zeros(0, np.uint64), empty, empty)
     y = np.searchsorted(kinds, grades)
     row, column, values, names = _screened(rows, y, min_rows, screen)
+    n_rows = len(rows)
+    del rows  # the sample, if the caller doesn't hold it
     # thresholds start at the shares of the grades; gaps are kept as logarithms
     share = np.clip([(y <= k).mean() for k in range(len(kinds) - 1)], 1e-4, 1 - 1e-4)
     start = np.log(share / (1 - share))
@@ -117,9 +119,9 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[float], steps: i
     parts = _parts(len(row))
     for step in range(1, steps + 1):
         t = thresholds(state)
-        score = np.zeros(len(rows))
+        score = np.zeros(n_rows)
         for part in parts:
-            score += np.bincount(row[part], state[column[part]] * values[part], len(rows))
+            score += np.bincount(row[part], state[column[part]] * values[part], n_rows)
         upper = np.where(y < len(t), _sigmoid(t[np.minimum(y, len(t) - 1)] - score), 1.0)
         lower = np.where(y > 0, _sigmoid(t[np.maximum(y - 1, 0)] - score), 0.0)
         p = np.maximum(upper - lower, 1e-12)
@@ -132,7 +134,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[float], steps: i
         for part in parts:
             by_weight += np.bincount(column[part], values[part] * by_score[row[part]], n)
         gradient = np.concatenate(
-            [by_weight / len(rows) + penalty * state[:n], after[:1] / len(rows), after[1:] * np.exp(state[n + 1 :]) / len(rows)]
+            [by_weight / n_rows + penalty * state[:n], after[:1] / n_rows, after[1:] * np.exp(state[n + 1 :]) / n_rows]
         )
         m = 0.9 * m + 0.1 * gradient
         v = 0.999 * v + 0.001 * gradient * gradient
@@ -181,10 +183,10 @@ def train(docs: DataFrame, labels: DataFrame, features: Features, id_col: str, t
     sample = labelled(rows, grades, sample_rows)
     parts = sample.mapInArrow(_featured(features), "id bigint, grade double, hashes binary, values binary").collect()
     parts.sort(key=lambda r: r["id"])
-    rows = [(np.frombuffer(zlib.decompress(r["hashes"]), "<u8"), np.frombuffer(zlib.decompress(r["values"]), "<f4")) for r in parts]
     grades = [r.grade for r in parts]
-    del parts
-    return fit(rows, grades, **options)
+    unpacked = lambda r: (np.frombuffer(zlib.decompress(r["hashes"]), "<u8"), np.frombuffer(zlib.decompress(r["values"]), "<f4"))
+    parts[:] = map(unpacked, parts)
+    return fit([parts.pop() for _ in grades][::-1], grades, **options)
 
 
 def _applied(shared, features: Features, names: list[str], text_col: str):
