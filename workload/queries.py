@@ -778,7 +778,7 @@ _ARTICLE_SHAPE = "OBJECT<`@type`: VARIANT, n: BIGINT, tags: ARRAY<VOID>, url: ST
 
 
 @query(
-    f"""SELECT type, CASE type WHEN 'WebPage' THEN count_if(page_id % 4 = 0) ELSE count_if(page_id % 4 = 0) + 2 * count_if(page_id % 4 = 2) END AS items,
+    f"""SELECT type, (CASE type WHEN 'WebPage' THEN count_if(page_id % 4 = 0) ELSE count_if(page_id % 4 = 0) + 2 * count_if(page_id % 4 = 2) END)::BIGINT AS items,
     CASE type WHEN 'WebPage' THEN '{_PAGE_SHAPE}' ELSE '{_ARTICLE_SHAPE}' END AS schema
     FROM pages, (SELECT unnest(['WebPage', 'Article']) AS type) GROUP BY type"""
 )
