@@ -1,5 +1,7 @@
 """Sitemaps, queue, mirror table, trees of files."""
 
+import glob
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +153,33 @@ def test_scan_tree(spark, tmp_path):
     assert got == {"index.md": ("Home", "https://h/"), "a b/c+d/index.md": ("Head", "#"), "a/x.MD": ("Untitled", "#")}
 
 
+def test_a_tree_of_many_small_files_takes_few_tasks(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"{k}").mkdir()
+        (tmp_path / f"{k}" / "index.md").write_text(f"# {k}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")  # no more than one file's opening cost
+    before = spark.conf.get(store.LISTING)
+    try:
+        tree = store.scan_tree(spark, str(tmp_path))
+        assert tree.rdd.getNumPartitions() <= 64
+        assert sorted(int(r.title) for r in tree.collect()) == list(range(300))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert spark.conf.get(store.LISTING) == before
+
+
+def test_files_of_a_tree_are_written_by_many_tasks(spark):
+    """Few bytes are no reason to write all files in one task."""
+    from workload import queries as workload
+
+    folders = lambda: set(glob.glob(f"{spark.sparkContext.getConf().get('spark.checkpoint.dir')}/tree-*"))
+    before = folders()
+    assert workload.QUERIES["scan_tree"](spark, "/root/testdata/sf0.001").count() > 8
+    [made] = folders() - before
+    tasks = {name.split("part-")[1][:5] for name in glob.glob(f"{made}/*/part-*.txt")}
+    assert len(tasks) > 1
+
+
 def test_config_bounds():
     for delay in (0, 31):
         with pytest.raises(ValueError):
