@@ -23,10 +23,18 @@ from mirrorleaf.sources.steps import step_positions
 from mirrorleaf.sources.store import scan_mirror, write_mirror
 
 FILE_ROWS = 100_000
+STEP = "step"
 
 
 def write_backlog(queue: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
-    """Store queued items, at most ``file_rows`` per file: the smallest step there can be."""
+    """Store queued items, ``file_rows`` per file: the smallest step there can be.
+
+    Items are packed first, as each file left by a split of a table would be a step of
+    its own, however few items it has.
+    """
+    files = -(-queue.count() // file_rows)
+    if files < queue.rdd.getNumPartitions():
+        queue = queue.repartition(max(1, files))
     queue.write.mode("append").option("maxRecordsPerFile", file_rows).parquet(path)
 
 
@@ -52,16 +60,27 @@ def queue_length(spark: SparkSession, path: str) -> int:
 
 
 def _step(process: Callable[[DataFrame], DataFrame], outcome_path: str, mirror_path: str | None, run_ts: str | None) -> Callable:
-    def step(batch: DataFrame, batch_id: int) -> None:
-        folder = f"{outcome_path}/step={batch_id}"
+    def step(batch: DataFrame, batch_id: int, several: bool = False) -> None:
+        spark = batch.sparkSession
         done = process(batch).withColumn("row_id", F.monotonically_increasing_id())
-        done.write.mode("overwrite").parquet(folder)
+        if several:
+            # a folder for each step; a repetition replaces those it writes
+            dealt = done.repartition(spark.sparkContext.defaultParallelism, STEP)
+            writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy(STEP).parquet(outcome_path)
+        else:
+            done.write.mode("overwrite").parquet(f"{outcome_path}/{STEP}={batch_id}")
         if mirror_path is not None:
-            stored = batch.sparkSession.read.schema(done.schema).parquet(folder)
-            documents = drop_overwritten(stored.where(F.col("reason").isNull()), POSITION)
+            if several:
+                low, high = batch.agg(F.min(STEP), F.max(STEP)).first()
+                stored = spark.read.schema(done.schema).parquet(outcome_path).where(F.col(STEP).between(low, high))
+                documents = drop_overwritten(stored.where(F.col("reason").isNull()), [STEP, *POSITION])
+            else:
+                stored = spark.read.schema(done.schema).parquet(f"{outcome_path}/{STEP}={batch_id}")
+                documents = drop_overwritten(stored.where(F.col("reason").isNull()), POSITION)
             versions = {
                 "version_ts": F.lit(run_ts).cast("timestamp_ntz"),
-                "version_seq": F.lit(batch_id).cast("bigint"),
+                "version_seq": (F.col(STEP) if several else F.lit(batch_id)).cast("bigint"),
                 "is_deleted": F.lit(False),
             }
             write_mirror(documents.withColumns(versions), mirror_path)
@@ -78,6 +97,7 @@ def step_stream(
     cfg: MirrorConfig,
     drain: bool = False,
     items_per_step: int | None = None,
+    steps_at_once: int = 1,
     mirror_path: str | None = None,
     run_ts: str | None = None,
 ) -> StreamingQuery:
@@ -87,17 +107,24 @@ def step_stream(
     ``drain`` the call returns when the queue is empty. A start over the same checkpoint
     goes on with the next step, or repeats the one that failed; items appended meanwhile
     are taken by the next start.
+
+    ``steps_at_once`` puts so many steps into a micro-batch, as each costs seconds
+    however few its items are. Steps keep their size, number and folder; ``process`` then
+    gets the items with their ``step`` and has to keep it. What is repeated after a
+    failure is the micro-batch.
     """
     work = _step(process, outcome_path, mirror_path, run_ts)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        first, last = batch.agg(F.min("position"), F.max("position")).first()
+        bounds = (f(c) for c in ("position", STEP) for f in (F.min, F.max))
+        first, last, low, high = batch.agg(*bounds).first()
         if first is not None:
             # the bounds reach the scan; the stream carries positions alone
             items = batch.sparkSession.read.parquet(path).where(F.col("position").between(first, last))
-            work(items, batch_id)
+            several = steps_at_once > 1 or low < high
+            work(items.join(batch, "position") if several else items, low, several)
 
-    positions = step_positions(spark, queue_length(spark, path), items_per_step or cfg.batch_size)
+    positions = step_positions(spark, queue_length(spark, path), items_per_step or cfg.batch_size, steps_at_once)
     pause = "0 seconds" if drain else f"{cfg.batch_delay} minutes"
     started = (
         positions.writeStream.foreachBatch(step)

@@ -263,6 +263,43 @@ def test_steps_have_the_exact_size(spark):
     assert run(items_per_step=8) == {**found, 4: later[:8], 5: later[8:]}
 
 
+def test_many_steps_in_a_micro_batch_keep_their_size_and_number(spark):
+    folder = work_folder(spark, "steps")
+    queue = lambda a, b: spark.range(a, b).select(F.col("id").alias("item_id")).repartition(3)
+    backlog.write_queue(queue(0, 57), f"{folder}/queue", ["item_id"])
+    begun = []
+
+    def process(batch):
+        begun.append(batch.agg(F.min("item_id")).first()[0])
+        if begun == [0, 20]:
+            raise InterruptedError
+        return batch.withColumn("reason", F.lit(None).cast("string"))
+
+    def run(at_once, **more):
+        backlog.step_stream(
+            spark, f"{folder}/queue", process, f"{folder}/done", f"{folder}/checkpoint", MirrorConfig(batch_size=5), drain=True,
+            steps_at_once=at_once, **more,
+        )
+        rows = spark.read.parquet(f"{folder}/done").collect()
+        return {k: sorted(r.item_id for r in rows if r.step == k) for k in {r.step for r in rows}}
+
+    with pytest.raises(StreamingQueryException):
+        run(4)
+    found = {k: list(range(5 * k, min(5 * k + 5, 57))) for k in range(12)}
+    assert run(4) == found
+    assert begun == [0, 20, 20, 40]  # twelve steps, three micro-batches, one of them repeated
+    backlog.write_queue(queue(57, 80), f"{folder}/queue", ["item_id"])
+    found |= {12: list(range(57, 65)), 13: list(range(65, 73)), 14: list(range(73, 80))}
+    assert run(2, items_per_step=8) == found
+
+
+def test_a_backlog_of_a_table_with_many_splits_has_few_files(spark):
+    folder = work_folder(spark, "backlog")
+    backlog.write_backlog(spark.range(0, 100, 1, 50), folder, 30)
+    sizes = [r[0] for r in spark.read.parquet(folder).groupBy("_metadata.file_path").agg(F.count("*")).select("count(1)").collect()]
+    assert sum(sizes) == 100 and max(sizes) <= 30 and len(sizes) <= 8
+
+
 def test_an_empty_queue_has_no_steps(spark):
     folder = work_folder(spark, "steps")
     assert backlog.queue_length(spark, f"{folder}/queue") == 0
