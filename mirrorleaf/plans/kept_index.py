@@ -1,9 +1,10 @@
 """The order of all documents, kept up to date range by range.
 
-Documents stand in ranges of bounded size over (site, path), each stored on its own with
-its counts and bytes per site. A change rewrites the ranges that it falls into; the
-numbers of all later documents follow from the totals alone. Index lines and export
-shards are read from it as from a rebuilt one.
+Documents stand in ranges of bounded size over (site, path), each with its counts and
+bytes per site. A change rewrites the ranges that it falls into; the numbers of all later
+documents follow from the totals alone. Index lines and export shards are read from it as
+from a rebuilt one. Ranges written together lie in one folder, sorted, small ones several
+to a file, so the number of files follows from bytes and not from how small ranges are.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mirrorleaf.operators.ordered import running_total
 from mirrorleaf.session import remove_folder, store_table
 from mirrorleaf.sources.store import read_versions, scan_mirror
 
 RANGE_ROWS = 100_000
+FEW = 100  # ranges that a scan is told by name
 ENTRY = ("site", "path", "title", "url", "bytes")
 ENTRIES = "site string, path string, title string, url string, bytes bigint, range string, version bigint"
 TOTALS = "site string, n bigint, total bigint, range string, version bigint"
@@ -48,10 +51,11 @@ def _write(rows: DataFrame, kept: DataFrame | None, folder: str, version: int) -
     spark = rows.sparkSession
     parted = rows.withColumn("version", F.lit(version).cast("bigint"))
     by, entries = ["range", "version"], f"{folder}/entries"
-    parted.repartition("range").sortWithinPartitions("range", "site", "path").write.mode("append").partitionBy(*by).parquet(entries)
+    # adaptive execution packs small ranges
+    parted.repartition("range").sortWithinPartitions("range", "site", "path").write.mode("append").partitionBy("version").parquet(entries)
     stored = spark.read.schema(ENTRIES).parquet(entries).where(F.col("version") == version)
     totals = stored.groupBy("range", "version", "site").agg(F.count("*").alias("n"), F.sum("bytes").alias("total"))
-    totals.write.mode("append").partitionBy(*by).parquet(f"{folder}/totals")
+    totals.write.mode("append").partitionBy("version").parquet(f"{folder}/totals")
     made = stored.groupBy(*by).agg(F.min(F.struct("site", "path")).alias("first")).select("first", "range", "version")
     # a table of a row for each range
     made = made if kept is None else made.unionByName(kept)
@@ -59,14 +63,14 @@ def _write(rows: DataFrame, kept: DataFrame | None, folder: str, version: int) -
 
 
 def build_index(mirror: DataFrame, folder: str, range_rows: int = RANGE_ROWS) -> None:
-    """Store the documents of ``mirror`` in ranges of about ``range_rows``."""
+    """Store the documents of ``mirror`` in ranges of ``range_rows``; the last may have fewer."""
     spark = mirror.sparkSession
-    narrow, stored = store_table(spark, mirror.select(*ENTRY), "entries")
-    ranges = max(1, -(-narrow.count() // range_rows))
-    # stored with the numbers of the ranges, as their borders are sampled
-    ranged, dealt = store_table(spark, narrow.repartitionByRange(ranges, "site", "path").withColumn("range", F.spark_partition_id().cast("string")), "ranges")
+    keyed = mirror.select(*ENTRY).withColumns({"_all": F.lit(0), "_order": F.struct("site", "path")})
+    place = running_total(keyed, "_all", "_order", F.lit(1), "_place").drop("_all", "_order")
+    named = F.floor((F.col("_place") - 1) / range_rows).cast("string")
+    # stored, as an order of equal places is not the same twice
+    ranged, dealt = store_table(spark, place.withColumn("range", named).drop("_place"), "ranges")
     _write(ranged, None, folder, 0)
-    remove_folder(spark, stored)
     remove_folder(spark, dealt)
 
 
@@ -96,7 +100,7 @@ def update_index(spark: SparkSession, folder: str, changes: DataFrame, range_row
     schema = "site string, path string, title string, url string, bytes bigint, is_deleted boolean, range string"
     placed, changed = store_table(spark, columns.mapInArrow(dealt, schema), "changes")
     touched = placed.select("range").distinct()
-    old = _entries(spark, folder, manifest.join(touched, "range", "left_semi"))
+    old = _entries(spark, folder, manifest.join(touched, "range", "left_semi"), [r.range for r in touched.limit(FEW + 1).collect()])
     rest = old.join(placed.select("site", "path"), ["site", "path"], "left_anti").select(*ENTRY, "range")
     merged = rest.unionByName(placed.where(~F.col("is_deleted")).drop("is_deleted"))
     in_range = Window.partitionBy("range")
@@ -112,9 +116,11 @@ def update_index(spark: SparkSession, folder: str, changes: DataFrame, range_row
     return count
 
 
-def _entries(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """Entries of the ranges of ``manifest``, from their folders alone."""
+def _entries(spark: SparkSession, folder: str, manifest: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Entries of the ranges of ``manifest``. A few ``names`` of them reach the scan, which skips what can't hold them."""
     entries = spark.read.schema(ENTRIES).parquet(f"{folder}/entries")
+    if names is not None and len(names) <= FEW:
+        entries = entries.where(F.col("range").isin(names))
     return entries.join(manifest.select("range", "version"), ["range", "version"])
 
 

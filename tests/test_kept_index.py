@@ -100,6 +100,18 @@ def test_lines_and_shards_equal_a_rebuilt_index(spark, hundred):
     assert shards == {row[:2]: row[6] // 300 for row in expected({k: v for k, v in (docs | change).items() if v is not None})}
 
 
+def test_small_ranges_share_files(spark):
+    """Two hundred ranges are no two hundred folders, neither at first nor after a change of all."""
+    docs = {("s", f"p{k:04d}"): (f"t{k}", f"u{k}", k) for k in range(1000)}
+    folder = work_folder(spark, "kept")
+    files = lambda: spark.read.parquet(f"{folder}/entries").select("_metadata.file_path").distinct().count()
+    kept_index.build_index(frame(spark, docs), folder, range_rows=5)
+    assert kept_index._manifest(spark, folder).count() == 200 and files() <= 8
+    docs = {key: ("new", "u", 1) for key in docs}
+    assert kept_index.update_index(spark, folder, changes_of(spark, docs), 5) == 200
+    assert found(spark, folder) == expected(docs) and files() <= 16
+
+
 def test_an_empty_mirror(spark):
     folder = work_folder(spark, "kept")
     kept_index.build_index(frame(spark, {("a", "b"): ("t", "u", 1)}).limit(0), folder)
