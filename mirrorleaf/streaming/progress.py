@@ -68,10 +68,15 @@ def run_progress(spark: SparkSession, queue: DataFrame, counts_path: str) -> Dat
     """
     schema = "run_id string, processed bigint, errors bigint, started timestamp, last timestamp, step bigint"
     steps = spark.read.schema(schema).parquet(counts_path)
-    newest = steps.groupBy("run_id").agg(F.max_by(F.struct("processed", "errors", "started", "last"), "step").alias("now"))
+    now = F.struct("step", "processed", "errors", "started", "last").alias("now")
+    # one aggregate over both: where all items have one literal run a join would lose its key
     planned = queue.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"))
+    unknown = F.lit(None).cast("struct<step:bigint,processed:bigint,errors:bigint,started:timestamp,last:timestamp>")
+    rows = planned.withColumn("now", unknown).unionByName(steps.where("run_id IS NOT NULL").select("run_id", F.lit(None).cast("bigint").alias("total"), now))
+    newest = F.max_by("now", "now.step").alias("now")
+    runs = rows.groupBy("run_id").agg(F.max("total").alias("total"), newest).where("total IS NOT NULL")
     processed = F.coalesce("now.processed", F.lit(0))
-    return planned.join(newest, "run_id", "left").select(
+    return runs.select(
         "run_id",
         "total",
         processed.alias("processed"),
