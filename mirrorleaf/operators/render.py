@@ -7,9 +7,11 @@ and encoding repair are expressions around it.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -18,12 +20,30 @@ from mirrorleaf.config import MirrorConfig
 from mirrorleaf.functions.encoding import repair_text
 from mirrorleaf.functions.text import COMMENTS, RENDER_SCRIPTS, as_col, bind, plain_text, squeeze_blank_lines
 from mirrorleaf.operators.payload import render_page
+from mirrorleaf.session import small_batches
+
+RELEASE_CHARS = 32 << 20
+
+
+def _give_back() -> None:
+    """Free memory that the allocators of a worker keep goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 @F.pandas_udf(StringType())
 def _fold(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    size = 0  # characters since memory was given back
     for pages, homes in batches:
         yield pd.Series([render_page(p, h) if p else "" for p, h in zip(pages, homes)], dtype=object)
+        size += sum(len(p) for p in pages if p)
+        if size >= RELEASE_CHARS:
+            size = 0
+            _give_back()
+    _give_back()
 
 
 # A filter on the Markdown must not be pushed below the fold: that would fold
@@ -94,4 +114,5 @@ def choose_html(posts: DataFrame, pages: DataFrame, cfg: MirrorConfig) -> DataFr
 
 def render_markdown(pages: DataFrame, home_url: str | Column = "home_url") -> DataFrame:
     """Adds ``markdown`` to rows that hold ``html``."""
+    small_batches(pages.sparkSession)
     return pages.withColumn("markdown", to_markdown("html", home_url))

@@ -20,7 +20,7 @@ from mirrorleaf.operators.ranking import drop_overwritten, latest_per_path
 from mirrorleaf.operators.render import choose_html, clean_html, to_markdown
 from mirrorleaf.operators.structured import append_structured
 from mirrorleaf.plans.queue import RANKS
-from mirrorleaf.session import persist_table
+from mirrorleaf.session import persist_table, small_batches
 from mirrorleaf.sources.pages import has_text, normalize_pages
 from mirrorleaf.sources.store import with_bytes, write_mirror
 
@@ -69,6 +69,7 @@ def page_outcomes(
     pages: DataFrame, cfg: MirrorConfig, kind: str = "sitemap_page", variant: str = "B"
 ) -> DataFrame:
     """Documents of pages known by URL only. Rejected pages are not rendered."""
+    small_batches(pages.sparkSession)
     pages = normalize_pages(pages)
     reason = F.col("reason")
     if cfg.exclude_generic:
@@ -99,6 +100,7 @@ def post_outcomes(
     ``posts`` may also hold ``excerpt`` and ``modified_on``; columns in ``keep``
     stay in the result.
     """
+    small_batches(posts.sparkSession)
     early = (
         F.when(F.col("post_status") != "publish", NOT_PUBLISHED)
         .when(

@@ -19,7 +19,7 @@ from mirrorleaf.operators.ordered import running_total
 from mirrorleaf.operators.ranking import main_sections, newest_first, top_per_group
 from mirrorleaf.operators.render import to_markdown
 from mirrorleaf.operators.stats import type_counts
-from mirrorleaf.session import remove_folder, store_table
+from mirrorleaf.session import remove_folder, small_batches, store_table
 from mirrorleaf.sources.store import document, site_bucket
 
 # ---- fixed values -----------------------------------------------------------
@@ -129,6 +129,7 @@ def export_from_posts(posts: DataFrame, sites: DataFrame, run_ts, cfg: MirrorCon
 
     Sort by the leading columns; the header has no post.
     """
+    small_batches(posts.sparkSession)
     header = sites.select(
         "site",
         F.lit(None).cast("int").alias("menu_order"),

@@ -1,7 +1,9 @@
 """One small page per rendering rule."""
 
 import time
+from collections.abc import Iterator
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +194,24 @@ def test_a_page_of_a_megabyte_takes_seconds(page):
 def test_text_below_the_greatest_depth_stays():
     deep = "<div>" * 2000 + "a<p>b</p>c" + "</div>" * 2000 + "<p>after"
     assert [x for x in fold(deep).split() if x] == ["a", "b", "c", "after"]
+
+
+def test_workers_get_batches_of_bounded_size(spark):
+    """Of long texts far fewer rows come at once than the limit of rows allows."""
+    from mirrorleaf.plans import generate
+    from mirrorleaf.session import BATCH
+
+    @F.pandas_udf("bigint")
+    def characters(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([int(texts.str.len().sum())] * len(texts))
+
+    before = spark.conf.get(BATCH, None)
+    spark.conf.unset(BATCH)
+    try:
+        texts = F.repeat(F.lit("x"), 100_000)
+        pages = spark.range(0, 300, 1, 1).select(F.col("id").alias("page_id"), F.lit("https://h.e/a").alias("url"), texts.alias("html"))
+        generate.page_outcomes(pages, MirrorConfig())
+        assert pages.select(characters("html").alias("n")).agg(F.max("n")).first()[0] <= 8 << 20
+    finally:
+        spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
