@@ -34,7 +34,8 @@ WIDE, SIGNS = 8, 256
 BYTES = WIDE * 8 + SIGNS * 4
 GRAIN, LONGEST, RUN = 8, 32, 3
 READ = 1 << 20  # a longer paragraph is cut into pieces in stretches of as many bytes
-BLOCK = 1 << 11  # parts whose lanes are held at a time
+BLOCK = 1 << 8  # parts whose lanes are held at a time
+SHARED = 1 << 24  # characters of texts whose parts are held to be shared; more are hashed anew, in stretches
 UNIT = 8  # the least size of a part's lane
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -108,30 +109,110 @@ def _parts(lines: list[list[bytes]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield hashed(owners, stretches)
 
 
-def _random(parts: np.ndarray, n: int) -> np.ndarray:
-    """``n`` random 64-bit words for each part."""
-    return mix(parts[:, None] + np.arange(1, n + 1, dtype=np.uint64) * _ODD)
+_WORDS = np.arange(1, SIGNS // 2 + 1, dtype=np.uint64) * _ODD
 
 
 def _lanes(parts: np.ndarray) -> np.ndarray:
     """UNIT / u rounded, for u evenly spread from -1 to 1: a sum of n of them is about n times as large."""
-    random = _random(parts, SIGNS // 2).astype("<u8").view("<i4")
-    return np.rint(np.float32(UNIT << 24) / (random >> 7 | 1).astype(np.float32)).astype(np.int32).view(np.uint32)
+    random = mix(parts[:, None] + _WORDS).astype("<u8", copy=False).view("<i4")
+    random >>= 7
+    random |= 1
+    size = random.astype(np.float32)
+    np.divide(np.float32(UNIT << 24), size, out=size)
+    return np.rint(size, out=size).astype(np.int32).view(np.uint32)
+
+
+def _sums_before(parts: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """Sums of the lanes of the parts before each border, modulo 2^32. Borders ascend."""
+    out = np.zeros((len(borders), SIGNS), np.uint32)
+    total, k, cuts = np.zeros(SIGNS, np.uint32), 0, borders.tolist()
+    for at in range(0, len(parts), BLOCK):
+        lanes, begin = _lanes(parts[at : at + BLOCK]), 0
+        while k < len(cuts) and cuts[k] < at + len(lanes):
+            total += np.add.reduce(lanes[begin : cuts[k] - at], axis=0, dtype=np.uint32)
+            out[k], begin, k = total, cuts[k] - at, k + 1
+        total += np.add.reduce(lanes[begin:], axis=0, dtype=np.uint32)
+    out[k:] = total
+    return out
+
+
+def _encoded(texts: list[str | None]) -> list[list[bytes]]:
+    return [(t or "").encode("utf-8", "surrogatepass").split(b"\n") for t in texts]
+
+
+def _wide(lines: list[list[bytes]]) -> np.ndarray:
+    wide = np.zeros((len(lines), WIDE), np.uint64)
+    for rows, digests in _sums(lines, WIDE * 8, b"paragraph"):
+        starts = np.cumsum([0, *(len(x) for x in lines[rows])])[:-1]
+        wide[rows] = np.add.reduceat(digests.view("<u8").astype(np.uint64), starts, axis=0)
+    return wide
 
 
 def vectors(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(wide lanes, sign lanes) of each text; null counts as empty."""
-    lines = [(t or "").encode("utf-8", "surrogatepass").split(b"\n") for t in texts]
-    wide = np.zeros((len(texts), WIDE), np.uint64)
+    lines = _encoded(texts)
     signs = np.zeros((len(texts), SIGNS), np.uint32)
-    for rows, digests in _sums(lines, WIDE * 8, b"paragraph"):
-        starts = np.cumsum([0, *(len(x) for x in lines[rows])])[:-1]
-        wide[rows] = np.add.reduceat(digests.view("<u8").astype(np.uint64), starts, axis=0)
     for owners, parts in _parts(lines):
-        for at in range(0, len(parts), BLOCK):
-            rows, starts = np.unique(owners[at : at + BLOCK], return_index=True)
-            signs[rows] += np.add.reduceat(_lanes(parts[at : at + BLOCK]), starts, axis=0)
-    return wide, signs
+        rows, starts = np.unique(owners, return_index=True)
+        signs[rows] += np.diff(_sums_before(parts, np.append(starts, len(parts))), axis=0)
+    return _wide(lines), signs
+
+
+def _equal(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values at the start of both are equal."""
+    n = min(len(a), len(b))
+    other = a[:n] != b[:n]
+    return int(other.argmax()) if other.any() else n
+
+
+def _common(parts: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[int, int, int, int]:
+    """(p, x, a, n): ``parts`` begins with p parts of ``first`` and has n parts of ``second``, from a on, at x."""
+    p = _equal(parts, first)
+    middle = (p + len(parts)) // 2
+    if middle == len(parts):
+        return p, p, 0, 0
+    places = np.flatnonzero(second == parts[middle])
+    if not len(places):
+        return p, p, 0, 0
+    place = int(places[np.abs(places - (middle - p)).argmin()])  # the end of one text is the start of another
+    before = _equal(parts[p:middle][::-1], second[:place][::-1])
+    return p, middle - before, place - before, before + _equal(parts[middle:], second[place:])
+
+
+def vectors_of_edits(
+    texts: list[str | None], edits: list[tuple[int, int, str]]
+) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """``vectors`` of texts, and of edited texts (number of the text it begins with, of the one it ends with, text).
+
+    Sums are additive: where an edited text has the parts of the other two, theirs are taken,
+    so lanes are made for the parts around the seams only.
+    """
+    edited = [e[2] for e in edits]
+    if sum(len(t or "") for t in chain(texts, edited)) > SHARED:
+        return vectors(texts), vectors(edited)
+    lines = _encoded([*texts, *edited])
+    found = list(_parts(lines))
+    owners = np.concatenate([np.zeros(0, np.int64), *(o for o, _ in found)])
+    parts = np.concatenate([np.zeros(0, np.uint64), *(p for _, p in found)])
+    limits = np.searchsorted(owners, np.arange(len(lines) + 1))
+    of = lambda k: parts[limits[k] : limits[k + 1]]
+    rest = len(texts) + np.arange(len(edits))
+    at = int(limits[len(texts)])
+    kept, spans = [parts[:at]], np.zeros((len(edits), 3, 2), np.int64)  # of each edited text: three runs of parts
+    for k, (first, second, _) in enumerate(edits):
+        own = of(rest[k])
+        p, x, a, n = _common(own, of(first), of(second))
+        new = np.concatenate([own[p:x], own[x + n :]])
+        kept.append(new)
+        spans[k] = (limits[first], limits[first] + p), (limits[second] + a, limits[second] + a + n), (at, at + len(new))
+        at += len(new)
+    borders = np.unique(np.concatenate([limits[: len(texts) + 1], spans.ravel()]))
+    sums = _sums_before(np.concatenate(kept), borders)
+    before = lambda place: sums[np.searchsorted(borders, place)]
+    signs = np.diff(before(limits[: len(texts) + 1]), axis=0)
+    runs = (before(spans[:, :, 1]) - before(spans[:, :, 0])).sum(axis=1, dtype=np.uint32)
+    wide = _wide(lines)
+    return (wide[: len(texts)], signs), (wide[len(texts) :], runs)
 
 
 def pack(wide: np.ndarray, signs: np.ndarray) -> list[str]:
@@ -190,11 +271,11 @@ def _with_likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             texts = [r[3] or "" for r, _ in pairs]
             following = [n[3] or "" for _, n in pairs]
             edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, following, strict=True)]
-            both = list(dict.fromkeys(chain(texts, following, edited)))
-            number = {t: k for k, t in enumerate(both)}
-            wide, signs = vectors(both)
-            of = lambda ts: (wide[at := [number[t] for t in ts]], signs[at])
-            own, next_, edit = of(texts), of(following), of(edited)
+            number = {t: k for k, t in enumerate(dict.fromkeys(chain(texts, following)))}
+            places = [(number[t], number[n]) for t, n in zip(texts, following, strict=True)]
+            (wide, signs), edit = vectors_of_edits(list(number), [(*p, e) for p, e in zip(places, edited, strict=True)])
+            first, second = np.array(places).T
+            own, next_ = (wide[first], signs[first]), (wide[second], signs[second])
             yield pa.record_batch(
                 [
                     pa.array([r[2] for r, _ in pairs], pa.int64()),

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from mirrorleaf.llm import fingerprints as fp
@@ -47,6 +48,48 @@ def test_edits_against_one_pass_over_sorted_rows(odd):
         assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in found)
 
 
+def _edits(texts):
+    """As the operator edits: the second half is the start of the next text."""
+    edit = lambda t, n: t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+    return [(k, (k + 1) % len(texts), edit(t or "", texts[(k + 1) % len(texts)] or "")) for k, t in enumerate(texts)]
+
+
+def _same(a, b):
+    return all((x == y).all() for x, y in zip(a, b, strict=True))
+
+
+@pytest.mark.parametrize("held", [fp.SHARED, 100])
+def test_vectors_of_edits_are_those_of_the_edited_texts(monkeypatch, held):
+    rnd = random.Random(4)
+    free = lambda n: "".join(chr(rnd.randrange(32, 0x3000)) for _ in range(n))
+    texts = [
+        None, "", " \n", "a", "ab" * 5000, "ab" * 4999 + "c", "\n".join(["line"] * 300), "\n".join(map(str, range(900))), free(4000),
+        free(90), "x" * 3000 + free(3000), " lead " + free(500) + "\r\n\n", "y" * (fp.READ + 70), free(700) * 9,
+    ]
+    monkeypatch.setattr(fp, "SHARED", held)
+    for _ in range(3):
+        rnd.shuffle(texts)
+        edits = _edits(texts)
+        own, edited = fp.vectors_of_edits(texts, edits)
+        assert _same(own, fp.vectors(texts)) and _same(edited, fp.vectors([e[2] for e in edits]))
+    assert [len(x) for x in fp.vectors_of_edits(["a"], [])[1]] == [0, 0]
+
+
+def test_lanes_are_made_once_for_parts_that_texts_share(monkeypatch):
+    rnd = random.Random(5)
+    texts = [" ".join(f"{rnd.random()}"[2:9] for _ in range(300)) for _ in range(20)]
+    made, lanes = [], fp._lanes
+    monkeypatch.setattr(fp, "_lanes", lambda parts: made.append(len(parts)) or lanes(parts))
+    fp.vectors(texts)
+    alone, made[:] = sum(made), []
+    bucket = pa.record_batch(
+        [pa.array([0] * 21), pa.array([False] * 20 + [True]), pa.array([*range(20), 0]), pa.array([*texts, texts[0]])],
+        ["bucket", "tail", "id", "text"],
+    )
+    assert sum(b.num_rows for b in fp._with_likeness(iter([bucket]))) == 20
+    assert sum(made) < 1.1 * alone
+
+
 def test_one_document_is_its_own_next_and_none_gives_none(spark, none):
     one = spark.createDataFrame([(4, "abcdef")], "doc_id bigint, text string")
     row = fp.fingerprints_of_edits(one).first()
