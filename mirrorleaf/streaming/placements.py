@@ -3,7 +3,8 @@
 Two streams work one after the other. The first renders what the changes ask for, as
 ``refresh`` does, and notes where each post has gone (a narrow row for a change). The
 second keeps, for each post, its newest change and its last place in a state store;
-a post that moved or vanished gets a deletion at the place the state remembers.
+a post that moved or vanished gets a deletion at the place the state remembers. A key
+of the store holds NEAR neighbouring ids, as each call of the store takes its time.
 """
 
 from __future__ import annotations
@@ -24,38 +25,43 @@ from mirrorleaf.streaming.refresh import Source, _read, newest_changes, version_
 PLACED, REMOVED, KEPT = "placed", "removed", "kept"
 PLACE = ("site", "path", "url", "kind")
 NOTES = "post_id bigint, fate string, site string, path string, url string, kind string, version_ts timestamp_ntz, version_seq bigint"
-STATE = T.StructType([
-    *(T.StructField(c, T.StringType()) for c in PLACE), T.StructField("version_ts", T.TimestampNTZType()), T.StructField("version_seq", T.LongType()),
+TOMBSTONES = T.StructType([
+    T.StructField("post_id", T.LongType()), *(T.StructField(c, T.StringType()) for c in PLACE),
+    T.StructField("version_ts", T.TimestampNTZType()), T.StructField("version_seq", T.LongType()),
 ])
-TOMBSTONES = T.StructType([T.StructField("post_id", T.LongType()), *STATE.fields])
+NEAR = 5  # bits of a post's id that its key of the state store leaves out
+STATE = T.StructType([T.StructField("posts", T.ArrayType(TOMBSTONES))])
 STORE = "spark.sql.streaming.stateStore.providerClass"
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class LastPlace(StatefulProcessor):
-    """Newest change and last place of a post. Older and repeated changes leave both as they are."""
+    """Newest change and last place of neighbouring posts. Older and repeated changes leave both as they are."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.place = handle.getValueState("place", STATE)
+        self.places = handle.getValueState("places", STATE)
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        last = self.place.get() if self.place.exists() else (None,) * 6
-        place, newest = tuple(last[:4]), tuple(last[4:])
-        known = newest
-        for row in sorted(rows, key=lambda r: (r.version_ts, r.version_seq)):
+        before = self.places.get()
+        known = {last[0]: tuple(last[1:]) for last in before[0]} if before else {}
+        changed = False
+        for row in sorted(rows, key=lambda r: (r.post_id, r.version_ts, r.version_seq)):
+            last = known.get(row.post_id, (None,) * 6)
+            place, newest = last[:4], last[4:]
             version = (row.version_ts, row.version_seq)
             if newest[0] is not None and version <= newest:
                 continue
-            newest = version
-            if row.fate == KEPT:
-                continue
-            own = tuple(row[c] for c in PLACE)
-            if place[1] is not None and own[:2] != place[:2]:
-                # a post that moved is ranked by its new document, so its old place alone is deleted
-                yield Row(**dict(zip(TOMBSTONES.fieldNames(), (None if row.fate == PLACED else key[0], *place, *version), strict=True)))
-            place = own if row.fate == PLACED else (None,) * 4
-        if newest != known:
-            self.place.update((*place, *newest))
+            if row.fate != KEPT:
+                own = tuple(row[c] for c in PLACE)
+                if place[1] is not None and own[:2] != place[:2]:
+                    # a post that moved is ranked by its new document, so its old place alone is deleted
+                    gone = None if row.fate == PLACED else row.post_id
+                    yield Row(**dict(zip(TOMBSTONES.fieldNames(), (gone, *place, *version), strict=True)))
+                place = own if row.fate == PLACED else (None,) * 4
+            if version != newest:
+                known[row.post_id], changed = (*place, *version), True
+        if changed:
+            self.places.update(([(post, *last) for post, last in known.items()],))
 
     def close(self) -> None:
         pass
@@ -118,7 +124,8 @@ def last_places(notes: DataFrame) -> DataFrame:
     Null ids, which no post has, are left out. A post's notes of one step are few: the
     newest change of each step.
     """
-    keyed = notes.where("post_id IS NOT NULL").groupBy("post_id")
+    near = F.shiftright("post_id", NEAR).alias("near")
+    keyed = notes.where("post_id IS NOT NULL").select("*", near).groupBy("near")
     return keyed.transformWithState(LastPlace(), TOMBSTONES, "Append", "None")
 
 

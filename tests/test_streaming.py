@@ -235,6 +235,33 @@ def test_state_begins_with_an_older_mirror_and_then_leaves_it_unread(spark, stat
     assert feed.run(posts_of(spark, post(2)), [(31, "2024-02-01 00:00:01", 1, "delete"), (32, "2024-02-01 00:00:01", None, "save")]) == {}
 
 
+def test_neighbouring_posts_share_a_key_of_the_state(spark, state_store):
+    folder = work_folder(spark, "notes")
+
+    def run(*notes):
+        spark.createDataFrame(notes, "post_id bigint, fate string, path string, second bigint").selectExpr(
+            "post_id", "fate", "'h.e' AS site", "path", "path AS url", "'post' AS kind",
+            "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, second) AS version_ts", "second AS version_seq",
+        ).coalesce(1).write.mode("append").parquet(f"{folder}/notes")
+        found = []
+        query = (
+            placements.last_places(spark.readStream.schema(placements.NOTES).parquet(f"{folder}/notes"))
+            .writeStream.foreachBatch(lambda batch, _: found.extend(batch.collect()))
+            .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        keys = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress]
+        return keys[-1], sorted((r.path, r.post_id, r.version_seq) for r in found)
+
+    placed = [(k, "placed", f"p{k}", 1) for k in range(-32, 96)]
+    assert run(*placed) == (4, [])  # before, 128
+    gone = [(5, "removed", None, 3), (6, "placed", "new", 3), (7, "kept", None, 3), (-1, "removed", None, 2), (8, "removed", None, 0)]
+    assert run(*gone, (6, "placed", "newer", 4)) == (4, [("new", None, 4), ("p-1", -1, 2), ("p5", 5, 3), ("p6", None, 3)])
+    # others of the key, and what was kept, are still known; what is gone has no place any more
+    last = [(9, "removed", None, 5), (7, "removed", None, 5), (6, "removed", None, 5), (5, "removed", None, 5)]
+    assert run(*last) == (4, [("newer", 6, 5), ("p7", 7, 5), ("p9", 9, 5)])
+
+
 def test_steps_have_the_exact_size(spark):
     folder = work_folder(spark, "steps")
     queue = lambda a, b: spark.range(a, b).select((F.lit(1000) - F.col("id")).alias("item_id"), F.lit("x").alias("note")).repartition(3)
