@@ -1,6 +1,7 @@
 """Sitemaps, queue, mirror table, trees of files."""
 
 import glob
+import gzip
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,6 +181,39 @@ def test_files_of_a_tree_are_written_by_many_tasks(spark):
     assert len(tasks) > 1
 
 
+def read_as_text(root):
+    return {f.split("/")[-2]: open(f, "rb").read() for f in glob.glob(f"{root}/*/part-*.txt")}
+
+
+def test_a_written_tree_is_that_of_sparks_writer(spark, tmp_path, monkeypatch):
+    """Files made by the tasks themselves hold what Spark's writer would put there."""
+    rows = [(k, f"# {k}\r\nÄ \u2028 {k}") for k in range(40)] + [(7, "# 7\r\nÄ \u2028 7"), (41, None), (42, ""), (None, "none"), (-3, "below")]
+    documents = spark.createDataFrame(rows, "id bigint, value string")
+    odd = spark.sql("SELECT 50L AS id, cast(X'23FF0A' AS string) AS value")  # no UTF-8
+    documents = documents.union(odd).repartition(3)
+    store.write_tree(documents, f"{tmp_path}/own", "id")
+    monkeypatch.setattr(store, "local_folder", lambda *_: None)
+    store.write_tree(documents, f"{tmp_path}/spark", "id")
+    own = read_as_text(f"{tmp_path}/own")
+    assert own == read_as_text(f"{tmp_path}/spark") and len(own) == 45
+    read = lambda name: sorted((r.path.split("/")[0], r.title, r.document) for r in store.scan_tree(spark, f"{tmp_path}/{name}", "*.txt").collect())
+    assert read("own") == read("spark") and len(read("own")) == 45
+    assert not glob.glob(f"{tmp_path}/own/**/.*", recursive=True)
+
+
+def test_a_tree_is_read_as_bytes_unless_names_may_be_packed(spark, tmp_path):
+    (tmp_path / "a.md").write_bytes(b"# a \xff\n")
+    (tmp_path / "empty.md").write_bytes(b"")
+    (tmp_path / "b.md.gz").write_bytes(gzip.compress(b"# b\n"))
+    titles = lambda names: sorted((r.path, r.title) for r in store.scan_tree(spark, str(tmp_path), names).collect())
+    assert [store.may_be_packed(n) for n in ("*.[mM][dD]", "*.txt", "*", "*.*", "*.gz", "*.m?", "*.{md,gz}", "*.[gm][dz]")] == [False] * 2 + [True] * 6
+    plan = lambda names: store.scan_tree(spark, str(tmp_path), names)._jdf.queryExecution().toString()
+    assert "binaryFile" in plan("*.md") and "binaryFile" not in plan("*")
+    assert titles("*.md") == [(p, t) for p, t in titles("*") if p.endswith(".md")]
+    assert ("b.md.gz", "b") in titles("*.gz") and ("b.md.gz", "b") in titles("*")
+    assert titles("*.none.md") == []
+
+
 def test_config_bounds():
     for delay in (0, 31):
         with pytest.raises(ValueError):
