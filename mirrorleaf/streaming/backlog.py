@@ -24,6 +24,7 @@ from mirrorleaf.sources.store import scan_mirror, write_mirror
 
 FILE_ROWS = 100_000
 STEP = "step"
+FIRST_STEP = "first_step"  # of a micro-batch: its folder
 
 
 def write_backlog(queue: DataFrame, path: str, file_rows: int = FILE_ROWS) -> None:
@@ -59,28 +60,48 @@ def queue_length(spark: SparkSession, path: str) -> int:
     return 0 if last is None else last + 1
 
 
+def write_ordered(table: DataFrame, path: str, order: str, rows: int) -> DataFrame:
+    """Store a table in ``order``, some ``FILE_ROWS / 4`` of its ``rows`` in a file, and read it back.
+
+    What a micro-batch then reads of it, between two values of ``order``, is a few files
+    whatever the size of the table.
+    """
+    spark = table.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, -(-4 * rows // FILE_ROWS))
+    table.repartitionByRange(parts, order).sortWithinPartitions(order).write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
+
+
+def ordered_pages(pages: DataFrame, posts: DataFrame, path: str, rows: int) -> DataFrame:
+    """Pages at the address of a post, stored in the order of the posts: with ``first`` and ``last`` id of a post there.
+
+    Those of a range of posts overlap it (``pages_between``). No page is there twice, and
+    none that a post looks for is missing.
+    """
+    addresses = posts.groupBy(F.col("permalink").alias("url")).agg(F.min("post_id").alias("first"), F.max("post_id").alias("last"))
+    found = pages.join(addresses, "url").select(*pages.columns, "first", "last")
+    return write_ordered(found, path, "first", rows)
+
+
+def pages_between(pages: DataFrame, low, high) -> DataFrame:
+    return pages.where((F.col("first") <= F.lit(high)) & (F.col("last") >= F.lit(low))).drop("first", "last")
+
+
 def _step(process: Callable[[DataFrame], DataFrame], outcome_path: str, mirror_path: str | None, run_ts: str | None) -> Callable:
     def step(batch: DataFrame, batch_id: int, several: bool = False) -> None:
         spark = batch.sparkSession
         done = process(batch).withColumn("row_id", F.monotonically_increasing_id())
-        if several:
-            # a folder for each step; a repetition replaces those it writes
-            dealt = done.repartition(spark.sparkContext.defaultParallelism, STEP)
-            writer = dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            writer.partitionBy(STEP).parquet(outcome_path)
-        else:
-            done.write.mode("overwrite").parquet(f"{outcome_path}/{STEP}={batch_id}")
+        if not several:
+            done = done.withColumn(STEP, F.lit(batch_id).cast("bigint"))
+        # the steps of a micro-batch share files; a repetition has the same steps and replaces them
+        folder = f"{outcome_path}/{FIRST_STEP}={batch_id}"
+        done.write.mode("overwrite").parquet(folder)
         if mirror_path is not None:
-            if several:
-                low, high = batch.agg(F.min(STEP), F.max(STEP)).first()
-                stored = spark.read.schema(done.schema).parquet(outcome_path).where(F.col(STEP).between(low, high))
-                documents = drop_overwritten(stored.where(F.col("reason").isNull()), [STEP, *POSITION])
-            else:
-                stored = spark.read.schema(done.schema).parquet(f"{outcome_path}/{STEP}={batch_id}")
-                documents = drop_overwritten(stored.where(F.col("reason").isNull()), POSITION)
+            stored = spark.read.schema(done.schema).parquet(folder)
+            documents = drop_overwritten(stored.where(F.col("reason").isNull()), [STEP, *POSITION])
             versions = {
                 "version_ts": F.lit(run_ts).cast("timestamp_ntz"),
-                "version_seq": (F.col(STEP) if several else F.lit(batch_id)).cast("bigint"),
+                "version_seq": F.col(STEP).cast("bigint"),
                 "is_deleted": F.lit(False),
             }
             write_mirror(documents.withColumns(versions), mirror_path)
@@ -109,20 +130,22 @@ def step_stream(
     are taken by the next start.
 
     ``steps_at_once`` puts so many steps into a micro-batch, as each costs seconds
-    however few its items are. Steps keep their size, number and folder; ``process`` then
-    gets the items with their ``step`` and has to keep it. What is repeated after a
-    failure is the micro-batch.
+    however few its items are, and so does each file. Steps keep their size and number;
+    ``process`` then gets the items with their ``step`` and has to keep it. What is stored
+    in a folder, and repeated after a failure, is the micro-batch.
     """
     work = _step(process, outcome_path, mirror_path, run_ts)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        bounds = (f(c) for c in ("position", STEP) for f in (F.min, F.max))
-        first, last, low, high = batch.agg(*bounds).first()
-        if first is not None:
-            # the bounds reach the scan; the stream carries positions alone
+        # the stream carries positions alone and is read once: its steps have one size, but for the last
+        steps = batch.groupBy(STEP).agg(F.min("position"), F.max("position")).collect()
+        if steps:
+            (low, first, end), last = min(steps), max(s[2] for s in steps)
+            # the bounds reach the scan
             items = batch.sparkSession.read.parquet(path).where(F.col("position").between(first, last))
-            several = steps_at_once > 1 or low < high
-            work(items.join(batch, "position") if several else items, low, several)
+            number = F.lit(low) + F.floor((F.col("position") - first) / (end - first + 1)).cast("bigint")
+            several = steps_at_once > 1 or len(steps) > 1
+            work(items.withColumn(STEP, number) if several else items, low, several)
 
     positions = step_positions(spark, queue_length(spark, path), items_per_step or cfg.batch_size, steps_at_once)
     pause = "0 seconds" if drain else f"{cfg.batch_delay} minutes"
@@ -156,7 +179,7 @@ def backlog_stream(
     """Process the backlog step by step; store outcomes and, with ``mirror_path``, documents.
 
     With ``drain`` all steps run without a pause, else a step starts every
-    ``cfg.batch_delay`` minutes. Each step writes its own folder, so a step that
+    ``cfg.batch_delay`` minutes. Each step writes its own folder and its number, so a step that
     is replayed after a failure replaces what it wrote before; documents of a replay
     equal those there are. A later step's document of a path replaces an earlier one's.
     """

@@ -351,6 +351,36 @@ def test_a_failure_in_a_step_is_no_result(spark, few_documents, monkeypatch, fai
         assert sorted((r.item_id, r.step) for r in rows) == [(7 * k, k // 100) for k in range(500)]
 
 
+def test_steps_of_a_micro_batch_share_a_folder(spark):
+    folder = work_folder(spark, "steps")
+    backlog.write_queue(spark.range(45).withColumnRenamed("id", "item_id"), f"{folder}/queue", ["item_id"])
+    process = lambda batch: batch.select("item_id", "step", F.lit(None).cast("string").alias("reason"))
+    backlog.step_stream(
+        spark, f"{folder}/queue", process, f"{folder}/done", f"{folder}/checkpoint", MirrorConfig(batch_size=5), drain=True, steps_at_once=4
+    )
+    done = spark.read.parquet(f"{folder}/done")
+    assert sorted((r.item_id, r.step) for r in done.collect()) == [(k, k // 5) for k in range(45)]
+    assert sorted(column(done.select("first_step").distinct(), "first_step")) == [0, 4, 8]
+
+
+def test_a_micro_batch_reads_the_files_of_its_posts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(backlog, "FILE_ROWS", 40)
+    rows = spark.range(0, 400, 1, 3).select((F.lit(399) - F.col("id")).alias("post_id"), F.concat(F.lit("https://h.e/"), "id").alias("permalink"))
+    stored = backlog.write_ordered(rows, f"{tmp_path}/posts", "post_id", 400)
+    assert sorted(stored.collect()) == sorted(rows.collect())
+    files = stored.groupBy("_metadata.file_path").agg(F.min("post_id").alias("a"), F.max("post_id").alias("b")).collect()
+    assert len(files) > 30 and sum(r.a <= 240 and r.b >= 200 for r in files) < 9
+    # ids of pages have nothing to do with those of posts; one address has two posts, one page is there twice
+    posts = rows.union(spark.createDataFrame([(5, "https://h.e/0")], rows.schema))
+    ids = [(1000 - k, f"https://h.e/{k}", f"{k}") for k in range(-5, 400)] + [(7, "https://h.e/3", "again")] * 2
+    pages = spark.createDataFrame(ids, "page_id bigint, url string, html string")
+    ordered = backlog.ordered_pages(pages, posts, f"{tmp_path}/pages", 400)
+    between = lambda low, high: sorted(map(tuple, backlog.pages_between(ordered, low, high).collect()))
+    assert between(396, 397) == sorted([(1000 - 2, "https://h.e/2", "2"), *ids[-2:], (1000 - 3, "https://h.e/3", "3")] + [(1000, "https://h.e/0", "0")])
+    assert (1000, "https://h.e/0", "0") in between(5, 5) and len(between(0, 399)) == 402
+    assert between(None, None) == []
+
+
 def test_a_backlog_of_a_table_with_many_splits_has_few_files(spark):
     folder = work_folder(spark, "backlog")
     backlog.write_backlog(spark.range(0, 100, 1, 50), folder, 30)
