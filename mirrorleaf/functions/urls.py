@@ -39,8 +39,9 @@ def path_key(url: Column | str) -> Column:
     different URLs may share a key.
     """
     path = F.concat(F.lit("/"), F.translate(url_path(url), "\\", "/"))
-    path = F.regexp_replace(path, UNSAFE_SEGMENT, "")
+    # control characters first: without them a segment may turn out to be unsafe
     path = F.regexp_replace(path, r"[\x00-\x1F\x7F]", "")
+    path = F.regexp_replace(path, UNSAFE_SEGMENT, "")
     path = F.btrim(F.regexp_replace(path, r"/+", "/"), F.lit("/"))
     path = F.regexp_replace(path, r"(?i)\.(?:html?|php)\z", "")
     return F.ltrim(F.concat(path, F.lit("/index.md")), F.lit("/"))

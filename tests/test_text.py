@@ -58,6 +58,11 @@ def test_path_key_is_always_safe(spark, tails):
         assert not any(ord(c) < 32 for c in key) and "\\" not in key
 
 
+def test_control_characters_hide_no_unsafe_segment(spark):
+    urls = ["https://h.e/..\t", "https://h.e/a/.\x01./b", "https://h.e/a/%2\te/b", "https://h.e/a\tb/c"]
+    assert values(spark, urls, U.path_key) == ["index.md", "a/b/index.md", "a/b/index.md", "ab/c/index.md"]
+
+
 def test_hosts_and_exclusion(spark):
     hosts = {"HTTP://A.Example:80/x": "a.example", "https://u@h.e/": "h.e", "/x": "", "mailto:x": "", "//H/x": "h"}
     assert values(spark, hosts, U.url_host) == list(hosts.values())
